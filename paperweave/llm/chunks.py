@@ -1,0 +1,44 @@
+"""Texts as chunks that byte-level tokenizers encode independently, and a bounded memory of encoded chunks."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+KEPT = 150_000
+KEPT_CHARS = 60
+_SPACE_RUN = re.compile(r" (?:\s|\Z)").search
+
+
+def spaced_chunks(text: str) -> list[str] | None:
+    """text cut before every space, each space staying with what follows it. None if a space is followed by white space or the end.
+
+    public_tokenizers.PATTERN never matches across such a cut: a space before a non-space begins a match, and what
+    stands before it is matched as at the end of a text.
+    """
+    if _SPACE_RUN(text):
+        return None
+    chunks = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
+    return chunks
+
+
+class Memo(dict):
+    """key -> make(key), for the keys met lately: two generations of at most `kept` each. Long keys are not kept."""
+
+    def __init__(self, make: Callable[[str], object], kept: int = KEPT):
+        super().__init__()
+        self.make, self.kept, self.old = make, kept, {}
+
+    def __missing__(self, key: str) -> object:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= KEPT_CHARS:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key: str, value: object) -> None:
+        if len(self) >= self.kept:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
