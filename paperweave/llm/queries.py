@@ -12,6 +12,12 @@ TOKENIZERS = "public_tokenizers"
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperweave.llm.ngram_join import join_components
+
+    return join_components(documents(spark, sf_dir), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,7 +59,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_ogg, op5_packing, op7_secrets, op8_url_filter, op10_sharding)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_bpe, op3_ogg, op5_packing, op7_secrets, op8_url_filter, op10_sharding)}
 
 
 _REST = "substr(coalesce(url, ''), strpos(coalesce(url, ''), '://') + 3)"
