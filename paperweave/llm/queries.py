@@ -32,6 +32,12 @@ def op3_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_media(documents(spark, sf_dir), keep_media=False)
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperweave.llm.repeats import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir), words=13, keep_text=False)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,7 +65,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_bpe, op3_ogg, op5_packing, op7_secrets, op8_url_filter, op10_sharding)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_bpe, op3_ogg, op4_repeats, op5_packing, op7_secrets, op8_url_filter, op10_sharding)}
 
 
 _REST = "substr(coalesce(url, ''), strpos(coalesce(url, ''), '://') + 3)"
