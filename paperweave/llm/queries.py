@@ -46,6 +46,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperweave.llm.toxicity import score_documents
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return score_documents(documents(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperweave.llm.secrets import find_secrets
 
@@ -58,6 +65,14 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), RULES)
 
 
+def op9_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from paperweave.llm.knn import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperweave.llm.sharding import shard_documents
 
@@ -65,7 +80,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_bpe, op3_ogg, op4_repeats, op5_packing, op7_secrets, op8_url_filter, op10_sharding)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_bpe, op3_ogg, op4_repeats, op5_packing, op6_toxicity, op7_secrets, op8_url_filter, op9_knn, op10_sharding)}
 
 
 _REST = "substr(coalesce(url, ''), strpos(coalesce(url, ''), '://') + 3)"
@@ -77,6 +92,12 @@ def oracle_sql() -> dict[str, str]:
   CASE WHEN strpos(coalesce(url, ''), '://') = 0 THEN '' ELSE regexp_extract({_REST}, '^[^/?#]*([^?#]*)', 1) END AS path FROM pages)"""
     values = ", ".join(f"('{k}', '{h}', '{p}')" for k, h, p in RULES)
     return {
+        "op9_knn": """WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.e[i] * c.e[i] FOR i IN range(1, len(q.e) + 1)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
         "op8_url_filter": f"""WITH {parsed}, rules(verdict, h, p) AS (VALUES {values}),
 fit AS (SELECT page_id, h || p AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS k
   FROM parsed JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
