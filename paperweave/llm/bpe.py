@@ -13,11 +13,16 @@ import base64
 import hashlib
 from functools import lru_cache
 
+import ahocorasick
 import regex
 from pyspark.sql import DataFrame
 
 from paperweave.llm.arrow import map_rows, strings_of
-from paperweave.llm.chunks import Memo, spaced_chunks
+from paperweave.llm.memo import Memo
+
+#: Pieces that a worker remembers, in each of two generations, and pairs of tokens of which it knows if they fit.
+PIECES_KEPT = 300_000
+PAIRS_KEPT = 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -30,9 +35,11 @@ class PrefixBPE:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self._pairs: dict[tuple[int, int], bool] = {}
-        # tokens that merging their own bytes does not make can only be whole pieces
-        self._made: dict[int, bool] = {}
+        self._pairs: dict[int, bool] = {}
+        self.tokens = ahocorasick.Automaton()
+        for token, i in ranks.items():
+            self.tokens.add_word(token.decode("latin-1"), (i, len(token)))
+        self.tokens.make_automaton()
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding by merges of least rank, leftmost first: the definition, for the short strings of the pair test."""
@@ -44,55 +51,59 @@ class PrefixBPE:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def _fits(self, left: int | None, token: int) -> bool:
-        if left is None:
-            made = self._made.get(token)
-            if made is None:
-                made = self._made[token] = self.merged(self.bytes_of[token]) == [token]
-            return made
-        fits = self._pairs.get((left, token))
-        if fits is None:
-            if len(self._pairs) > 1_000_000:
-                self._pairs.clear()
-            fits = self._pairs[left, token] = self.merged(self.bytes_of[left] + self.bytes_of[token]) == [left, token]
+    def _fits(self, left: int, token: int) -> bool:
+        """May the token stand after left, or first if left is -1? A token that merging its own bytes does not make may never."""
+        ids = [left, token] if left >= 0 else [token]
+        fits = self.merged(self.decode(ids)) == ids
+        if len(self._pairs) >= PAIRS_KEPT:
+            self._pairs.clear()
+        self._pairs[left << 32 | token] = fits
         return fits
 
-    def _last(self, data: bytes, end: int, table: list[int]) -> int:
-        """The last token of data[:end], given the table of shorter prefixes."""
-        rank, fits = self.ranks.get, self._pairs.get
-        for begin in range(max(0, end - self.longest), end):
-            token = rank(data[begin:end])
-            if token is not None:
-                left = table[begin - 1] if begin else None
-                if fits((left, token)) or self._fits(left, token):
-                    return token
-        raise ValueError("a byte has no token")
+    def extend(self, data: bytes, table: list[int], since: int = 0) -> None:
+        """Adds the entries that the table lacks. since: where to begin looking for tokens, at least `longest` before the first of them."""
+        known, fits, n = self._pairs.get, self._fits, len(table)
+        # at each end the automaton tells the longest token first; just one of them fits
+        for end, (token, size) in self.tokens.iter(data[since:].decode("latin-1")):
+            end += since
+            if end < n:
+                continue
+            left = table[end - size] if end >= size else -1
+            fit = known(left << 32 | token)
+            if fit is None:
+                fit = fits(left, token)
+            if fit:
+                table.append(token)
+                n += 1
+        if n < len(data):
+            raise ValueError("a byte has no token")
 
     def append(self, data: bytes, table: list[int], more: bytes) -> tuple[bytes, list[int]]:
-        """data and its table, extended in place of being made anew."""
+        """data + more and its table, of which only the new entries are made."""
         data, table = data + more, list(table)
-        for end in range(len(table) + 1, len(data) + 1):
-            table.append(self._last(data, end, table))
+        self.extend(data, table, max(0, len(table) - self.longest))
         return data, table
 
     def table(self, data: bytes) -> list[int]:
         """table[i]: the last token of data[: i + 1]."""
-        return self.append(b"", [], data)[1]
+        table: list[int] = []
+        self.extend(data, table)
+        return table
 
     def edit(self, data: bytes, table: list[int], begin: int, end: int, new: bytes) -> tuple[bytes, list[int], int]:
         """data with data[begin:end] replaced, its table, and how many entries were made anew. Behind the edit, once as many
         entries in a row as the longest token has bytes agree with the old ones, all later ones do."""
-        out, made, same = table[:begin], 0, 0
         changed = data[:begin] + new + data[end:]
         shift = len(new) - (end - begin)
-        for at in range(begin, len(changed)):
-            if same >= self.longest:
-                out += table[at - shift :]
-                break
-            out.append(self._last(changed, at + 1, out))
-            made += 1
-            same = same + 1 if at >= begin + len(new) and at - shift >= end and table[at - shift] == out[at] else 0
-        return changed, out, made
+        out = table[:begin]
+        stop = begin + len(new)
+        while len(out) < len(changed):
+            stop = min(len(changed), stop + 2 * self.longest)
+            self.extend(changed[:stop], out, max(0, len(out) - self.longest))
+            tail = stop - self.longest
+            if tail >= begin + len(new) and out[tail:stop] == table[tail - shift : stop - shift]:
+                return changed, out + table[stop - shift :], stop - begin
+        return changed, out, len(changed) - begin
 
     def read_back(self, table: list[int]) -> list[int]:
         ids, at = [], len(table)
@@ -111,21 +122,16 @@ class PrefixBPE:
 
 
 class _Worker:
-    """What one worker keeps: pieces and chunks with their ids, joined by commas."""
+    """What one worker keeps: pieces met lately with their ids, joined by commas."""
 
     def __init__(self, path: str, pattern: str):
         self.bpe = PrefixBPE(load_ranks(path))
         self.split = regex.compile(pattern).findall
         self.bytes_of = {str(i): b for i, b in self.bpe.bytes_of.items()}
-        self.pieces = Memo(lambda piece: ",".join(map(str, self.bpe.encode_piece(piece.encode()))))
-        self.chunks = Memo(self.whole)
-
-    def whole(self, text: str) -> str:
-        return ",".join(map(self.pieces.__getitem__, self.split(text)))
+        self.pieces = Memo(lambda piece: ",".join(map(str, self.bpe.encode_piece(piece.encode()))), PIECES_KEPT)
 
     def ids(self, text: str) -> str:
-        chunks = spaced_chunks(text)
-        return self.whole(text) if chunks is None else ",".join(filter(None, map(self.chunks.__getitem__, chunks)))
+        return ",".join(map(self.pieces.__getitem__, self.split(text)))
 
 
 @lru_cache(maxsize=2)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperweave.llm.arrow import map_rows, pieces, strings_of
-from paperweave.llm.chunks import Memo
+from paperweave.llm.memo import Memo
 from paperweave.llm.scratch import cut
 
 #: Labelled documents of either class that are learned from at most.
