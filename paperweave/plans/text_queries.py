@@ -207,7 +207,7 @@ def parity_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 _box = "CASE WHEN m <= 0.03 THEN 'STABLE' WHEN m <= 0.05 THEN 'NEAR' ELSE 'DRIFTS' END"
 
 
-@query(f"WITH b AS (SELECT p_brand AS role, floor((max(p_size) - min(p_size)) / 1000.0 * 10000 + 0.5) / 10000 AS dx, floor((max(p_retailprice) - min(p_retailprice)) / 40000.0 * 10000 + 0.5) / 10000 AS dy, count(*) AS n FROM part GROUP BY 1), c AS (SELECT *, greatest(dx, dy) AS m FROM b) SELECT role, n, dx, dy, {_box} AS drift FROM c")
+@query(f"WITH b AS (SELECT p_brand AS role, floor((max(p_size / 1000.0) - min(p_size / 1000.0)) * 10000 + 0.5) / 10000 AS dx, floor((max(p_retailprice / 40000.0) - min(p_retailprice / 40000.0)) * 10000 + 0.5) / 10000 AS dy, count(*) AS n FROM part GROUP BY 1), c AS (SELECT *, greatest(dx, dy) AS m FROM b) SELECT role, n, dx, dy, {_box} AS drift FROM c")
 def box_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = table(spark, sf_dir, "part").select(F.col("p_brand").alias("role"), (F.col("p_size") / 1000.0).alias("x"), (F.col("p_retailprice") / 40000.0).alias("y"))
     return measure.box_drift(boxes, "role")
