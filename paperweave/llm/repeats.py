@@ -117,14 +117,14 @@ def plan_groups(docs: DataFrame, words: int) -> PrefixPlan:
             counts[int(t)] = np.zeros(SLOTS, np.int64)
             counts[int(t)][part["slot"].to_numpy()] = part["n"].to_numpy()
         if limit is None:
-            limit = min(GROUP_LEAVES, max(GROUP_LEAST, int(rows["n"].sum()) // (4 * partitions)))
+            limit = min(GROUP_LEAVES, max(GROUP_LEAST, int(rows["n"].sum()) // (2 * partitions)))
         if not counts or not plan.extend(counts, depth, limit, words):
             return plan
         depth += 1
 
 
 def _leaves(docs: DataFrame, words: int, plan: PrefixPlan) -> DataFrame:
-    """Blocks of leaves: grp, hashes and doc_ids. Of the leaves that a task gathers under one node only those of the least doc_id go to
+    """Blocks of leaves: grp, doc_ids, counts (of leaves of each) and hashes. Of the leaves that a task gathers under one node only those of the least doc_id go to
     the node's group; the others are repeats already and come as blocks with a negative grp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,11 +145,23 @@ def _leaves(docs: DataFrame, words: int, plan: PrefixPlan) -> DataFrame:
             g = np.where(late, -1 - (d.view(np.uint64) % np.uint64(1024)).astype(np.int64), g)
             keep = late | lead
             h, d, g = h[keep], d[keep], g[keep]
-            order = np.argsort(g, kind="stable")
+            # a document's leaves of one group are neighbours, so its id is sent once for all of them
+            order = np.lexsort((d, g))
             h, d, g = h[order], d[order], g[order]
+            runs = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])]))
+            counts = np.diff(np.concatenate([runs, [len(d)]])).astype(np.uint32)
             edges = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
-            spans = list(zip(edges[:-1], edges[1:], strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(g[edges[:-1]]), pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([d[a:b].tobytes() for a, b in spans], pa.binary())], ["grp", "hashes", "doc_ids"])
+            at = np.searchsorted(runs, edges)
+            spans = range(len(edges) - 1)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(g[edges[:-1]]),
+                    pa.array([d[runs[at[i] : at[i + 1]]].tobytes() for i in spans], pa.binary()),
+                    pa.array([counts[at[i] : at[i + 1]].tobytes() for i in spans], pa.binary()),
+                    pa.array([h[edges[i] : edges[i + 1]].tobytes() for i in spans], pa.binary()),
+                ],
+                ["grp", "doc_ids", "counts", "hashes"],
+            )
 
         for batch in pieces(batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -166,29 +178,46 @@ def _leaves(docs: DataFrame, words: int, plan: PrefixPlan) -> DataFrame:
         if names:
             yield send()
 
-    return docs.filter("doc_id is not null").mapInArrow(run, "grp long, hashes binary, doc_ids binary")
+    return docs.filter("doc_id is not null").mapInArrow(run, "grp long, doc_ids binary, counts binary, hashes binary")
+
+
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
 def _late(leaves: DataFrame, buckets: int) -> DataFrame:
-    """bucket, doc_ids, hashes: every window of a document that also begins in one with a smaller doc_id."""
+    """bucket, doc_ids, counts, hashes: every window of a document that also begins in one with a smaller doc_id."""
 
     def run(table: pa.Table) -> pa.Table:
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()])
-        d = np.concatenate([np.frombuffer(x, np.int64) for x in table["doc_ids"].to_pylist()])
+        h = _joined(table["hashes"], np.uint64)
+        d = np.repeat(_joined(table["doc_ids"], np.int64), _joined(table["counts"], np.uint32))
         if table["grp"][0].as_py() >= 0:
             order = np.argsort(h)
             h, d = h[order], d[order]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             late = d > np.repeat(np.minimum.reduceat(d, first), np.diff(np.concatenate([first, [len(h)]])))
             h, d = h[late], d[late]
+        # one row for each bucket of documents, in which an id is told once for all its windows
         bucket = _bucket(d, buckets)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((d, bucket))
         h, d, bucket = h[order], d[order], bucket[order]
-        edges = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]) if len(h) else np.zeros(1, np.int64)
-        spans = list(zip(edges[:-1], edges[1:], strict=True))
-        return pa.table({"bucket": pa.array(bucket[edges[:-1]] if len(h) else [], pa.int64()), "doc_ids": pa.array([d[a:b].tobytes() for a, b in spans], pa.binary()), "hashes": pa.array([h[a:b].tobytes() for a, b in spans], pa.binary())})
-
-    return leaves.groupBy("grp").applyInArrow(run, "bucket long, doc_ids binary, hashes binary")
+        new = np.concatenate([[True], d[1:] != d[:-1]])[: len(d)]
+        runs = np.flatnonzero(new)
+        counts = np.diff(np.concatenate([runs, [len(d)]])).astype(np.uint32)
+        begins = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])[: len(d)])
+        edges = np.concatenate([begins, [len(d)]])
+        at = np.searchsorted(runs, edges)
+        spans = range(len(begins))
+        return pa.table(
+            {
+                "bucket": pa.array(bucket[begins], pa.int64()),
+                "doc_ids": pa.array([d[runs[at[i] : at[i + 1]]].tobytes() for i in spans], pa.binary()),
+                "counts": pa.array([counts[at[i] : at[i + 1]].tobytes() for i in spans], pa.binary()),
+                "hashes": pa.array([h[edges[i] : edges[i + 1]].tobytes() for i in spans], pa.binary()),
+            }
+        )
+
+    return leaves.groupBy("grp").applyInArrow(run, "bucket long, doc_ids binary, counts binary, hashes binary")
 
 
 def _bucket(doc_id: np.ndarray, buckets: int) -> np.ndarray:
@@ -217,7 +246,7 @@ def remove_repeats(docs: DataFrame, words: int = 13, keep_text: bool = True) ->
     plan = plan_groups(docs, words)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    buckets = max(4 * partitions, size // TEXT_BUCKET_BYTES) | 1
+    buckets = max(2 * partitions, size // TEXT_BUCKET_BYTES) | 1
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     late = _late(_leaves(ids, words, plan), buckets)
     own = [f for f in docs.schema.fields if f.name != "bucket" and (keep_text or f.name != "text")]
@@ -225,8 +254,8 @@ def remove_repeats(docs: DataFrame, words: int = 13, keep_text: bool = True) ->
     out = T.StructType(own + more + [T.StructField("kept", T.StringType())] * keep_text)
 
     def cut_out(rows: pa.Table, found: pa.Table) -> pa.Table:
-        d = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(x, np.int64) for x in found["doc_ids"].to_pylist())])
-        h = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in found["hashes"].to_pylist())])
+        d = np.repeat(_joined(found["doc_ids"], np.int64), _joined(found["counts"], np.uint32))
+        h = _joined(found["hashes"], np.uint64)
         order = np.argsort(d, kind="stable")
         d, h = d[order], h[order]
         n_words, n_removed, digests, kept = [], [], [], []
