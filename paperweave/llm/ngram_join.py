@@ -27,16 +27,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperweave.llm.arrow import pieces, texts_of
 from paperweave.llm.components import components
-from paperweave.llm.scratch import cut, salt, small
+from paperweave.llm.scratch import cut, small
 from paperweave.llm.words import mix, word_sets
 
 SKETCH_SLOTS = 1 << 21
 _CHUNK = 1 << 15
-HEAVY_LEAST, HEAVY_TIMES = 64, 8
+#: Share of all shingle occurrences that lie in the slots counted as rare.
+RARE_SHARE = 0.35
+#: Bits of the filter for shingles that can still link (8 MB, whatever the input).
+FILTER_BITS = 1 << 26
 MIN_HASHES = 4
 PARTNERS = 256  # in one trie, about
 LIST_BLOCK = 1024
@@ -61,21 +65,55 @@ def frequent_slots(docs: DataFrame, n: int) -> np.ndarray:
         total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64) for x in table["counts"].to_pylist())
         return pa.table({"chunk": table["chunk"][:1], "counts": pa.array([total.astype("<i8").tobytes()])})
 
-    rows = docs.select("text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
-    rows = cut(rows)
-    # one sum per chunk first, so that the threshold follows the mean over all
-    sums = rows.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(x, "<i8").sum()) for x in b.column("counts").to_pylist()], pa.int64())], ["n"]) for b in bs), "n long")
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    least = max(HEAVY_LEAST, HEAVY_TIMES * total // SKETCH_SLOTS)
+    rows = cut(docs.select("text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary"))
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column("counts").to_pylist():
+                n, times = np.unique(np.frombuffer(x, "<i8"), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(times)], ["n", "slots"])
+
+    # slots by their count: few rows, as most slots have about the mean
+    spread = rows.mapInArrow(sizes, "n long, slots long").groupBy("n").agg(F.sum("slots").alias("slots"))
+    mass = spread.withColumn("mass", F.col("n") * F.col("slots"))
+    upto = mass.withColumn("upto", F.sum("mass").over(W.orderBy("n"))).withColumn("total", F.sum("mass").over(W.partitionBy()))
+    least = upto.filter(F.col("upto") >= RARE_SHARE * F.col("total")).agg(F.min("n")).first()[0] or 0
 
     def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("chunk"), pa.array([np.packbits(np.frombuffer(x, "<i8") > least).tobytes() for x in b.column("counts").to_pylist()])], ["chunk", "bits"])
 
-    out = np.zeros((SKETCH_SLOTS // _CHUNK, _CHUNK), bool)
-    for chunk, bits in rows.mapInArrow(flags, "chunk int, bits binary").collect():
-        out[chunk] = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
-    return np.packbits(out.reshape(-1))
+    return _bits(rows.mapInArrow(flags, "chunk int, bits binary"), SKETCH_SLOTS)
+
+
+def _bits(chunks: DataFrame, bits: int) -> np.ndarray:
+    """Rows (chunk, bits) of _CHUNK bits each as one packed array; absent chunks are zero."""
+    out = np.zeros(bits // 8, np.uint8)
+    for chunk, raw in chunks.collect():
+        out[chunk * (_CHUNK // 8) : (chunk + 1) * (_CHUNK // 8)] = np.frombuffer(raw, np.uint8)
+    return out
+
+
+def _filter_of(tokens: DataFrame) -> np.ndarray:
+    """A bit for each of FILTER_BITS slots into which a token falls. It drops no token; with very many it drops nothing."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(FILTER_BITS, bool)
+        for b in batches:
+            seen[_slot(b.column("token").to_numpy())] = True
+        for chunk in np.unique(np.flatnonzero(seen) // _CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(np.packbits(seen[chunk * _CHUNK : (chunk + 1) * _CHUNK]).tobytes(), 1)])], ["chunk", "bits"])
+
+    def either(table: pa.Table) -> pa.Table:
+        out = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in table["bits"].to_pylist()])
+        return pa.table({"chunk": table["chunk"][:1], "bits": pa.array([out.tobytes()])})
+
+    schema = "chunk int, bits binary"
+    return _bits(tokens.select("token").mapInArrow(mark, schema).groupBy("chunk").applyInArrow(either, schema), FILTER_BITS)
+
+
+def _slot(token: np.ndarray) -> np.ndarray:
+    return (mix(token.view(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
 def _ordered_sets(texts: list[bytes], n: int, frequent: np.ndarray) -> Iterator[np.ndarray]:
@@ -229,15 +267,28 @@ def _band_bits(band: int, percent: int) -> int:
 def _list_pairs(classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes in different components that share a prefix shingle and may have the similarity. classes: with comp."""
     rows = classes.select("doc_id", "comp", F.explode("prefix").alias("token"))
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    # combined before the shuffle, so a shingle of very many near copies is a few rows
+    mixed = cut(rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token"))
+    may_link = classes.sparkSession.sparkContext.broadcast(_filter_of(mixed))
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            prefix = batch.column("prefix")
+            token = prefix.flatten().to_numpy()
+            slot = _slot(token)
+            keep = np.flatnonzero((may_link.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(prefix.offsets.to_numpy()))[keep]
+            some = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "comp", "n_shingles")]
+            yield pa.RecordBatch.from_arrays([*some, pa.array(token[keep])], ["doc_id", "comp", "n_shingles", "token"])
+
+    tokens = classes.select("doc_id", "comp", "n_shingles", "prefix").mapInArrow(passing, "doc_id long, comp long, n_shingles long, token long")
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
-    facts = classes.select("doc_id", "n_shingles", "parity", band.alias("own"))
-    lists = rows.join(mixed, "token", "left_semi").join(facts, "doc_id")
+    lists = tokens.join(mixed, "token", "left_semi").withColumn("own", band)
     lists = cut(lists.select("*", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("band")))
-    # a list with one row, or only guests of the band, has no pair
-    sizes = lists.groupBy("token", "band").agg(F.count("*").alias("c"), F.max((F.col("own") == F.col("band")).cast("int")).alias("any"))
-    sizes = sizes.filter("c > 1 and any = 1").select("token", "band", F.ceil(F.col("c") / LIST_BLOCK).cast("int").alias("blocks"))
-    lists = lists.join(sizes, ["token", "band"])
+    # a list of one component, or only of guests of the band, has no pair
+    sizes = lists.groupBy("token", "band").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max((F.col("own") == F.col("band")).cast("int")).alias("any"))
+    sizes = sizes.filter("lo <> hi and any = 1").select("token", "band", F.ceil(F.col("c") / LIST_BLOCK).cast("int").alias("blocks"))
+    lists = lists.join(sizes, ["token", "band"]).join(classes.select("doc_id", "parity"), "doc_id")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     lists = lists.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
     lists = lists.select("band", "token", F.least("mine", "other").alias("g"), F.greatest("mine", "other").alias("h"), "mine", "own", "doc_id", "comp", "n_shingles", "parity")
@@ -322,17 +373,19 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     all_nodes = cut(nodes(docs, n, percent, frequent))
     live = all_nodes.filter("doc_id is not null and n_shingles > 0")
     sets = cut(live.groupBy("set_hash").agg(F.min("doc_id").alias("set_id")))
-    classes = cut(live.join(sets, "set_hash").filter("doc_id = set_id").select("doc_id", "n_shingles", "keys", "prefix", "parity"))
+    copies = cut(live.select("doc_id", "set_hash").join(sets, "set_hash").filter("doc_id <> set_id"))
+    classes = live.join(small(copies), ["doc_id", "set_hash"], "left_anti").select("doc_id", "n_shingles", "keys", "prefix", "parity")
     pairs = cut(_min_hash_pairs(classes, percent))
     near = cut(verified(docs, pairs, n, percent, frequent))
     known = cut(components(near))
-    labelled = classes.join(known, "doc_id", "left").select("doc_id", "n_shingles", "prefix", "parity", F.coalesce("component_id", "doc_id").alias("comp"))
+    labelled = classes.join(small(known), "doc_id", "left").select("doc_id", "n_shingles", "prefix", "parity", F.coalesce("component_id", "doc_id").alias("comp"))
     rest = cut(_list_pairs(labelled, percent))
     more = cut(verified(docs, rest, n, percent, frequent))
     # texts that share a doc_id but not their set are joined by it
-    twice = live.join(sets, "set_hash").filter("doc_id <> set_id").select(F.col("set_id").alias("a"), F.col("doc_id").alias("b"))
+    twice = copies.select(F.col("set_id").alias("a"), F.col("doc_id").alias("b"))
     repeated = twice.join(classes.select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")
     final = cut(components(near.unionByName(more).unionByName(repeated)))
     out = all_nodes.select("doc_id", "n_shingles", "set_hash").join(sets, "set_hash", "left")
     out = out.join(final.withColumnRenamed("doc_id", "set_id"), "set_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "set_id", "doc_id").alias("component_id"), F.coalesce("set_id", "doc_id").alias("set_id"))
+    named = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "n_shingles", F.when(named, F.coalesce("component_id", "set_id", "doc_id")).alias("component_id"), F.when(named, F.coalesce("set_id", "doc_id")).alias("set_id"))
