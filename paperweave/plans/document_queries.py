@@ -78,7 +78,7 @@ _rules = ", ".join(f"({i}, '{f}', '{n}', {repr(t) if t else 'NULL'})" for i, (f,
 @query(f"""WITH {_papers}, b AS (SELECT DISTINCT batch_id, CAST(CAST(substr(batch_id, 2) AS BIGINT) % 4 AS VARCHAR) AS order_code FROM papers), rules(rule_ord, form_code, name, canonical_type) AS (VALUES {_rules}),
 present AS (SELECT batch_id, doc_type AS canonical_type, count(*) AS n, sum(length(doc_id) % 3 + 1) AS pages FROM papers GROUP BY 1, 2),
 x AS (SELECT b.batch_id, r.*, p.n, p.pages FROM b LEFT JOIN rules r ON r.form_code IN (b.order_code, '*') LEFT JOIN present p ON p.batch_id = b.batch_id AND p.canonical_type = r.canonical_type),
-g AS (SELECT batch_id, count_if(canonical_type IS NOT NULL) AS applicable_rules, count_if(rule_ord IS NOT NULL AND canonical_type IS NULL) AS unmapped_rules, count_if(canonical_type IS NOT NULL AND n IS NULL) AS n_missing,
+g AS (SELECT batch_id, count(*) FILTER (canonical_type IS NOT NULL) AS applicable_rules, count(*) FILTER (rule_ord IS NOT NULL AND canonical_type IS NULL) AS unmapped_rules, count(*) FILTER (canonical_type IS NOT NULL AND n IS NULL) AS n_missing,
   coalesce(string_agg(name, ',' ORDER BY rule_ord) FILTER (canonical_type IS NOT NULL AND n IS NULL), '') AS missing_documents, CAST(coalesce(sum(pages), 0) AS BIGINT) AS matched_pages FROM x GROUP BY 1)
 SELECT *, CASE WHEN applicable_rules = 0 THEN 'KHONG_CO_QUY_CHUAN' WHEN n_missing = 0 THEN 'HOAN_HAO' WHEN n_missing = 1 THEN 'CANH_BAO_THIEU' ELSE 'THIEU_CHUNG_TU' END AS overall_status FROM g""")
 def checklist_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +163,7 @@ reached AS (SELECT doc_id FROM anchors UNION SELECT e.doc_id FROM edges e JOIN r
 parents AS (SELECT doc_id, parent FROM (SELECT e.*, row_number() OVER (PARTITION BY e.doc_id ORDER BY lvl, position) AS k FROM edges e WHERE parent IN (SELECT doc_id FROM reached)) WHERE k = 1),
 tree AS (SELECT doc_id, batch_id FROM anchors UNION ALL SELECT p.doc_id, t.batch_id FROM parents p JOIN tree t ON p.parent = t.doc_id),
 known AS (SELECT batch_id, any_value(batch_system) AS system, bool_or(kind = 'N' AND val IN (SELECT val FROM multi)) AS shared FROM anchors GROUP BY 1),
-ctx AS (SELECT system, count_if(NOT shared) AS n_own, count_if(shared) AS n_shared, max(batch_id) FILTER (NOT shared) AS target FROM known WHERE system NOT IN ({_systems}) GROUP BY 1),
+ctx AS (SELECT system, count(*) FILTER (NOT shared) AS n_own, count(*) FILTER (shared) AS n_shared, max(batch_id) FILTER (NOT shared) AS target FROM known WHERE system NOT IN ({_systems}) GROUP BY 1),
 held AS (SELECT DISTINCT t.batch_id, k.doc_type, k.kt, k.kv FROM tree t JOIN keyed k USING (doc_id)),
 rest AS (SELECT d.*, c.* EXCLUDE (system), EXISTS (SELECT 1 FROM keyed k JOIN held h ON h.batch_id = c.target AND h.doc_type = k.doc_type AND h.kt = k.kt WHERE k.doc_id = d.doc_id AND NOT EXISTS (SELECT 1 FROM held g WHERE g.batch_id = c.target AND g.doc_type = k.doc_type AND g.kt = k.kt AND g.kv = k.kv)) AS strange FROM docs d LEFT JOIN ctx c USING (system) WHERE d.doc_id NOT IN (SELECT doc_id FROM tree)),
 why AS (SELECT *, CASE WHEN doc_type = 'HOA_DON' AND coalesce(po_no, invoice_no) IS NULL THEN 'BLANK_INVOICE_NO_KEY_FIELDS' WHEN n_own = 1 AND strange THEN 'IDENTIFIER_CONFLICT_WITH_SYSTEM_CONTEXT' WHEN n_own = 1 AND doc_type = 'PXKKVCNB' THEN 'DOC_TYPE_NOT_ELIGIBLE_FOR_SYSTEM_CONTEXT' WHEN n_own = 1 THEN NULL WHEN n_own > 1 THEN 'AMBIGUOUS_SYSTEM_CONTEXT' WHEN n_shared > 0 THEN 'MULTI_SYSTEM_SHIPMENT_CONTEXT' WHEN system IN ({_systems}) THEN 'SYSTEM_CONTEXT_NOT_APPLICABLE' ELSE 'NO_ANCHORED_BATCH_FOR_SYSTEM' END AS isolation_reason FROM rest),

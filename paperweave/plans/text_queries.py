@@ -29,7 +29,7 @@ _norm = f"trim(regexp_replace(regexp_replace(upper(translate(coalesce({{}}, ''),
 @query(f"SELECT doc_id, length({_norm.format('text')}) AS n, md5({_norm.format('text')}) AS digest FROM documents")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = tx.normalized(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(clean).alias("n"), F.md5(clean).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(clean).cast("long").alias("n"), F.md5(clean).alias("digest"))
 
 
 #: A dictionary of phrases that occur in the texts.

@@ -36,7 +36,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {_targets}, {_docs}, g AS (SELECT doc_id, count_if(required) AS n_required, count_if(required AND detected) AS n_found, count_if(NOT required) AS n_optional, count_if(NOT required AND detected) AS n_optional_found, bool_or(required AND status = 'INPUT_ERROR') AS bad, bool_and(modality = 'TRUE_COLOR') FILTER (required) AS colour FROM t GROUP BY 1)
+@query(f"""WITH {_targets}, {_docs}, g AS (SELECT doc_id, count(*) FILTER (required) AS n_required, count(*) FILTER (required AND detected) AS n_found, count(*) FILTER (NOT required) AS n_optional, count(*) FILTER (NOT required AND detected) AS n_optional_found, bool_or(required AND status = 'INPUT_ERROR') AS bad, bool_and(modality = 'TRUE_COLOR') FILTER (required) AS colour FROM t GROUP BY 1)
 SELECT d.doc_id, coalesce(n_required, 0) AS n_required, coalesce(n_found, 0) AS n_found, coalesce(n_optional, 0) AS n_optional, coalesce(n_optional_found, 0) AS n_optional_found,
 CASE WHEN bad THEN 'LOI_DU_LIEU_ANH' WHEN coalesce(n_required, 0) = 0 AND mapping_status = 'UNMAPPED' AND doc_type <> 'BIEU_DO_NHIET_DO' THEN 'UNMAPPED' WHEN coalesce(n_required, 0) = 0 THEN 'KHONG_YEU_CAU' WHEN n_found = n_required AND colour THEN 'DAT_CHUAN_GOC' WHEN n_found = n_required THEN 'DAT_CHUAN_PHOTO' WHEN n_found > 0 THEN 'THIEU_MOT_SO_CHU_KY' ELSE 'CHUA_KY_DONG_DAU' END AS doc_status
 FROM d LEFT JOIN g USING (doc_id)""")
@@ -50,7 +50,7 @@ _action = "CASE " + _ladder.format("ABSTAIN", "REVIEW_REQUIRED", "DUYET", "DUYET
 
 
 def _second(targets: str) -> str:
-    return f"""g AS (SELECT doc_id, count_if(required) AS n_required, count_if(required AND detected) AS n_found, count_if(required AND review_required) AS n_review, coalesce(string_agg(role, ',' ORDER BY role) FILTER (required AND NOT detected), '') AS gone FROM {targets} GROUP BY 1),
+    return f"""g AS (SELECT doc_id, count(*) FILTER (required) AS n_required, count(*) FILTER (required AND detected) AS n_found, count(*) FILTER (required AND review_required) AS n_review, coalesce(string_agg(role, ',' ORDER BY role) FILTER (required AND NOT detected), '') AS gone FROM {targets} GROUP BY 1),
 x AS (SELECT d.doc_id, is_color, coalesce(n_required, 0) AS n_required, coalesce(n_found, 0) AS n_found, coalesce(n_review, 0) AS n_review, coalesce(gone, '') AS gone FROM d LEFT JOIN g USING (doc_id)),
 v AS (SELECT doc_id, n_required, n_found, n_review, {_status} AS doc_status, {_action} AS action, gone FROM x)"""
 
@@ -83,7 +83,7 @@ _dossiers = f"""{_targets}, mem AS (SELECT o_custkey AS dossier_id, o_orderkey A
 pg AS (SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 211 = 0 THEN 'RETAIL' ELSE {_channel} END AS channel, CASE WHEN o_orderkey % 97 = 0 THEN 'ABSTAIN' WHEN o_orderkey % 4 > 0 THEN 'PAGE_1_NO_SIGNATURES' ELSE 'OK' END AS zone_status, o_orderstatus <> 'F' AS is_color FROM orders JOIN customer ON c_custkey = o_custkey),
 tt AS (SELECT * FROM t WHERE doc_id % 4 = 0 AND doc_id % 97 > 0), roles(channel, role) AS (VALUES {_roles}),
 k AS (SELECT dossier_id, m.page_id, channel, is_color, p.page_id IS NOT NULL AS there, CASE WHEN p.page_id IS NULL THEN 'MISSING' WHEN n > 0 THEN 'SIGNATURE_BLOCK' WHEN zone_status = 'PAGE_1_NO_SIGNATURES' THEN 'PAGE_1_NO_BLOCK' ELSE 'BLOCK_ABSTAIN' END AS class FROM mem m LEFT JOIN pg p ON m.page_id = p.page_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM tt GROUP BY 1) ON doc_id = m.page_id),
-shape AS (SELECT dossier_id, count(*) AS n_pages, count_if(class = 'SIGNATURE_BLOCK') AS n_blocks, bool_or(class IN ('MISSING', 'BLOCK_ABSTAIN')) AS abstains, CASE WHEN count(DISTINCT channel) = 1 AND bool_and(channel IS NOT NULL OR NOT there) THEN min(channel) ELSE 'UNRESOLVED' END AS policy_channel, coalesce(bool_and(is_color) FILTER (class = 'SIGNATURE_BLOCK'), false) AS is_color FROM k GROUP BY 1),
+shape AS (SELECT dossier_id, count(*) AS n_pages, count(*) FILTER (class = 'SIGNATURE_BLOCK') AS n_blocks, bool_or(class IN ('MISSING', 'BLOCK_ABSTAIN')) AS abstains, CASE WHEN count(DISTINCT channel) = 1 AND bool_and(channel IS NOT NULL OR NOT there) THEN min(channel) ELSE 'UNRESOLVED' END AS policy_channel, coalesce(bool_and(is_color) FILTER (class = 'SIGNATURE_BLOCK'), false) AS is_color FROM k GROUP BY 1),
 meas AS (SELECT dossier_id, role, bool_or(detected) AS detected, bool_or(review_required) AS rev FROM k JOIN tt ON tt.doc_id = k.page_id WHERE class = 'SIGNATURE_BLOCK' GROUP BY 1, 2),
 told AS (SELECT s.dossier_id, count(*) AS n_required, count(*) FILTER (detected) AS n_found, count(*) FILTER (rev) AS n_review, count(*) FILTER (m.role IS NULL) AS n_unmeasured FROM shape s JOIN roles r ON r.channel = s.policy_channel LEFT JOIN meas m ON m.dossier_id = s.dossier_id AND m.role = r.role GROUP BY 1)
 SELECT dossier_id, n_pages, n_blocks, policy_channel, n_required, n_found, CASE WHEN abstains THEN 'CHUA_CHUAN_HOA_VUNG_KY' WHEN n_blocks = 0 THEN 'KHONG_TIM_THAY_KHOI_KY' WHEN n_unmeasured > 0 THEN 'CHUA_CHUAN_HOA_VUNG_KY' {_ladder.format("CHUA_CHUAN_HOA_VUNG_KY", "CAN_KIEM_TRA_TAY", "DAT_CHUAN_GOC", "DAT_CHUAN_PHOTO", "CHUA_KY_DONG_DAU", "THIEU_MOT_SO_CHU_KY")} AS doc_status FROM shape JOIN told USING (dossier_id)"""
@@ -137,7 +137,7 @@ def effective_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _effective_rows(spark, sf_dir).select("doc_id", "role_key", "human_decision", "effective_detected")
 
 
-@query(f"""WITH {_effective}, d AS (SELECT DISTINCT doc_id, doc_id % 2 = 0 AS is_color FROM eff), {_second('eff')}, n AS (SELECT doc_id, count_if(d IS NOT NULL) AS n_applied, count_if(d IS NOT NULL AND machine IS DISTINCT FROM CASE WHEN NOT review_required THEN detected END) AS n_overridden FROM eff GROUP BY 1)
+@query(f"""WITH {_effective}, d AS (SELECT DISTINCT doc_id, doc_id % 2 = 0 AS is_color FROM eff), {_second('eff')}, n AS (SELECT doc_id, count(*) FILTER (d IS NOT NULL) AS n_applied, count(*) FILTER (d IS NOT NULL AND machine IS DISTINCT FROM CASE WHEN NOT review_required THEN detected END) AS n_overridden FROM eff GROUP BY 1)
 SELECT doc_id, doc_status, action, n_applied, n_overridden FROM v JOIN n USING (doc_id)""")
 def effective_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _effective_rows(spark, sf_dir)
