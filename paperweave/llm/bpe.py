@@ -14,6 +14,7 @@ import hashlib
 from functools import lru_cache
 
 import ahocorasick
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -158,7 +159,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
             out["decoded_sha256"].append(hashlib.sha256(b"".join(map(worker.bytes_of.__getitem__, ids))).hexdigest())
             if keep_ids:
                 out["ids"].append(list(map(int, ids)))
-        return {"doc_id": batch.column("doc_id"), **out}
+        return {"doc_id": batch.column("doc_id"), **out, "ids": pa.array(out["ids"], pa.list_(pa.int32()))}
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return map_rows(docs.selectExpr("cast(doc_id as long) doc_id", "text"), make, schema, rows=256)
