@@ -156,9 +156,12 @@ def _attempt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "user_id", "ts", F.when(F.col("event_type") == "error", "FAIL").otherwise("SUCCESS").alias("kind"))
 
 
-@query(f"""WITH {_attempts}, r AS (SELECT *, max(sec) FILTER (kind = 'SUCCESS') OVER (PARTITION BY user_id ORDER BY sec RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reset FROM a),
+_lockout = f"""WITH {_attempts}, r AS (SELECT *, max(sec) FILTER (kind = 'SUCCESS') OVER (PARTITION BY user_id ORDER BY sec RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reset FROM a),
 f AS (SELECT r.event_id, r.user_id, r.sec, count(b.sec) AS n_fails, max(b.sec) AS last_fail FROM r LEFT JOIN a b ON b.user_id = r.user_id AND b.kind = 'FAIL' AND b.sec BETWEEN r.sec - {60 * WINDOW_MINUTES} AND r.sec AND (r.reset IS NULL OR b.sec > r.reset) GROUP BY 1, 2, 3)
-SELECT event_id, user_id, n_fails, CASE WHEN n_fails >= {MAX_FAILS} THEN last_fail + {60 * LOCK_MINUTES} END AS locked_until_sec, CASE WHEN n_fails >= {MAX_FAILS} THEN greatest(1, last_fail + {60 * LOCK_MINUTES} - sec) END AS remaining_sec FROM f""")
+SELECT event_id, user_id, n_fails, CASE WHEN n_fails >= {MAX_FAILS} THEN last_fail + {60 * LOCK_MINUTES} END AS locked_until_sec"""
+
+
+@query(f"{_lockout}, CASE WHEN n_fails >= {MAX_FAILS} THEN greatest(1, last_fail + {60 * LOCK_MINUTES} - sec) END AS remaining_sec FROM f")
 def login_lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = verdict.attempts_in_window(_attempt_rows(spark, sf_dir), "user_id", WINDOW_MINUTES, LOCK_MINUTES, MAX_FAILS)
     return rows.select("event_id", "user_id", F.col("n_fails").cast("long").alias("n_fails"), "locked_until_sec", F.when(F.col("locked_until_sec").isNotNull(), F.col("remaining_sec")).alias("remaining_sec"))
@@ -183,3 +186,18 @@ def streamed_fails(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_events(spark, sf_dir, schema, "events.parquet").filter("event_type = 'error'").withColumn("ts", F.col("ts").cast("timestamp"))
     told = collected(windowed_fails(events, "user_id", "1 day", "30 days"), f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}")
     return told.select("user_id", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n_fails")
+
+
+@query(f"{_lockout} FROM f")
+def streamed_lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lockouts of login_lockout, from a stream over the table's files with state for each account."""
+    import uuid
+
+    from paperweave.sources.lineage import shared_folder
+    from paperweave.streaming.attempts import collected, read_events, stateful_lockout
+
+    schema = table(spark, sf_dir, "events").schema
+    events = read_events(spark, sf_dir, schema, "events.parquet").filter(F.col("event_type").isin("error", "signup"))
+    attempts = events.withColumn("kind", F.when(F.col("event_type") == "error", "FAIL").otherwise("SUCCESS"))
+    told = stateful_lockout(attempts, "user_id", 60 * WINDOW_MINUTES, 60 * LOCK_MINUTES, MAX_FAILS)
+    return collected(told, f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}", "append")

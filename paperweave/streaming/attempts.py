@@ -41,3 +41,32 @@ def collected(stream: DataFrame, folder: str, mode: str = "complete") -> DataFra
         last = rows.agg(F.max("batch")).first()[0]
         rows = rows.filter(F.col("batch") == last)
     return written(rows.drop("batch"))
+
+
+def stateful_lockout(attempts: DataFrame, account: str, window_seconds: int, lock_seconds: int, max_fails: int) -> DataFrame:
+    """attempts (account, event_id, ts, kind) as a stream: for each, the fails in the window up to it since the last success or reset, and until when the
+    account is locked. An account's state is the times of those fails and of its last success or reset; it forgets what has left the window. Attempts of an account are taken in the order of
+    their times within a micro-batch; one that comes in a later batch with an earlier time counts from there on."""
+
+    def step(key, frames, state):
+        import pandas as pd
+
+        fails, reset = (list(state.get[0]), state.get[1]) if state.exists else ([], -1)
+        rows = pd.concat(frames).sort_values(["sec", "event_id"])
+        out = []
+        # attempts of one second are judged together, as they are in a table
+        for sec, group in rows.groupby("sec", sort=True):
+            if group["kind"].isin(["SUCCESS", "RESET"]).any():
+                reset, fails = max(reset, int(sec)), [f for f in fails if f > sec]
+            elif sec > reset:
+                fails += [int(sec)] * int((group["kind"] == "FAIL").sum())
+            fails = [f for f in fails if f >= sec - window_seconds]
+            recent = [f for f in fails if f <= sec]
+            until = max(recent) + lock_seconds if len(recent) >= max_fails else None
+            out += [(key[0], int(i), len(recent), until) for i in group["event_id"]]
+        state.update((fails, reset))
+        yield pd.DataFrame(out, columns=[account, "event_id", "n_fails", "locked_until_sec"]).astype({"locked_until_sec": "Int64"})
+
+    kind = dict(attempts.dtypes)[account]
+    rows = attempts.select(account, F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").cast("long").alias("sec"), "kind")
+    return rows.groupBy(account).applyInPandasWithState(step, f"{account} {kind}, event_id long, n_fails long, locked_until_sec long", "fails array<long>, reset long", "append", "NoTimeout")
