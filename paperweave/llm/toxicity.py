@@ -21,18 +21,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperweave.llm.arrow import map_rows, pieces, strings_of
-from paperweave.llm.memo import Memo
 from paperweave.llm.scratch import cut
 
 #: Labelled documents of either class that are learned from at most.
 SAMPLE_TOXIC, SAMPLE_OTHER = 3000, 5000
-LANDMARKS_TELLING, LANDMARKS_ORDINARY = 72, 24
+LANDMARKS_TELLING, LANDMARKS_ORDINARY = 72, 8
 LEAST_DOCUMENTS = 4
 LAMBDA = 0.7
 STRETCH = 6
 LONGEST = 24
 #: A word less alike than this to every landmark counts as unlike all.
-LIKENESS = 0.35
+LIKENESS = 0.4
+#: Tokens that a worker remembers.
+WORDS_KEPT = 300_000
 _EDGE = ".,;:!?\"'()[]{}<>*_#&-"
 _SPELLED = re.compile(r"\b\w (?:\w )+\w\b")
 _WEIGHT = {n: LAMBDA**n for n in range(3, STRETCH + 1)}
@@ -51,11 +52,12 @@ def subsequences(word: str) -> dict[str, float]:
 
 
 def segments(token: str) -> list[str]:
-    """A token without punctuation at its edges; one longer than LONGEST as overlapping parts."""
+    """A token without punctuation at its edges, and, if signs are left inside it, without those too; one longer than LONGEST as overlapping parts."""
     token = token.strip(_EDGE)
-    if len(token) <= LONGEST:
-        return [token] if token else []
-    return [token[i : i + LONGEST] for i in range(0, len(token) - LONGEST // 2, LONGEST // 2)]
+    if not token:
+        return []
+    forms = [token] if token.isalnum() else [token, *filter(None, ["".join(filter(str.isalnum, token))])]
+    return [f[i : i + LONGEST] for f in forms for i in range(0, max(1, len(f) - LONGEST // 2), LONGEST // 2 if len(f) > LONGEST else LONGEST)]
 
 
 def tokens(text: str) -> set[str]:
@@ -63,16 +65,36 @@ def tokens(text: str) -> set[str]:
     return {*text.split(), *(m.replace(" ", "") for m in _SPELLED.findall(text))}
 
 
+def _codes() -> np.ndarray:
+    """Bytes of Latin-1 as 6-bit codes: letters and marked letters have their own, digits share one, as do all others; a line end is 0."""
+    out = np.full(256, 63, np.uint32)
+    out[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz"]] = np.arange(1, 27)
+    out[range(0xDF, 0x100)] = np.arange(27, 60)
+    out[[ord(c) for c in "0123456789"]] = 62
+    out[10] = 0
+    return out
+
+
+_CODES = _codes()
+_PATTERNS = [(j, k) for j in range(1, STRETCH - 1) for k in range(j + 1, STRETCH)]
+#: Of a word's length: the least norm that its subsequences can have, which is reached if all differ.
+_NORMS = np.array([max(1e-9, sum(_WEIGHT[k + 1] ** 2 for i in range(n) for _, k in _PATTERNS if i + k < n) ** 0.5) for n in range(LONGEST + 1)])
+
+
 class Landmarks:
-    """Likeness of words to landmark words, by an index of the landmarks' subsequences; remembers words met lately."""
+    """Likeness of words to landmark words, by an index of the landmarks' subsequences; remembers words met lately, so many and no more."""
 
     def __init__(self, words: list[str]):
         self.words = words
         self.index: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        self.most = np.zeros(1 << 18, np.float32)
         for i, w in enumerate(words):
             for u, v in subsequences(w).items():
                 self.index[u].append((i, v))
-        self.known = Memo(self.token, 100_000)
+                x, y, z = (int(_CODES[c]) for c in u.encode("latin-1", "replace"))
+                self.most[x << 12 | y << 6 | z] = max(v, self.most[x << 12 | y << 6 | z])
+        self.alike: dict[str, np.ndarray] = {}
+        self.unlike: set[str] = set()
 
     def word(self, word: str) -> np.ndarray:
         out = np.zeros(len(self.words), np.float32)
@@ -81,24 +103,40 @@ class Landmarks:
                 out[i] += v * w
         return out
 
-    def _may(self, word: str) -> bool:
-        """Has it an unbroken or once broken triple of some landmark? Words without are unlike all."""
-        index = self.index
-        return any(word[i : i + 3] in index or word[i : i + 2] + word[i + 3 : i + 4] in index or word[i] + word[i + 2 : i + 4] in index for i in range(max(1, len(word) - 2)))
-
-    def token(self, token: str) -> np.ndarray | bool:
-        """Greatest likeness over the token's segments; False if unlike all, which numpy arrays of a word that is alike never are."""
-        best = None
-        for s in segments(token):
-            if self._may(s):
-                v = self.word(s)
-                if v.max() >= LIKENESS:
-                    best = v if best is None else np.maximum(best, v)
-        return False if best is None else best
-
-    def text(self, text: str) -> np.ndarray:
-        alike = [v for v in map(self.known.__getitem__, tokens(text)) if v is not False]
-        return np.max(alike, axis=0) if alike else np.zeros(len(self.words), np.float32)
+    def bounds(self, words: list[str]) -> np.ndarray:
+        """What the words' likenesses to any landmark cannot exceed: every subsequence counted with the most that any landmark gives it."""
+        gap = "\n" * STRETCH
+        codes = _CODES[np.frombuffer((gap.join(words) + gap).encode("latin-1", "replace"), np.uint8)]
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        n = len(codes) - STRETCH + 1
+        total = np.zeros(n, np.float32)
+        for j, k in _PATTERNS:
+            total += self.most[codes[:n] << 12 | codes[j : n + j] << 6 | codes[k : n + k]] * np.float32(_WEIGHT[k + 1])
+        starts = np.concatenate([[0], np.cumsum(lengths + STRETCH)[:-1]])
+        return np.add.reduceat(total, starts) / _NORMS[lengths] + 1e-4
+
+    def meet(self, found: set[str]) -> None:
+        """Compares tokens not remembered. Most words are ruled out by their bound, all at once; the others are compared one by one."""
+        if len(self.alike) > WORDS_KEPT // 8 or len(self.unlike) > WORDS_KEPT:
+            self.alike.clear()
+            self.unlike.clear()
+        new = [t for t in found - self.unlike if t not in self.alike]
+        parts = [(t, s) for t in new for s in segments(t)]
+        if parts and self.words:
+            may = self.bounds([s for _, s in parts]) >= LIKENESS
+            for (t, s), m in zip(parts, may.tolist(), strict=True):
+                if m or len(s) < 3:
+                    v = self.word(s)
+                    if v.max() >= LIKENESS:
+                        self.alike[t] = np.maximum(v, self.alike[t]) if t in self.alike else v
+        self.unlike.update(t for t in new if t not in self.alike)
+
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's greatest likeness to each landmark."""
+        found = [tokens(t) for t in texts]
+        self.meet(set().union(*found))
+        none = np.zeros(len(self.words), np.float32)
+        return [np.max([self.alike[t] for t in hits], axis=0) if (hits := f & self.alike.keys()) else none for f in found]
 
 
 @dataclass(frozen=True)
@@ -191,9 +229,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def pool(batch: pa.RecordBatch) -> dict[str, object]:
         marks = Landmarks(chosen)
-        return {"toxic": batch.column("toxic"), "pooled": pa.array([marks.text(t) for t in strings_of(batch)], pa.list_(pa.float32()))}
+        return {"toxic": batch.column("toxic"), "pooled": pa.array(marks.texts(strings_of(batch)), pa.list_(pa.float32()))}
 
-    rows = map_rows(sample, pool, "toxic int, pooled array<float>", rows=4096).collect()
+    rows = map_rows(sample, pool, "toxic int, pooled array<float>").collect()
     x = np.array([r["pooled"] for r in rows], np.float64)
     y = np.array([2 * r["toxic"] - 1 for r in rows], np.float64)
     marks = Landmarks(chosen)
@@ -235,6 +273,9 @@ def _scorer(model: Model):
         if marks is None:
             toxicity._kept.clear()
             marks = toxicity._kept[name] = Landmarks(model.landmarks)
-        return pa.array([model.score(marks.text(t.as_py())) for t in texts], pa.float64())
+        scores = []
+        for at in range(0, len(texts), 256):
+            scores += [model.score(x) for x in marks.texts(texts.slice(at, 256).to_pylist())]
+        return pa.array(scores, pa.float64())
 
     return scores
