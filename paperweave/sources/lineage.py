@@ -11,7 +11,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; on one machine, where that is unset, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "/tmp/checkpoints"
     return folder.rstrip("/")

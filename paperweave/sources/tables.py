@@ -100,3 +100,22 @@ def manifest(batches: DataFrame, batch_id: str, *fields: str) -> DataFrame:
     """One JSON line for each batch, its rows sorted by the fields: the same bytes for the same rows in any order."""
     row = F.struct(*fields)
     return batches.groupBy(batch_id).agg(F.to_json(F.struct(F.col(batch_id).alias("batch_id"), F.count("*").alias("n"), F.array_sort(F.collect_list(row)).alias("documents"))).alias("manifest"))
+
+
+def write_records(df: DataFrame, path: str, *by: str) -> None:
+    """JSON lines below one folder for each value of the given columns."""
+    df.write.mode("overwrite").partitionBy(*by).json(path)
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """CSV with a header; arrays become text joined by semicolons."""
+    flat = [F.array_join(n, ";").alias(n) if t.startswith("array<") else F.col(n) for n, t in df.dtypes]
+    df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
+
+
+def persisted(results: DataFrame, pages: DataFrame, key: str, widths: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """Results cut to the widths of their columns, and what forbids to store them: pages without a result or with several, and results of no page."""
+    cut = results.withColumns({c: F.substring(c, 1, n) for c, n in widths.items()})
+    lacking, stray = unmatched(pages, results, key)
+    wrong = lacking.withColumn("error", F.lit("MISSING_RESULT")).unionByName(stray.withColumn("error", F.lit("NO_SUCH_PAGE")))
+    return cut, wrong.unionByName(duplicates(results, key).select(key, F.lit("DUPLICATE_RESULT").alias("error")))

@@ -170,3 +170,21 @@ def test_sources(spark, tmp_path):
 def test_dictionary_is_checked():
     with pytest.raises(ValueError):
         classify.checked([("A", ["x"]), ("A", ["y"])])
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x", ["p", "q"]), ("a", "x", ["r"]), ("c", "long text", [])], "file string, note string, tags array<string>")
+    kept, wrong = tables.persisted(rows, spark.createDataFrame([("a",), ("b",)], "file string"), "file", {"note": 4})
+    assert {r["note"] for r in kept.collect()} == {"x", "long"}
+    assert {tuple(r) for r in wrong.collect()} == {("b", "MISSING_RESULT"), ("c", "NO_SUCH_PAGE"), ("a", "DUPLICATE_RESULT")}
+    tables.write_table(rows, str(tmp_path / "csv"))
+    assert {r["tags"] for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()} == {"p;q", "r", None}
+    tables.write_records(rows, str(tmp_path / "json"), "file")
+    assert spark.read.json(str(tmp_path / "json")).filter("file = 'a'").count() == 2
+
+
+def test_tables_are_cut_in_a_shared_folder_only(spark, monkeypatch):
+    from paperweave.sources import lineage
+
+    assert lineage.shared_folder(spark) == "/tmp/checkpoints"
+    assert lineage.written(spark.range(3)).count() == 3
