@@ -15,16 +15,8 @@ from paperweave.operators.components import components_by_key
 ORDER_KEYS = ("po_no", "invoice_no", "pxk_no")
 
 
-def _pairs(left: DataFrame, right: DataFrame, on: list[str], fields: tuple[str, str], field: str) -> DataFrame:
-    """(source, target) rows of two document sets that meet on the given columns, with the values to compare."""
-    a = left.select(*dict.fromkeys([*on, "dossier_id"]), F.col("doc_id").alias("source_doc"), F.col(fields[0]).alias("source_val"))
-    b = right.select(*on, F.col("doc_id").alias("target_doc"), F.col(fields[1]).alias("target_val"))
-    return a.join(b, on).select("dossier_id", F.lit(field).alias("field"), "source_doc", "target_doc", "source_val", "target_val")
-
-
-def compared(prefix: int | None = None) -> Column:
-    """The status of a pair. With a prefix length, equal beginnings are a partial match and missing values are told apart."""
-    a, b = F.col("source_val"), F.col("target_val")
+def compared(a: Column, b: Column, prefix: int | None = None) -> Column:
+    """The status of a pair of values. With a prefix length, equal beginnings are a partial match and missing values are told apart; else they give none."""
     same = F.when(a == b, "MATCH")
     if prefix is None:
         return F.when(a.isNotNull() & b.isNotNull(), same.otherwise("MISMATCH"))
@@ -34,19 +26,35 @@ def compared(prefix: int | None = None) -> Column:
 
 def reconciliation(documents: DataFrame) -> DataFrame:
     """Evidence rows: orders against all invoices (4 characters make a partial match) and delivery notes (3) of the batch, invoices and
-    transfer slips against its loading plans, and invoices of one dossier against each other."""
-    of = {t: documents.filter(F.col("doc_type") == t) for t in ("PO", "HOA_DON", "PHIEU_GIAO_HANG", "LOADING_PLAN", "PXKKVCNB")}
-    flip = ["dossier_id", "field", F.col("target_doc").alias("source_doc"), F.col("source_doc").alias("target_doc"), F.col("target_val").alias("source_val"), F.col("source_val").alias("target_val"), "status"]
-    parts = [
-        _pairs(of["PO"], of["HOA_DON"], ["batch_id"], ("po_no", "po_no"), "po_no").withColumn("status", compared(4)),
-        _pairs(of["PO"], of["PHIEU_GIAO_HANG"], ["batch_id"], ("po_no", "po_no"), "po_no").withColumn("status", compared(3)),
-        _pairs(of["HOA_DON"], of["LOADING_PLAN"], ["batch_id"], ("shipment_id", "shipment_id"), "shipment_id").withColumn("status", compared()).select(*flip),
-        _pairs(of["PXKKVCNB"], of["LOADING_PLAN"], ["batch_id"], ("transfer_order_no", "shipment_id"), "transfer_order_no").withColumn("status", compared()).select(*flip),
+    transfer slips against its loading plans, and invoices of one dossier against each other. All pairs come from one join by batch."""
+    columns = ["batch_id", "dossier_id", "doc_id", "doc_type", "po_no", "invoice_no", "shipment_id", "transfer_order_no"]
+    a, b = documents.select(*columns).alias("a"), documents.select(*columns).alias("b")
+
+    def kinds(left: str, right: str) -> Column:
+        return (F.col("a.doc_type") == left) & (F.col("b.doc_type") == right)
+
+    def evidence(when: Column, field: str, left: str, right: str, prefix: int | None = None, turned: bool = False) -> Column:
+        x, y = F.col(f"a.{left}"), F.col(f"b.{right}")
+        sides = [F.col("a.doc_id"), F.col("b.doc_id"), x, y]
+        if turned:
+            sides = [sides[1], sides[0], y, x]
+        named = [c.alias(n) for c, n in zip(sides, ("source_doc", "target_doc", "source_val", "target_val"), strict=True)]
+        status = compared(x, y, prefix)
+        return F.when(when & status.isNotNull(), F.struct(F.lit(field).alias("field"), *named, status.alias("status")))
+
+    twins = kinds("HOA_DON", "HOA_DON") & (F.col("a.dossier_id") == F.col("b.dossier_id")) & (F.col("a.doc_id") < F.col("b.doc_id"))
+    rules = [
+        (kinds("PO", "HOA_DON"), "po_no", "po_no", "po_no", 4, False),
+        (kinds("PO", "PHIEU_GIAO_HANG"), "po_no", "po_no", "po_no", 3, False),
+        (kinds("HOA_DON", "LOADING_PLAN"), "shipment_id", "shipment_id", "shipment_id", None, True),
+        (kinds("PXKKVCNB", "LOADING_PLAN"), "transfer_order_no", "transfer_order_no", "shipment_id", None, True),
+        (twins, "invoice_no", "invoice_no", "invoice_no", None, False),
+        (twins, "shipment_id", "shipment_id", "shipment_id", None, False),
     ]
-    for field in ("invoice_no", "shipment_id"):
-        both = _pairs(of["HOA_DON"], of["HOA_DON"], ["batch_id", "dossier_id"], (field, field), field)
-        parts.append(both.filter("source_doc < target_doc").withColumn("status", compared()))
-    return reduce(DataFrame.unionByName, parts).filter("status is not null")
+    wanted = reduce(Column.__or__, [r[0] for r in rules])
+    pairs = a.join(b, (F.col("a.batch_id") == F.col("b.batch_id")) & wanted)
+    found = F.array_compact(F.array(*(evidence(*r) for r in rules)))
+    return pairs.select(F.col("a.dossier_id").alias("dossier_id"), F.explode(found).alias("e")).select("dossier_id", "e.*")
 
 
 def match_status(documents: DataFrame, evidence: DataFrame) -> DataFrame:
