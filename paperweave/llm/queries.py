@@ -83,6 +83,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_ngram_join, op2_bpe, op3_ogg, op4_repeats, op5_packing, op6_toxicity, op7_secrets, op8_url_filter, op9_knn, op10_sharding)}
 
 
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+_SHINGLED = f"""w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i : i + 3], ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1)"""
+_JOINED = f"""WITH RECURSIVE {_SHINGLED},
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM pair JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
+both_ AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, b.y FROM reach r JOIN both_ b ON b.x = r.seen)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(seen) AS component_id FROM reach GROUP BY 1) c USING (doc_id)"""
+_KEPT = f"""WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+g AS (SELECT doc_id, i, array_to_string(words[i : i + 12], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13)),
+late AS (SELECT doc_id, i FROM g JOIN (SELECT gram, min(doc_id) AS first FROM g GROUP BY 1) USING (gram) WHERE doc_id > first),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM late),
+p AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+k AS (SELECT p.doc_id, count(gone.i) AS n_removed, string_agg(word, ' ' ORDER BY p.i) FILTER (gone.i IS NULL) AS kept FROM p LEFT JOIN gone ON gone.doc_id = p.doc_id AND gone.i = p.i GROUP BY 1)
+SELECT w.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
 _REST = "substr(coalesce(url, ''), strpos(coalesce(url, ''), '://') + 3)"
 
 
@@ -92,6 +109,8 @@ def oracle_sql() -> dict[str, str]:
   CASE WHEN strpos(coalesce(url, ''), '://') = 0 THEN '' ELSE regexp_extract({_REST}, '^[^/?#]*([^?#]*)', 1) END AS path FROM pages)"""
     values = ", ".join(f"('{k}', '{h}', '{p}')" for k, h, p in RULES)
     return {
+        "op1_ngram_join": _JOINED,
+        "op4_repeats": _KEPT,
         "op9_knn": """WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.e[i] * c.e[i] FOR i IN range(1, len(q.e) + 1)]) AS BIGINT) AS score
