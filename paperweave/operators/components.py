@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperweave.sources.lineage import written
+from paperweave.sources.lineage import dropped, written
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        state = written(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        before, state = state, written(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        dropped(before)
     return state.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(state.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 

@@ -21,4 +21,14 @@ def written(df: DataFrame) -> DataFrame:
     """df written and read again, so that a lost executor costs one task and a loop's plan does not grow."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes tables made by written(), once all that was made of them is itself written."""
+    for frame in frames:
+        context = frame.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(frame.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
