@@ -1,43 +1,13 @@
-"""Connected components of links between documents, by large-star and small-star rounds."""
+"""Connected components of links between documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperweave.llm.scratch import cut
-
-
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are linked to its least neighbour or itself."""
-    near = _both(edges)
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return near.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node and its smaller neighbours are linked to the least of those."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+from paperweave.operators.components import connected
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links (a, b) as doc_id, component_id: the least id reachable. Documents without links are left out.
-
-    A round is two aggregations and joins by node, so a node with very many links is combined before the shuffle and its join
-    can be split. Rounds are few: their number grows with the logarithm of the longest chain. Links are written after each.
-    """
-    edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    seen = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first()
-        if state == seen:
-            return edges.select(F.col("a").alias("doc_id"), F.col("b").alias("component_id")).unionByName(edges.select(F.col("b").alias("doc_id"), F.col("b").alias("component_id")).distinct())
-        seen = state
-        edges = cut(_small_star(_large_star(edges)))
+    """links (a, b) as doc_id, component_id: the least id reachable. Documents without links to others are left out."""
+    return connected(links).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
