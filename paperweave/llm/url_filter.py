@@ -38,6 +38,10 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+class TooLong(ValueError):
+    """A list, or what a level takes for it, does not fit a plan."""
+
+
 class Level:
     """A Bloom filter of `bits` bits and `hashes` hash functions, its words a literal of the plan."""
 
@@ -70,7 +74,7 @@ class Cascade:
         if not inside:
             return
         if len(inside) * 64 > MAX_BITS:
-            raise ValueError(f"{len(inside)} keys are too many for a cascade in a plan; use judge_by_join")
+            raise TooLong(f"{len(inside)} keys are too many for a cascade in a plan")
         inside_df = spark.createDataFrame([(x,) for x in inside], "key string")
         # bits enough that level 0 has about as many false positives as there are keys
         everything = max(1, universe.agg(F.approx_count_distinct("key")).first()[0])
@@ -88,7 +92,7 @@ class Cascade:
             if not keys:
                 return
             if len(keys) * 64 > MAX_BITS or number == MAX_LEVELS:
-                raise ValueError("the cascade does not fit a plan; use judge_by_join")
+                raise TooLong("the cascade does not fit a plan")
             encoded, tested = spark.createDataFrame([(x,) for x in keys], "key string"), encoded
             number, n, hashes = number + 1, len(keys), 3
 
@@ -125,12 +129,15 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame
 
     rules: (allow or block, host, path beginning with "/"). A rule fits its host and all subdomains if the path
     begins with the rule's; the longest host + path wins. Two cascades hold the
-    blocked and the allowed keys; a URL in neither list is allowed. Null URLs and URLs without "://" have
+    blocked and the allowed keys; a URL in neither list is allowed. Lists too long for a plan are met by a join. Null URLs and URLs without "://" have
     empty host and path and fit no rule; repeated rows are judged alike; an empty table gives no rows.
     """
     rows = _parsed(pages, rules)
     universe = rows.select(F.explode("keys").alias("key"))
-    lists = {kind: Cascade(pages.sparkSession, [h + p for k, h, p in rules if k == kind], universe) for kind in ("block", "allow")}
+    try:
+        lists = {kind: Cascade(pages.sparkSession, [h + p for k, h, p in rules if k == kind], universe) for kind in ("block", "allow")}
+    except TooLong:
+        return judge_by_join(pages, rules)
     found = F.filter("keys", lambda k: lists["block"].has(k) | lists["allow"].has(k))
     rows = rows.select("page_id", "host", "path", _longest(found).alias("rule"))
     blocked = F.coalesce(lists["block"].has(F.col("rule")), F.lit(False))

@@ -140,6 +140,13 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
 
 
+def test_long_lists_are_joined(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://a.net/es/x")], "page_id long, url string")
+    want = url_filter.judge_urls(pages, queries.RULES).collect()
+    monkeypatch.setattr(url_filter, "MAX_BITS", 64)
+    assert url_filter.judge_urls(pages, queries.RULES).collect() == want
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = [f"k{i}" for i in range(0, 20_000, 97)] + ["elsewhere"]
