@@ -32,6 +32,8 @@ STRETCH = 6
 LONGEST = 24
 #: A word less alike than this to every landmark counts as unlike all.
 LIKENESS = 0.4
+#: Landmarks that share a bound.
+GROUP = 8
 #: Tokens that a worker remembers.
 WORDS_KEPT = 300_000
 _EDGE = ".,;:!?\"'()[]{}<>*_#&-"
@@ -87,12 +89,15 @@ class Landmarks:
     def __init__(self, words: list[str]):
         self.words = words
         self.index: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        self.most = np.zeros(1 << 18, np.float32)
-        for i, w in enumerate(words):
+        # the most that a landmark of each group gives a subsequence; in alphabetic order words of one stem share a group
+        self.most = np.zeros((1 + len(words) // GROUP, 1 << 18), np.float32)
+        for k, (w, i) in enumerate(sorted((w, i) for i, w in enumerate(words))):
             for u, v in subsequences(w).items():
                 self.index[u].append((i, v))
                 x, y, z = (int(_CODES[c]) for c in u.encode("latin-1", "replace"))
-                self.most[x << 12 | y << 6 | z] = max(v, self.most[x << 12 | y << 6 | z])
+                at = k // GROUP, x << 12 | y << 6 | z
+                self.most[at] = max(v, self.most[at])
+        self.most_of_all = self.most.max(axis=0)
         self.alike: dict[str, np.ndarray] = {}
         self.unlike: set[str] = set()
 
@@ -103,17 +108,31 @@ class Landmarks:
                 out[i] += v * w
         return out
 
-    def bounds(self, words: list[str]) -> np.ndarray:
-        """What the words' likenesses to any landmark cannot exceed: every subsequence counted with the most that any landmark gives it."""
+    def bounds(self, words: list[str], tables: list[np.ndarray] | None = None) -> np.ndarray:
+        """What the words' likenesses to any landmark cannot exceed: every subsequence counted with the most that any landmark, of one group
+        for each table, gives it."""
         gap = "\n" * STRETCH
         codes = _CODES[np.frombuffer((gap.join(words) + gap).encode("latin-1", "replace"), np.uint8)]
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         n = len(codes) - STRETCH + 1
-        total = np.zeros(n, np.float32)
-        for j, k in _PATTERNS:
-            total += self.most[codes[:n] << 12 | codes[j : n + j] << 6 | codes[k : n + k]] * np.float32(_WEIGHT[k + 1])
         starts = np.concatenate([[0], np.cumsum(lengths + STRETCH)[:-1]])
-        return np.add.reduceat(total, starts) / _NORMS[lengths] + 1e-4
+        places = [codes[:n] << 12 | codes[j : n + j] << 6 | codes[k : n + k] for j, k in _PATTERNS]
+        best = np.zeros(len(words), np.float32)
+        for table in tables or [self.most_of_all]:
+            total = np.zeros(n, np.float32)
+            for at, (_, k) in zip(places, _PATTERNS, strict=True):
+                total += table[at] * np.float32(_WEIGHT[k + 1])
+            np.maximum(best, np.add.reduceat(total, starts), out=best)
+        return best / _NORMS[lengths] + 1e-4
+
+    def may_be_alike(self, words: list[str]) -> np.ndarray:
+        """Which words no bound rules out: first the loose one over all landmarks, then, for those left, the closer ones of the groups. Very short words stay."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        may = (self.bounds(words) >= LIKENESS) & (lengths >= 3)
+        left = np.flatnonzero(may)
+        if len(left):
+            may[left] = self.bounds([words[i] for i in left.tolist()], list(self.most)) >= LIKENESS
+        return may | (lengths < 3)
 
     def meet(self, found: set[str]) -> None:
         """Compares tokens not remembered. Most words are ruled out by their bound, all at once; the others are compared one by one."""
@@ -123,9 +142,8 @@ class Landmarks:
         new = [t for t in found - self.unlike if t not in self.alike]
         parts = [(t, s) for t in new for s in segments(t)]
         if parts and self.words:
-            may = self.bounds([s for _, s in parts]) >= LIKENESS
-            for (t, s), m in zip(parts, may.tolist(), strict=True):
-                if m or len(s) < 3:
+            for (t, s), m in zip(parts, self.may_be_alike([s for _, s in parts]).tolist(), strict=True):
+                if m:
                     v = self.word(s)
                     if v.max() >= LIKENESS:
                         self.alike[t] = np.maximum(v, self.alike[t]) if t in self.alike else v
