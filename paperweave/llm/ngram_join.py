@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from paperweave.llm.arrow import pieces, texts_of
 from paperweave.llm.components import components
-from paperweave.llm.scratch import cut, small
+from paperweave.llm.scratch import cut, drop, small
 from paperweave.llm.words import mix, word_sets
 
 SKETCH_SLOTS = 1 << 21
@@ -83,7 +83,9 @@ def frequent_slots(docs: DataFrame, n: int) -> np.ndarray:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("chunk"), pa.array([np.packbits(np.frombuffer(x, "<i8") > least).tobytes() for x in b.column("counts").to_pylist()])], ["chunk", "bits"])
 
-    return _bits(rows.mapInArrow(flags, "chunk int, bits binary"), SKETCH_SLOTS)
+    out = _bits(rows.mapInArrow(flags, "chunk int, bits binary"), SKETCH_SLOTS)
+    drop(rows)
+    return out
 
 
 def _bits(chunks: DataFrame, bits: int) -> np.ndarray:
@@ -248,7 +250,9 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, frequent:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    out = cut(rows.mapInArrow(run, "a long, b long"))
+    drop(ids, sets)
+    return out
 
 
 def _min_hash_pairs(classes: DataFrame, percent: int) -> DataFrame:
@@ -284,7 +288,7 @@ def _list_pairs(classes: DataFrame, percent: int) -> DataFrame:
     tokens = classes.select("doc_id", "comp", "n_shingles", "prefix").mapInArrow(passing, "doc_id long, comp long, n_shingles long, token long")
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
     lists = tokens.join(mixed, "token", "left_semi").withColumn("own", band)
-    lists = cut(lists.select("*", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("band")))
+    lists = held_lists = cut(lists.select("*", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("band")))
     # a list of one component, or only of guests of the band, has no pair
     sizes = lists.groupBy("token", "band").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max((F.col("own") == F.col("band")).cast("int")).alias("any"))
     sizes = sizes.filter("lo <> hi and any = 1").select("token", "band", F.ceil(F.col("c") / LIST_BLOCK).cast("int").alias("blocks"))
@@ -357,7 +361,9 @@ def _list_pairs(classes: DataFrame, percent: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield from done(held)
 
-    return lists.mapInArrow(run, "a long, b long").distinct()
+    out = cut(lists.mapInArrow(run, "a long, b long").distinct())
+    drop(mixed, held_lists)
+    return out
 
 
 def join_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -376,15 +382,16 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     copies = cut(live.select("doc_id", "set_hash").join(sets, "set_hash").filter("doc_id <> set_id"))
     classes = live.join(small(copies), ["doc_id", "set_hash"], "left_anti").select("doc_id", "n_shingles", "keys", "prefix", "parity")
     pairs = cut(_min_hash_pairs(classes, percent))
-    near = cut(verified(docs, pairs, n, percent, frequent))
+    near = verified(docs, pairs, n, percent, frequent)
     known = cut(components(near))
     labelled = classes.join(small(known), "doc_id", "left").select("doc_id", "n_shingles", "prefix", "parity", F.coalesce("component_id", "doc_id").alias("comp"))
-    rest = cut(_list_pairs(labelled, percent))
-    more = cut(verified(docs, rest, n, percent, frequent))
+    rest = _list_pairs(labelled, percent)
+    more = verified(docs, rest, n, percent, frequent)
     # texts that share a doc_id but not their set are joined by it
     twice = copies.select(F.col("set_id").alias("a"), F.col("doc_id").alias("b"))
     repeated = twice.join(classes.select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")
     final = cut(components(near.unionByName(more).unionByName(repeated)))
+    drop(copies, pairs, near, known, rest, more)
     out = all_nodes.select("doc_id", "n_shingles", "set_hash").join(sets, "set_hash", "left")
     out = out.join(final.withColumnRenamed("doc_id", "set_id"), "set_id", "left")
     named = F.col("doc_id").isNotNull()

@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperweave.sources.lineage import dropped, written
+
 #: A side of a join is broadcast only if it was counted and has at most so many rows of two longs (3.2 MB).
 BROADCAST_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset, as in tests on one machine, a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "/tmp/checkpoints"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written as Parquet and read again: its lineage ends there, so a lost executor costs one task, not the plan."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A table written in the folder that all executors share and read again: lineage ends there, so a lost executor costs one task, not the plan.
+cut = written
+#: Tables are deleted as soon as all that depends on them is written, so that a long plan does not hold the disk of all its steps.
+drop = dropped
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -33,7 +22,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def modest(spark: SparkSession) -> None:
+    """Batches of few rows between Spark and Python: texts are long, and an executor holds a batch several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    modest(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 
