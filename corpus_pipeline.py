@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from paperweave.llm.ngram_join import join_components
 from paperweave.llm.packing import pack_documents
 from paperweave.llm.repeats import remove_repeats
-from paperweave.llm.scratch import cut, small
+from paperweave.llm.scratch import cut, modest, small
 from paperweave.llm.secrets import redact
 from paperweave.llm.toxicity import score_documents
 
@@ -23,6 +23,7 @@ PASSAGE_WORDS = 40
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go. The model learns from labels of documents that are still there."""
+    modest(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return score_documents(docs, labels).filter(F.col("predicted") == 0).select(*docs.columns)
 
@@ -30,6 +31,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a Jaccard similarity of 0.8 on five-word shingles, the one with the least
     doc_id stays. Documents without a doc_id stay; rows that share one stay or go together."""
+    modest(spark)
     found = join_components(docs, n=5, percent=80)
     gone = cut(found.filter("component_id <> doc_id").select("doc_id").distinct())
     return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
@@ -38,6 +40,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of PASSAGE_WORDS and more words stay only in the document with the least doc_id. A document of which
     nothing is left goes."""
+    modest(spark)
     kept = remove_repeats(docs, words=PASSAGE_WORDS).filter("n_words = 0 or n_removed < n_words")
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
@@ -46,11 +49,13 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays."""
+    modest(spark)
     return redact(docs).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, with their sequence and offset."""
+    modest(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
