@@ -25,13 +25,13 @@ from paperweave.llm.scratch import cut
 
 #: Labelled documents of either class that are learned from at most.
 SAMPLE_TOXIC, SAMPLE_OTHER = 3000, 5000
-LANDMARKS_TELLING, LANDMARKS_ORDINARY = 72, 8
+LANDMARKS_TELLING, LANDMARKS_ORDINARY = 72, 24
 LEAST_DOCUMENTS = 4
 LAMBDA = 0.7
 STRETCH = 6
 LONGEST = 24
 #: A word less alike than this to every landmark counts as unlike all.
-LIKENESS = 0.4
+LIKENESS = 0.35
 #: Landmarks that share a bound.
 GROUP = 8
 #: Tokens that a worker remembers.

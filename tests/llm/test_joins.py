@@ -168,6 +168,14 @@ def test_bounds_hold():
         assert marks.word(w).max() <= marks.bounds([w], list(marks.most))[0] <= marks.bounds([w])[0]
 
 
+def test_words_with_two_inserted_letters_are_alike():
+    marks = toxicity.Landmarks(["trash", "stupid", "the", "river"])
+    words = {"txrxash", "stxupxid", "trash", "tr.ash", "stupidity", "stone", "banana", "people", "rivulet"}
+    marks.texts([" ".join(words)])
+    assert {"txrxash", "stxupxid"} <= set(marks.alike)
+    assert set(marks.alike) == {w for w in words if max(marks.word(s).max() for s in toxicity.segments(w)) >= toxicity.LIKENESS}
+
+
 def _plain_nearest(vectors, k=5):
     usable = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
