@@ -120,6 +120,27 @@ def test_secrets(spark, sf_dir):
     assert secrets.find_secrets(empty_documents(spark)).count() == 0
 
 
+def test_secrets_of_every_alphabet(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = secrets.train(docs)
+    draw = random.Random(23)
+    letters = "".join(map(chr, [*range(65, 91), *range(97, 123)]))
+    for alphabet in ("0123456789abcdef", letters[26:] + "0123456789", letters + "0123456789", letters + "0123456789+/", letters):
+        for size in (20, 24, 31):
+            strings = ["".join(draw.choices(alphabet, k=size)) for _ in range(200)]
+            found = sum((3, 3 + size, 3) in secrets.spans_of(f"is {t} .", model) for t in strings)
+            assert found >= 190, (alphabet, size, found)
+
+
+def test_ordinary_tokens_of_all_documents_are_counted(spark):
+    texts = ["abc abcd é_abcde=\nabcd", "", "token=abcdefgh abcd", "é" * 5 + "abcd/" * 3, "x"]
+    rows = [(i, t) for i, t in enumerate(texts * 600)] + [(None, "null1 id"), (0, None)]
+    kept = [re.sub("token=abcdefgh", " ", t or "") for _, t in rows]
+    want = secrets._follow([w for t in kept for w in re.findall(r"[A-Za-z0-9+/_=-]{4,}", t)])
+    got = secrets.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert (got == secrets.ratios(secrets._follow(secrets.random_sample()), want)).all()
+
+
 def test_urls(spark):
     rules = [*queries.RULES, ("block", "a.b.example.com", "/x"), ("allow", "example.org", "/")]
     urls = [None, "", "no scheme", "http://net/es/x", "HTTP://WWW.Example.COM/en/?q", "http://example.com/en", "https://notexample.com/en/", "http://foo.com", "http://foo.com/", "http://a.b.example.com/xyz", "x://y://net/fr/", "http://.net/es/", "http://u@net:80/es/", "http://q.net/fr/a#b", "http://net/es/x"]
