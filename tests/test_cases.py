@@ -1,10 +1,13 @@
 """Literal cases of the rules."""
 
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from paperweave.functions import text as tx
-from paperweave.functions.fuzzy import window_ratio
+from paperweave.functions.fuzzy import window_ratio, window_ratios
 from paperweave.operators import audit, batching, classify, evaluate, stitching, verdict
 from paperweave.operators.components import components_by_key
 from paperweave.sources import tables
@@ -151,6 +154,38 @@ def test_window_ratio():
     assert window_ratio("", "abc") == 0.0
 
 
+def _plain_ratio(phrase, text):
+    if not phrase or not text:
+        return 0.0
+
+    def one(short, long):
+        best = 0.0
+        for s in range(1 - len(short), len(long)):
+            window = long[max(0, s) : s + len(short)]
+            row = [0] * (len(window) + 1)
+            for c in short:
+                row = [0, *itertools.accumulate(range(len(window)), lambda left, j, row=row, c=c, w=window: row[j] + 1 if c == w[j] else max(row[j + 1], left), initial=0)][1:]
+            best = max(best, 200.0 * row[-1] / (len(short) + len(window)))
+        return best
+
+    short, long = sorted((phrase, text), key=len)
+    return max(one(short, long), one(long, short)) if len(short) == len(long) else one(short, long)
+
+
+def test_window_ratio_is_the_best_of_all_windows():
+    hard = "INTER THE NATIONALE NOTE THE AN AN NOTE AN HOUSE INTENTIONAL THE"
+    assert round(window_ratio("INTERNATIONAL", hard), 1) == 84.6
+    draw = random.Random(5)
+    pairs = [("INTERNATIONAL", hard), ("ABCD", "ABDC"), ("ABCDE", "xABC"), ("", "a"), ("a", ""), ("A", "bb"), ("\0AB", "AxB\0"), ("ÉTÉ", "l'ÉxTÉ 😀"), ("AB" * 40, "BA" * 45 + "C")]
+    words = ["INTER", "THE", "NATIONALE", "NOTE", "AN", "INTENTIONAL", "HERET", "IONTHE", "É", "OTHER"]
+    for phrase in ("INTERNATIONAL", "THE ANOTHER", "HERETIONTHE", "ANDTHERIN", "INTERNATIONAL THE ANOTHER"):
+        pairs += [(phrase, " ".join(draw.choices(words, k=draw.randint(0, 14)))) for _ in range(40)]
+        pairs += [(phrase, phrase[k:] + " x" * 20) for k in range(1, 9)] + [(phrase, "x " * 20 + phrase[:-k]) for k in range(1, 9)]
+    want = [_plain_ratio(p, t) for p, t in pairs]
+    assert window_ratios([p for p, _ in pairs], [t for _, t in pairs]) == want
+    assert [window_ratio(p, t) for p, t in pairs] == want
+
+
 def test_kappa_of_one_label_is_null(spark):
     one = spark.createDataFrame([(1, "A"), (1, "A"), (2, "A"), (2, "A")], "item long, label string")
     assert evaluate.agreement(one, "item", "label").first()["fleiss_kappa"] is None
