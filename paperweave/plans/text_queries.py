@@ -63,11 +63,14 @@ def confidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", confidence.alias("confidence"), status.alias("status"))
 
 
+FUZZY_RULES = [("A", ["INTERNATIONAL", "THE ANOTHER"]), ("B", ["HERETIONTHE", "ANDTHERIN"])]
+
+
 @query()
 def classify_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of titles, which are short, unlike whole texts: each page's url path against phrases."""
-    pages = table(spark, sf_dir, "pages").select("page_id", tx.normalized(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)).alias("t"))
-    return classify.best_type(pages, F.col("t"), [("A", ["INTERNATIONAL", "THE ANOTHER"]), ("B", ["HERETIONTHE", "ANDTHERIN"])], fuzzy=True).drop("t")
+    """Whole texts against phrases that may be misspelt."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", tx.normalized(F.col("text")).alias("t"))
+    return classify.best_type(docs, F.col("t"), FUZZY_RULES, fuzzy=True).drop("t")
 
 
 @query("""SELECT doc_id, coalesce(nullif(regexp_extract(text, '[Tt]oken ?[:=] ?"?([0-9a-f]{8})', 1), ''), nullif(regexp_extract(text, '([0-9]{3}-[0-9]{2,4}-[0-9]{4})', 1), ''), CASE WHEN regexp_full_match(regexp_extract(text, '([A-Za-z0-9._]+)@[a-z]', 1), '[a-z]+[.][a-z]+') THEN regexp_extract(text, '([A-Za-z0-9._]+)@[a-z]', 1) END) AS key FROM documents""")

@@ -10,6 +10,7 @@ from paperweave.functions import text as tx
 from paperweave.functions.fuzzy import window_ratio, window_ratios
 from paperweave.operators import audit, batching, classify, evaluate, stitching, verdict
 from paperweave.operators.components import components_by_key
+from paperweave.plans import text_queries
 from paperweave.sources import tables
 
 DOC = "doc_id string, position long, doc_type string, system string, shipment_id string, transfer_order_no string, po_no string, invoice_no string, pxk_no string"
@@ -186,6 +187,27 @@ def test_window_ratio_is_the_best_of_all_windows():
     assert [window_ratio(p, t) for p, t in pairs] == want
 
 
+def test_fuzzy_types_of_whole_texts(spark, tmp_path):
+    body = "x " * 3000
+    texts = [None, "", "short", "international", f"{body}the internaxional {body}", f"{body}hereti0nthe", f"anotherz in {body}", f"<title>none</title> {body} andxtherin {body}", f"{body} INTERNATIONAL HERETIONTHE", "THE AN0THER ANDTHERIM"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in text_queries.classify_fuzzy(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        t = " ".join((text or "").upper().replace("<", " ").replace(">", " ").split())
+        found = []
+        for order, (name, phrases) in enumerate(text_queries.FUZZY_RULES):
+            scores = [(1 + min(len(p) / 100, 0.1) if p in t else _plain_ratio(p, t) / 100, -j, p, p in t) for j, p in enumerate(phrases)]
+            score, _, phrase, exact = max((s for s in scores if s[0] >= 0.78), default=(0, 0, None, False))
+            if phrase:
+                found.append((min(score, 1.0), len(phrase), -order, name, phrase, exact))
+        found.sort(reverse=True)
+        rivals = [f for f in found[1:] if f[4] not in found[0][4] and not (found[0][5] and not f[5])]
+        want = (found[0][3], found[0][0], found[0][0] - (rivals[0][0] if rivals else 0.0), found[0][4]) if found else ("UNKNOWN", 0.0, 0.0, None)
+        assert (got[i]["doc_type"], got[i]["doc_score"], got[i]["margin"], got[i]["phrase"]) == want, i
+    assert [got[i]["doc_type"] for i in (3, 4, 5, 7)] == ["A", "A", "B", "B"]
+
+
 def test_kappa_of_one_label_is_null(spark):
     one = spark.createDataFrame([(1, "A"), (1, "A"), (2, "A"), (2, "A")], "item long, label string")
     assert evaluate.agreement(one, "item", "label").first()["fleiss_kappa"] is None
