@@ -127,12 +127,18 @@ def _exact(counts: np.ndarray, length: int, capacity: int) -> tuple[int, ...] |
     for x in halves[have[gap - halves]]:
         if enough(int(x), int(gap - x)):
             return int(x), int(gap - x)
-    for x in a[(3 * a >= gap) & (a < gap - 1)][:64]:
+    # lengths as bits, and reversed: shifted so that bit y of the second stands for `rest` - y
+    bits = int.from_bytes(np.packbits(have, bitorder="little").tobytes(), "little")
+    mirrored = int.from_bytes(np.packbits(have[::-1], bitorder="little").tobytes(), "little")
+    for x in a[(3 * a >= gap) & (a < gap - 1)].tolist():
         rest = gap - x
-        b = a[(2 * a >= rest) & (a <= x) & (a < rest)]
-        for y in b[have[rest - b]]:
-            if enough(int(x), int(y), int(rest - y)):
-                return int(x), int(y), int(rest - y)
+        low, high = (rest + 1) // 2, min(x, rest - 1)
+        both = (bits & mirrored >> (capacity - rest) & ((1 << (high + 1)) - 1)) >> low << low
+        while both:
+            y = (both & -both).bit_length() - 1
+            if enough(x, y, rest - y):
+                return x, y, rest - y
+            both &= both - 1
     return None
 
 

@@ -1,6 +1,7 @@
 """Near copies, repeats, packing, toxicity, nearest vectors and the pipeline against plain versions."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -129,6 +130,29 @@ def test_plan_uses_every_piece_once():
     assert packing.plan({}, 10) == []
 
 
+def test_exact_triples_are_found_among_all_lengths():
+    pieces = {**dict.fromkeys((1000, 500, 348, 200), 10**6), **dict.fromkeys(range(354, 419), 1)}
+    runs = packing.plan(pieces, 2048)
+    used = Counter()
+    for lengths, n in runs:
+        assert sum(lengths) <= 2048
+        for x in lengths:
+            used[x] += n
+    assert used == Counter(pieces)
+    assert sum(n for _, n in runs) <= 1_000_100
+    draw = random.Random(3)
+    for _ in range(300):
+        counts = np.zeros(151, np.int64)
+        for x in draw.sample(range(1, 150), draw.randint(3, 100)):
+            counts[x] = draw.randint(1, 3)
+        length = int(np.flatnonzero(counts)[-1])
+        gap, have = 150 - length, {int(x): int(counts[x]) for x in np.flatnonzero(counts)}
+        sets = [p for k in (1, 2, 3) for p in itertools.combinations_with_replacement([x for x in have if x <= gap], k) if sum(p) == gap]
+        fits = {p for p in sets if all(have[x] >= n for x, n in Counter((length, *p)).items())}
+        got = packing._exact(counts, length, 150)
+        assert tuple(sorted(got)) in fits if fits else got is None
+
+
 def test_tokens_of_special_text_equal_the_library():
     worker = packing._Worker(P.path("byte_bpe_50k.json"))
     texts = ["", "<|endoftext|> x", "a  b\n\n c\t\x1c\x85 d", "naïve ²½ ÿ", "中文 😀", "don't   'll"]
