@@ -168,6 +168,14 @@ def test_long_lists_are_joined(spark, monkeypatch):
     assert url_filter.judge_urls(pages, queries.RULES).collect() == want
 
 
+def test_joined_lists_keep_repeated_rows(spark):
+    urls = [(1, "http://a.net/es/x"), (1, "http://a.net/es/x"), (1, "http://a.net/es/x?q"), (2, None), (2, None), (None, "http://example.com/en/"), (None, "http://example.com/en/")]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    want = sorted(map(repr, url_filter.judge_urls(pages, queries.RULES).collect()))
+    got = sorted(map(repr, url_filter.judge_by_join(pages, queries.RULES).collect()))
+    assert got == want and len(got) == len(urls)
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = [f"k{i}" for i in range(0, 20_000, 97)] + ["elsewhere"]
