@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from paperweave.sources.lineage import dropped, written
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Has every node one parent at most, and none that is a child itself?"""
+    roles = edges.select(F.col("a").alias("node"), F.col("b").alias("parent")).unionByName(edges.select(F.col("b").alias("node"), F.lit(None).cast("long").alias("parent")))
+    told = roles.groupBy("node").agg(F.min("parent").alias("lo"), F.max("parent").alias("hi"), F.max(F.col("parent").isNull()).alias("leads"))
+    return not told.filter("lo is not null and (leads or lo < hi)").limit(1).count()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """edges (a, b) as node, root: the least node reachable. A round links each node's larger neighbours, then its smaller ones, to the
-    least of them; both are aggregations, combined before the shuffle, and joins that AQE can split. Edges are written after each round, and rounds
-    grow with the logarithm of the longest chain."""
-    state, seen = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()), None
-    while True:
-        digest = state.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first()
-        if digest == seen:
-            break
-        seen = digest
+    least of them; both are aggregations, combined before the shuffle, and joins that AQE can split. Edges are written after each round; there are
+    rounds until all edges lead to a root, and they grow with the logarithm of the longest chain."""
+    state = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    while not _stars(state):
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
