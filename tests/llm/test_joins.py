@@ -51,10 +51,46 @@ def test_jaccard_join_of_a_chain_of_near_copies(spark):
 def test_trie_finds_all_links():
     draw = random.Random(2)
     sets = [np.array(sorted(draw.sample(range(1, 60), draw.randint(5, 40))), np.uint64) for _ in range(150)]
-    raw = [s.astype(">u8").tobytes() for s in sets]
-    for x in range(0, 150, 7):
-        want = {i for i, s in enumerate(sets) if 100 * len(np.intersect1d(s, sets[x])) >= 60 * len(np.union1d(s, sets[x]))}
-        assert set(ngram_join.trie_links(raw[x], list(enumerate(raw)), 60)) == want
+    base = np.arange(100, 400, dtype=np.uint64)
+    sets += [np.delete(base, draw.sample(range(300), draw.randint(0, 60))) for _ in range(40)]  # long shared beginnings
+    sets.sort(key=lambda s: s.astype(">u8").tobytes())
+    for percent in (30, 60, 80, 90):
+        some = list(range(0, len(sets), 7))
+        want = {(i, k) for i, s in enumerate(sets) for k, x in enumerate(some) if 100 * len(np.intersect1d(s, sets[x])) >= percent * len(np.union1d(s, sets[x]))}
+        assert {(i, int(k)) for i, linked in ngram_join.walk_trie(sets, [sets[x] for x in some], percent) for k in linked} == want
+
+
+@pytest.mark.parametrize("percent", [10, 60, 80])
+def test_large_lists_and_clusters_are_split_into_cells(spark, monkeypatch, percent):
+    monkeypatch.setattr(ngram_join, "LIST_BLOCK", 5)
+    monkeypatch.setattr(ngram_join, "TREE_BLOCK", 300)
+    draw = random.Random(7)
+    texts = {}
+    for i in range(160):
+        words = [f"w{k}" for k in range(60 + i % 3 * 30)]
+        for _ in range(draw.randint(0, 14)):
+            words[draw.randrange(len(words))] = f"x{i}-{draw.random()}"
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_components(docs, 2, percent).collect()}
+    assert got == jaccard_components(texts, 2, percent)
+
+
+def test_members_grow_in_proportion_just_under_the_similarity(spark):
+    draw = random.Random(3)
+    rows = {}
+    for size in (400, 800, 1600):
+        texts = []
+        for i in range(size):
+            words = [f"w{k}" for k in range(300)]
+            for at in draw.sample(range(0, 300, 6), 4):
+                words[at] = f"x{i}-{at}"
+            texts.append((i, " ".join(words)))
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        frequent = ngram_join.frequent_slots(docs, 5)
+        classes = ngram_join.nodes(docs, 5, 80, frequent).withColumn("comp", F.col("doc_id"))
+        rows[size] = ngram_join._clustered(classes, 80).count()
+    assert rows[400] <= 8 * 400 and rows[800] <= 8 * 800 and rows[1600] <= 8 * 1600
 
 
 def test_components(spark):
