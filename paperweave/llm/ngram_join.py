@@ -54,8 +54,8 @@ EDGE = 32
 PROBES = 64
 PROBE_SHINGLES = 1 << 15
 #: Bits of a signature for each shingle at least, and of all at most.
-SIGNATURE_BITS = 4
-MAX_BITS = 1 << 15
+SIGNATURE_BITS = 2
+MAX_BITS = 1 << 12
 _FREQUENT = np.uint64(1 << 63)
 
 
