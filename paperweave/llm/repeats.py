@@ -2,8 +2,8 @@
 
 The suffixes of all documents, from each word on, are split into groups that fit memory by prefixes of variable length: how many
 suffixes begin with the same two words is counted by hash slot, slots with too many are
-split by one more word, and small slots share a group. Within a group a suffix is a leaf named by the hash of its
-first `words` words; equal names are the leaves below one internal node of at least that depth, which is a repeat. The least
+split by one more word, and small slots share a group. Within a group the tree is kept only to the depth that matters: a suffix is a leaf named by the hash of its
+first `words` words, so equal names are the leaves below one internal node of at least that depth, which is a repeat; what lies deeper decides nothing. The least
 doc_id below a node keeps the passage, and the covered words of all later documents go; overlapping
 windows of one long repeat add up to the maximal repeat.
 """
@@ -26,59 +26,58 @@ SLOTS = 1 << 16
 #: Leaves of one group at most, but for those that even their whole window does not split: about 100 MB while they are sorted.
 GROUP_LEAVES = 1_000_000
 GROUP_LEAST = 20_000
+#: Groups, about, beyond which groups grow instead: a plan of some 80 MB, whatever the input.
+MOST_GROUPS = 1 << 20
 #: Bytes of text whose leaves a task gathers before it sends them on.
 GATHER_BYTES = 8 * BLOCK_BYTES
 TEXT_BUCKET_BYTES = 8 << 20
 
 
 class PrefixPlan:
-    """Tables of slots, one for each prefix that was split: a group's number, or -1 - the number of the table of its next word."""
+    """A forest over hashed prefixes: SLOTS nodes for the first two words, and below each node with too many suffixes 2**bits nodes, by the hash of the
+    prefix that is one word longer. Nodes are numbers; `child` is the first of a node's children, `group` the group of a leaf. As a
+    split node has more than `limit` suffixes, there are at most SLOTS + 4 * suffixes / limit nodes a level."""
 
     def __init__(self) -> None:
-        self.tables: list[np.ndarray] = []
-        self.depths: list[int] = []
-        self.groups = 0
-
-    def find(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For suffixes beginning at words[at]: their group, or -1 - the table in which they are not placed yet; and their slot there."""
+        self.bits = np.zeros(SLOTS, np.uint8)
+        self.child = np.zeros(SLOTS, np.int64)
+        self.group = np.zeros(SLOTS, np.int64)
+        self.depth = 2
+        self.done = False
+
+    def find(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The node of each suffix that begins at words[at]."""
         prefix = words[at] * _STEP + words[at + 1]
-        slot = (mix(prefix) & np.uint64(SLOTS - 1)).astype(np.int64)
-        if not self.tables:
-            return np.full(len(at), -1), slot
-        group = self.tables[0][slot]
-        depth = 2
-        while True:
-            deeper = np.flatnonzero(group < 0)
-            if not len(deeper) or depth > max(self.depths):
-                return group, slot
+        node = (mix(prefix) & np.uint64(SLOTS - 1)).astype(np.int64)
+        deeper = np.arange(len(at))
+        for depth in range(2, self.depth):
+            deeper = deeper[self.bits[node[deeper]] > 0]
+            if not len(deeper):
+                break
             prefix[deeper] = prefix[deeper] * _STEP + words[at[deeper] + depth]
-            slot[deeper] = (mix(prefix[deeper]) & np.uint64(SLOTS - 1)).astype(np.int64)
-            tables = -1 - group[deeper]
-            for t in np.unique(tables):
-                if t < len(self.tables):
-                    some = deeper[tables == t]
-                    group[some] = self.tables[t][slot[some]]
-            depth += 1
-
-    def extend(self, counts: dict[int, np.ndarray], depth: int, limit: int, deepest: int) -> bool:
-        """Tables for the counted slots of tables not made yet; True if slots over the limit remain to be counted with a longer prefix."""
-        new = 0
-        first_child = max(counts, default=-1) + 1
-        for t in sorted(counts):
-            n = counts[t]
-            table = np.empty(SLOTS, np.int64)
-            over = (n > limit) & (depth < deepest)
-            table[over] = -1 - (first_child + new + np.arange(over.sum()))
-            new += int(over.sum())
-            fits = np.flatnonzero(~over)
-            # consecutive slots share a group until it is full
-            share = (np.cumsum(n[fits]) - n[fits]) // limit
-            _, numbers = np.unique(share, return_inverse=True)
-            table[fits] = self.groups + numbers
-            self.groups += int(numbers.max()) + 1 if len(numbers) else 0
-            self.tables.append(table)
-            self.depths.append(depth)
-        return new > 0
+            above = node[deeper]
+            mask = (np.uint64(1) << self.bits[above].astype(np.uint64)) - np.uint64(1)
+            node[deeper] = self.child[above] + (mix(prefix[deeper]) & mask).astype(np.int64)
+        return node
+
+    def extend(self, first: int, counts: np.ndarray, limit: int, deepest: int) -> None:
+        """Splits those of the nodes from `first` on that have too many suffixes; without such nodes, or at full depth, leaves are dealt to groups."""
+        over = np.flatnonzero(counts > limit) if self.depth < deepest else []
+        if not len(over):
+            self.done = True
+            return
+        bits = np.ceil(np.log2(2 * counts[over] / limit)).astype(np.int64)
+        self.bits[first + over] = bits
+        self.child[first + over] = len(self.bits) + np.cumsum(1 << bits) - (1 << bits)
+        new = int((1 << bits).sum())
+        self.bits, self.child, self.group = (np.concatenate([x, np.zeros(new, x.dtype)]) for x in (self.bits, self.child, self.group))
+        self.depth += 1
+
+    def deal(self, counts: np.ndarray, limit: int) -> None:
+        """Consecutive leaves share a group until it is full."""
+        leaves = np.flatnonzero(self.bits == 0)
+        share = (np.cumsum(counts[leaves]) - counts[leaves]) // limit
+        self.group[leaves] = np.unique(share, return_inverse=True)[1]
 
 
 def _windows(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,41 +90,41 @@ def _windows(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def plan_groups(docs: DataFrame, words: int) -> PrefixPlan:
-    """Counts of all documents' suffixes by prefix, and the groups. A task counts in one table of fixed size for
-    each prefix that is split; the driver gets their sums."""
+    """Counts of all documents' suffixes by prefix, and the groups. Each round counts, in every task, the nodes that the last one made;
+    the driver gets their sums, of which there are at most 4 * MOST_GROUPS."""
     plan = PrefixPlan()
-    limit, depth = None, 2
+    limit, first = None, 0
+    known = np.zeros(SLOTS, np.int64)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    while True:
+    while not plan.done:
 
-        def count(batches: Iterator[pa.RecordBatch], plan: PrefixPlan = plan) -> Iterator[pa.RecordBatch]:
-            total: dict[int, np.ndarray] = {}
+        def count(batches: Iterator[pa.RecordBatch], plan: PrefixPlan = plan, first: int = first) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(plan.bits) - first, np.int64)
             for batch in pieces(batches):
                 for _, texts in blocks(texts_of(batch)):
                     hashes, _, at, _ = _windows(texts, words)
-                    group, slot = plan.find(hashes, at)
-                    for t in np.unique(group[group < 0]):
-                        table = total.setdefault(int(-1 - t), np.zeros(SLOTS, np.int64))
-                        table += np.bincount(slot[group == t], minlength=SLOTS)
-            for t, table in total.items():
-                slots = np.flatnonzero(table)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slots), t, np.int32)), pa.array(slots.astype(np.int32)), pa.array(table[slots])], ["t", "slot", "n"])
-
-        rows = docs.select("text").mapInArrow(count, "t int, slot int, n long").groupBy("t", "slot").agg(F.sum("n").alias("n")).toPandas()
-        counts = {}
-        for t, part in rows.groupby("t"):
-            counts[int(t)] = np.zeros(SLOTS, np.int64)
-            counts[int(t)][part["slot"].to_numpy()] = part["n"].to_numpy()
+                    node = plan.find(hashes, at)
+                    total += np.bincount(node[node >= first] - first, minlength=len(total))
+            found = np.flatnonzero(total)
+            for i in range(0, len(found), 1 << 16):
+                some = found[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(first + some), pa.array(total[some])], ["node", "n"])
+
+        rows = docs.select("text").mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).toPandas()
+        known[rows["node"].to_numpy()] = rows["n"].to_numpy()
         if limit is None:
-            limit = min(GROUP_LEAVES, max(GROUP_LEAST, int(rows["n"].sum()) // (2 * partitions)))
-        if not counts or not plan.extend(counts, depth, limit, words):
-            return plan
-        depth += 1
+            limit = max(min(GROUP_LEAVES, max(GROUP_LEAST, int(known.sum()) // (2 * partitions))), int(known.sum()) // MOST_GROUPS)
+        made = len(plan.bits)
+        plan.extend(first, known[first:], limit, words)
+        first = made
+        known = np.concatenate([known, np.zeros(len(plan.bits) - made, np.int64)])
+    plan.deal(known, limit)
+    return plan
 
 
-def _leaves(docs: DataFrame, words: int, plan: PrefixPlan) -> DataFrame:
+def _leaves(docs: DataFrame, words: int, plan: PrefixPlan, buckets: int) -> DataFrame:
     """Blocks of leaves: grp, doc_ids, counts (of leaves of each) and hashes. Of the leaves that a task gathers under one node only those of the least doc_id go to
-    the node's group; the others are repeats already and come as blocks with a negative grp."""
+    the node's group; the others are repeats already and come as blocks with a negative grp, -1 - the bucket of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list[np.ndarray] = []
@@ -142,7 +141,7 @@ def _leaves(docs: DataFrame, words: int, plan: PrefixPlan) -> DataFrame:
             late = d > least
             lead = ~late & np.concatenate([[True], (h[1:] != h[:-1]) | late[:-1]])
             # of several leaves of the least document any one will do
-            g = np.where(late, -1 - (d.view(np.uint64) % np.uint64(1024)).astype(np.int64), g)
+            g = np.where(late, -1 - _bucket(d, buckets), g)
             keep = late | lead
             h, d, g = h[keep], d[keep], g[keep]
             # a document's leaves of one group are neighbours, so its id is sent once for all of them
@@ -171,7 +170,7 @@ def _leaves(docs: DataFrame, words: int, plan: PrefixPlan) -> DataFrame:
                 if len(at):
                     names.append(grams(hashes, words)[at])
                     owners.append(ids[start : start + len(texts)].astype(np.int64)[text])
-                    groups.append(plan.find(hashes, at)[0])
+                    groups.append(plan.group[plan.find(hashes, at)])
                 if size >= GATHER_BYTES and names:
                     yield send()
                     names, owners, groups, size = [], [], [], 0
@@ -238,18 +237,21 @@ def remove_repeats(docs: DataFrame, words: int = 13, keep_text: bool = True) ->
     covered by a window that also starts in a document with a smaller doc_id is removed; windows are judged on the input. kept is the
     text itself if nothing is removed, else the kept words, each with the white space before it; kept_sha256 is of the kept words joined by one space. A null text has
     no words and stays null. Rows with a null doc_id neither lose nor cause anything; rows that share a doc_id are one document and
-    do not remove each other's words. An empty table gives no rows.
+    do not remove each other's words. A very long text is hashed a block at a time and may be a bucket of its own. An empty table gives no rows.
     """
     if words < 2:
         raise ValueError("a window has at least two words")
-    docs = docs.select(*(c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256", "kept", "bucket")), F.lit(0).alias("bucket"))
+    docs = docs.select(*(c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256", "kept")))
+    home = "bucket"
+    while home in docs.columns:
+        home += "_"
     plan = plan_groups(docs, words)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     buckets = max(2 * partitions, size // TEXT_BUCKET_BYTES) | 1
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    late = _late(_leaves(ids, words, plan), buckets)
-    own = [f for f in docs.schema.fields if f.name != "bucket" and (keep_text or f.name != "text")]
+    late = _late(_leaves(ids, words, plan, buckets), buckets)
+    own = [f for f in docs.schema.fields if keep_text or f.name != "text"]
     more = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     out = T.StructType(own + more + [T.StructField("kept", T.StringType())] * keep_text)
 
@@ -286,5 +288,5 @@ def remove_repeats(docs: DataFrame, words: int = 13, keep_text: bool = True) ->
         columns = [*(rows[f.name] for f in own), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
         return pa.Table.from_arrays(columns + [pa.array(kept, pa.binary()).cast(pa.string())] * keep_text, names=out.names)
 
-    keyed = docs.withColumn("bucket", _bucket_column(buckets))
-    return keyed.groupBy("bucket").cogroup(late.groupBy("bucket")).applyInArrow(cut_out, out)
+    keyed = docs.withColumn(home, _bucket_column(buckets))
+    return keyed.groupBy(home).cogroup(late.groupBy("bucket")).applyInArrow(cut_out, out)

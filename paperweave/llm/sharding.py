@@ -73,11 +73,12 @@ def place(key: Column, shards: list[Shard]) -> Column:
 def shard_documents(docs: DataFrame, shards: int = 8, buckets: int = SLOT_BUCKETS) -> DataFrame:
     """Rows of docs (doc_id, text; other columns are ignored) as doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    The law is `key`: doc_id and the number of shards decide. Slots number a shard's rows without gaps.
+    The law is `key`: doc_id and the number of shards decide, and one more shard, at any number, takes rows only into itself; from eight shards on grown_shard is
+    what a call with one more gives. Slots number a shard's rows without gaps.
     They are made from counts of (shard, bucket), at most shards x buckets rows whatever the input, and a row
     number inside each bucket, so no task ever holds a shard. Rows are written once before they are numbered.
     A null text counts as empty; rows with a null doc_id all go to one shard, as equal ids do;
-    repeated rows each get a slot; an empty table gives no rows.
+    repeated rows each get a slot; ties in the order of slots are equal rows; very long texts only count their bytes; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
@@ -85,8 +86,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, buckets: int = SLOT_BUCKET
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.length(text).cast("long") + 1).alias("size"),
         F.crc32(text).alias("text_crc32"),
-        place(key, topology(shards)).alias("shard"),
-        place(key, topology(shards + 1)).alias("grown_shard"),
+        place(key, topology(shards, min(8, shards))).alias("shard"),
+        place(key, topology(shards + 1, min(8, shards))).alias("grown_shard"),
     )
     rows = cut(rows.withColumn("bucket", salt(buckets, "doc_id", "size", "text_crc32")))
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))

@@ -147,7 +147,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame
 def judge_by_join(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """The same by a join on the keys, for lists too long for a plan."""
     rows = _parsed(pages, rules).withColumn("row", F.monotonically_increasing_id())  # repeated rows stay apart
-    listed = pages.sparkSession.createDataFrame([(h + p, k) for k, h, p in rules], "key string, verdict string").dropDuplicates(["key"])
+    listed = pages.sparkSession.createDataFrame([(h + p, k) for k, h, p in rules], "key string, verdict string").groupBy("key").agg(F.max("verdict").alias("verdict"))  # a key on both lists is blocked
     hits = rows.select("row", "page_id", "host", "path", F.explode_outer("keys").alias("key")).join(listed, "key", "left")
     best = F.max(F.when(F.col("verdict").isNotNull(), F.struct(F.length("key").alias("n"), "key", "verdict"))).alias("best")
     out = hits.groupBy("row", "page_id", "host", "path").agg(best)

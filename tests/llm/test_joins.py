@@ -111,6 +111,7 @@ def test_repeats_of_awkward_rows(spark, monkeypatch):
     want = without_repeats({r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] is not None}, 13)
     rows = repeats.remove_repeats(docs, words=13).collect()
     assert len(rows) == 22 and rows[0].asDict().keys() >= {"lang", "score", "kept", "text"}
+    assert all(r["bucket"] == 99 for r in rows)
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows if r["doc_id"] is not None} == want
     assert all(r["n_removed"] == 0 for r in rows if r["doc_id"] is None)
     for r in rows:
@@ -274,6 +275,10 @@ def test_pipeline_stages(spark, sf_dir):
         docs = cut(stage(spark, docs, sf_dir))
         assert docs.columns == columns
         seen[name] = (before, {r["doc_id"]: r["text"] for r in docs.collect()})
+    before, after = seen["toxicity"]
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels).collect()
+    assert set(after) == {r["doc_id"] for r in scored if r["predicted"] == 0} and all(before[d] == t for d, t in after.items())
     before, after = seen["near_copies"]
     want = {d for d, (_, c) in jaccard_components(before, 5, 80).items() if c == d}
     assert set(after) == want and all(before[d] == t for d, t in after.items())
@@ -286,3 +291,35 @@ def test_pipeline_stages(spark, sf_dir):
     packed = cp.STAGES[-1][1](spark, docs, sf_dir)
     assert packed.select("doc_id").distinct().count() == len(after)
     assert not any(a != b and shingle_set(x, 5) == shingle_set(y, 5) and shingle_set(x, 5) for (a, x), (b, y) in zip(list(seen["near_copies"][1].items())[:50], list(seen["near_copies"][1].items())[1:51], strict=False))
+
+
+def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+    from paperweave.llm.scratch import cut
+
+    spark.createDataFrame([(5, 0), (6, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for docs, n in ((small_documents(spark), 22), (empty_documents(spark), 0)):
+        docs = docs.withColumnRenamed("score", "predicted").withColumn("kept", F.lit(1)).withColumn("component_id", F.lit("c"))
+        columns = docs.columns
+        for name, stage in cp.STAGES[:-1]:
+            docs = cut(stage(spark, docs, str(tmp_path)))
+            assert docs.columns == columns, name
+            rows = docs.collect()
+            assert all((r["bucket"], r["predicted"], r["kept"], r["n_words"], r["component_id"]) == (99, 0.5, 1, "mine", "c") for r in rows), name
+            if name == "toxicity":
+                assert len(rows) == n
+            if n:
+                assert sum(r["doc_id"] is None for r in rows) == 2 and {8, 9, 10} <= {r["doc_id"] for r in rows}
+        pieces = cp.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert (pieces.count() > 0) == (n > 0)
+
+
+def test_held_out_quality_of_toxicity(spark, sf_dir):
+    table = sf_dir.replace("sf0.001", "sf0.1")  # the small one has one held-out toxic document
+    scored = {r["doc_id"]: r for r in queries.op6_toxicity(spark, table).collect()}
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{table}/labels.parquet").collect()}
+    held = [(scored[d]["score"], y) for d, y in truth.items() if scored[d]["held_out"]]
+    up, down = ([s for s, y in held if y == k] for k in (1, 0))
+    assert len(up) > 50 and len(down) > 500
+    assert sum((a > b) + (a == b) / 2 for a in up for b in down) >= 0.9 * len(up) * len(down)
+    assert sum(s >= 0.5 for s in up) >= 0.6 * len(up) and sum(s >= 0.5 for s in down) <= 0.03 * len(down)

@@ -2,11 +2,14 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
+import xxhash
 from cases import empty_documents, small_documents, table_texts
 from pyspark.sql import functions as F
 
@@ -132,6 +135,44 @@ def test_secrets_of_every_alphabet(spark, sf_dir):
             assert found >= 190, (alphabet, size, found)
 
 
+def test_spans_of_the_models_equal_a_plain_version(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    allowed = "A-Za-z0-9+/_=-"
+    follow = [Counter(), Counter()]  # of random strings, of ordinary tokens
+    for t in secrets.random_sample():
+        follow[0].update(zip(["", *t], t, strict=False))
+    for r in rows:
+        text = r["text"] or ""
+        for start, end, _ in reversed(_plain_spans(text)):
+            text = f"{text[:start]} {text[end:]}"
+        for t in re.findall(f"[{allowed}]{{4,}}", text):
+            follow[1].update(zip(["", *t], t, strict=False))
+    codes = [*secrets._CHARS, "other"]
+    logs = []
+    for counts in follow:
+        sums = Counter()
+        for (a, _), n in counts.items():
+            sums[a] += n
+        logs.append({(a, b): math.log((counts[a, b] + 0.5) / (sums[a] + 0.5 * len(codes))) for a in ["", *codes] for b in codes})
+    for r in queries.op7_secrets(spark, sf_dir).collect():
+        text = next(x["text"] for x in rows if x["doc_id"] == r["doc_id"]) or ""
+        want = _plain_spans(text)
+        base = list(want)
+        for m in re.finditer(f"[{allowed}]{{20,}}", text):
+            mean = sum(logs[0][p] - logs[1][p] for p in zip(["", *m[0]], m[0], strict=False)) / len(m[0])
+            if not any(s < m.end() and m.start() < e for s, e, _ in base) and mean > secrets.MEAN_RATIO:
+                want.append((m.start(), m.end(), 3))
+        want.sort(key=lambda s: (s[0], s[2], s[1]))
+        assert r["spans"] == ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, e, k in want)
+
+
+def test_secrets_of_awkward_rows(spark):
+    rows = secrets.find_secrets(small_documents(spark)).collect()
+    assert len(rows) == 22 and [r["n_assign"] for r in rows if r["doc_id"] == 17] == [1]
+    assert all(r["spans"] == "" for r in rows if r["doc_id"] in (8, 9, 10, 16))
+    assert len({r["spans"] for r in rows if r["doc_id"] in (1, 2, 15)}) == 1
+
+
 def test_ordinary_tokens_of_all_documents_are_counted(spark):
     texts = ["abc abcd é_abcde=\nabcd", "", "token=abcdefgh abcd", "é" * 5 + "abcd/" * 3, "x"]
     rows = [(i, t) for i, t in enumerate(texts * 600)] + [(None, "null1 id"), (0, None)]
@@ -197,6 +238,31 @@ def test_shards(spark, sf_dir):
     assert sharding.shard_documents(empty_documents(spark)).count() == 0
 
 
+def _plain_shard(key, shards):
+    """The descent by hand, with the library's hash."""
+    some = shards
+    for level in ("region", "rack", "shard"):
+        weights = Counter()
+        for x in some:
+            weights[getattr(x, level)] += x.weight
+        draws = []
+        for n, weight in weights.items():
+            h = xxhash.xxh64_intdigest(f"{level}:{n}".encode(), seed=xxhash.xxh64_intdigest(key.encode(), seed=42))
+            draws.append((-math.log(((h >> 11) + 0.5) / (1 << 53)) / weight, n))
+        some = [x for x in some if getattr(x, level) == min(draws)[1]]
+    return some[0].shard
+
+
+@pytest.mark.parametrize("shards", [1, 5, 8, 11])
+def test_shards_equal_a_plain_descent(spark, shards):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit(9).alias("shard"))
+    base = min(8, shards)
+    for r in sharding.shard_documents(docs, shards, buckets=3).collect():
+        key = str(r["doc_id"])
+        assert r["shard"] == _plain_shard(key, sharding.topology(shards, base))
+        assert r["grown_shard"] == _plain_shard(key, sharding.topology(shards + 1, base)) and r["grown_shard"] in (r["shard"], shards)
+
+
 def test_weights_are_followed(spark):
     shards = [sharding.Shard(0, 0, 0, 3.0), sharding.Shard(1, 0, 1, 1.0), sharding.Shard(2, 1, 2, 4.0), sharding.Shard(3, 1, 2, 0.0)]
     n = {r[0]: r[1] for r in spark.range(40_000).groupBy(sharding.place(F.col("id"), shards)).count().collect()}
