@@ -7,13 +7,13 @@ read again as the next stage's docs. All but the last return the columns of docu
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperweave.llm.ngram_join import join_components
 from paperweave.llm.packing import pack_documents
 from paperweave.llm.repeats import remove_repeats
-from paperweave.llm.scratch import cut, modest, small
+from paperweave.llm.scratch import cut, drop, modest, small
 from paperweave.llm.secrets import redact
 from paperweave.llm.toxicity import score_documents
 
@@ -21,40 +21,54 @@ from paperweave.llm.toxicity import score_documents
 PASSAGE_WORDS = 40
 
 
+def _aside(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """docs with all columns but doc_id and text under names that no operator uses, and the columns that bring the old names back."""
+    names = [c if c in ("doc_id", "text") else f"own_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go. The model learns from labels of documents that are still there."""
+    """Documents predicted toxic go. The model learns from labels of documents that are still there. Null and empty texts, null doc_ids and repeated rows are scored like
+    others, very long texts whole; columns named like the scores stay as they are; an empty table gives no rows."""
     modest(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return score_documents(docs, labels).filter(F.col("predicted") == 0).select(*docs.columns)
+    own, back = _aside(docs)
+    return score_documents(own, labels).filter(F.col("predicted") == 0).select(*back)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a Jaccard similarity of 0.8 on five-word shingles, the one with the least
-    doc_id stays. Documents without a doc_id stay; rows that share one stay or go together."""
+    doc_id stays. Documents without a doc_id stay; rows that share one stay or go together, and so do null, empty and blank texts, which resemble nothing. An empty table gives no rows."""
     modest(spark)
     found = join_components(docs, n=5, percent=80)
     gone = cut(found.filter("component_id <> doc_id").select("doc_id").distinct())
+    drop(found)
     return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of PASSAGE_WORDS and more words stay only in the document with the least doc_id. A document of which
-    nothing is left goes."""
+    nothing is left goes; null, empty and blank texts stay. Rows with a null doc_id neither lose nor cause anything, rows that share a doc_id are one document;
+    columns named like the operator's stay as they are; an empty table gives no rows."""
     modest(spark)
-    kept = remove_repeats(docs, words=PASSAGE_WORDS).filter("n_words = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", chars).withColumn("text", text).select(*docs.columns)
+    own, back = _aside(docs)
+    kept = remove_repeats(own, words=PASSAGE_WORDS).filter("n_words = 0 or n_removed < n_words")
+    kept = kept.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
+    out = kept.select(*back, F.col("n_removed").alias("_removed"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
+    """Secrets are replaced by a mark; every document stays, with null and empty texts as they are and other columns untouched but n_chars."""
     modest(spark)
     return redact(docs).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents that are left, with their sequence and offset."""
+    """Pieces of the documents that are left, with their sequence and offset. Null and empty texts are a piece of the end id; repeated rows are packed one by one; very
+    long texts are cut; an empty table gives no rows."""
     modest(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
