@@ -2,27 +2,69 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with marks and the ASCII letters they are compared as; D with stroke is a letter of its own.
-MARKED = "ÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÑÇàáâãäåèéêëìíîïòóôõöùúûüýñçĐđßœæ"
-PLAIN = "AAAAAAEEEEIIIIOOOOOUUUUYNCaaaaaaeeeeiiiiooooouuuuyncDdsoa"
+
+
+def _unmarked() -> tuple[str, str, str]:
+    """By the rule of canonical decomposition: letters that are one letter with marks, those letters, and the marks that stand alone."""
+    letters, plain, marks = [], [], []
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]):
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+            continue
+        bare = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if len(bare) == 1 and bare != c:
+            letters.append(c)
+            plain.append(bare)
+    return "".join(letters), "".join(plain), "".join(marks)
+
+
+_LETTERS, _PLAIN, _MARKS = _unmarked()
+
+
+def unmarked(c: Column, *more: tuple[str, str]) -> Column:
+    """Decomposed, without combining marks: one translate, which deletes what has no counterpart. D with stroke does not decompose; more: (letters, their counterparts)."""
+    return F.translate(c, _LETTERS + "".join(a for a, _ in more) + _MARKS, _PLAIN + "".join(b for _, b in more))
 
 
 def normalized(c: Column, keep: str = "A-Z0-9\\s:/._#-") -> Column:
-    """Marks dropped, upper case, other characters than `keep` as spaces, runs of space as one. Null gives an empty string."""
-    plain = F.upper(F.translate(F.coalesce(c, F.lit("")), MARKED, PLAIN))
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, f"[^{keep}]", " "), "\\s+", " "))
+    """Marks dropped, upper case, then D with stroke as D, each run of space and of other characters than `keep` as one space. Null gives an empty string."""
+    plain = F.translate(F.upper(unmarked(F.coalesce(c, F.lit("")))), "\u0110", "D")
+    return F.trim(F.regexp_replace(plain, f"(?:\\s|[^{keep}])+", " "))
+
+
+def marker(c: Column) -> Column:
+    """For markers of forms: D with stroke first, marks dropped, upper case, spaces collapsed; all other characters stay."""
+    return F.trim(F.regexp_replace(F.upper(unmarked(F.coalesce(c, F.lit("")), ("\u0111\u0110", "dD"))), "(?U)\\s+", " "))
+
+
+def plain_upper(c: Column, stroke: bool = False) -> Column:
+    """Marks dropped and upper case, nothing else; D with stroke stays unless asked for."""
+    return F.upper(unmarked(F.coalesce(c, F.lit("")), *[("\u0111\u0110", "dD")] * stroke))
+
+
+def orientation_text(c: Column) -> Column:
+    """Marks dropped, upper case, all but letters, digits and space as spaces, one for one."""
+    return F.regexp_replace(plain_upper(c), "[^A-Z0-9\\s]", " ")
 
 
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
-def repaired_id(c: Column) -> Column:
-    """A leading I or L before digits only is a misread 1; blank is null."""
-    return F.regexp_replace(blank_to_null(c), "^[IL](?=\\d+$)", "1")
+def repaired_id(c: Column, known: dict[str, str] | None = None) -> Column:
+    """A leading I or L before digits only is a misread 1; then a table of known misreadings, if there is one. Blank is null."""
+    plain = F.regexp_replace(blank_to_null(c), "^[IL](?=\\d+$)", "1")
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in known.items() for x in pair)), plain), plain) if known else plain
+
+
+def contains_any(c: Column, *phrases: str) -> Column:
+    return reduce(Column.__or__, (F.contains(c, F.lit(p)) for p in phrases))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -37,7 +79,7 @@ def near_equal(a: Column, b: Column) -> Column:
 
 def natural_key(c: Column) -> Column:
     """Sorts like the text with its numbers by value: digit runs padded to twelve places."""
-    return F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit("(\\d+|\\D+)"), F.lit(1)), lambda p: F.when(p.rlike("^\\d+$"), F.lpad(p, 12, "0")).otherwise(p)), "")
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit("(\\d+|\\D+)"), F.lit(1)), lambda p: F.when(p.rlike("^\\d+$"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), F.greatest(F.length(p), F.lit(12)), "0")).otherwise(p)), "")
 
 
 def contains_term(c: Column, term: str) -> Column:

@@ -22,18 +22,18 @@ def checked(rules: Rules) -> Rules:
     return rules
 
 
-def candidates(text: Column, rules: Rules, fuzzy: bool = False) -> Column:
+def candidates(text: Column, rules: Rules, fuzzy: bool = False, threshold: float = 0.78, never_fuzzy: tuple[str, ...] = ()) -> Column:
     """Types found in a normalised text as structs (score, n, ord, type, phrase, exact), best first. An exact phrase scores 1 and a little
-    for its length; with fuzzy, phrases of 8 and more letters that are not there may score by their best window, from 0.78 on."""
+    for its length; with fuzzy, phrases of 8 and more letters that are not there, and hold none of `never_fuzzy`, may score by their best window, from the threshold on."""
     out = []
     for i, (name, phrases) in enumerate(checked(rules)):
         found = []
         for j, phrase in enumerate(phrases):
             exact = F.contains(text, F.lit(phrase))
             score = F.when(exact, F.lit(1 + min(len(phrase) / 100, 0.1)))
-            if fuzzy and len(phrase) >= 8:
+            if fuzzy and len(phrase) >= 8 and not any(x in phrase for x in never_fuzzy):
                 near = partial_ratio(F.lit(phrase), text) / 100
-                score = score.when(near >= 0.78, near)
+                score = score.when(near >= threshold, near)
             found.append(F.when(score.isNotNull(), F.struct(score.alias("raw"), F.lit(-j).alias("o"), F.lit(phrase).alias("phrase"), exact.alias("exact"))))
         best = F.array_max(F.array_compact(F.array(*found)))
         out.append(F.when(best.isNotNull(), F.struct(F.least(best["raw"], F.lit(1.0)).alias("score"), F.length(best["phrase"]).alias("n"), F.lit(-i).alias("ord"), F.lit(name).alias("type"), best["phrase"].alias("phrase"), best["exact"].alias("exact"))))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from paperweave.functions import text as tx
+
 from paperweave.functions.text import first_where
 
 
@@ -96,11 +98,27 @@ def expanded_box(x0: Column, y0: Column, x1: Column, y1: Column, margin: float)
     return [F.greatest(F.lit(0.0), x0 - margin), F.greatest(F.lit(0.0), y0 - margin), F.least(F.lit(1.0), x1 + margin), F.least(F.lit(1.0), y1 + margin)]
 
 
-def coerced(c: Column, kinds: str) -> Column:
-    """Letters read for digits, or digits for letters, set right place by place: kinds has D or L for each place."""
-    digit, letter = ("OQILZSB", "0011258"), ("01258", "OIZSB")
-    out = [F.translate(F.substring(c, i + 1, 1), *(digit if k == "D" else letter)) for i, k in enumerate(kinds)]
-    return F.when(F.length(c) == len(kinds), F.concat(*out))
+# What is read for a digit, and the digit; digits that are read for a letter, and the letter.
+READ_AS_DIGIT = ("IL|!()OSBZG?DJAT", "1111110582622347")
+READ_AS_LETTER = ("01582", "OISBZ")
+#: The places of digits and letters in an invoice symbol (others stay), how a raw one looks, and a well-formed one.
+SYMBOL_KINDS = "DLDDL--"
+RAW_SYMBOL = "(?<![0-9A-Z])([0-9A-ZD|!(){}\\[\\]?][CKG][0-9A-ZD?|!]{2}[A-Z][0-9A-Z]{2})(?![0-9A-Z])"
+SYMBOL = "^[1-6][CK][0-9]{2}[A-Z][A-Z]{2}"
+
+
+def coerced(c: Column, kinds: str = SYMBOL_KINDS) -> Column:
+    """Characters set right place by place, in upper case: kinds has D for a digit, L for a letter, anything else for a place left alone."""
+    upper = F.upper(c)
+    tables = {"D": READ_AS_DIGIT, "L": READ_AS_LETTER}
+    places = [F.substring(upper, i + 1, 1) for i in range(len(kinds))]
+    return F.concat(*(F.translate(x, *tables[k]) if k in tables else x for x, k in zip(places, kinds, strict=True)), F.substring(upper, len(kinds) + 1, 1 << 30))
+
+
+def invoice_symbol(text: Column, template: str = SYMBOL) -> Column:
+    """The first raw symbol of a text that fits the template once coerced, as a struct (raw, symbol); null if there is none."""
+    found = F.transform(F.regexp_extract_all(tx.marker(text), F.lit(RAW_SYMBOL), F.lit(1)), lambda r: F.struct(r.alias("raw"), coerced(r).alias("symbol")))
+    return F.get(F.filter(found, lambda x: x["symbol"].rlike(template)), F.lit(0))
 
 
 def variant(text: Column, markers: dict[str, str]) -> tuple[Column, Column]:

@@ -137,12 +137,18 @@ def expanded_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(*keys, *(c.alias(n) for c, n in zip(box, ("x0", "y0", "x1", "y1"), strict=True)))
 
 
-@query("""WITH x AS (SELECT p_partkey, 'I' || CASE p_partkey % 4 WHEN 0 THEN 'O5' WHEN 1 THEN 'Z8' WHEN 2 THEN '12' ELSE 'AB7' END AS raw FROM part)
-SELECT p_partkey, CASE WHEN length(raw) = 3 THEN translate(raw[1], '01258', 'OIZSB') || translate(raw[2], 'OQILZSB', '0011258') || translate(raw[3], 'OQILZSB', '0011258') END AS symbol FROM x""")
+_symbols = "CASE p_partkey % 6 WHEN 0 THEN 'IC2STAA' WHEN 1 THEN '1K2(T0B' WHEN 2 THEN 'ZG25TAB' WHEN 3 THEN '?CZ4MDE' WHEN 4 THEN 'AK|51XY' ELSE '9C25TAA' END"
+
+
+@query(f"""WITH x AS (SELECT p_partkey, unnest(range(1, 3)) AS i, unnest([{_symbols}, CASE WHEN p_partkey % 5 = 0 THEN '6K25MZZ' ELSE 'none' END]) AS raw FROM part),
+y AS (SELECT p_partkey, i, raw, translate(raw[1], 'IL|!()OSBZG?DJAT', '1111110582622347') AS a, translate(raw[2], '01582', 'OISBZ') AS b, translate(raw[3:4], 'IL|!()OSBZG?DJAT', '1111110582622347') AS c, translate(raw[5], '01582', 'OISBZ') AS d, raw[6:7] AS e
+  FROM x WHERE regexp_full_match(raw, '[0-9A-Z|!(){{}}\\[\\]?][CKG][0-9A-Z?|!]{{2}}[A-Z][0-9A-Z]{{2}}')),
+z AS (SELECT p_partkey, i, raw, a || b || c || d || e AS symbol FROM y)
+SELECT p.p_partkey, arg_min(z.raw, z.i) AS raw, arg_min(z.symbol, z.i) AS symbol FROM part p LEFT JOIN z ON z.p_partkey = p.p_partkey AND regexp_matches(z.symbol, '^[1-6][CK][0-9]{{2}}[A-Z][A-Z]{{2}}') GROUP BY 1""")
 def coerced_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey")
-    raw = F.concat(F.lit("I"), F.when(k % 4 == 0, "O5").when(k % 4 == 1, "Z8").when(k % 4 == 2, "12").otherwise("AB7"))
-    return table(spark, sf_dir, "part").select(k, records.coerced(raw, "LDD").alias("symbol"))
+    text = F.expr(f"concat('số ', {_symbols}, ' ', if(p_partkey % 5 = 0, '6K25MZZ', 'none'))")
+    got = records.invoice_symbol(text)
+    return table(spark, sf_dir, "part").select("p_partkey", got["raw"].alias("raw"), got["symbol"].alias("symbol"))
 
 
 @query("""WITH x AS (SELECT doc_id, contains(text, 'License') AS a, contains(text, 'token') AS b, contains(text, '@') AS c FROM documents), n AS (SELECT *, CAST(a AS INT) + CAST(b AS INT) + CAST(c AS INT) AS k FROM x)

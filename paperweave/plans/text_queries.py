@@ -23,7 +23,7 @@ def query(sql: str | None = None):
     return add
 
 
-_norm = f"trim(regexp_replace(regexp_replace(upper(translate(coalesce({{}}, ''), '{tx.MARKED}', '{tx.PLAIN}')), '[^A-Z0-9\\s:/._#-]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_norm = "trim(regexp_replace(regexp_replace(replace(upper(replace(strip_accents(coalesce({}, '')), 'ß', 'ss')), 'Đ', 'D'), '[^A-Z0-9\\s:/._#-]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
 @query(f"SELECT doc_id, length({_norm.format('text')}) AS n, md5({_norm.format('text')}) AS digest FROM documents")
