@@ -117,9 +117,9 @@ def assignments(documents: DataFrame) -> DataFrame:
 
 def matched_rules(documents: DataFrame, exceptions: DataFrame) -> DataFrame:
     """The first business exception that names one of a document's keys and does not exclude its system or invoice. exceptions: rule_ord, rule_id,
-    key_type, key_value, order_code, excluded_systems, excluded_invoices; a reference table, small."""
+    key_type, key_value, order_code, excluded_systems, excluded_invoices; Spark broadcasts it by its size."""
     keys = documents.select("doc_id", "system", "invoice_no", F.explode(F.array(*(F.struct(F.lit(k).alias("t"), F.col(k).alias("v")) for k in ("shipment_id", "transfer_order_no", *LINK_KEYS)))).alias("key")).filter("key.v is not null")
-    hits = keys.join(F.broadcast(exceptions), (F.col("key.t") == F.col("key_type")) & (F.col("key.v") == F.col("key_value")))
+    hits = keys.join(exceptions, (F.col("key.t") == F.col("key_type")) & (F.col("key.v") == F.col("key_value")))
     hits = hits.filter(~F.array_contains("excluded_systems", F.col("system")) & ~F.coalesce(F.array_contains("excluded_invoices", F.col("invoice_no")), F.lit(False)))
     return hits.groupBy("doc_id").agg(F.min_by(F.struct("rule_id", "order_code"), "rule_ord").alias("r")).select("doc_id", "r.*")
 
