@@ -5,8 +5,6 @@ documents: batch_id, dossier_id, doc_id, doc_type and the key fields as nullable
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,33 +24,35 @@ def compared(a: Column, b: Column, prefix: int | None = None) -> Column:
 
 def reconciliation(documents: DataFrame) -> DataFrame:
     """Evidence rows: orders against all invoices (4 characters make a partial match) and delivery notes (3) of the batch, invoices and
-    transfer slips against its loading plans, and invoices of one dossier against each other. All pairs come from one join by batch."""
+    transfer slips against its loading plans, and invoices of one dossier against each other. All pairs come from one join by batch and
+    rule, so that only types meet that a rule compares."""
     columns = ["batch_id", "dossier_id", "doc_id", "doc_type", "po_no", "invoice_no", "shipment_id", "transfer_order_no"]
-    a, b = documents.select(*columns).alias("a"), documents.select(*columns).alias("b")
+    kinds = [("PO", "HOA_DON"), ("PO", "PHIEU_GIAO_HANG"), ("HOA_DON", "LOADING_PLAN"), ("PXKKVCNB", "LOADING_PLAN"), ("HOA_DON", "HOA_DON")]
+
+    def taking_part(side: int) -> DataFrame:
+        return documents.select(*columns, F.explode(F.array_compact(F.array(*(F.when(F.col("doc_type") == k[side], i) for i, k in enumerate(kinds))))).alias("kind"))
 
-    def kinds(left: str, right: str) -> Column:
-        return (F.col("a.doc_type") == left) & (F.col("b.doc_type") == right)
+    a, b = taking_part(0).alias("a"), taking_part(1).alias("b")
 
-    def evidence(when: Column, field: str, left: str, right: str, prefix: int | None = None, turned: bool = False) -> Column:
+    def evidence(kind: int, field: str, left: str, right: str, prefix: int | None = None, turned: bool = False) -> Column:
         x, y = F.col(f"a.{left}"), F.col(f"b.{right}")
         sides = [F.col("a.doc_id"), F.col("b.doc_id"), x, y]
         if turned:
             sides = [sides[1], sides[0], y, x]
         named = [c.alias(n) for c, n in zip(sides, ("source_doc", "target_doc", "source_val", "target_val"), strict=True)]
         status = compared(x, y, prefix)
-        return F.when(when & status.isNotNull(), F.struct(F.lit(field).alias("field"), *named, status.alias("status")))
+        return F.when((F.col("a.kind") == kind) & status.isNotNull(), F.struct(F.lit(field).alias("field"), *named, status.alias("status")))
 
-    twins = kinds("HOA_DON", "HOA_DON") & (F.col("a.dossier_id") == F.col("b.dossier_id")) & (F.col("a.doc_id") < F.col("b.doc_id"))
     rules = [
-        (kinds("PO", "HOA_DON"), "po_no", "po_no", "po_no", 4, False),
-        (kinds("PO", "PHIEU_GIAO_HANG"), "po_no", "po_no", "po_no", 3, False),
-        (kinds("HOA_DON", "LOADING_PLAN"), "shipment_id", "shipment_id", "shipment_id", None, True),
-        (kinds("PXKKVCNB", "LOADING_PLAN"), "transfer_order_no", "transfer_order_no", "shipment_id", None, True),
-        (twins, "invoice_no", "invoice_no", "invoice_no", None, False),
-        (twins, "shipment_id", "shipment_id", "shipment_id", None, False),
+        (0, "po_no", "po_no", "po_no", 4, False),
+        (1, "po_no", "po_no", "po_no", 3, False),
+        (2, "shipment_id", "shipment_id", "shipment_id", None, True),
+        (3, "transfer_order_no", "transfer_order_no", "shipment_id", None, True),
+        (4, "invoice_no", "invoice_no", "invoice_no", None, False),
+        (4, "shipment_id", "shipment_id", "shipment_id", None, False),
     ]
-    wanted = reduce(Column.__or__, [r[0] for r in rules])
-    pairs = a.join(b, (F.col("a.batch_id") == F.col("b.batch_id")) & wanted)
+    twins = (F.col("a.dossier_id") == F.col("b.dossier_id")) & (F.col("a.doc_id") < F.col("b.doc_id"))
+    pairs = a.join(b, (F.col("a.batch_id") == F.col("b.batch_id")) & (F.col("a.kind") == F.col("b.kind"))).filter((F.col("a.kind") < 4) | twins)
     found = F.array_compact(F.array(*(evidence(*r) for r in rules)))
     return pairs.select(F.col("a.dossier_id").alias("dossier_id"), F.explode(found).alias("e")).select("dossier_id", "e.*")
 
@@ -95,10 +95,10 @@ def checklist(documents: DataFrame, batches: DataFrame, guidelines: DataFrame) -
     not mapped). A type may meet several rules; rules are counted, not types. Without mapped rules there is no verdict."""
     columns = ["batch_id", "rule_ord", "canonical_type", "name"]
     rules = guidelines.select("rule_ord", "form_code", "canonical_type", F.col("doc_type").alias("name"))
-    own = batches.join(F.broadcast(rules.filter("form_code <> '*'")), F.col("order_code") == F.col("form_code")).select(*columns)
+    own = batches.join(rules.filter("form_code <> '*'"), F.col("order_code") == F.col("form_code")).select(*columns)
     # rules for all forms: one row that holds them as an array, so that no cross join is planned
     common = rules.filter("form_code = '*'").agg(F.collect_list(F.struct("rule_ord", "canonical_type", "name")).alias("rules"), F.lit(1).alias("one"))
-    everywhere = batches.withColumn("one", F.lit(1)).join(F.broadcast(common), "one").select("batch_id", F.explode("rules").alias("r")).select("batch_id", "r.*")
+    everywhere = batches.withColumn("one", F.lit(1)).join(common, "one").select("batch_id", F.explode("rules").alias("r")).select("batch_id", "r.*")
     present = documents.groupBy("batch_id", F.col("doc_type").alias("canonical_type")).agg(F.count("*").alias("n"), F.sum("page_count").alias("pages"))
     rows = own.unionByName(everywhere).join(present, ["batch_id", "canonical_type"], "left")
     mapped = F.col("canonical_type").isNotNull()

@@ -10,7 +10,7 @@ from paperweave.sources.lineage import dropped, written
 
 def _stars(edges: DataFrame) -> bool:
     """Has every node one parent at most, and none that is a child itself?"""
-    roles = edges.select(F.col("a").alias("node"), F.col("b").alias("parent")).unionByName(edges.select(F.col("b").alias("node"), F.lit(None).cast("long").alias("parent")))
+    roles = edges.select(F.col("a").alias("node"), F.col("b").alias("parent")).unionByName(edges.select(F.col("b").alias("node"), F.lit(None).alias("parent")))
     told = roles.groupBy("node").agg(F.min("parent").alias("lo"), F.max("parent").alias("hi"), F.max(F.col("parent").isNull()).alias("leads"))
     return not told.filter("lo is not null and (leads or lo < hi)").limit(1).count()
 

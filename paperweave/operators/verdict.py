@@ -88,10 +88,13 @@ def page_class(zone_status: Column, n_targets: Column, exists: Column) -> Column
 def dossier_verdict(members: DataFrame, pages: DataFrame, targets: DataFrame, required_roles: DataFrame) -> DataFrame:
     """Verdicts of dossiers that span pages.
 
-    members: dossier_id, page_id. pages: page_id, channel (null if unresolved), zone_status, is_color. targets: page_id, role, detected, review_required.
-    required_roles: channel, role, with the strictest set under channel UNRESOLVED; it must be small, it is a policy. Roles count as found if
+    members: dossier_id, page_id. pages: page_id, channel (null if unresolved), zone_status, is_color. targets: page_id, role, detected, review_required and, optionally,
+    placed: a target for which the page has no box is none.
+    required_roles: channel, role, with the strictest set under channel UNRESOLVED; Spark broadcasts it by its size. Roles count as found if
     one page has them; a required role that no page measures, a missing or an abstaining page end in abstention; pages that disagree on the channel get the strictest set.
     """
+    if "placed" in targets.columns:
+        targets = targets.filter("placed")
     n = targets.groupBy("page_id").agg(F.count("*").alias("n_targets"))
     known = members.join(pages.withColumn("there", F.lit(True)), "page_id", "left").join(n, "page_id", "left")
     known = known.withColumn("class", page_class(F.col("zone_status"), F.coalesce("n_targets", F.lit(0)), F.coalesce("there", F.lit(False))))
@@ -103,7 +106,7 @@ def dossier_verdict(members: DataFrame, pages: DataFrame, targets: DataFrame, re
         F.coalesce(F.bool_and(F.when(F.col("class") == "SIGNATURE_BLOCK", F.col("is_color"))), F.lit(False)).alias("colour"),
     )
     measured = known.filter(F.col("class") == "SIGNATURE_BLOCK").join(targets, "page_id").groupBy("dossier_id", "role").agg(F.bool_or("detected").alias("detected"), F.bool_or("review_required").alias("review_required"))
-    wanted = shape.select("dossier_id", F.col("policy_channel").alias("channel")).join(F.broadcast(required_roles), "channel").select("dossier_id", "role", F.lit(True).alias("wanted"))
+    wanted = shape.select("dossier_id", F.col("policy_channel").alias("channel")).join(required_roles, "channel").select("dossier_id", "role", F.lit(True).alias("wanted"))
     roles = wanted.join(measured.withColumn("measured", F.lit(True)), ["dossier_id", "role"], "left")
     told = roles.groupBy("dossier_id").agg(
         F.count("*").alias("n_required"), F.count_if("detected").alias("n_found"), F.count_if("review_required").alias("n_review"), F.count_if(F.col("measured").isNull()).alias("n_unmeasured")
@@ -150,10 +153,10 @@ def attempts_in_window(attempts: DataFrame, account: str, window_minutes: int, l
     seconds = F.col("ts").cast("timestamp").cast("long")
     upto = W.partitionBy(account).orderBy("sec")
     reset = F.max(F.when(F.col("kind").isin("SUCCESS", "RESET"), F.col("sec"))).over(upto.rangeBetween(W.unboundedPreceding, 0))
-    window = upto.rangeBetween(-60 * window_minutes, 0)
     rows = attempts.withColumn("sec", seconds).withColumn("reset_sec", reset)
-    # fails since the reset: those of the window less those up to the reset
-    fails = F.filter(F.collect_list(F.when(F.col("kind") == "FAIL", F.col("sec"))).over(window), lambda s: F.col("reset_sec").isNull() | (s > F.col("reset_sec")))
-    rows = rows.withColumn("recent", fails).withColumn("n_fails", F.size("recent"))
-    until = F.when(F.col("n_fails") >= max_fails, F.array_max("recent") + 60 * lock_minutes)
-    return rows.withColumn("locked_until_sec", until).withColumn("remaining_sec", F.greatest(F.lit(1), until - F.col("sec"))).drop("recent", "reset_sec")
+    # attempts between two resets are a partition of their own, in which the window counts and keeps no list
+    window = W.partitionBy(account, "reset_sec").orderBy("sec").rangeBetween(-60 * window_minutes, 0)
+    fail = F.when((F.col("kind") == "FAIL") & F.coalesce(F.col("sec") > F.col("reset_sec"), F.lit(True)), F.col("sec"))
+    rows = rows.withColumn("n_fails", F.count(fail).over(window).cast("int")).withColumn("last_fail", F.max(fail).over(window))
+    until = F.when(F.col("n_fails") >= max_fails, F.col("last_fail") + 60 * lock_minutes)
+    return rows.withColumn("locked_until_sec", until).withColumn("remaining_sec", F.greatest(F.lit(1), until - F.col("sec"))).drop("last_fail", "reset_sec")

@@ -53,9 +53,8 @@ def dossier_match_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.match_status(papers, audit.reconciliation(papers))
 
 
-#: The quarter's order lines; over all lines the keys would join nearly everything.
-_QUARTER = "l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1997-04-03'"
-_DOSSIERS = "SELECT DISTINCT concat('B', l_suppkey % 5) AS batch_id, concat(l_orderkey, '-', l_linenumber, '-', l_partkey) AS doc_id, CASE WHEN l_linenumber % 3 > 0 THEN concat('P', l_partkey) END AS po_no, CASE WHEN l_linenumber % 4 > 0 THEN concat('I', l_orderkey) END AS invoice_no, CAST(NULL AS {string}) AS pxk_no FROM {lineitem} WHERE " + _QUARTER
+#: All order lines: lines of six neighbouring orders share an order number, and lines of an order an invoice.
+_DOSSIERS = "SELECT DISTINCT concat('B', l_suppkey % 5) AS batch_id, concat(l_orderkey, '-', l_linenumber, '-', l_partkey) AS doc_id, CASE WHEN l_linenumber % 3 > 0 THEN concat('P', CAST(floor(l_orderkey / 6) AS BIGINT), '-', l_partkey % 2) END AS po_no, CASE WHEN l_linenumber % 4 > 0 THEN concat('I', l_orderkey) END AS invoice_no, CAST(NULL AS {string}) AS pxk_no FROM {lineitem}"
 
 
 @query(f"""WITH RECURSIVE p AS ({_DOSSIERS.format(string='VARCHAR', lineitem='lineitem')}), k AS (SELECT batch_id, doc_id, 'p' || po_no AS key FROM p WHERE po_no IS NOT NULL UNION SELECT batch_id, doc_id, 'i' || invoice_no FROM p WHERE invoice_no IS NOT NULL),

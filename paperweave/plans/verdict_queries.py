@@ -81,10 +81,10 @@ def channel_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _dossiers = f"""{_targets}, mem AS (SELECT o_custkey AS dossier_id, o_orderkey AS page_id FROM orders UNION ALL SELECT c_custkey, -c_custkey FROM customer WHERE c_custkey % 50 = 0),
 pg AS (SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 211 = 0 THEN 'RETAIL' ELSE {_channel} END AS channel, CASE WHEN o_orderkey % 97 = 0 THEN 'ABSTAIN' WHEN o_orderkey % 4 > 0 THEN 'PAGE_1_NO_SIGNATURES' ELSE 'OK' END AS zone_status, o_orderstatus <> 'F' AS is_color FROM orders JOIN customer ON c_custkey = o_custkey),
-tt AS (SELECT * FROM t WHERE doc_id % 4 = 0 AND doc_id % 97 > 0), roles(channel, role) AS (VALUES {_roles}),
-k AS (SELECT dossier_id, m.page_id, channel, is_color, p.page_id IS NOT NULL AS there, CASE WHEN p.page_id IS NULL THEN 'MISSING' WHEN n > 0 THEN 'SIGNATURE_BLOCK' WHEN zone_status = 'PAGE_1_NO_SIGNATURES' THEN 'PAGE_1_NO_BLOCK' ELSE 'BLOCK_ABSTAIN' END AS class FROM mem m LEFT JOIN pg p ON m.page_id = p.page_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM tt GROUP BY 1) ON doc_id = m.page_id),
+tt AS (SELECT *, doc_id % 4 = 0 AND doc_id % 97 > 0 AS placed FROM t), roles(channel, role) AS (VALUES {_roles}),
+k AS (SELECT dossier_id, m.page_id, channel, is_color, p.page_id IS NOT NULL AS there, CASE WHEN p.page_id IS NULL THEN 'MISSING' WHEN n > 0 THEN 'SIGNATURE_BLOCK' WHEN zone_status = 'PAGE_1_NO_SIGNATURES' THEN 'PAGE_1_NO_BLOCK' ELSE 'BLOCK_ABSTAIN' END AS class FROM mem m LEFT JOIN pg p ON m.page_id = p.page_id LEFT JOIN (SELECT doc_id, count(*) FILTER (placed) AS n FROM tt GROUP BY 1) ON doc_id = m.page_id),
 shape AS (SELECT dossier_id, count(*) AS n_pages, count(*) FILTER (class = 'SIGNATURE_BLOCK') AS n_blocks, bool_or(class IN ('MISSING', 'BLOCK_ABSTAIN')) AS abstains, CASE WHEN count(DISTINCT channel) = 1 AND bool_and(channel IS NOT NULL OR NOT there) THEN min(channel) ELSE 'UNRESOLVED' END AS policy_channel, coalesce(bool_and(is_color) FILTER (class = 'SIGNATURE_BLOCK'), false) AS is_color FROM k GROUP BY 1),
-meas AS (SELECT dossier_id, role, bool_or(detected) AS detected, bool_or(review_required) AS rev FROM k JOIN tt ON tt.doc_id = k.page_id WHERE class = 'SIGNATURE_BLOCK' GROUP BY 1, 2),
+meas AS (SELECT dossier_id, role, bool_or(detected) AS detected, bool_or(review_required) AS rev FROM k JOIN tt ON tt.doc_id = k.page_id WHERE class = 'SIGNATURE_BLOCK' AND placed GROUP BY 1, 2),
 told AS (SELECT s.dossier_id, count(*) AS n_required, count(*) FILTER (detected) AS n_found, count(*) FILTER (rev) AS n_review, count(*) FILTER (m.role IS NULL) AS n_unmeasured FROM shape s JOIN roles r ON r.channel = s.policy_channel LEFT JOIN meas m ON m.dossier_id = s.dossier_id AND m.role = r.role GROUP BY 1)
 SELECT dossier_id, n_pages, n_blocks, policy_channel, n_required, n_found, CASE WHEN abstains THEN 'CHUA_CHUAN_HOA_VUNG_KY' WHEN n_blocks = 0 THEN 'KHONG_TIM_THAY_KHOI_KY' WHEN n_unmeasured > 0 THEN 'CHUA_CHUAN_HOA_VUNG_KY' {_ladder.format("CHUA_CHUAN_HOA_VUNG_KY", "CAN_KIEM_TRA_TAY", "DAT_CHUAN_GOC", "DAT_CHUAN_PHOTO", "CHUA_KY_DONG_DAU", "THIEU_MOT_SO_CHU_KY")} AS doc_status FROM shape JOIN told USING (dossier_id)"""
 
@@ -98,20 +98,20 @@ def dossier_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     channel = F.when(k % 211 == 0, "RETAIL").otherwise(verdict.channel_of(F.col("c_mktsegment"), UNRESOLVED_SYSTEMS, EXACT, PREFIXES))
     zone = F.when(k % 97 == 0, "ABSTAIN").when(k % 4 > 0, "PAGE_1_NO_SIGNATURES").otherwise("OK")
     pages = orders.join(customer, F.col("c_custkey") == F.col("o_custkey")).select(k.alias("page_id"), channel.alias("channel"), zone.alias("zone_status"), (F.col("o_orderstatus") != "F").alias("is_color"))
-    targets = view(spark, sf_dir, TARGETS).filter("doc_id % 4 = 0 and doc_id % 97 > 0").withColumnRenamed("doc_id", "page_id")
+    targets = view(spark, sf_dir, TARGETS).withColumn("placed", F.expr("doc_id % 4 = 0 and doc_id % 97 > 0")).withColumnRenamed("doc_id", "page_id")
     roles = spark.createDataFrame([(c, r) for c, rs in ROLES.items() for r in rs], "channel string, role string")
     return verdict.dossier_verdict(members, pages, targets, roles)
 
 
-_reviews = """rv AS (SELECT user_id % 40 AS doc_id, concat('role', event_id % 3) AS role_key, event_id AS review_id, ts AS created_at, CASE WHEN event_id % 17 = 0 THEN 'other' ELSE concat('role', event_id % 3) END AS role, CASE event_type WHEN 'click' THEN 'SIGNED' WHEN 'view' THEN 'NOT_SIGNED' ELSE 'UNCLEAR' END AS decision FROM events WHERE event_type IN ('click', 'view', 'purchase')),
+_reviews = """rv AS (SELECT event_id // 3 AS doc_id, concat('role', event_id % 2 + 1) AS role_key, event_id AS review_id, ts AS created_at, CASE WHEN event_id % 17 = 0 THEN 'other' ELSE concat('role', event_id % 2 + 1) END AS role, CASE event_type WHEN 'click' THEN 'SIGNED' WHEN 'view' THEN 'NOT_SIGNED' ELSE 'UNCLEAR' END AS decision FROM events WHERE event_type IN ('click', 'view', 'purchase')),
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, role_key ORDER BY created_at DESC, review_id DESC) AS k FROM rv) WHERE k = 1)"""
 
 
 def _review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "view", "purchase"))
-    role = F.concat(F.lit("role"), F.col("event_id") % 3)
+    role = F.concat(F.lit("role"), F.col("event_id") % 2 + 1)
     decision = F.when(F.col("event_type") == "click", "SIGNED").when(F.col("event_type") == "view", "NOT_SIGNED").otherwise("UNCLEAR")
-    return e.select((F.col("user_id") % 40).alias("doc_id"), role.alias("role_key"), F.col("event_id").alias("review_id"), F.col("ts").alias("created_at"), F.when(F.col("event_id") % 17 == 0, "other").otherwise(role).alias("role"), decision.alias("decision"))
+    return e.select(F.floor(F.col("event_id") / 3).alias("doc_id"), role.alias("role_key"), F.col("event_id").alias("review_id"), F.col("ts").alias("created_at"), F.when(F.col("event_id") % 17 == 0, "other").otherwise(role).alias("role"), decision.alias("decision"))
 
 
 @query(f"WITH {_reviews} SELECT doc_id, role_key, review_id, role, decision, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created FROM last")
@@ -120,15 +120,13 @@ def latest_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "role_key", "review_id", "role", "decision", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"))
 
 
-_effective = f"""{_reviews}, m AS (SELECT r AS doc_id, concat('role', q) AS role_key, concat('role', q) AS role, (r + q) % 2 = 0 AS detected, (r * q) % 5 = 4 AS review_required, q < 2 AS required FROM range(0, 60) a(r), range(0, 3) b(q)),
+_effective = f"""{_reviews}, {_targets}, m AS (SELECT doc_id, role AS role_key, role, detected, review_required, required FROM t),
 e AS (SELECT m.doc_id, m.role_key, m.role, m.required, m.detected AS machine, CASE WHEN l.role = m.role THEN l.decision END AS d, m.detected AS det0, m.review_required AS rev0 FROM m LEFT JOIN last l USING (doc_id, role_key)),
 eff AS (SELECT *, CASE d WHEN 'SIGNED' THEN true WHEN 'NOT_SIGNED' THEN false ELSE det0 END AS detected, CASE WHEN d = 'UNCLEAR' THEN true WHEN d IS NOT NULL THEN false ELSE rev0 END AS review_required FROM e)"""
 
 
 def _effective_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r, q = F.floor(F.col("id") / 3), F.col("id") % 3
-    role = F.concat(F.lit("role"), q.cast("string"))
-    machine = spark.range(180).select(r.alias("doc_id"), role.alias("role_key"), role.alias("role"), ((r + q) % 2 == 0).alias("detected"), ((r * q) % 5 == 4).alias("review_required"), (q < 2).alias("required"))
+    machine = view(spark, sf_dir, TARGETS).select("doc_id", F.col("role").alias("role_key"), "role", "detected", "review_required", "required")
     return verdict.effective_targets(machine, verdict.latest_reviews(_review_rows(spark, sf_dir), "doc_id", "role_key"), "doc_id", "role_key")
 
 

@@ -17,7 +17,8 @@ def read_events(spark: SparkSession, folder: str, schema: T.StructType, name: st
 
 
 def windowed_fails(events: DataFrame, account: str, length: str, late: str, slide: str | None = None) -> DataFrame:
-    """Fails of each account in tumbling or sliding windows; rows later than the watermark allows are left out, and closed windows leave the state."""
+    """Fails of each account in tumbling or sliding windows; in append and update mode rows later than the watermark allows are left out
+    and closed windows leave the state, in complete mode all windows stay."""
     window = F.window("ts", length, slide) if slide else F.window("ts", length)
     told = events.withWatermark("ts", late).groupBy(window.alias("w"), account).agg(F.count("*").alias("n_fails"), F.max("ts").alias("last_fail"))
     return told.select(account, F.col("w.start").alias("window_start"), "n_fails", "last_fail")
