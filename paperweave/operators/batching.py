@@ -6,10 +6,9 @@ documents: doc_id, position, doc_type, system and the key fields as nullable str
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paperweave.sources.lineage import written
+from paperweave.sources.lineage import dropped, written
 
 LINK_KEYS = ("po_no", "invoice_no", "pxk_no")
 #: Fixed values of the rules.
@@ -42,35 +41,41 @@ def order_anchors(documents: DataFrame, anchors: DataFrame, shared: DataFrame) -
 def linked(documents: DataFrame, anchors: DataFrame) -> DataFrame:
     """Documents that share an order key with an anchored one, or with an earlier one that is linked itself: doc_id, parent, batch_id.
 
-    Edges do not change while documents are assigned, so which ones are is reachability, found level by level; a document's parent is
-    the assigned candidate that was assigned first: anchors in their order, then others by position. Following parents to the anchor is pointer doubling.
+    Documents never meet each other. The members of a key are told by cells of one system and shipment, and of what a cell has reached only its first
+    member matters: anchors in their order, then others by position. A round meets the documents of a key with the heads of its cells; a document's
+    parent is the first head that it may follow. Following parents to the anchor is pointer doubling.
     """
-    rank = F.struct(F.when(F.col("anchored"), 0).when(F.col("opened"), 1).otherwise(2).alias("level"), "position", "doc_id")
-    known = anchors.select("doc_id", F.lit(True).alias("is_anchor"), (F.col("identity_type") == "BUSINESS_KEY").alias("opens"))
-    docs = documents.join(known, "doc_id", "left").withColumn("opened", F.coalesce("opens", F.lit(False))).withColumn("anchored", F.coalesce("is_anchor", F.lit(False)) & ~F.col("opened"))
-    docs = docs.withColumn("rank", rank).select("doc_id", "position", "system", "shipment_id", "anchored", "opened", "rank", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in LINK_KEYS))).alias("key")).filter("key.value is not null")
-    d, a = docs.filter("not anchored and not opened").alias("d"), docs.alias("a")
-    may = (F.col("d.system") == "COMMON") | (F.col("a.system") == "COMMON") | (F.col("d.system") == F.col("a.system"))
-    same = F.coalesce(F.col("d.shipment_id") == F.col("a.shipment_id"), F.lit(True))
-    before = F.col("a.anchored") | F.col("a.opened") | (F.col("a.position") < F.col("d.position"))
-    edges = d.join(a, F.col("d.key") == F.col("a.key")).filter(may & same & before & (F.col("d.doc_id") != F.col("a.doc_id")))
-    edges = written(edges.select(F.col("d.doc_id").alias("doc_id"), F.col("a.doc_id").alias("parent"), F.col("a.rank").alias("rank")).distinct())
-    reached = written(anchors.select("doc_id").distinct())
-    count = reached.count()
+    known = anchors.select("doc_id", (F.col("identity_type") == "BUSINESS_KEY").alias("opens"))
+    level = F.when(F.col("opens").isNull(), 2).when(F.col("opens"), 1).otherwise(0)
+    docs = documents.join(known, "doc_id", "left").withColumn("rank", F.struct(level.alias("level"), "position", "doc_id"))
+    keys = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in LINK_KEYS))).alias("key")
+    docs = written(docs.select("doc_id", "position", "system", "shipment_id", "rank", keys).filter("key.value is not null"))
+    open_ = docs.filter("rank.level = 2")
+
+    def followed(reached: DataFrame) -> DataFrame:
+        """doc_id and the ranks of the heads that it may follow."""
+        heads = docs.join(reached, "doc_id", "left_semi").groupBy("key", F.col("system").alias("s"), F.col("shipment_id").alias("ship")).agg(F.min("rank").alias("head"))
+        may = (F.col("system") == "COMMON") | (F.col("s") == "COMMON") | (F.col("system") == F.col("s"))
+        same = F.coalesce(F.col("shipment_id") == F.col("ship"), F.lit(True))
+        before = (F.col("head.level") < 2) | (F.col("head.position") < F.col("position"))
+        return open_.join(heads, "key").filter(may & same & before & (F.col("head.doc_id") != F.col("doc_id")))
+
+    start = written(anchors.select("doc_id").distinct())
+    reached, count = start, start.count()
     while True:
-        more = edges.join(reached.withColumnRenamed("doc_id", "parent"), "parent", "left_semi").select("doc_id")
-        reached = written(reached.unionByName(more).distinct())
+        before, reached = reached, written(start.unionByName(followed(reached).select("doc_id")).distinct())
         now = reached.count()
         if now == count:
             break
         count = now
-    parents = edges.join(reached.withColumnRenamed("doc_id", "parent"), "parent", "left_semi").groupBy("doc_id").agg(F.min_by("parent", "rank").alias("parent"))
+        if before is not start:
+            dropped(before)
+    parents = followed(reached).groupBy("doc_id").agg(F.min("head")["doc_id"].alias("parent"))
     roots = written(parents.select("doc_id", "parent", F.col("parent").alias("top")))
-    while True:
+    while not roots.join(roots.select(F.col("doc_id").alias("top")), "top", "left_semi").isEmpty():
         up = roots.select(F.col("doc_id").alias("top"), F.col("top").alias("next"))
-        roots = written(roots.join(up, "top", "left").select("doc_id", "parent", F.coalesce("next", "top").alias("top")))
-        if roots.join(roots.select(F.col("doc_id").alias("top")), "top", "left_semi").isEmpty():
-            break
+        before, roots = roots, written(roots.join(up, "top", "left").select("doc_id", "parent", F.coalesce("next", "top").alias("top")))
+        dropped(before)
     return roots.join(anchors.select(F.col("doc_id").alias("top"), "batch_id"), "top").select("doc_id", "parent", "batch_id")
 
 
@@ -122,8 +127,3 @@ def matched_rules(documents: DataFrame, exceptions: DataFrame) -> DataFrame:
     hits = keys.join(exceptions, (F.col("key.t") == F.col("key_type")) & (F.col("key.v") == F.col("key_value")))
     hits = hits.filter(~F.array_contains("excluded_systems", F.col("system")) & ~F.coalesce(F.array_contains("excluded_invoices", F.col("invoice_no")), F.lit(False)))
     return hits.groupBy("doc_id").agg(F.min_by(F.struct("rule_id", "order_code"), "rule_ord").alias("r")).select("doc_id", "r.*")
-
-
-def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key."""
-    return df.withColumn("rank__", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("rank__ = 1").drop("rank__")
