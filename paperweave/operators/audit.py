@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperweave.operators.components import components_by_key
+from paperweave.sources.lineage import written
 
 ORDER_KEYS = ("po_no", "invoice_no", "pxk_no")
 
@@ -113,3 +114,18 @@ def checklist(documents: DataFrame, batches: DataFrame, guidelines: DataFrame) -
     status = F.when(F.col("applicable_rules") == 0, "KHONG_CO_QUY_CHUAN").when(F.col("n_missing") == 0, "HOAN_HAO").when(F.col("n_missing") == 1, "CANH_BAO_THIEU").otherwise("THIEU_CHUNG_TU")
     out = batches.select("batch_id").join(out, "batch_id", "left").fillna(0, ["applicable_rules", "unmapped_rules", "n_missing", "matched_pages"]).fillna("", ["missing_documents"])
     return out.withColumn("overall_status", status)
+
+
+def audited_batches(documents: DataFrame, batches: DataFrame, guidelines: DataFrame) -> DataFrame:
+    """The whole audit of assigned documents (with batch_id and page_count): dossiers, reconciliation and checklist, told for each batch. batches: batch_id, order_code."""
+    inside = documents.select("doc_id", *(F.when(F.col(k).isNotNull(), F.concat_ws("\u0001", "batch_id", k)).alias(k) for k in ORDER_KEYS))
+    rows = written(documents.join(components_by_key(inside, "doc_id", *ORDER_KEYS).withColumnRenamed("root", "dossier_id"), "doc_id"))
+    status = match_status(rows, reconciliation(rows)).join(rows.select("dossier_id", "batch_id").distinct(), "dossier_id")
+    told = status.groupBy("batch_id").agg(
+        F.sum("n_docs").alias("n_docs"),
+        F.count("*").alias("n_dossiers"),
+        F.sum("n_evidence").alias("n_evidence"),
+        F.count_if(F.col("match_status") == "XUNG_DOT").alias("n_conflicts"),
+        F.count_if(F.col("match_status") == "KHOP_HOAN_TOAN").alias("n_whole"),
+    )
+    return told.join(checklist(documents, batches, guidelines).select("batch_id", "n_missing", "missing_documents", "overall_status"), "batch_id")

@@ -32,9 +32,9 @@ UNION ALL SELECT a.dossier_id, 'po_no', a.doc_id, b.doc_id, a.po_no, b.po_no, {_
 UNION ALL SELECT a.dossier_id, 'shipment_id', b.doc_id, a.doc_id, b.shipment_id, a.shipment_id, CASE WHEN a.shipment_id = b.shipment_id THEN 'MATCH' ELSE 'MISMATCH' END
   FROM papers a JOIN papers b USING (batch_id) WHERE a.doc_type = 'HOA_DON' AND b.doc_type = 'LOADING_PLAN' AND a.shipment_id IS NOT NULL AND b.shipment_id IS NOT NULL
 UNION ALL SELECT a.dossier_id, 'transfer_order_no', b.doc_id, a.doc_id, b.shipment_id, a.transfer_order_no, CASE WHEN a.transfer_order_no = b.shipment_id THEN 'MATCH' ELSE 'MISMATCH' END
-  FROM papers a JOIN papers b USING (batch_id) WHERE a.doc_type = 'PXKKVCNB' AND b.doc_type = 'LOADING_PLAN' AND b.shipment_id IS NOT NULL
+  FROM papers a JOIN papers b USING (batch_id) WHERE a.doc_type = 'PXKKVCNB' AND b.doc_type = 'LOADING_PLAN' AND a.transfer_order_no IS NOT NULL AND b.shipment_id IS NOT NULL
 UNION ALL SELECT a.dossier_id, 'invoice_no', a.doc_id, b.doc_id, a.invoice_no, b.invoice_no, CASE WHEN a.invoice_no = b.invoice_no THEN 'MATCH' ELSE 'MISMATCH' END
-  FROM papers a JOIN papers b USING (batch_id, dossier_id) WHERE a.doc_type = 'HOA_DON' AND b.doc_type = 'HOA_DON' AND a.doc_id < b.doc_id
+  FROM papers a JOIN papers b USING (batch_id, dossier_id) WHERE a.doc_type = 'HOA_DON' AND b.doc_type = 'HOA_DON' AND a.doc_id < b.doc_id AND a.invoice_no IS NOT NULL AND b.invoice_no IS NOT NULL
 UNION ALL SELECT a.dossier_id, 'shipment_id', a.doc_id, b.doc_id, a.shipment_id, b.shipment_id, CASE WHEN a.shipment_id = b.shipment_id THEN 'MATCH' ELSE 'MISMATCH' END
   FROM papers a JOIN papers b USING (batch_id, dossier_id) WHERE a.doc_type = 'HOA_DON' AND b.doc_type = 'HOA_DON' AND a.doc_id < b.doc_id AND a.shipment_id IS NOT NULL AND b.shipment_id IS NOT NULL)"""
 
@@ -203,3 +203,28 @@ def business_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT batch_id, concat('{{"batch_id":"', batch_id, '","n":', count(*), ',"documents":[', string_agg(concat('{{"doc_id":"', doc_id, '","doc_type":"', doc_type, '"}}'), ',' ORDER BY doc_id, doc_type), ']}}') AS manifest FROM r GROUP BY batch_id""")
 def batch_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(view(spark, sf_dir, PAPERS), "batch_id", "doc_id", "doc_type")
+
+
+_audited = f"""WITH RECURSIVE sh AS ({sql_text(SHIPPED)}), asg AS (SELECT doc_id, batch_id FROM ({SQL["batch_assignments"]})), docs AS (SELECT sh.*, batch_id FROM sh JOIN asg USING (doc_id)),
+keyed AS (SELECT batch_id, doc_id, 'p' || po_no AS key FROM docs WHERE po_no IS NOT NULL UNION SELECT batch_id, doc_id, 'i' || invoice_no FROM docs WHERE invoice_no IS NOT NULL),
+edge AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM keyed a JOIN keyed b USING (batch_id, key)),
+reach AS (SELECT doc_id AS node, doc_id AS seen FROM docs UNION SELECT reach.node, edge.b FROM reach JOIN edge ON edge.a = reach.seen),
+papers AS (SELECT docs.*, dossier_id FROM docs JOIN (SELECT node AS doc_id, min(seen) AS dossier_id FROM reach GROUP BY 1) USING (doc_id)),
+{_evidence[len(_papers) + 2:]},
+e AS (SELECT dossier_id, count(*) AS n_evidence, bool_or(status = 'MISMATCH') AS mis, bool_or(status IN ('MATCH', 'PARTIAL_MATCH')) AS mat, bool_or(status LIKE 'MISSING%') AS gone FROM ev GROUP BY 1),
+dos AS (SELECT batch_id, dossier_id, count(*) AS n_docs FROM papers GROUP BY 1, 2),
+told AS (SELECT batch_id, CAST(sum(n_docs) AS BIGINT) AS n_docs, count(*) AS n_dossiers, CAST(sum(coalesce(n_evidence, 0)) AS BIGINT) AS n_evidence, count(*) FILTER (mis) AS n_conflicts, count(*) FILTER (NOT mis AND mat AND NOT gone) AS n_whole FROM dos LEFT JOIN e USING (dossier_id) GROUP BY 1),
+rules(rule_ord, form_code, name, canonical_type) AS (VALUES {_rules}), present AS (SELECT DISTINCT batch_id, doc_type AS canonical_type FROM docs),
+x AS (SELECT b.batch_id, r.*, p.batch_id IS NOT NULL AS there FROM told b LEFT JOIN rules r ON r.form_code IN (CAST(length(b.batch_id) % 4 AS VARCHAR), '*') LEFT JOIN present p ON p.batch_id = b.batch_id AND p.canonical_type = r.canonical_type),
+g AS (SELECT batch_id, count(*) FILTER (canonical_type IS NOT NULL) AS n_rules, count(*) FILTER (canonical_type IS NOT NULL AND NOT there) AS n_missing, coalesce(string_agg(name, ',' ORDER BY rule_ord) FILTER (canonical_type IS NOT NULL AND NOT there), '') AS missing_documents FROM x GROUP BY 1)
+SELECT told.*, n_missing, missing_documents, CASE WHEN n_rules = 0 THEN 'KHONG_CO_QUY_CHUAN' WHEN n_missing = 0 THEN 'HOAN_HAO' WHEN n_missing = 1 THEN 'CANH_BAO_THIEU' ELSE 'THIEU_CHUNG_TU' END AS overall_status FROM told JOIN g USING (batch_id)"""
+
+
+@query(_audited)
+def audited_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to batches to dossiers to evidence and checklist, each on what the last gave."""
+    shipped = view(spark, sf_dir, SHIPPED)
+    documents = shipped.join(batching.assignments(shipped).select("doc_id", "batch_id"), "doc_id").withColumn("page_count", F.lit(1))
+    batches = documents.select("batch_id").distinct().withColumn("order_code", (F.length("batch_id") % 4).cast("string"))
+    rules = spark.createDataFrame([(i, f, n, t) for i, (f, t, n) in enumerate(GUIDELINES)], "rule_ord int, form_code string, doc_type string, canonical_type string")
+    return audit.audited_batches(documents, batches, rules)
