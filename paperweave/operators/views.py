@@ -95,3 +95,42 @@ def rule_accuracy(rules: DataFrame, evidence: DataFrame) -> DataFrame:
     first = hits.groupBy("rule_id").agg(F.min_by("status", "position").alias("actual"))
     rows = rules.join(first, "rule_id", "left").withColumn("actual", F.coalesce("actual", F.lit("NOT_FOUND")))
     return rows.withColumn("correct", F.col("actual") == F.col("expected"))
+
+
+def job_state(jobs: DataFrame) -> DataFrame:
+    """The newest job of each group as the status page shows it; ties go to the greater id. jobs: group_id, job_id, status, stage, stage_done, stage_total, percent, message, created_at."""
+    shown = F.struct("job_id", "status", "stage", "stage_done", "stage_total", "percent", "message", "created_at")
+    return jobs.groupBy("group_id").agg(F.max_by(shown, F.struct("created_at", "job_id")).alias("job")).select("group_id", "job.*")
+
+
+def in_order(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with their place in a total order, from range-partitioned counts: no task sees more than its range.
+
+    The place of a row is its place in its range and the rows of the ranges before; ranges are written, so both reads see the same rows."""
+    from paperweave.sources.lineage import written
+
+    ranged = written(rows.repartitionByRange(*order).withColumn("range__", F.spark_partition_id()))
+    counts = ranged.groupBy("range__").agg(F.count("*").alias("n"))
+    upto = W.orderBy("range__").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("range__", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    place = F.row_number().over(W.partitionBy("range__").orderBy(*order)) + F.col("before")
+    return ranged.join(starts, "range__").withColumn("place", place).drop("range__", "before")
+
+
+def in_scope_files(pages: DataFrame, scope: list[str]) -> DataFrame:
+    """Files of the types in scope, in order."""
+    return in_order(pages.filter(F.coalesce("doc_type", F.lit("UNKNOWN")).isin(scope)).select("file_name"), "file_name")
+
+
+def scorable(rows: DataFrame, label: str, yes: str = "YES", no: str = "NO") -> DataFrame:
+    """Rows that can be scored: those whose label is one of the two; ambiguous and unknown ones are left out, and nothing is guessed for them."""
+    return rows.filter(F.col(label).isin(yes, no))
+
+
+def parity_counts(ours: DataFrame, theirs: DataFrame, key: str, stages: dict[str, list[str]]) -> DataFrame:
+    """For each stage: rows compared, fields that differ and files with a difference. stages: name -> fields; a file that the other side lacks differs in all fields that are not null."""
+    other = theirs.select(key, *(F.col(f).alias(f"their_{f}") for fs in stages.values() for f in fs))
+    rows = ours.join(other, key, "left")
+    differ = [F.struct(F.lit(s).alias("stage"), sum((~F.col(f).eqNullSafe(F.col(f"their_{f}"))).cast("int") for f in fs).alias("n")) for s, fs in stages.items()]
+    told = rows.select(F.explode(F.array(*differ)).alias("d")).select("d.*")
+    return told.groupBy("stage").agg(F.count("*").alias("n_compared"), F.sum("n").alias("n_diffs"), F.count_if(F.col("n") > 0).alias("n_files"))

@@ -281,3 +281,36 @@ def rule_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("position"), F.lit("po_no").alias("field"), F.col("l_orderkey").cast("string").alias("key"), F.col("l_returnflag").alias("source_type"), F.when(F.col("l_linenumber") % 2 == 0, "N").otherwise("A").alias("target_type"), F.col("l_linestatus").alias("status")
     )
     return views.rule_accuracy(rules, evidence).select("rule_id", "actual", "correct")
+
+
+@query("""WITH j AS (SELECT user_id AS group_id, event_id AS job_id, event_type AS status, date_trunc('day', ts) AS created_at FROM events)
+SELECT group_id, job_id, status, strftime(created_at, '%Y-%m-%d') AS created FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY created_at DESC, job_id DESC) AS k FROM j) WHERE k = 1""")
+def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = [F.lit(None).cast("string").alias(n) for n in ("stage", "message")] + [F.lit(0).alias(n) for n in ("stage_done", "stage_total", "percent")]
+    jobs = table(spark, sf_dir, "events").select(F.col("user_id").alias("group_id"), F.col("event_id").alias("job_id"), F.col("event_type").alias("status"), F.date_trunc("day", "ts").alias("created_at"), *none)
+    return views.job_state(jobs).select("group_id", "job_id", "status", F.date_format("created_at", "yyyy-MM-dd").alias("created"))
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_name) AS place FROM customer")
+def users_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.in_order(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_name"), "c_acctbal", "c_name").select("c_custkey", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT file_name, row_number() OVER (ORDER BY file_name) AS place FROM (SELECT concat('f', o_orderkey) AS file_name FROM orders WHERE o_orderstatus IN ('F', 'P'))")
+def in_scope_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "orders").select(F.concat(F.lit("f"), "o_orderkey").alias("file_name"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("doc_type"))
+    return views.in_scope_files(pages, ["F", "P"]).select("file_name", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT l_linenumber, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS n_yes FROM lineitem WHERE l_returnflag IN ('R', 'N') GROUP BY 1")
+def scorable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.scorable(table(spark, sf_dir, "lineitem"), "l_returnflag", "R", "N")
+    return rows.groupBy("l_linenumber").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("n_yes"))
+
+
+@query("""WITH p AS (SELECT o_orderstatus <> 'F' AS a, o_custkey % 7 = 0 AS b, o_orderkey % 10 = 0 AS gone, o_orderpriority IS NOT NULL AS c FROM orders), d AS (SELECT CASE WHEN gone OR b THEN 1 ELSE 0 END AS t1, CASE WHEN gone THEN 2 ELSE CASE WHEN b THEN 1 ELSE 0 END END AS t2 FROM p)
+SELECT 'T1' AS stage, count(*) AS n_compared, CAST(sum(t1) AS BIGINT) AS n_diffs, count(*) FILTER (t1 > 0) AS n_files FROM d UNION ALL SELECT 'T2', count(*), CAST(sum(t2) AS BIGINT), count(*) FILTER (t2 > 0) FROM d""")
+def parity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ours = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("doc_type"), F.col("o_custkey").alias("system"))
+    theirs = ours.filter("o_orderkey % 10 > 0").select("o_orderkey", F.when(F.col("system") % 7 > 0, F.col("status")).otherwise("?").alias("status"), "doc_type", F.when(F.col("system") % 7 > 0, F.col("system")).otherwise(-1).alias("system"))
+    return views.parity_counts(ours, theirs, "o_orderkey", {"T1": ["status"], "T2": ["doc_type", "system"]})
