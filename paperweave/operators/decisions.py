@@ -6,7 +6,7 @@ parameters; phrases that belong to a rule itself stand beside it as fixed values
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperweave.functions.fuzzy import partial_ratio
@@ -32,6 +32,14 @@ def _kind(name: str | Column, score: float | Column, margin: float | Column, phr
 GOODS = ("KEM",)
 
 
+def decided(df: DataFrame, text: str, rules: Rules, systems: Rules, sides: Rules, fuzzy: bool = True) -> DataFrame:
+    """df with kind (document_type()) and channel (channel()) of its normalised text. Candidates are columns first, so that a fuzzy score is computed once."""
+    t = F.col(text)
+    rows = df.withColumn("phrases__", phrases_of(t, rules, fuzzy)).withColumn("systems__", systems_of(t, systems, fuzzy))
+    rows = rows.withColumn("kind", document_type(t, F.col("phrases__")))
+    return rows.withColumn("channel", channel(t, F.col("kind.doc_type"), F.col("systems__"), sides)).drop("phrases__", "systems__")
+
+
 def is_continuation(t: Column, goods: tuple[str, ...] = GOODS) -> Column:
     """A page of a table that began on the page before."""
     has = lambda *p: contains_any(t, *p)
@@ -57,12 +65,16 @@ def _fallbacks(t: Column, brands: tuple[str, ...]) -> list[tuple[Column, Column]
     ]
 
 
-def document_type(text: Column, rules: Rules, fuzzy: bool = True, goods: tuple[str, ...] = GOODS, brands: tuple[str, ...] = ()) -> Column:
-    """struct(doc_type, score, margin, phrase) of a normalised text: the protected type, continued tables, owed goods, the dictionary on the text without
-    mentions of enclosed invoices, then the fallbacks; else UNKNOWN. goods mark a continued table, brands the last fallback."""
-    found = candidates(F.regexp_replace(text, INVOICE_ENCLOSED, ""), rules, fuzzy)
+def phrases_of(text: Column, rules: Rules, fuzzy: bool = True) -> Column:
+    """The dictionary's candidates for document_type(), in the text without mentions of enclosed invoices."""
+    return candidates(F.regexp_replace(text, INVOICE_ENCLOSED, ""), rules, fuzzy)
+
+
+def document_type(text: Column, found: Column, goods: tuple[str, ...] = GOODS, brands: tuple[str, ...] = ()) -> Column:
+    """struct(doc_type, score, margin, phrase) of a normalised text: the protected type, continued tables, owed goods, the best of the dictionary's
+    candidates (phrases_of(), as a column of their own), then the fallbacks; else UNKNOWN. goods mark a continued table, brands the last fallback."""
     top = F.get(found, F.lit(0))
-    rivals = F.filter(F.slice(found, 2, max(1, len(rules))), lambda c: ~F.contains(top["phrase"], c["phrase"]) & ~(top["exact"] & ~c["exact"]))
+    rivals = F.filter(F.slice(found, F.lit(2), F.greatest(F.size(found), F.lit(1))), lambda c: ~F.contains(top["phrase"], c["phrase"]) & ~(top["exact"] & ~c["exact"]))
     margin = F.round(top["score"] - F.coalesce(F.get(rivals, F.lit(0))["score"], F.lit(0.0)), 2)
     return first_where(
         [
@@ -87,10 +99,14 @@ def _quoted(phrase: str) -> str:
     return "".join(c if c.isalnum() or c == " " else "\\" + c for c in phrase)
 
 
-def channel(text: Column, doc_type: Column, rules: Rules, sides: Rules, fuzzy: bool = True, whole_word: tuple[str, str] = ("AEON", "MT_AEON")) -> Column:
+def systems_of(text: Column, rules: Rules, fuzzy: bool = True) -> Column:
+    """The dictionary's candidates for channel(); names of countries are never fuzzy."""
+    return candidates(text, rules, fuzzy, 0.9, ("VIET NAM", "VIETNAM"))
+
+
+def channel(text: Column, doc_type: Column, found: Column, sides: Rules, whole_word: tuple[str, str] = ("AEON", "MT_AEON")) -> Column:
     """struct(system, score, phrase): form defaults, transfers and recalls by type, one chain by whole word only, the dictionary, then a business buyer on an invoice; else COMMON."""
     side = transfer_side(text, sides)
-    found = candidates(text, rules, fuzzy, 0.9, ("VIET NAM", "VIETNAM"))
     top = F.get(found, F.lit(0))
 
     def told(system: str | Column, score: float | Column, phrase: str | Column) -> Column:
@@ -216,7 +232,7 @@ def sub_type(text: Column, rules: list[tuple[str, float, list[str]]], default: s
         found.append(F.when(first.isNotNull(), F.struct(score.alias("score"), F.lit(-i).alias("ord"), F.lit(name).alias("subtype"), first["phrase"].alias("phrase"), first["match"].alias("match"), first["in_head"].alias("in_head"))))
     best = F.array_max(F.array_compact(F.array(*found)))
     sure = F.round(F.least(F.when(best["in_head"], 1.0).otherwise(0.6), best["score"] / 106.0), 3)
-    return F.struct(F.coalesce(best["subtype"], F.lit(default)).alias("subtype"), F.coalesce(sure, F.lit(0.0)).alias("confidence"), best["phrase"].alias("phrase"), best["match"].alias("match"), F.coalesce(best["in_head"], F.lit(False)).alias("in_head"))
+    return F.struct(F.coalesce(best["subtype"], F.lit(default)).alias("subtype"), F.when(best.isNotNull(), sure).otherwise(0.0).alias("confidence"), best["phrase"].alias("phrase"), best["match"].alias("match"), F.coalesce(best["in_head"], F.lit(False)).alias("in_head"))
 
 
 def contradicts(subtype: Column, symbol: Column, by_first: dict[str, str]) -> Column:

@@ -73,7 +73,7 @@ def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scanned(spark, sf_dir).select("doc_id", tx.normalized(F.col("text")).alias("t"))
-    return rows.withColumn("k", decisions.document_type(F.col("t"), RULES, fuzzy=False))
+    return decisions.decided(rows, "t", RULES, SYSTEMS, SIDES, fuzzy=False).withColumnRenamed("kind", "k")
 
 
 def _values(rules: list[tuple[str, list[str]]]) -> str:
@@ -135,7 +135,7 @@ ch AS (SELECT s.doc_id, s.t, s.doc_type, CASE
 
 @query(f"WITH {_CHANNEL} SELECT doc_id, ch.a AS system, CAST(ch.b AS DOUBLE) AS score, ch.c AS phrase FROM ch")
 def page_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decided(spark, sf_dir).select("doc_id", decisions.channel(F.col("t"), F.col("k.doc_type"), SYSTEMS, SIDES, fuzzy=False).alias("c")).select("doc_id", "c.*")
+    return decided(spark, sf_dir).select("doc_id", "channel.*")
 
 
 MISREAD = {"55555": "55558"}
@@ -187,8 +187,8 @@ SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'HEADER' WHEN cont THEN 'CONTINUAT
   CASE WHEN doc_id % 13 = 0 THEN 'YEU_CAU_CHUP_LAI' END AS action,
   doc_id % 13 > 0 AND (doc_type = 'HOA_DON' AND (invoice_no IS NULL OR shipment_id IS NULL) OR doc_type IN ('PO', 'TABLE_CONTINUATION') AND po_no IS NULL OR doc_type IN ('LOADING_PLAN', 'PXKKVCNB') AND shipment_id IS NULL OR system = 'INTERNAL_TRANSFER') AS second_scan FROM r""")
 def page_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decided(spark, sf_dir).select("doc_id", "t", F.col("k.doc_type").alias("kind"))
-    rows = rows.withColumn("c", decisions.channel(F.col("t"), F.col("kind"), SYSTEMS, SIDES, fuzzy=False)).withColumn("f", decisions.key_fields(F.col("t"), F.col("kind"), MISREAD))
+    rows = decided(spark, sf_dir).select("doc_id", "t", F.col("k.doc_type").alias("kind"), F.col("channel").alias("c"))
+    rows = rows.withColumn("f", decisions.key_fields(F.col("t"), F.col("kind"), MISREAD))
     role, doc_type = decisions.page_role(F.col("t"), F.col("kind"))
     back = decisions.rejected(F.when(F.col("doc_id") % 13 == 0, "YEU_CAU_CHUP_LAI").otherwise("PASS"))
     scan = decisions.needs_second_scan(doc_type, F.col("f"), F.col("c.system"))
@@ -203,7 +203,7 @@ _marker = "trim(regexp_replace(upper(replace(strip_accents(replace(replace(coale
 dict(i, j, name, points, phrase) AS (VALUES {", ".join(f"({i}, {j}, '{n}', {pts}, '{ph}')" for i, (n, pts, phs) in enumerate(SUBTYPES) for j, ph in enumerate(phs))}),
 hit AS (SELECT *, contains(left(t, greatest(400, CAST(floor(length(t) * 0.35) AS INT))), phrase) AS in_head, row_number() OVER (PARTITION BY doc_id, i ORDER BY j) AS n FROM m JOIN dict ON contains(t, phrase)),
 best AS (SELECT doc_id, name, phrase, in_head, CASE WHEN in_head THEN points + 6 ELSE points * 0.55 END AS score, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN in_head THEN points + 6 ELSE points * 0.55 END DESC, i) AS place FROM hit WHERE n = 1)
-SELECT m.doc_id, coalesce(name, 'KHAC') AS subtype, CAST(coalesce(round(least(CASE WHEN in_head THEN 1.0 ELSE 0.6 END, score / 106.0), 3), 0) AS DOUBLE) AS confidence, phrase, coalesce(in_head, false) AS in_head, coalesce(CASE doc_id % 3 WHEN 0 THEN 'GTGT' WHEN 1 THEN 'BAN_HANG' END <> coalesce(name, 'KHAC'), false) AS contradiction FROM m LEFT JOIN best ON best.doc_id = m.doc_id AND place = 1""".replace("doc_id % 3 WHEN", "m.doc_id % 3 WHEN"))
+SELECT m.doc_id, coalesce(name, 'KHAC') AS subtype, CAST(CASE WHEN name IS NULL THEN 0 ELSE round(least(CASE WHEN in_head THEN 1.0 ELSE 0.6 END, score / 106.0), 3) END AS DOUBLE) AS confidence, phrase, coalesce(in_head, false) AS in_head, coalesce(CASE doc_id % 3 WHEN 0 THEN 'GTGT' WHEN 1 THEN 'BAN_HANG' END <> coalesce(name, 'KHAC'), false) AS contradiction FROM m LEFT JOIN best ON best.doc_id = m.doc_id AND place = 1""".replace("doc_id % 3 WHEN", "m.doc_id % 3 WHEN"))
 def invoice_subtypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scanned(spark, sf_dir).select("doc_id", decisions.sub_type(tx.marker(F.col("text")), SUBTYPES, "KHAC", fuzzy=False).alias("s"))
     symbol = F.when(F.col("doc_id") % 3 == 0, "1C25TAA").when(F.col("doc_id") % 3 == 1, "2K25TAA").otherwise("9C25TAA")

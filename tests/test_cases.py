@@ -245,3 +245,55 @@ def test_tables_are_cut_in_a_shared_folder_only(spark, monkeypatch):
 
     assert lineage.shared_folder(spark) == "/tmp/checkpoints"
     assert lineage.written(spark.range(3)).count() == 3
+
+
+def _plain_normalized(text):
+    import re
+    import unicodedata
+
+    bare = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+    return re.sub(r"\s+", " ", re.sub(r"[^A-Z0-9\s:/._#-]", " ", bare.upper().replace("Đ", "D"))).strip()
+
+
+def test_letters_are_decomposed(spark):
+    import unicodedata
+
+    draw = random.Random(9)
+    letters = [chr(c) for c in [*range(32, 0x250), *range(0x300, 0x370), *range(0x1E00, 0x1F00)]]
+    texts = ["HÓA ĐƠN GIÁ TRỊ GIA TĂNG", "Phiếu giao hàng", unicodedata.normalize("NFD", "Đơn đặt hàng số: 12/ắ"), "œuvre æ ß Ǆ", "a\u00a0b\x1cc"]
+    texts += ["".join(draw.choices(letters, k=40)) for _ in range(200)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tx.normalized(F.col("t")).alias("n"))
+    got = {r["i"]: r["n"] for r in rows.collect()}
+    assert got[0] == "HOA DON GIA TRI GIA TANG" and got[1] == "PHIEU GIAO HANG"
+    assert {t: got[i] for i, t in enumerate(texts)} == {t: _plain_normalized(t) for t in texts}
+
+
+def test_invoice_symbols(spark):
+    from paperweave.operators import records
+
+    texts = ["ký hiệu [1C25TAA]", "(IK2STAB)", "x1C25TAA", "1C25TAAA", "9C25TAA 2K24MBB", "|C2!TA1 ?G25TXX", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", records.invoice_symbol(F.col("t")).alias("s")).collect()
+    got = {r["t"]: r["s"] and r["s"]["symbol"] for r in rows}
+    assert got == {"ký hiệu [1C25TAA]": "1C25TAA", "(IK2STAB)": "1K25TAB", "x1C25TAA": None, "1C25TAAA": None, "9C25TAA 2K24MBB": "2K24MBB", "|C2!TA1 ?G25TXX": None, "": None}
+
+
+def test_decisions_with_misread_phrases(spark):
+    from paperweave.operators import decisions
+
+    rules = [("PO", ["DON DAT HANG"]), ("LOADING_PLAN", ["LOADING PLAN"])]
+    texts = {"DON DAT HANC 12": "PO", "LOADlNG PLAN": "LOADING_PLAN", "KEM THEO HOA DON GTGT": "UNKNOWN", "PXKKVCNB DON DAT HANG": "PXKKVCNB", "TRANG 2": "TABLE_CONTINUATION", "PHIEU GIAO NHAN": "PHIEU_GIAO_HANG", "": "UNKNOWN"}
+    systems, sides = [("MT_GS25", ["CUA HANG GS25"])], [("INTERNAL_KHO_THUE", ["CLK"]), ("INTERNAL_KHO_NOIBO", ["BAC NINH"])]
+    rows = decisions.decided(spark.createDataFrame([(t,) for t in [*texts, "CUA HANC GS25 DON DAT HANG"]], "t string"), "t", rules, systems, sides).collect()
+    assert {r["t"]: r["kind"]["doc_type"] for r in rows} == {**texts, "CUA HANC GS25 DON DAT HANG": "PO"}
+    assert {r["t"]: r["channel"]["system"] for r in rows if "GS25" in r["t"]} == {"CUA HANC GS25 DON DAT HANG": "MT_GS25"}
+    kinds = [("GTGT", 100.0, ["HOA DON GIA TRI GIA TANG"]), ("BAN_HANG", 80.0, ["HOA DON BAN HANG"])]
+    one = spark.createDataFrame([("HOA D0N GIA TRI GIA TANG",), ("x" * 500 + " HOA DON BAN HANG",), ("none",)], "t string")
+    got = [tuple(r["s"])[:2] for r in one.select(decisions.sub_type(F.col("t"), kinds, "KHAC").alias("s")).collect()]
+    assert got == [("GTGT", 1.0), ("BAN_HANG", 0.415), ("KHAC", 0.0)]
+    names = spark.createDataFrame([("Nguyen Van An",), ("Quy d0i thung hang",), ("ab",)], "t string")
+    assert [r[0] for r in names.select(decisions.typed_name(F.col("t"), ["QUY DOI"])).collect()] == ["Nguyen Van An", None, None]
+
+
+def test_shipments_are_repaired_by_a_table(spark):
+    row = spark.range(1).select(tx.repaired_id(F.lit("L555"), {"1555": "1655"}).alias("a"), tx.repaired_id(F.lit("77"), {"1555": "1655"}).alias("b")).first()
+    assert tuple(row) == ("1655", "77")
