@@ -204,7 +204,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
 
     Pieces are written once. To the driver comes the histogram of lengths (at most `capacity` rows); back goes the plan.
     Pieces of one length, however many, are numbered in `buckets` groups each, from counts of (length, bucket).
-    Null and empty texts are pieces of the end id alone; repeated rows are packed one by one; null doc_ids stay; an empty table gives no rows.
+    Null and empty texts are pieces of the end id alone; repeated rows are packed one by one; pieces of one length are alike, so ties between them are settled by their ids; very
+    long texts are encoded whole and cut; null doc_ids stay; an empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = cut(tokenized_pieces(docs, tokenizer_path, capacity, end_id, keep_ids).withColumn("bucket", salt(buckets, "doc_id", "piece", "ids_crc32")))

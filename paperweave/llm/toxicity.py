@@ -267,7 +267,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with columns held_out, score and predicted, which replace columns of those names.
 
     labels: doc_id, toxic. Only the text goes into a score, and the whole of it. Rows are independent once the model is trained: no shuffle. Null and empty texts get the
-    score of a text unlike all landmarks; without labels of both classes all rows get the same score; repeated rows score alike; rows with a null
+    score of a text unlike all landmarks; without labels of both classes all rows get the same score; repeated rows score alike; very long texts are pooled a word at a time; rows with a null
     doc_id count as not held out; an empty table gives no rows.
     """
     model = train(docs, labels)

@@ -130,7 +130,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame
     rules: (allow or block, host, path beginning with "/"). A rule fits its host and all subdomains if the path
     begins with the rule's; the longest host + path wins. Two cascades hold the
     blocked and the allowed keys; a URL in neither list is allowed. Lists too long for a plan are met by a join. Null URLs and URLs without "://" have
-    empty host and path and fit no rule; repeated rows are judged alike; an empty table gives no rows.
+    empty host and path and fit no rule; repeated rows are judged alike and stay apart, null page_ids stay; a key on both lists is blocked; very
+    long URLs count whole; an empty table gives no rows.
     """
     rows = _parsed(pages, rules)
     universe = rows.select(F.explode("keys").alias("key"))
