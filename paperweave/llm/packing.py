@@ -2,7 +2,7 @@
 
 Documents become pieces of at most `capacity` tokens. Only how many pieces have each length matters for the
 packing, so the plan is made on that histogram of at most `capacity` rows, whatever the input: for each length,
-longest first, the gap it leaves is looked up among single lengths, then sums of two and of three, and combinations that fill
+longest first, the gap it leaves is looked up in an index of single, pair and triple sums, and combinations that fill
 the gap exactly are consumed as long as their counts last; what remains is packed best-fit, longest first, still by counts.
 The plan is a list of runs (lengths of one sequence, how many such sequences). Spark numbers the pieces of
 each length and looks up, by length and number, the sequence and offset.
@@ -27,7 +27,8 @@ from paperweave.llm.arrow import strings_of
 from paperweave.llm.scratch import cut, salt
 
 CAPACITY = 2048
-BUCKETS = 256
+#: Groups, at least, in which the pieces of one length are numbered, and how many of them a group has, about, where there are more.
+BUCKETS, BUCKET_ROWS = 256, 50_000
 #: Segments of the plan that are broadcast at most (4 MB); more are joined by a shuffle on the length.
 BROADCAST_SEGMENTS = 100_000
 
@@ -108,38 +109,67 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
 
 
-def _exact(counts: np.ndarray, length: int, capacity: int) -> tuple[int, ...] | None:
-    """One, two or three lengths, none over `length`, that fill the gap beside it, as far as counts allow it once."""
-    gap = capacity - length
-    top = min(gap, length)
-    have = counts > 0
-
-    def enough(*parts: int) -> bool:
-        need = Counter((length, *parts))
-        return all(counts[x] >= n for x, n in need.items())
-
-    if gap <= length and have[gap] and enough(gap):
-        return (gap,)
-    # the most even sums first: short pieces fit nearly anywhere and are kept for gaps that nothing else fills
-    a = np.flatnonzero(have[: top + 1])
-    a = a[a > 0]
-    halves = a[(2 * a >= gap) & (a < gap)]
-    for x in halves[have[gap - halves]]:
-        if enough(int(x), int(gap - x)):
-            return int(x), int(gap - x)
-    # lengths as bits, and reversed: shifted so that bit y of the second stands for `rest` - y
-    bits = int.from_bytes(np.packbits(have, bitorder="little").tobytes(), "little")
-    mirrored = int.from_bytes(np.packbits(have[::-1], bitorder="little").tobytes(), "little")
-    for x in a[(3 * a >= gap) & (a < gap - 1)].tolist():
-        rest = gap - x
-        low, high = (rest + 1) // 2, min(x, rest - 1)
-        both = (bits & mirrored >> (capacity - rest) & ((1 << (high + 1)) - 1)) >> low << low
+class Sums:
+    """An index of the lengths at hand: their single, pair and triple sums up to `most`, each kind the bits of one number. Lengths that run out leave
+    it at once; sums of two and three are made anew when a tenth of the lengths is gone, and till then may be of a gone one, which the counts tell."""
+
+    def __init__(self, counts: np.ndarray, most: int):
+        self.counts, self.most = counts, most
+        self.lengths = [int(x) for x in np.flatnonzero(counts[: most + 1]) if x]
+        self.single = sum(1 << x for x in self.lengths)
+        # bit y of `mirrored` >> (most - s) stands for the length s - y
+        self.mirrored = sum(1 << (most - x) for x in self.lengths)
+        self._combine()
+
+    def _combine(self) -> None:
+        self.combined = len(self.lengths)
+        within = (1 << (self.most + 1)) - 1
+        self.pair = self.triple = 0
+        for x in self.lengths:
+            self.pair |= self.single << x & within
+        for x in self.lengths:
+            self.triple |= self.pair << x & within
+
+    def refresh(self, *lengths: int) -> None:
+        """Takes out those of the lengths that have run out."""
+        for x in lengths:
+            if not self.counts[x] and self.single >> x & 1:
+                self.lengths.remove(x)
+                self.single ^= 1 << x
+                self.mirrored ^= 1 << (self.most - x)
+        if 10 * len(self.lengths) <= 9 * self.combined:
+            self._combine()
+
+    def pairs(self, total: int, low: int, high: int) -> Iterator[tuple[int, int]]:
+        """Lengths y and total - y, for low <= y <= high, rising."""
+        if not self.pair >> total & 1:
+            return
+        both = (self.single & self.mirrored >> (self.most - total) & ((1 << (high + 1)) - 1)) >> low << low
         while both:
             y = (both & -both).bit_length() - 1
-            if enough(x, y, rest - y):
-                return x, y, rest - y
+            yield y, total - y
             both &= both - 1
-    return None
+
+    def fill(self, length: int, gap: int) -> tuple[int, ...] | None:
+        """One, two or three lengths that sum to the gap beside `length`, as far as counts allow it once. The most
+        even sums come first: short pieces fit nearly anywhere and are kept for gaps that nothing else fills."""
+
+        def enough(*parts: int) -> bool:
+            return all(self.counts[x] >= n for x, n in Counter((length, *parts)).items())
+
+        if self.single >> gap & 1 and enough(gap):
+            return (gap,)
+        for x, y in self.pairs(gap, (gap + 1) // 2, gap - 1):
+            if enough(x, y):
+                return x, y
+        if self.triple >> gap & 1:
+            for x in self.lengths:
+                if gap <= 3 * x and x < gap - 1 and self.pair >> (gap - x) & 1:
+                    rest = gap - x
+                    for y, z in self.pairs(rest, (rest + 1) // 2, min(x, rest - 1)):
+                        if enough(x, y, z):
+                            return x, y, z
+        return None
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -152,17 +182,20 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
         runs.append(((capacity,), int(counts[capacity])))
         counts[capacity] = 0
     residual: list[tuple[int, int]] = []
+    sums = Sums(counts, capacity)
     for length in range(capacity - 1, 0, -1):
         while counts[length]:
-            parts = _exact(counts, length, capacity)
+            parts = sums.fill(length, capacity - length)
             if parts is None:
                 residual.append((length, int(counts[length])))
                 counts[length] = 0
+                sums.refresh(length)
                 break
             need = Counter((length, *parts))
             times = min(int(counts[x]) // n for x, n in need.items())  # uses up one length, so there are at most `capacity` runs
             for x, n in need.items():
                 counts[x] -= n * times
+            sums.refresh(*need)
             runs.append(((length, *parts), times))
     open_bins: dict[int, dict[tuple[int, ...], int]] = defaultdict(Counter)
     for length, n in residual:
@@ -203,13 +236,15 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     """Rows of docs (doc_id, text; other columns are ignored) as pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     Pieces are written once. To the driver comes the histogram of lengths (at most `capacity` rows); back goes the plan.
-    Pieces of one length, however many, are numbered in `buckets` groups each, from counts of (length, bucket).
+    Pieces of one length are numbered in `buckets` groups or more, as their number demands, from counts of (length, bucket).
     Null and empty texts are pieces of the end id alone; repeated rows are packed one by one; pieces of one length are alike, so ties between them are settled by their ids; very
     long texts are encoded whole and cut; null doc_ids stay; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = cut(tokenized_pieces(docs, tokenizer_path, capacity, end_id, keep_ids).withColumn("bucket", salt(buckets, "doc_id", "piece", "ids_crc32")))
+    rows = cut(tokenized_pieces(docs, tokenizer_path, capacity, end_id, keep_ids))
     histogram = {r[0]: r[1] for r in rows.groupBy("length").agg(F.count("*")).collect()}
+    buckets = max(buckets, max(histogram.values(), default=0) // BUCKET_ROWS)
+    rows = rows.withColumn("bucket", salt(buckets, "doc_id", "piece", "ids_crc32"))
     where = segments(plan(histogram, capacity))
     places = spark.createDataFrame(where, "length int, first long, end long, sequence long, offset long")
     if len(where) <= BROADCAST_SEGMENTS:

@@ -186,7 +186,7 @@ def test_exact_triples_are_found_among_all_lengths():
         gap, have = 150 - length, {int(x): int(counts[x]) for x in np.flatnonzero(counts)}
         sets = [p for k in (1, 2, 3) for p in itertools.combinations_with_replacement([x for x in have if x <= gap], k) if sum(p) == gap]
         fits = {p for p in sets if all(have[x] >= n for x, n in Counter((length, *p)).items())}
-        got = packing._exact(counts, length, 150)
+        got = packing.Sums(counts, 150).fill(length, gap)
         assert tuple(sorted(got)) in fits if fits else got is None
 
 
