@@ -9,15 +9,15 @@ every key of the universe and judging a URL needs no join.
 
 from __future__ import annotations
 
+import json
 import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of one level at most (512 KB in a plan); longer lists are looked up by a join.
-MAX_BITS = 1 << 22
-MAX_LEVELS = 40
+from paperweave.llm.scratch import cut, drop
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,63 +38,61 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-class TooLong(ValueError):
-    """A list, or what a level takes for it, does not fit a plan."""
+def _listed(spark: SparkSession, keys: list[str]) -> DataFrame:
+    """The keys as a table with a column key, made by the JVM from one literal."""
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(keys)), "array<string>")).alias("key"))
 
 
 class Level:
-    """A Bloom filter of `bits` bits and `hashes` hash functions, its words a literal of the plan."""
+    """A Bloom filter of `bits` bits and `hashes` hash functions. Its bytes are one binary literal of the plan, however many they are."""
 
     def __init__(self, number: int, bits: int, hashes: int):
-        self.number, self.bits, self.hashes, self.words = number, bits, hashes, [0] * (bits // 64)
+        self.number, self.bits, self.hashes, self.set = number, bits, hashes, bytearray(bits // 8)
 
     def positions(self, key: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(key, F.lit(f"{self.number}:{i}")), F.lit(self.bits)) for i in range(self.hashes)]
+        # the level comes first, as the seed of the key's hash: keys that one level confuses are told apart by another
+        return [F.pmod(F.xxhash64(F.lit(f"{self.number}:{i}"), key), F.lit(self.bits)) for i in range(self.hashes)]
 
     def fill(self, keys: DataFrame) -> Level:
         at = keys.select(F.explode(F.array(*self.positions(F.col("key")))).alias("at"))
         words = at.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set"))
-        for word, bits in words.collect():  # at most bits / 64 rows
-            self.words[word] = bits
+        for word, bits in words.collect():  # at most bits / 64 rows: the filter itself
+            self.set[8 * word : 8 * word + 8] = bits.to_bytes(8, "little", signed=True)
         return self
 
     def has(self, key: Column) -> Column:
-        words = F.array(*(F.lit(w).cast("bigint") for w in self.words))
-        one = [F.getbit(F.element_at(words, F.floor(p / 64).cast("int") + 1), (p % 64).cast("int")) == 1 for p in self.positions(key)]
-        return reduce(Column.__and__, one)
+        stored = F.lit(self.set)
+
+        def bit(p: Column) -> Column:
+            byte = F.substring(stored, F.floor(p / 8).cast("int") + 1, F.lit(1))
+            return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (p % 8).cast("int")) == 1
+
+        return reduce(Column.__and__, map(bit, self.positions(key)))
 
 
 class Cascade:
-    """Exact membership of a list of keys among all keys of a universe."""
+    """Exact membership of a list of keys, of any length, among all keys of a universe."""
 
-    def __init__(self, spark: SparkSession, listed: list[str], universe: DataFrame):
-        """listed: at most MAX_BITS / 64 keys. universe: a column key, repeats allowed."""
+    def __init__(self, listed: list[str], universe: DataFrame):
+        """universe: a written table with a column key, each key once."""
         self.levels: list[Level] = []
         inside = sorted(set(listed))
         if not inside:
             return
-        if len(inside) * 64 > MAX_BITS:
-            raise TooLong(f"{len(inside)} keys are too many for a cascade in a plan")
-        inside_df = spark.createDataFrame([(x,) for x in inside], "key string")
+        encoded, tested, n = _listed(universe.sparkSession, inside), universe, len(inside)
         # bits enough that level 0 has about as many false positives as there are keys
-        everything = max(1, universe.agg(F.approx_count_distinct("key")).first()[0])
-        hashes = max(3, math.ceil(math.log2(1 + everything / len(inside))))
-        number = 0
-        encoded, tested = inside_df, universe.join(F.broadcast(inside_df), "key", "left_anti")
-        n = len(inside)
-        while True:
-            bits = min(MAX_BITS, 64 << max(0, math.ceil(math.log2(n * hashes * 1.44 / 64))))
-            level = Level(number, bits, min(hashes, 24)).fill(encoded)
+        hashes = max(3, math.ceil(math.log2(1 + universe.count() / n)))
+        tables = []
+        while n:  # each level confuses about an eighth of what the last one did
+            level = Level(len(self.levels), 64 << max(0, math.ceil(math.log2(n * hashes * 1.44 / 64))), hashes).fill(encoded)
             self.levels.append(level)
-            wrong = tested.filter(level.has(F.col("key"))).distinct()
-            # the false positives of a level are about as many as the keys of level 0
-            keys = [r[0] for r in wrong.limit(MAX_BITS // 64 + 1).collect()]
-            if not keys:
-                return
-            if len(keys) * 64 > MAX_BITS or number == MAX_LEVELS:
-                raise TooLong("the cascade does not fit a plan")
-            encoded, tested = spark.createDataFrame([(x,) for x in keys], "key string"), encoded
-            number, n, hashes = number + 1, len(keys), 3
+            wrong = tested.filter(level.has(F.col("key")))
+            if tested is universe:
+                wrong = wrong.join(encoded, "key", "left_anti")
+            wrong = cut(wrong)
+            tables.append(wrong)
+            encoded, tested, n, hashes = wrong, encoded, wrong.count(), 3
+        drop(*tables)
 
     def has(self, key: Column) -> Column:
         out = F.lit(False)
@@ -129,27 +127,16 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame
 
     rules: (allow or block, host, path beginning with "/"). A rule fits its host and all subdomains if the path
     begins with the rule's; the longest host + path wins. Two cascades hold the
-    blocked and the allowed keys; a URL in neither list is allowed. Lists too long for a plan are met by a join. Null URLs and URLs without "://" have
+    blocked and the allowed keys; a URL in neither list is allowed. Lists may have any length: a filter is one binary literal. The distinct
+    keys of the pages are written once, and levels read those. Null URLs and URLs without "://" have
     empty host and path and fit no rule; repeated rows are judged alike and stay apart, null page_ids stay; a key on both lists is blocked; very
     long URLs count whole; an empty table gives no rows.
     """
     rows = _parsed(pages, rules)
-    universe = rows.select(F.explode("keys").alias("key"))
-    try:
-        lists = {kind: Cascade(pages.sparkSession, [h + p for k, h, p in rules if k == kind], universe) for kind in ("block", "allow")}
-    except TooLong:
-        return judge_by_join(pages, rules)
+    universe = cut(rows.select(F.explode("keys").alias("key")).distinct())
+    lists = {kind: Cascade([h + p for k, h, p in rules if k == kind], universe) for kind in ("block", "allow")}
+    drop(universe)
     found = F.filter("keys", lambda k: lists["block"].has(k) | lists["allow"].has(k))
     rows = rows.select("page_id", "host", "path", _longest(found).alias("rule"))
     blocked = F.coalesce(lists["block"].has(F.col("rule")), F.lit(False))
     return rows.withColumn("verdict", F.when(F.col("rule").isNotNull() & blocked, "block").otherwise("allow"))
-
-
-def judge_by_join(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """The same by a join on the keys, for lists too long for a plan."""
-    rows = _parsed(pages, rules).withColumn("row", F.monotonically_increasing_id())  # repeated rows stay apart
-    listed = pages.sparkSession.createDataFrame([(h + p, k) for k, h, p in rules], "key string, verdict string").groupBy("key").agg(F.max("verdict").alias("verdict"))  # a key on both lists is blocked
-    hits = rows.select("row", "page_id", "host", "path", F.explode_outer("keys").alias("key")).join(listed, "key", "left")
-    best = F.max(F.when(F.col("verdict").isNotNull(), F.struct(F.length("key").alias("n"), "key", "verdict"))).alias("best")
-    out = hits.groupBy("row", "page_id", "host", "path").agg(best)
-    return out.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))

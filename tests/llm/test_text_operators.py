@@ -198,29 +198,32 @@ def test_urls(spark):
         fits = [(len(h + p), h + p, k) for k, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         best = max(fits, default=(0, None, "allow"))
         assert got[i] == (host, path, best[1], best[2]), u
-    assert {tuple(r) for r in url_filter.judge_by_join(pages, rules).collect()} == {(i, *v) for i, v in got.items()}
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
 
 
-def test_long_lists_are_joined(spark, monkeypatch):
-    pages = spark.createDataFrame([(1, "http://a.net/es/x")], "page_id long, url string")
-    want = url_filter.judge_urls(pages, queries.RULES).collect()
-    monkeypatch.setattr(url_filter, "MAX_BITS", 64)
-    assert url_filter.judge_urls(pages, queries.RULES).collect() == want
-
-
-def test_joined_lists_keep_repeated_rows(spark):
+def test_repeated_rows_stay_apart(spark):
     urls = [(1, "http://a.net/es/x"), (1, "http://a.net/es/x"), (1, "http://a.net/es/x?q"), (2, None), (2, None), (None, "http://example.com/en/"), (None, "http://example.com/en/")]
     pages = spark.createDataFrame(urls, "page_id long, url string")
-    want = sorted(map(repr, url_filter.judge_urls(pages, queries.RULES).collect()))
-    got = sorted(map(repr, url_filter.judge_by_join(pages, queries.RULES).collect()))
-    assert got == want and len(got) == len(urls)
+    rows = url_filter.judge_urls(pages, queries.RULES).collect()
+    told = Counter((r["page_id"], r["rule"], r["verdict"]) for r in rows)
+    assert told == {(1, "net/es/", "block"): 3, (2, None, "allow"): 2, (None, "example.com/en/", "block"): 2}
+
+
+def test_long_lists_are_judged_by_cascades(spark):
+    rules = [("block" if i % 3 else "allow", f"h{i}.net", "/") for i in range(100_000)] + [("allow", "h1.net", "/")]
+    pages = spark.range(0, 120_000, 7).selectExpr("id page_id", "concat('http://www.h', id, '.net/x') url")
+    frame = url_filter.judge_urls(pages, rules)
+    assert "Join" not in frame._jdf.queryExecution().executedPlan().toString()
+    for r in frame.collect():
+        i = r["page_id"]
+        assert (r["rule"], r["verdict"]) == ((f"h{i}.net/", "block" if i % 3 else "allow") if i < 100_000 else (None, "allow"))
 
 
 def test_cascade_is_exact(spark):
     universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = [f"k{i}" for i in range(0, 20_000, 97)] + ["elsewhere"]
-    cascade = url_filter.Cascade(spark, listed, universe)
+    cascade = url_filter.Cascade(listed, universe)
+    assert len(cascade.levels) > 1
     assert {r[0] for r in universe.filter(cascade.has(F.col("key"))).collect()} == set(listed) - {"elsewhere"}
 
 
