@@ -24,6 +24,8 @@ SCALE = 256
 MAX_PIVOTS = 256
 BLOCK = 1024
 QUERY_BLOCK = 256
+#: Blocks of a cell, about, that share a key of the join; a cell with more is split, and its queries meet each part.
+PART_BLOCKS = 64
 _BIG = 1 << 62
 
 
@@ -121,9 +123,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
     blocks = cut(rows.mapInArrow(pack, "cell int, n int, ids binary, vectors binary, radius double"))
     data = blocks.filter("cell >= 0")
-    radius = np.full(len(pivots), -1.0)
-    for cell, far in data.groupBy("cell").agg(F.max("radius")).collect():
-        radius[cell] = far
+    radius, parts = np.full(len(pivots), -1.0), [1] * len(pivots)
+    for cell, far, n_blocks in data.groupBy("cell").agg(F.max("radius"), F.count("*")).collect():
+        radius[cell], parts[cell] = far, -(-n_blocks // PART_BLOCKS)
+    parts_of_cell = F.element_at(F.lit(parts), F.col("cell") + 1)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +146,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int32()), pa.array([len(r) for _, r in out], pa.int32()), pa.array([ids[r].tobytes() for _, r in out]), pa.array([_packed(q[r]) for _, r in out])], ["cell", "n_q", "q_ids", "q_vectors"])
 
     asked = blocks.filter("cell = -1").select("n", "ids", "vectors").mapInArrow(route, "cell int, n_q int, q_ids binary, q_vectors binary")
-    met = asked.join(data.select("cell", "n", "ids", "vectors"), "cell").drop("cell")
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), parts_of_cell - 1)))
+    data = data.select("cell", F.pmod(F.xxhash64("ids"), parts_of_cell).cast("int").alias("part"), "n", "ids", "vectors")
+    met = asked.join(data, ["cell", "part"]).drop("cell", "part")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []

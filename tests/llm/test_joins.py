@@ -229,6 +229,30 @@ def test_bounds_hold():
         assert marks.word(w).max() <= marks.bounds([w], list(marks.most))[0] <= marks.bounds([w])[0]
 
 
+def _plain_kernel(a, b):
+    """Shared 3-letter subsequences of two words by definition."""
+
+    def weights(word):
+        word = word + "$$" * (len(word) < 3)
+        out = Counter()
+        for at in itertools.combinations(range(len(word)), 3):
+            stretch = at[2] - at[0] + 1
+            if stretch <= toxicity.STRETCH:
+                out["".join(word[i] for i in at)] += toxicity.LAMBDA**stretch
+        return out
+
+    x, y = weights(a), weights(b)
+    return sum(v * y[u] for u, v in x.items()) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+
+
+def test_likeness_equals_the_kernel_by_definition():
+    names = ["moron", "worthless", "ab", "river", "aaaa"]
+    marks = toxicity.Landmarks(names)
+    for w in ("moron", "mxoxron", "mo", "ab", "worthlessness", "riverbed", "aaaaaa", "zzz", "wortless"):
+        want = [_plain_kernel(w, m) for m in names]
+        assert np.allclose(marks.word(w), want, atol=1e-6), w
+
+
 def test_words_with_two_inserted_letters_are_alike():
     marks = toxicity.Landmarks(["trash", "stupid", "the", "river"])
     words = {"txrxash", "stxupxid", "trash", "tr.ash", "stupidity", "stone", "banana", "people", "rivulet"}
@@ -264,6 +288,16 @@ def test_nearest_of_awkward_rows(spark):
     assert knn.nearest(frame.filter("vec_id = 50"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_nearest_of_split_cells_with_repeats(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", 8)
+    monkeypatch.setattr(knn, "PART_BLOCKS", 2)
+    draw = random.Random(9)
+    rows = [(i, [draw.choice([-1.0, 0.0, 1.0]) for _ in range(2)]) for i in range(1000)]  # far more ties than k
+    frame = spark.createDataFrame(rows + [(i, x) for i, x in rows if i % 7 == 1 and i % 50], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, knn.nearest(frame, F.col("vec_id") % 50 == 0).collect()))
+    assert got == _plain_nearest(rows + [(i, x) for i, x in rows if i % 7 == 1 and i % 50])
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as cp
     from paperweave.llm.scratch import cut
