@@ -79,8 +79,27 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperweave.llm.language import predict_languages
+
+    return predict_languages(documents(spark, sf_dir, "doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperweave.llm.whitening import whiten
+
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperweave.llm.filter_audit import audit_filters
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
+    return audit_filters(documents(spark, sf_dir, "doc_id", "text", "source"), labels)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_bpe, op3_ogg, op4_repeats, op5_packing, op6_toxicity, op7_secrets, op8_url_filter, op9_knn, op10_sharding)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_bpe, op3_ogg, op4_repeats, op5_packing, op6_toxicity, op7_secrets, op8_url_filter, op9_knn, op10_sharding, op11_language, op12_whitening, op13_filter_audit)}
 
 
 _WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
@@ -100,6 +119,20 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM late),
 p AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
 k AS (SELECT p.doc_id, count(gone.i) AS n_removed, string_agg(word, ' ' ORDER BY p.i) FILTER (gone.i IS NULL) AS kept FROM p LEFT JOIN gone ON gone.doc_id = p.doc_id AND gone.i = p.i GROUP BY 1)
 SELECT w.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
+_AUDIT = """WITH RECURSIVE known AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+f AS (SELECT doc_id, part, [len(words) < 200, 100 * list_unique(words) < 50 * len(words), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+  regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > first, false)] AS fails FROM w),
+d AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN known USING (doc_id) GROUP BY 1, 2),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS before FROM o, (SELECT unnest(range(1, 6))::INTEGER AS step) WHERE length(filter_order) = 5),
+j AS (SELECT part, filter_order, step, own, n, good, toxic, fails[instr('ABCDE', own)] AS here,
+  len(list_filter(range(1, 6), lambda i: fails[i] AND contains(before, substr('ABCDE', i, 1)))) > 0 AS gone, len(list_filter(fails, lambda x: x)) = 1 AS alone FROM d, s),
+r AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT gone AND NOT here), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (here AND NOT gone), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (here AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (here AND alone), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (here AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (here AND NOT gone), 0)::BIGINT AS toxic_lost FROM j GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r"""
 _REST = "substr(coalesce(url, ''), strpos(coalesce(url, ''), '://') + 3)"
 
 
@@ -120,5 +153,6 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
         "op8_url_filter": f"""WITH {parsed}, rules(verdict, h, p) AS (VALUES {values}),
 fit AS (SELECT page_id, h || p AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS k
   FROM parsed JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
-SELECT q.page_id, q.host, q.path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM parsed q LEFT JOIN fit f ON f.page_id = q.page_id AND f.k = 1"""
+SELECT q.page_id, q.host, q.path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM parsed q LEFT JOIN fit f ON f.page_id = q.page_id AND f.k = 1""",
+        "op13_filter_audit": _AUDIT,
     }
