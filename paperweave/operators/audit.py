@@ -5,10 +5,14 @@ documents: batch_id, dossier_id, doc_id, doc_type and the key fields as nullable
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperweave.operators.batching import References, assignments
 from paperweave.operators.components import components_by_key
+from paperweave.operators.identity import batch_heads
 from paperweave.sources.lineage import written
 
 ORDER_KEYS = ("po_no", "invoice_no", "pxk_no")
@@ -58,24 +62,63 @@ def reconciliation(documents: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.dossier_id").alias("dossier_id"), F.explode(found).alias("e")).select("dossier_id", "e.*")
 
 
-def match_status(documents: DataFrame, evidence: DataFrame) -> DataFrame:
+#: Of each rule but the last two: the type and field that a dossier gives, those of the batch it is held against, and the length of the beginning that makes a partial match.
+_AGAINST_BATCH = [
+    ("PO", "po_no", "HOA_DON", "po_no", 4),
+    ("PO", "po_no", "PHIEU_GIAO_HANG", "po_no", 3),
+    ("HOA_DON", "shipment_id", "LOADING_PLAN", "shipment_id", None),
+    ("PXKKVCNB", "transfer_order_no", "LOADING_PLAN", "shipment_id", None),
+]
+_TWINS = ("invoice_no", "shipment_id")
+
+
+def evidence_counts(documents: DataFrame) -> DataFrame:
+    """What reconciliation() would list, counted: dossier_id, n_evidence, n_match (partial ones too), n_mismatch, n_missing.
+
+    No pair is made. Of each rule the values of either side are counted by batch and by what must agree (the value, or its beginning); a dossier's value then has as many matches as its count in the batch,
+    and as many mismatches as there are other values. A batch of any size is spread over its values.
+    """
+    def sides(of: int) -> DataFrame:
+        told = [
+            F.when(F.col("doc_type") == r[2 * of], F.struct(F.lit(i).alias("rule"), (F.substring(r[2 * of + 1], 1, r[4]) if r[4] else F.col(r[2 * of + 1])).alias("agrees"), F.lit(r[4] is not None).alias("counts_missing")))
+            for i, r in enumerate(_AGAINST_BATCH)
+        ]
+        return documents.select("batch_id", "dossier_id", F.explode(F.array_compact(F.array(*told))).alias("r")).select("batch_id", "dossier_id", "r.*")
+
+    target = sides(1).groupBy("batch_id", "rule", "agrees").agg(F.count("*").alias("n"))
+    whole = target.groupBy("batch_id", "rule").agg(F.sum("n").alias("n_all"), F.sum(F.when(F.col("agrees").isNotNull(), F.col("n")).otherwise(0)).alias("n_there"))
+    source = sides(0).groupBy("batch_id", "dossier_id", "rule", "agrees", "counts_missing").agg(F.count("*").alias("n_own"))
+    met = source.join(whole, ["batch_id", "rule"]).join(target, ["batch_id", "rule", "agrees"], "left")
+    own, same, there, every = F.col("n_own"), F.coalesce("n", F.lit(0)), F.col("n_there"), F.col("n_all")
+    given = F.col("agrees").isNotNull()
+    counted = met.select(
+        "dossier_id",
+        (own * F.when(F.col("counts_missing"), every).when(given, there).otherwise(0)).alias("n_evidence"),
+        (own * F.when(given, same).otherwise(0)).alias("n_match"),
+        (own * F.when(given, there - same).otherwise(0)).alias("n_mismatch"),
+        (own * F.when(F.col("counts_missing"), F.when(given, every - there).otherwise(there)).otherwise(0)).alias("n_missing"),
+    )
+    fields = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in _TWINS))).alias("f")
+    twins = documents.filter("doc_type = 'HOA_DON'").select("dossier_id", fields).filter("f.value is not null").groupBy("dossier_id", "f").agg(F.count("*").alias("n"))
+    pairs = lambda n: F.expr(f"({n}) * (({n}) - 1) div 2")
+    twins = twins.groupBy("dossier_id", F.col("f.field").alias("field")).agg(F.sum("n").alias("n"), F.sum(pairs("n")).alias("n_match"))
+    twins = twins.select("dossier_id", pairs("n").alias("n_evidence"), "n_match", (pairs("n") - F.col("n_match")).alias("n_mismatch"), F.lit(0).cast("long").alias("n_missing"))
+    totals = [F.sum(c).alias(c) for c in ("n_evidence", "n_match", "n_mismatch", "n_missing")]
+    return counted.unionByName(twins).groupBy("dossier_id").agg(*totals)
+
+
+def match_status(documents: DataFrame) -> DataFrame:
     """Of each dossier: number of documents and evidence rows, and one status. A mismatch outweighs all; missing values make a match partial;
     without evidence a single document stands alone."""
-    told = evidence.groupBy("dossier_id").agg(
-        F.count("*").alias("n_evidence"),
-        F.bool_or(F.col("status") == "MISMATCH").alias("mismatch"),
-        F.bool_or(F.col("status").isin("MATCH", "PARTIAL_MATCH")).alias("match"),
-        F.bool_or(F.col("status").isin("MISSING_SOURCE", "MISSING_TARGET")).alias("missing"),
-    )
-    rows = documents.groupBy("dossier_id").agg(F.count("*").alias("n_docs")).join(told, "dossier_id", "left")
+    rows = documents.groupBy("dossier_id").agg(F.count("*").alias("n_docs")).join(evidence_counts(documents), "dossier_id", "left").fillna(0, ["n_evidence", "n_match", "n_mismatch", "n_missing"])
     status = (
-        F.when(F.col("n_evidence").isNull(), F.when(F.col("n_docs") > 1, "NO_EVIDENCE").otherwise("DON_LE"))
-        .when(F.col("mismatch"), "XUNG_DOT")
-        .when(F.col("match") & ~F.col("missing"), "KHOP_HOAN_TOAN")
-        .when(F.col("missing"), "KHOP_MOT_PHAN")
+        F.when(F.col("n_evidence") == 0, F.when(F.col("n_docs") > 1, "NO_EVIDENCE").otherwise("DON_LE"))
+        .when(F.col("n_mismatch") > 0, "XUNG_DOT")
+        .when((F.col("n_match") > 0) & (F.col("n_missing") == 0), "KHOP_HOAN_TOAN")
+        .when(F.col("n_missing") > 0, "KHOP_MOT_PHAN")
         .otherwise("DON_LE")
     )
-    return rows.select("dossier_id", "n_docs", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), status.alias("match_status"))
+    return rows.select("dossier_id", "n_docs", "n_evidence", status.alias("match_status"))
 
 
 def order_dossiers(documents: DataFrame) -> DataFrame:
@@ -94,14 +137,10 @@ def order_dossiers(documents: DataFrame) -> DataFrame:
 def checklist(documents: DataFrame, batches: DataFrame, guidelines: DataFrame) -> DataFrame:
     """Of each batch: applicable rules, missing documents and one status. guidelines: rule_ord, form_code ("*" for all), doc_type, canonical_type (null if
     not mapped). A type may meet several rules; rules are counted, not types. Without mapped rules there is no verdict."""
-    columns = ["batch_id", "rule_ord", "canonical_type", "name"]
-    rules = guidelines.select("rule_ord", "form_code", "canonical_type", F.col("doc_type").alias("name"))
-    own = batches.join(rules.filter("form_code <> '*'"), F.col("order_code") == F.col("form_code")).select(*columns)
-    # rules for all forms: one row that holds them as an array, so that no cross join is planned
-    common = rules.filter("form_code = '*'").agg(F.collect_list(F.struct("rule_ord", "canonical_type", "name")).alias("rules"), F.lit(1).alias("one"))
-    everywhere = batches.withColumn("one", F.lit(1)).join(common, "one").select("batch_id", F.explode("rules").alias("r")).select("batch_id", "r.*")
+    rules = guidelines.select("rule_ord", F.col("form_code").alias("code"), "canonical_type", F.col("doc_type").alias("name"))
+    codes = batches.select("batch_id", F.explode(F.array_distinct(F.array("order_code", F.lit("*")))).alias("code"))
     present = documents.groupBy("batch_id", F.col("doc_type").alias("canonical_type")).agg(F.count("*").alias("n"), F.sum("page_count").alias("pages"))
-    rows = own.unionByName(everywhere).join(present, ["batch_id", "canonical_type"], "left")
+    rows = codes.join(rules, "code").join(present, ["batch_id", "canonical_type"], "left")
     mapped = F.col("canonical_type").isNotNull()
     gone = mapped & F.col("n").isNull()
     out = rows.groupBy("batch_id").agg(
@@ -116,16 +155,34 @@ def checklist(documents: DataFrame, batches: DataFrame, guidelines: DataFrame) -
     return out.withColumn("overall_status", status)
 
 
-def audited_batches(documents: DataFrame, batches: DataFrame, guidelines: DataFrame) -> DataFrame:
-    """The whole audit of assigned documents (with batch_id and page_count): dossiers, reconciliation and checklist, told for each batch. batches: batch_id, order_code."""
-    inside = documents.select("doc_id", *(F.when(F.col(k).isNotNull(), F.concat_ws("\u0001", "batch_id", k)).alias(k) for k in ORDER_KEYS))
-    rows = written(documents.join(components_by_key(inside, "doc_id", *ORDER_KEYS).withColumnRenamed("root", "dossier_id"), "doc_id"))
-    status = match_status(rows, reconciliation(rows)).join(rows.select("dossier_id", "batch_id").distinct(), "dossier_id")
-    told = status.groupBy("batch_id").agg(
-        F.sum("n_docs").alias("n_docs"),
+@dataclass(frozen=True)
+class Audit:
+    """documents: with batch, dossier, pass and method; batches: a row each, with what dossiers and checklist say of it."""
+
+    documents: DataFrame
+    batches: DataFrame
+
+
+def audited(documents: DataFrame, references: References, guidelines: DataFrame) -> Audit:
+    """The whole audit: documents are assigned, a batch is what its members tell, its documents fall into order dossiers, dossiers are reconciled against the batch, and guidelines of its order code are checked.
+    documents: as in batching, with page_count. What more than one step reads is written once; no batch or dossier is held in one row."""
+    placed = written(assignments(documents, references))
+    rows = documents.join(placed, "doc_id")
+    inside = rows.select("doc_id", *(F.when(F.col(k).isNotNull(), F.concat_ws("\u0001", "batch_id", k)).alias(k) for k in ORDER_KEYS))
+    rows = written(rows.join(components_by_key(inside, "doc_id", *ORDER_KEYS).withColumnRenamed("root", "dossier_id"), "doc_id"))
+    heads = written(batch_heads(rows))
+    status = match_status(rows).join(rows.select("dossier_id", "batch_id").distinct(), "dossier_id")
+    dossiers = status.groupBy("batch_id").agg(
         F.count("*").alias("n_dossiers"),
         F.sum("n_evidence").alias("n_evidence"),
         F.count_if(F.col("match_status") == "XUNG_DOT").alias("n_conflicts"),
         F.count_if(F.col("match_status") == "KHOP_HOAN_TOAN").alias("n_whole"),
     )
-    return told.join(checklist(documents, batches, guidelines).select("batch_id", "n_missing", "missing_documents", "overall_status"), "batch_id")
+    checks = checklist(rows, heads.select("batch_id", "order_code"), guidelines).select("batch_id", "n_missing", "missing_documents", "overall_status")
+    return Audit(rows, heads.join(dossiers, "batch_id").join(checks, "batch_id"))
+
+
+def manifest_lines(documents: DataFrame) -> DataFrame:
+    """batch_id, doc_id, line: the manifest of audited documents, a JSON line for each, so that a batch of any size is written by many tasks."""
+    told = ("doc_id", "doc_type", "dossier_id", "pass", "identity_type", "confidence", "warning", "isolation_reason")
+    return documents.select("batch_id", "doc_id", F.to_json(F.struct("batch_id", *told)).alias("line"))

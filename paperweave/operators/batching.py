@@ -1,13 +1,16 @@
-"""Documents into shipment batches: direct anchors, links to what is anchored, the one delivery of a system, isolation with a reason.
+"""Documents into shipment batches: what a document names itself, links to what is anchored, the one delivery of a system, rules of the domain, isolation with a reason.
 
-documents: doc_id, position, doc_type, system and the key fields as nullable strings.
+documents: doc_id (unique), position, doc_type, system, doc_keyword and the key fields as nullable strings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperweave.operators import identity
 from paperweave.sources.lineage import dropped, written
 
 LINK_KEYS = ("po_no", "invoice_no", "pxk_no")
@@ -15,109 +18,230 @@ LINK_KEYS = ("po_no", "invoice_no", "pxk_no")
 ORDER_KEY_SYSTEMS = ("BHX", "WINMART", "EMART")
 CONTEXT_TYPES = ("LOADING_PLAN", "PHIEU_GIAO_HANG", "PO", "HOA_DON", "PHIEU_NHAP_KHO")
 NO_CONTEXT_SYSTEMS = ("COMMON", "GENERAL", "NPP")
+RETURNS = "BATCH_4."
+SHIPMENT_TYPES = ("SHIPMENT_ID", "TRANSFER_ORDER")
+META = ("order_code", "batch_system", "identity_type", "identity_value", "confidence")
+
+
+@dataclass(frozen=True)
+class References:
+    """What batching is told beside the documents; tables that are not given are empty. Rules of columns as in identity."""
+
+    type_rules: DataFrame | None = None
+    exceptions: DataFrame | None = None
+    aliases: DataFrame | None = None
+    domain_rules: DataFrame | None = None
+    variants: dict[str, list[identity.Variant]] = field(default_factory=dict)
+    codes: dict[str, str] = field(default_factory=dict)
+    same_type_guard: bool = True
+    multi_system_guard: bool = True
+
+    def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        schemas = (
+            "ord int, rule_id string, doc_type string, system string, order_code string, exception_rule_id string",
+            "ord int, rule_id string, key_type string, key_value string, order_code string, system string, excluded_systems array<string>, excluded_invoices array<string>",
+            "ord int, primary_id string, secondary_ids array<string>, order_code string, system string",
+            "ord int, rule_id string, doc_type string, system string, keyword string, exception_rule_id string, identity_type string",
+        )
+        given = (self.type_rules, self.exceptions, self.aliases, self.domain_rules)
+        return tuple(t if t is not None else spark.createDataFrame([], s) for t, s in zip(given, schemas, strict=True))
+
+
+def known_batches(named: DataFrame, guard: bool = True) -> DataFrame:
+    """The batches that documents name themselves, as the first of them tells, and the systems that share its number: a shipment under several systems serves several customers and gives none of them a
+    context. named: documents with batch_id and META."""
+    head = named.groupBy("batch_id").agg(F.min(F.struct("position", "doc_id", *META)).alias("h")).select("batch_id", *(F.col(f"h.{m}").alias(m) for m in META))
+    shared = systems_of_identity(head)
+    if not guard:
+        return head.withColumn("systems", F.lit(None).cast("array<string>"))
+    numbered = head.filter(F.col("identity_type").isin(*SHIPMENT_TYPES)).join(shared, "identity_value").select("batch_id", "systems")
+    return head.join(numbered, "batch_id", "left")
+
+
+def systems_of_identity(batches: DataFrame) -> DataFrame:
+    """Shipment and transfer numbers that stand under several systems: identity_value, systems."""
+    numbered = batches.filter(F.col("identity_type").isin(*SHIPMENT_TYPES))
+    return numbered.groupBy("identity_value").agg(F.array_sort(F.collect_set("batch_system")).alias("systems")).filter(F.size("systems") > 1)
+
+
+def order_anchors(open_: DataFrame, known: DataFrame, codes: dict[str, str]) -> DataFrame:
+    """The first order of a system that is identified by orders and has no batch of its own yet opens one."""
+    own = known.filter("systems is null").select(F.col("batch_system").alias("system")).distinct()
+    asking = open_.filter(F.col("po_no").isNotNull() & F.col("system").isin(*ORDER_KEY_SYSTEMS)).join(own, "system", "left_anti")
+    first = asking.groupBy("system").agg(F.min(F.struct("position", "doc_id", "po_no")).alias("d"))
+    code = F.coalesce(_by_system(codes), F.lit("3.x"))
+    return first.select(
+        "d.doc_id", F.concat_ws("_", F.lit("BATCH"), code, "system").alias("batch_id"), code.alias("order_code"), F.col("system").alias("batch_system"),
+        F.lit("BUSINESS_KEY").alias("identity_type"), F.col("d.po_no").alias("identity_value"), F.lit("HIGH").alias("confidence"), F.col("d.position").alias("position"), F.lit(1).alias("level"),
+    )
 
 
-def direct_anchors(documents: DataFrame) -> DataFrame:
-    """Documents with a shipment or transfer number of their own are anchored to the batch of that number and their system."""
-    number = F.coalesce("shipment_id", "transfer_order_no")
-    kind = F.when(F.col("shipment_id").isNotNull(), "SHIPMENT_ID").otherwise("TRANSFER_ORDER")
-    batch = F.concat_ws("_", F.lit("BATCH"), "system", number)
-    return documents.filter(number.isNotNull()).select("doc_id", batch.alias("batch_id"), F.col("system").alias("batch_system"), kind.alias("identity_type"), number.alias("identity_value"))
+def _by_system(codes: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for pair in codes.items() for x in pair)), F.col("system")) if codes else F.lit(None).cast("string")
 
 
-def systems_of_identity(anchors: DataFrame) -> DataFrame:
-    """Numbers anchored under several systems: such a shipment serves several customers and gives none of them a context."""
-    return anchors.groupBy("identity_value").agg(F.array_sort(F.collect_set("batch_system")).alias("systems")).filter(F.size("systems") > 1)
+def _keyed(documents: DataFrame, *columns: str) -> DataFrame:
+    """A row for each link key that a document holds: place (of the key among the keys), value."""
+    keys = F.array(*(F.struct(F.lit(i).alias("place"), F.col(k).alias("value")) for i, k in enumerate(LINK_KEYS)))
+    return documents.select(*columns, F.explode(keys).alias("key")).filter("key.value is not null").select(*columns, "key.*")
 
 
-def order_anchors(documents: DataFrame, anchors: DataFrame, shared: DataFrame) -> DataFrame:
-    """The first order of a system that is identified by orders and has no batch of its own yet opens one."""
-    own = anchors.join(shared, "identity_value", "left_anti").select(F.col("batch_system").alias("system")).distinct()
-    open_ = documents.filter(F.col("po_no").isNotNull() & F.col("system").isin(*ORDER_KEY_SYSTEMS)).join(anchors.select("doc_id"), "doc_id", "left_anti").join(own, "system", "left_anti")
-    first = open_.groupBy("system").agg(F.min_by(F.struct("doc_id", "po_no"), F.struct("position", "doc_id")).alias("d"))
-    return first.select("d.doc_id", F.concat_ws("_", F.lit("BATCH"), "system").alias("batch_id"), F.col("system").alias("batch_system"), F.lit("BUSINESS_KEY").alias("identity_type"), F.col("d.po_no").alias("identity_value"))
+_ANY, _NONE = "\u0001any", "\u0001none"
+
+
+def _heads(reached: DataFrame) -> DataFrame:
+    """Of keyed documents that are reached, the first of each key among all, of a system, of a shipment, and of both: four rows of a document, one row each of a cell."""
+    system = F.explode(F.array(F.col("system"), F.lit(_ANY))).alias("of_system")
+    rows = reached.select("place", "value", "shipment_id", "rank", system)
+    rows = rows.select("place", "value", "of_system", "rank", F.explode(F.array(F.coalesce("shipment_id", F.lit(_NONE)), F.lit(_ANY))).alias("of_shipment"))
+    return rows.groupBy("place", "value", "of_system", "of_shipment").agg(F.min("rank").alias("head"))
+
+
+def _followed(open_: DataFrame, heads: DataFrame) -> DataFrame:
+    """Open keyed documents with each head that they may follow: one of their system or of none, not of another shipment, and anchored or standing before them. All by equality, four rows a key at most."""
+    systems = F.when(F.col("system") == "COMMON", F.array(F.lit(_ANY))).otherwise(F.array(F.col("system"), F.lit("COMMON")))
+    shipments = F.when(F.col("shipment_id").isNull(), F.array(F.lit(_ANY))).otherwise(F.array(F.col("shipment_id"), F.lit(_NONE)))
+    asked = open_.withColumn("of_system", F.explode(systems))
+    asked = asked.select("doc_id", "position", "place", "value", "of_system", F.explode(shipments).alias("of_shipment"))
+    before = (F.col("head.level") < 2) | (F.col("head.position") < F.col("position"))
+    return asked.join(heads, ["place", "value", "of_system", "of_shipment"]).filter(before & (F.col("head.doc_id") != F.col("doc_id")))
 
 
 def linked(documents: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Documents that share an order key with an anchored one, or with an earlier one that is linked itself: doc_id, parent, batch_id.
+    """Documents that share an order key with an anchored one, or with an earlier one that is linked itself: doc_id, parent, top (the anchor), place and value of the shared key.
 
-    Documents never meet each other. The members of a key are told by cells of one system and shipment, and of what a cell has reached only its first
-    member matters: anchors in their order, then others by position. A round meets the documents of a key with the heads of its cells; a document's
-    parent is the first head that it may follow. Following parents to the anchor is pointer doubling.
+    Documents never meet each other, only the heads of keys, by equality. Rounds are semi-naive: each starts from the documents that the last one reached, and ends them; there are as many as the longest chain of
+    documents that need each other. What a document follows is the first head of all, after the last round; the way to the anchor is pointer doubling. anchors: doc_id, position, level.
     """
-    known = anchors.select("doc_id", (F.col("identity_type") == "BUSINESS_KEY").alias("opens"))
-    level = F.when(F.col("opens").isNull(), 2).when(F.col("opens"), 1).otherwise(0)
-    docs = documents.join(known, "doc_id", "left").withColumn("rank", F.struct(level.alias("level"), "position", "doc_id"))
-    keys = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in LINK_KEYS))).alias("key")
-    docs = written(docs.select("doc_id", "position", "system", "shipment_id", "rank", keys).filter("key.value is not null"))
-    open_ = docs.filter("rank.level = 2")
-
-    def followed(reached: DataFrame) -> DataFrame:
-        """doc_id and the ranks of the heads that it may follow."""
-        heads = docs.join(reached, "doc_id", "left_semi").groupBy("key", F.col("system").alias("s"), F.col("shipment_id").alias("ship")).agg(F.min("rank").alias("head"))
-        may = (F.col("system") == "COMMON") | (F.col("s") == "COMMON") | (F.col("system") == F.col("s"))
-        same = F.coalesce(F.col("shipment_id") == F.col("ship"), F.lit(True))
-        before = (F.col("head.level") < 2) | (F.col("head.position") < F.col("position"))
-        return open_.join(heads, "key").filter(may & same & before & (F.col("head.doc_id") != F.col("doc_id")))
-
-    start = written(anchors.select("doc_id").distinct())
-    reached, count = start, start.count()
+    level = anchors.select("doc_id", "level")
+    rank = F.struct(F.coalesce("level", F.lit(2)).alias("level"), "position", "doc_id").alias("rank")
+    keyed = _keyed(documents, "doc_id", "position", "system", "shipment_id").join(level, "doc_id", "left")
+    keyed = written(keyed.select("doc_id", "position", "system", "shipment_id", "place", "value", rank))
+    open_, start = keyed.filter("rank.level = 2"), keyed.filter("rank.level < 2")
+    front, reached = start, []
     while True:
-        before, reached = reached, written(start.unionByName(followed(reached).select("doc_id")).distinct())
-        now = reached.count()
-        if now == count:
+        left = open_
+        for done in reached:
+            left = left.join(done, "doc_id", "left_anti")
+        new = written(_followed(left, _heads(front)).select("doc_id").distinct())
+        if new.isEmpty():
+            dropped(new)
             break
-        count = now
-        if before is not start:
-            dropped(before)
-    parents = followed(reached).groupBy("doc_id").agg(F.min("head")["doc_id"].alias("parent"))
-    roots = written(parents.select("doc_id", "parent", F.col("parent").alias("top")))
+        front = keyed.join(new, "doc_id", "left_semi")
+        reached.append(new)
+        if len(reached) == 8:  # many rounds: their tables become one
+            before, reached = reached, [written(_union(reached))]
+            dropped(*before[:-1])
+            front = keyed.join(before[-1], "doc_id", "left_semi")
+    if not reached:
+        ranked = "struct<level: int, position: long, doc_id: string>"
+        return documents.sparkSession.createDataFrame([], f"doc_id string, parent string, top string, place int, value string, r {ranked}").drop("r")
+    members = _union(reached)
+    all_heads = _heads(start.unionByName(open_.join(members, "doc_id", "left_semi")))
+    first = F.min(F.struct(F.col("head.level").alias("level"), F.col("head.position").alias("at"), F.col("head.doc_id").alias("parent"), "place", "value")).alias("f")
+    parents = _followed(open_.join(members, "doc_id", "left_semi"), all_heads).groupBy("doc_id").agg(first).select("doc_id", "f.parent", "f.place", "f.value")
+    links = written(parents)
+    roots = written(links.select("doc_id", F.col("parent").alias("top")))
     while not roots.join(roots.select(F.col("doc_id").alias("top")), "top", "left_semi").isEmpty():
         up = roots.select(F.col("doc_id").alias("top"), F.col("top").alias("next"))
-        before, roots = roots, written(roots.join(up, "top", "left").select("doc_id", "parent", F.coalesce("next", "top").alias("top")))
+        before, roots = roots, written(roots.join(up, "top", "left").select("doc_id", F.coalesce("next", "top").alias("top")))
         dropped(before)
-    return roots.join(anchors.select(F.col("doc_id").alias("top"), "batch_id"), "top").select("doc_id", "parent", "batch_id")
-
-
-def assignments(documents: DataFrame) -> DataFrame:
-    """Every document with its batch, pass and, if isolated, the reason."""
-    direct = direct_anchors(documents)
-    shared = systems_of_identity(direct)
-    anchors = written(direct.unionByName(order_anchors(documents, direct, shared)))
-    links = written(linked(documents, anchors))
-    batches = anchors.join(shared.select("identity_value", F.lit(True).alias("shared")), "identity_value", "left")
-    batches = batches.groupBy("batch_id").agg(F.first("batch_system").alias("system"), F.first("identity_value").alias("identity_value"), F.bool_or(F.coalesce("shared", F.lit(False)) & (F.col("identity_type") != "BUSINESS_KEY")).alias("shared"))
-    context = batches.filter(~F.col("system").isin(*NO_CONTEXT_SYSTEMS)).groupBy("system").agg(
-        F.count_if(~F.col("shared")).alias("n_own"), F.count_if("shared").alias("n_shared"), F.max(F.when(~F.col("shared"), F.struct("batch_id", "identity_value"))).alias("target")
-    )
-    strong = anchors.select("doc_id", "batch_id").unionByName(links.select("doc_id", "batch_id"))
-    peers = documents.join(strong, "doc_id").groupBy("batch_id", "doc_type").agg(*(F.count(k).alias(f"n_{k}") for k in LINK_KEYS))
-    # a document's own number against those of its type in the batch
-    held = documents.join(strong, "doc_id").select("batch_id", "doc_type", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in LINK_KEYS))).alias("key")).filter("key.value is not null").distinct()
-    rest = documents.join(strong.select("doc_id"), "doc_id", "left_anti").join(context, "system", "left").withColumn("batch_id", F.col("target.batch_id"))
-    mine = rest.filter("n_own = 1").select("doc_id", "batch_id", "doc_type", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in LINK_KEYS))).alias("key")).filter("key.value is not null")
-    strange = mine.join(held, ["batch_id", "doc_type", "key"], "left_anti").join(peers, ["batch_id", "doc_type"])
-    strange = strange.filter(" or ".join(f"(key.kind = '{k}' and n_{k} > 0)" for k in LINK_KEYS)).select("doc_id", F.lit(True).alias("strange")).distinct()
-    rest = rest.join(strange, "doc_id", "left")
-    empty = F.coalesce("shipment_id", "transfer_order_no", *LINK_KEYS).isNull()
-    reason = (
-        F.when((F.col("doc_type") == "HOA_DON") & empty, "BLANK_INVOICE_NO_KEY_FIELDS")
-        .when((F.col("n_own") == 1) & F.coalesce("strange", F.lit(False)), "IDENTIFIER_CONFLICT_WITH_SYSTEM_CONTEXT")
-        .when((F.col("n_own") == 1) & ~F.col("doc_type").isin(*CONTEXT_TYPES), "DOC_TYPE_NOT_ELIGIBLE_FOR_SYSTEM_CONTEXT")
-        .when(F.col("n_own") == 1, None)
-        .when(F.col("n_own") > 1, "AMBIGUOUS_SYSTEM_CONTEXT")
-        .when(F.col("n_shared") > 0, "MULTI_SYSTEM_SHIPMENT_CONTEXT")
-        .when(F.col("system").isin(*NO_CONTEXT_SYSTEMS), "SYSTEM_CONTEXT_NOT_APPLICABLE")
-        .otherwise("NO_ANCHORED_BATCH_FOR_SYSTEM")
-    )
-    rest = rest.withColumn("isolation_reason", reason)
-    alone = F.concat(F.lit("UNRESOLVED_"), "doc_id")
-    none = F.lit(None).cast("string")
-    return (
-        anchors.select("doc_id", "batch_id", F.lit("1").alias("pass"), none.alias("isolation_reason"))
-        .unionByName(links.select("doc_id", "batch_id", F.lit("2").alias("pass"), none.alias("isolation_reason")))
-        .unionByName(rest.select("doc_id", F.when(F.col("isolation_reason").isNull(), F.col("batch_id")).otherwise(alone).alias("batch_id"), F.when(F.col("isolation_reason").isNull(), "3.2").otherwise("4").alias("pass"), "isolation_reason"))
+    out = written(links.join(roots, "doc_id"))
+    dropped(keyed, links, roots, *reached)
+    return out
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def contexts(known: DataFrame) -> DataFrame:
+    """Of each system: batches of its own, batches shared with other systems, those two without returns, all it has, and its one own batch."""
+    own = F.col("systems").isNull()
+    there = ~F.col("batch_id").startswith(RETURNS)
+    rows = known.filter(there).groupBy(F.col("batch_system").alias("system")).agg(
+        F.count_if(own).alias("n_own"), F.count_if(~own).alias("n_shared"), F.min(F.when(own, F.struct("batch_id", *META))).alias("target")
     )
+    return rows
+
+
+def candidates(known: DataFrame) -> DataFrame:
+    """system, batch_id, shared: the batches that an isolated document of a system could belong to, a row each, so that no document carries them all."""
+    return known.filter(~F.col("batch_id").startswith(RETURNS)).select(F.col("batch_system").alias("system"), "batch_id", F.col("systems").isNotNull().alias("shared"))
+
+
+def assignments(documents: DataFrame, references: References | None = None) -> DataFrame:
+    """Every document with its batch (batch_id and META, whose identity_type is the method), pass, rule_id, warning and, if isolated, isolation_reason, n_candidates, conflict_field and the rules that lack their reference (blocked).
+
+    Null keys and systems link nothing; documents at one position are taken by doc_id; an empty table gives no rows.
+    """
+    refs = references or References()
+    spark = documents.sparkSession
+    type_rules, exceptions, aliases, rules = refs.tables(spark)
+    own = ["doc_id", "position", "doc_type", "system", "doc_keyword", *identity.KEYS]
+    if "doc_keyword" not in documents.columns:
+        documents = documents.withColumn("doc_keyword", F.lit(None).cast("string"))
+    docs = written(identity.direct_identity(documents.select(*own), type_rules.drop("system", "rule_id"), exceptions, aliases, refs.variants, refs.codes))
+    named, rest = docs.filter("batch_id is not null"), docs.filter("batch_id is null")
+    direct = written(known_batches(named, refs.multi_system_guard))
+    opened = written(order_anchors(rest, direct, refs.codes))
+    known = direct.unionByName(opened.select("batch_id", *META, F.lit(None).cast("array<string>").alias("systems")))
+    anchors = named.select("doc_id", "batch_id", *META, "position", F.lit(0).alias("level")).unionByName(opened)
+    links = linked(docs, anchors)
+    of_anchor = anchors.select(F.col("doc_id").alias("top"), "batch_id", "order_code", "batch_system")
+    led = links.join(of_anchor, "top").select("doc_id", "batch_id", "order_code", "batch_system", F.lit("RELATIONSHIP_PROPAGATION").alias("identity_type"), F.col("value").alias("identity_value"), F.lit("HIGH").alias("confidence"))
+    strong = written(anchors.select("doc_id", "batch_id", *META, F.lit("1").alias("pass")).unionByName(led.withColumn("pass", F.lit("2"))))
+
+    open_ = rest.select(*own).join(strong.select("doc_id"), "doc_id", "left_anti").join(contexts(known), "system", "left")
+    open_ = open_.withColumn("target", F.when(F.col("n_own") == 1, F.col("target")))
+    # a document's own numbers against those that its type has in the target
+    held = _keyed(docs.join(strong.select("doc_id", F.col("batch_id").alias("in_batch")), "doc_id"), "in_batch", "doc_type").distinct()
+    mine = _keyed(open_.filter("target is not null").withColumn("in_batch", F.col("target.batch_id")), "doc_id", "in_batch", "doc_type")
+    strange = mine.join(held, ["in_batch", "doc_type", "place", "value"], "left_anti").join(held.select("in_batch", "doc_type", "place").distinct(), ["in_batch", "doc_type", "place"], "left_semi")
+    names = F.get(F.lit(["invoice_no", "po_no", "pxk_no"]), F.min(F.when(F.col("place") == 1, 0).when(F.col("place") == 0, 1).otherwise(2)))
+    open_ = open_.join(strange.groupBy("doc_id").agg(names.alias("conflict_field")), "doc_id", "left")
+    open_ = open_.join(identity.domain_rules(open_, rules, exceptions), "doc_id", "left")
+    blocked = identity.blocked_rules(open_, type_rules.select("rule_id", "doc_type", "system", "exception_rule_id").unionByName(rules.select("rule_id", "doc_type", "system", "exception_rule_id")), exceptions)
+    rows = _isolated(open_, refs).join(blocked, "doc_id", "left")
+    context = F.struct(*(c.alias(n) for c, n in zip((F.col("target.batch_id"), F.col("target.order_code"), F.col("system"), F.lit("SYSTEM_CONTEXT_PROPAGATION"), F.col("target.identity_value"), F.lit("MEDIUM")), ("batch_id", *META), strict=True)))
+    alone = F.struct(*(c.alias(n) for c, n in zip((F.concat(F.lit("UNRESOLVED_"), "doc_id"), F.lit("CHUNG"), F.col("system"), F.lit("UNRESOLVED"), F.col("doc_id"), F.lit("LOW")), ("batch_id", *META), strict=True)))
+    ruled = F.struct(*(F.col(f"rule.{n}").alias(n) for n in ("batch_id", *META)))
+    fits, hit = F.col("isolation_reason").isNull(), F.col("rule").isNotNull()
+    isolated = ~fits & ~hit
+    told = rows.select(
+        "doc_id", F.when(fits, context).when(hit, ruled).otherwise(alone).alias("b"), F.when(fits, "3.2").when(hit, "3.3").otherwise("4").alias("pass"),
+        F.when(~fits & hit, F.col("rule.rule_id")).alias("rule_id"), F.when(fits, "SINGLE_KNOWN_ANCHOR_ASSUMPTION").alias("warning"),
+        *(F.when(isolated, F.col(c)).alias(c) for c in ("isolation_reason", "n_candidates")),
+        F.when(isolated & (F.col("isolation_reason") == "IDENTIFIER_CONFLICT_WITH_SYSTEM_CONTEXT"), F.col("conflict_field")).alias("conflict_field"), F.when(isolated, F.col("blocked")).alias("blocked"),
+    ).select("doc_id", "b.*", "pass", "rule_id", "warning", "isolation_reason", "n_candidates", "conflict_field", "blocked")
+    return strong.unionByName(told, allowMissingColumns=True)
+
+
+def _isolated(open_: DataFrame, refs: References) -> DataFrame:
+    """isolation_reason and n_candidates of what is neither anchored nor linked; null where the context of its system takes it."""
+    no_keys = F.coalesce(*identity.KEYS).isNull()
+    one, other = F.col("n_own") == 1, F.col("target.identity_value")
+    clash = F.col("conflict_field").isNotNull() if refs.same_type_guard else F.lit(False)
+    outside = F.coalesce(F.col("system").isin(*NO_CONTEXT_SYSTEMS), F.lit(False))
+    n_all = F.coalesce(F.col("n_own") + F.col("n_shared"), F.lit(0))
+    branches = [
+        ((F.col("doc_type") == "HOA_DON") & no_keys, "BLANK_INVOICE_NO_KEY_FIELDS", F.lit(0)),
+        (outside, "SYSTEM_CONTEXT_NOT_APPLICABLE", n_all),
+        (one & (F.col("shipment_id") != other), "SHIPMENT_ID_CONFLICT_WITH_SYSTEM_CONTEXT", F.lit(1)),
+        (one & clash, "IDENTIFIER_CONFLICT_WITH_SYSTEM_CONTEXT", F.lit(1)),
+        (one & ~F.coalesce(F.col("doc_type").isin(*CONTEXT_TYPES), F.lit(False)), "DOC_TYPE_NOT_ELIGIBLE_FOR_SYSTEM_CONTEXT", F.lit(1)),
+        (F.col("n_own") > 1, "AMBIGUOUS_SYSTEM_CONTEXT", F.col("n_own")),
+        (~F.coalesce(one, F.lit(False)) & (F.col("n_shared") > 0), "MULTI_SYSTEM_SHIPMENT_CONTEXT", F.col("n_shared")),
+        (~F.coalesce(one, F.lit(False)), "NO_ANCHORED_BATCH_FOR_SYSTEM", F.lit(0)),
+    ]
+    variant, n_variants = identity.variant_note(refs.variants)
+    reason, count = F.lit(None).cast("string"), F.lit(None).cast("long")
+    for holds, name, n in reversed(branches):
+        reason, count = F.when(holds, name).otherwise(reason), F.when(holds, n).otherwise(count)
+    return open_.withColumn("isolation_reason", F.coalesce(variant, reason)).withColumn("n_candidates", F.when(variant.isNotNull(), n_variants).otherwise(count).cast("long"))
 
 
 def matched_rules(documents: DataFrame, exceptions: DataFrame) -> DataFrame:

@@ -109,6 +109,35 @@ def direct_identity(documents: DataFrame, type_rules: DataFrame, exceptions: Dat
     return rows.withColumn("identity__", first_where(kinds, cascade)).select(*documents.columns, *(F.col(f"identity__.{n}").alias(n) for n in fields))
 
 
+def variant_note(variants: dict[str, list[Variant]]) -> tuple[Column, Column]:
+    """Of a document that names no form variant of its type: why, and how many variants could be meant. Null for types without variants."""
+    text = marker(F.col("doc_keyword"))
+    reasons, counts = [], []
+    for doc_type in sorted({*variants, VARIANT_TYPE}):
+        own = variants.get(doc_type, [])
+        is_type = F.col("doc_type") == doc_type
+        if not own:
+            reasons.append((is_type, F.lit("FORM_VARIANT_CONFIG_MISSING")))
+            counts.append((is_type, F.lit(0)))
+            continue
+        hits = sum((F.coalesce(contains_any(text, *map(_marked, v.markers)), F.lit(False)).cast("int") for v in own), F.lit(0))
+        reasons.append((is_type, F.when(hits == 0, "FORM_VARIANT_UNRESOLVED").otherwise("FORM_VARIANT_AMBIGUOUS")))
+        counts.append((is_type, F.when(hits == 0, len(own)).otherwise(hits)))
+    return first_where(reasons, F.lit(None).cast("string")), first_where(counts, F.lit(None).cast("int"))
+
+
+def domain_rules(documents: DataFrame, rules: DataFrame, exceptions: DataFrame) -> DataFrame:
+    """doc_id and the first rule of doc_type, system and a keyword (null for any, the keyword as it is written) whose exception is known, with the batch that the exception names.
+    rules: ord, rule_id, doc_type, system, keyword, exception_rule_id, identity_type."""
+    by_id = exceptions.select(F.col("rule_id").alias("exception_rule_id"), F.col("key_value").alias("value"), F.col("system").alias("batch_system"), "order_code")
+    known = rules.select("ord", "rule_id", F.coalesce("doc_type", F.lit("*")).alias("t"), F.coalesce("system", F.lit("*")).alias("s"), "keyword", "exception_rule_id", "identity_type").join(by_id, "exception_rule_id")
+    kinds = F.array(*(F.struct(t.alias("t"), s.alias("s")) for t in (F.col("doc_type"), F.lit("*")) for s in (F.col("system"), F.lit("*"))))
+    rows = documents.select("doc_id", F.coalesce("doc_keyword", F.lit("")).alias("own"), F.explode(kinds).alias("k")).select("doc_id", "own", "k.*")
+    hits = rows.join(known, ["t", "s"]).filter(F.col("keyword").isNull() | F.contains("own", "keyword"))
+    told = F.struct(F.concat_ws("_", F.lit("SHIP"), "value", "batch_system").alias("batch_id"), "order_code", "batch_system", F.coalesce("identity_type", F.lit("DOMAIN_RULE")).alias("identity_type"), F.col("value").alias("identity_value"), F.lit("HIGH").alias("confidence"), "rule_id")
+    return hits.groupBy("doc_id").agg(F.min_by(told, "ord").alias("rule"))
+
+
 def _marked(text: str) -> str:
     import unicodedata
 

@@ -49,8 +49,7 @@ d AS (SELECT dossier_id, count(*) AS n_docs FROM papers GROUP BY 1)
 SELECT d.dossier_id, n_docs, coalesce(n_evidence, 0) AS n_evidence, CASE WHEN n_evidence IS NULL THEN CASE WHEN n_docs > 1 THEN 'NO_EVIDENCE' ELSE 'DON_LE' END WHEN mis THEN 'XUNG_DOT' WHEN mat AND NOT gone THEN 'KHOP_HOAN_TOAN' WHEN gone THEN 'KHOP_MOT_PHAN' ELSE 'DON_LE' END AS match_status
 FROM d LEFT JOIN e USING (dossier_id)""")
 def dossier_match_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    papers = view(spark, sf_dir, PAPERS)
-    return audit.match_status(papers, audit.reconciliation(papers))
+    return audit.match_status(view(spark, sf_dir, PAPERS))
 
 
 #: All order lines: lines of six neighbouring orders share an order number, and lines of an order an invoice.
@@ -149,44 +148,6 @@ def vote_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stitching.voted(runs).select("upload_group_id", "scan_index", "cluster_id", "voted_invoice_no", "voted_shipment_id", "voted_po_no")
 
 
-_systems = "'COMMON', 'GENERAL', 'NPP'"
-_batches = f"""docs AS ({sql_text(SHIPPED)}),
-direct AS (SELECT doc_id, concat_ws('_', 'BATCH', system, coalesce(shipment_id, transfer_order_no)) AS batch_id, system AS batch_system, 'N' AS kind, coalesce(shipment_id, transfer_order_no) AS val FROM docs WHERE coalesce(shipment_id, transfer_order_no) IS NOT NULL),
-multi AS (SELECT val FROM direct GROUP BY 1 HAVING count(DISTINCT batch_system) > 1),
-opened AS (SELECT doc_id, concat_ws('_', 'BATCH', system) AS batch_id, system AS batch_system, 'K' AS kind, po_no AS val FROM (SELECT *, row_number() OVER (PARTITION BY system ORDER BY position) AS k FROM docs WHERE po_no IS NOT NULL AND system IN ('BHX', 'WINMART', 'EMART') AND doc_id NOT IN (SELECT doc_id FROM direct) AND system NOT IN (SELECT batch_system FROM direct WHERE val NOT IN (SELECT val FROM multi))) WHERE k = 1),
-anchors AS (SELECT * FROM direct UNION ALL SELECT * FROM opened),
-lev AS (SELECT d.*, CASE a.kind WHEN 'N' THEN 0 WHEN 'K' THEN 1 ELSE 2 END AS lvl FROM docs d LEFT JOIN anchors a USING (doc_id)),
-keyed AS (SELECT *, 'po' AS kt, po_no AS kv FROM lev WHERE po_no IS NOT NULL UNION ALL SELECT *, 'inv', invoice_no FROM lev WHERE invoice_no IS NOT NULL),
-edges AS (SELECT DISTINCT d.doc_id, a.doc_id AS parent, a.lvl, a.position FROM keyed d JOIN keyed a ON d.kt = a.kt AND d.kv = a.kv WHERE d.lvl = 2 AND d.doc_id <> a.doc_id AND (a.lvl < 2 OR a.position < d.position) AND (d.system = 'COMMON' OR a.system = 'COMMON' OR d.system = a.system) AND coalesce(d.shipment_id = a.shipment_id, true)),
-reached AS (SELECT doc_id FROM anchors UNION SELECT e.doc_id FROM edges e JOIN reached r ON e.parent = r.doc_id),
-parents AS (SELECT doc_id, parent FROM (SELECT e.*, row_number() OVER (PARTITION BY e.doc_id ORDER BY lvl, position) AS k FROM edges e WHERE parent IN (SELECT doc_id FROM reached)) WHERE k = 1),
-tree AS (SELECT doc_id, batch_id FROM anchors UNION ALL SELECT p.doc_id, t.batch_id FROM parents p JOIN tree t ON p.parent = t.doc_id),
-known AS (SELECT batch_id, any_value(batch_system) AS system, bool_or(kind = 'N' AND val IN (SELECT val FROM multi)) AS shared FROM anchors GROUP BY 1),
-ctx AS (SELECT system, count(*) FILTER (NOT shared) AS n_own, count(*) FILTER (shared) AS n_shared, max(batch_id) FILTER (NOT shared) AS target FROM known WHERE system NOT IN ({_systems}) GROUP BY 1),
-held AS (SELECT DISTINCT t.batch_id, k.doc_type, k.kt, k.kv FROM tree t JOIN keyed k USING (doc_id)),
-rest AS (SELECT d.*, c.* EXCLUDE (system), EXISTS (SELECT 1 FROM keyed k JOIN held h ON h.batch_id = c.target AND h.doc_type = k.doc_type AND h.kt = k.kt WHERE k.doc_id = d.doc_id AND NOT EXISTS (SELECT 1 FROM held g WHERE g.batch_id = c.target AND g.doc_type = k.doc_type AND g.kt = k.kt AND g.kv = k.kv)) AS strange FROM docs d LEFT JOIN ctx c USING (system) WHERE d.doc_id NOT IN (SELECT doc_id FROM tree)),
-why AS (SELECT *, CASE WHEN doc_type = 'HOA_DON' AND coalesce(po_no, invoice_no) IS NULL THEN 'BLANK_INVOICE_NO_KEY_FIELDS' WHEN n_own = 1 AND strange THEN 'IDENTIFIER_CONFLICT_WITH_SYSTEM_CONTEXT' WHEN n_own = 1 AND doc_type = 'PXKKVCNB' THEN 'DOC_TYPE_NOT_ELIGIBLE_FOR_SYSTEM_CONTEXT' WHEN n_own = 1 THEN NULL WHEN n_own > 1 THEN 'AMBIGUOUS_SYSTEM_CONTEXT' WHEN n_shared > 0 THEN 'MULTI_SYSTEM_SHIPMENT_CONTEXT' WHEN system IN ({_systems}) THEN 'SYSTEM_CONTEXT_NOT_APPLICABLE' ELSE 'NO_ANCHORED_BATCH_FOR_SYSTEM' END AS isolation_reason FROM rest),
-told AS (SELECT doc_id, batch_id, '1' AS pass, CAST(NULL AS VARCHAR) AS isolation_reason FROM anchors UNION ALL SELECT doc_id, batch_id, '2', NULL FROM tree WHERE doc_id NOT IN (SELECT doc_id FROM anchors)
-UNION ALL SELECT doc_id, CASE WHEN isolation_reason IS NULL THEN target ELSE 'UNRESOLVED_' || doc_id END, CASE WHEN isolation_reason IS NULL THEN '3.2' ELSE '4' END, isolation_reason FROM why)"""
-
-
-@query(f"WITH RECURSIVE {_batches} SELECT doc_id, batch_id, pass, isolation_reason FROM told")
-def batch_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batching.assignments(view(spark, sf_dir, SHIPPED))
-
-
-@query(f"WITH RECURSIVE {_batches} SELECT pass, coalesce(isolation_reason, 'ASSIGNED') AS reason, count(*) AS n_docs, count(DISTINCT batch_id) AS n_batches FROM told GROUP BY 1, 2")
-def isolation_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = batching.assignments(view(spark, sf_dir, SHIPPED))
-    return rows.groupBy("pass", F.coalesce("isolation_reason", F.lit("ASSIGNED")).alias("reason")).agg(F.count("*").alias("n_docs"), F.count_distinct("batch_id").alias("n_batches"))
-
-
-@query(f"WITH docs AS ({sql_text(SHIPPED)}), x AS (SELECT system, coalesce(shipment_id, transfer_order_no) AS identity_value FROM docs) SELECT identity_value, string_agg(DISTINCT system, ',' ORDER BY system) AS systems FROM x WHERE identity_value IS NOT NULL GROUP BY 1 HAVING count(DISTINCT system) > 1")
-def multi_system_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = batching.systems_of_identity(batching.direct_anchors(view(spark, sf_dir, SHIPPED)))
-    return found.select("identity_value", F.array_join("systems", ",").alias("systems"))
-
-
 EXCEPTIONS = [(1, "R1", "po_no", "P31", "3.1", [], []), (2, "R2", "invoice_no", "I45", "3.2", ["COOP"], []), (3, "R3", "invoice_no", "I100", "3.3", [], ["I100"]), (4, "R4", "po_no", "P12", "3.4", ["BHX"], ["I10", "I20"])]
 _exceptions = ", ".join(f"({o}, '{i}', '{t}', '{v}', '{c}', {s}, {x})" for o, i, t, v, c, s, x in [(*e[:5], e[5] or "CAST([] AS VARCHAR[])", e[6] or "CAST([] AS VARCHAR[])") for e in EXCEPTIONS])
 
@@ -203,28 +164,3 @@ def business_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT batch_id, concat('{{"batch_id":"', batch_id, '","n":', count(*), ',"documents":[', string_agg(concat('{{"doc_id":"', doc_id, '","doc_type":"', doc_type, '"}}'), ',' ORDER BY doc_id, doc_type), ']}}') AS manifest FROM r GROUP BY batch_id""")
 def batch_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(view(spark, sf_dir, PAPERS), "batch_id", "doc_id", "doc_type")
-
-
-_audited = f"""WITH RECURSIVE sh AS ({sql_text(SHIPPED)}), asg AS (SELECT doc_id, batch_id FROM ({SQL["batch_assignments"]})), docs AS (SELECT sh.*, batch_id FROM sh JOIN asg USING (doc_id)),
-keyed AS (SELECT batch_id, doc_id, 'p' || po_no AS key FROM docs WHERE po_no IS NOT NULL UNION SELECT batch_id, doc_id, 'i' || invoice_no FROM docs WHERE invoice_no IS NOT NULL),
-edge AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM keyed a JOIN keyed b USING (batch_id, key)),
-reach AS (SELECT doc_id AS node, doc_id AS seen FROM docs UNION SELECT reach.node, edge.b FROM reach JOIN edge ON edge.a = reach.seen),
-papers AS (SELECT docs.*, dossier_id FROM docs JOIN (SELECT node AS doc_id, min(seen) AS dossier_id FROM reach GROUP BY 1) USING (doc_id)),
-{_evidence[len(_papers) + 2:]},
-e AS (SELECT dossier_id, count(*) AS n_evidence, bool_or(status = 'MISMATCH') AS mis, bool_or(status IN ('MATCH', 'PARTIAL_MATCH')) AS mat, bool_or(status LIKE 'MISSING%') AS gone FROM ev GROUP BY 1),
-dos AS (SELECT batch_id, dossier_id, count(*) AS n_docs FROM papers GROUP BY 1, 2),
-told AS (SELECT batch_id, CAST(sum(n_docs) AS BIGINT) AS n_docs, count(*) AS n_dossiers, CAST(sum(coalesce(n_evidence, 0)) AS BIGINT) AS n_evidence, count(*) FILTER (mis) AS n_conflicts, count(*) FILTER (NOT mis AND mat AND NOT gone) AS n_whole FROM dos LEFT JOIN e USING (dossier_id) GROUP BY 1),
-rules(rule_ord, form_code, name, canonical_type) AS (VALUES {_rules}), present AS (SELECT DISTINCT batch_id, doc_type AS canonical_type FROM docs),
-x AS (SELECT b.batch_id, r.*, p.batch_id IS NOT NULL AS there FROM told b LEFT JOIN rules r ON r.form_code IN (CAST(length(b.batch_id) % 4 AS VARCHAR), '*') LEFT JOIN present p ON p.batch_id = b.batch_id AND p.canonical_type = r.canonical_type),
-g AS (SELECT batch_id, count(*) FILTER (canonical_type IS NOT NULL) AS n_rules, count(*) FILTER (canonical_type IS NOT NULL AND NOT there) AS n_missing, coalesce(string_agg(name, ',' ORDER BY rule_ord) FILTER (canonical_type IS NOT NULL AND NOT there), '') AS missing_documents FROM x GROUP BY 1)
-SELECT told.*, n_missing, missing_documents, CASE WHEN n_rules = 0 THEN 'KHONG_CO_QUY_CHUAN' WHEN n_missing = 0 THEN 'HOAN_HAO' WHEN n_missing = 1 THEN 'CANH_BAO_THIEU' ELSE 'THIEU_CHUNG_TU' END AS overall_status FROM told JOIN g USING (batch_id)"""
-
-
-@query(_audited)
-def audited_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents to batches to dossiers to evidence and checklist, each on what the last gave."""
-    shipped = view(spark, sf_dir, SHIPPED)
-    documents = shipped.join(batching.assignments(shipped).select("doc_id", "batch_id"), "doc_id").withColumn("page_count", F.lit(1))
-    batches = documents.select("batch_id").distinct().withColumn("order_code", (F.length("batch_id") % 4).cast("string"))
-    rules = spark.createDataFrame([(i, f, n, t) for i, (f, t, n) in enumerate(GUIDELINES)], "rule_ord int, form_code string, doc_type string, canonical_type string")
-    return audit.audited_batches(documents, batches, rules)

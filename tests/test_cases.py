@@ -33,15 +33,15 @@ def test_shipments_of_one_system(spark):
 def test_links_follow_earlier_documents_only(spark):
     # d1 shares a key with d2 only, d2 with the anchor d0; d2 comes after d1, so d1 is not linked through it
     got = assigned(spark, ("PO", "NPP", "7", None, "P1", None, None), ("PO", "NPP", None, None, None, "I1", None), ("PO", "NPP", None, None, "P1", "I1", None), ("PO", "NPP", None, None, None, "I1", None))
-    assert got["d2"][:2] == ("BATCH_NPP_7", "2")
-    assert got["d3"][:2] == ("BATCH_NPP_7", "2")
+    assert got["d2"][:2] == ("SHIP_7_NPP", "2")
+    assert got["d3"][:2] == ("SHIP_7_NPP", "2")
     assert got["d1"][1] == "4"
 
 
 def test_guards(spark):
     got = assigned(spark, ("HOA_DON", "COOP", "7", None, None, "I1", None), ("HOA_DON", "COOP", None, None, None, "I2", None), ("PHIEU_GIAO_HANG", "COOP", None, None, None, "I3", None), ("HOA_DON", "COOP", None, None, None, None, None))
     assert got["d1"][2] == "IDENTIFIER_CONFLICT_WITH_SYSTEM_CONTEXT"
-    assert got["d2"][:2] == ("BATCH_COOP_7", "3.2")
+    assert got["d2"][:2] == ("SHIP_7_COOP", "3.2")
     assert got["d3"][2] == "BLANK_INVOICE_NO_KEY_FIELDS"
     shared = assigned(spark, ("PO", "COOP", "7", None, None, None, None), ("PO", "LOTTE", "7", None, None, None, None), ("PO", "COOP", None, None, None, None, "X1"))
     assert shared["d2"][2] == "MULTI_SYSTEM_SHIPMENT_CONTEXT"
