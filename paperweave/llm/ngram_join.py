@@ -17,7 +17,8 @@ The tries of steps 2 and 4 hold sets in the global order and are walked depth fi
 at once: what partners share at their beginning is counted once, and a subtree is left by each probe whose
 overlap so far plus the shorter of both remaining lengths cannot reach the similarity with a set of any length below. Large lists and
 clusters are split into cells. In each, the largest component is dealt out once and only the others are repeated, as classes
-of one component need not meet.
+of one component need not meet. A list too large for that is split by a second shingle, as sets that reach the similarity share two of their prefixes with one shingle more;
+a row is then copied as often as its own prefix is long, and however long the list is.
 
 No link is lost: a pair that step 2 does not join and whose components differ meets in step 3, in the list of its first common
 shingle, and so in one cluster.
@@ -55,6 +56,8 @@ PROBES = 64
 PROBE_SHINGLES = 1 << 15
 #: Bits of a signature for each shingle at least, and of all at most.
 SIGNATURE_BITS = 2
+#: Blocks of a list beyond which it is split by a second shingle.
+SPLIT_BLOCKS = 32
 MAX_BITS = 1 << 12
 _FREQUENT = np.uint64(1 << 63)
 
@@ -135,6 +138,7 @@ def _signature(codes: np.ndarray, bits: int) -> bytes:
 
 
 def prefix_length(n: int, percent: int) -> int:
+    """So many of its first shingles a set shares one of with any set that it is similar to; with one more, two of them, if at least two must be shared."""
     return n - -(-percent * n // 100) + 1
 
 
@@ -155,7 +159,7 @@ def nodes(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFr
                     continue
                 hashes.append(hashlib.blake2b(codes.tobytes(), digest_size=16).digest())
                 keys.append([int(mix(codes ^ t).min().view(np.int64)) for t in turns])
-                prefixes.append(codes[: prefix_length(k, percent)].view(np.int64))
+                prefixes.append(codes[: prefix_length(k, percent) + 1].view(np.int64))
                 signatures.append(_signature(codes, _bits_for(k)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
@@ -406,8 +410,34 @@ def gather_clusters(t: dict[str, np.ndarray], signatures: list[bytes], percent:
         step += 1
 
 
+def _prefix_column(percent: int) -> Column:
+    n = F.col("n_shingles")
+    return (n - F.ceil(n * percent / 100) + 1).cast("int")
+
+
+def _split_lists(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """lists (a written table) with those of more than SPLIT_BLOCKS blocks split by a second shingle of the longer prefixes: a list (token, other) for each that is in rows of more than one component. From a similarity
+    over one half on, a set that may share a single shingle with another is equal to it, and equal sets are one class; below, nothing is split."""
+    if percent <= 50:
+        return lists
+    long = cut(lists.groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") > SPLIT_BLOCKS * LIST_BLOCK).select("token"))
+    if long.isEmpty():
+        drop(long)
+        return lists
+    hot = lists.join(small(long), "token", "left_semi").join(classes.select("doc_id", "all_prefix"), "doc_id")
+    hot = hot.select("doc_id", "comp", "n_shingles", "token", "pos", F.explode("all_prefix").alias("other")).filter("other <> token")
+    hot = cut(hot.withColumn("pair", F.xxhash64("token", "other")).drop("other"))
+    shared = hot.groupBy("token", "pair").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token", "pair")
+    kept = hot.join(shared, ["token", "pair"], "left_semi").select("doc_id", "comp", "n_shingles", F.col("pair").alias("token"), "pos")
+    out = cut(lists.join(small(long), "token", "left_anti").select("doc_id", "comp", "n_shingles", "token", "pos").unionByName(kept))
+    drop(lists, hot, long)
+    return out
+
+
 def _clustered(classes: DataFrame, percent: int) -> DataFrame:
     """Members of a tree round: clusters of classes of different components that share a prefix shingle and may have the similarity. classes: with comp."""
+    first = F.slice("prefix", F.lit(1), F.least(F.size("prefix"), _prefix_column(percent)))
+    classes = classes.withColumn("all_prefix", F.col("prefix")).withColumn("prefix", first)
     rows = classes.select("comp", F.explode("prefix").alias("token"))
     # combined before the shuffle, so a shingle of very many near copies is a few rows
     mixed = cut(rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token"))
@@ -426,7 +456,7 @@ def _clustered(classes: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*some, pa.array(token[keep]), pa.array(pos[keep])], ["doc_id", "comp", "n_shingles", "token", "pos"])
 
     tokens = classes.select("doc_id", "comp", "n_shingles", "prefix").mapInArrow(passing, "doc_id long, comp long, n_shingles long, token long, pos long")
-    lists = cut(tokens.join(small(mixed), "token", "left_semi"))
+    lists = _split_lists(cut(tokens.join(small(mixed), "token", "left_semi")), classes, percent)
     dealt = _cells(lists, "token", LIST_BLOCK, F.lit(1)).join(classes.select("doc_id", "signature"), "doc_id")
     cells = ["token", "g", "h"]
     dealt = dealt.select(*cells, "whole", "side", "doc_id", "comp", "n_shingles", "pos", "signature").repartition(*cells).sortWithinPartitions(*cells)

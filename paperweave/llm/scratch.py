@@ -22,13 +22,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def modest(spark: SparkSession) -> None:
-    """Batches of few rows between Spark and Python: texts are long, and an executor holds a batch several times over."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-
-
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    modest(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 

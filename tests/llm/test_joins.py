@@ -99,6 +99,38 @@ def test_components(spark):
     assert got == {i: 0 for i in range(51)} | {100: 100, 101: 100}
 
 
+def test_split_lists_lose_nothing(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LIST_BLOCK", 2)
+    monkeypatch.setattr(ngram_join, "SPLIT_BLOCKS", 1)
+    monkeypatch.setattr(ngram_join, "_stars", lambda classes, percent: ngram_join.cut(classes.select(F.col("doc_id").alias("leader"), "doc_id", F.col("doc_id").alias("comp"), F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("h"), F.lit(False).alias("whole"), F.lit(True).alias("side")).limit(0)))
+    monkeypatch.setattr(ngram_join, "RARE_SHARE", 1.0)
+    draw = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = {}
+    for i in range(60):
+        words = [w if draw.random() > 0.03 * (i % 3) else f"x{draw.randrange(200)}" for w in base[: 20 + i % 40]]
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for percent in (50, 60, 85):
+        want = jaccard_components(texts, 2, percent)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_components(docs, n=2, percent=percent).collect()}
+        assert got == want
+
+
+def test_rows_of_a_split_list_grow_with_the_list(spark, monkeypatch):
+    """One shingle in n sets of as many components, each with a second one that a few others share: copies are counted."""
+    monkeypatch.setattr(ngram_join, "LIST_BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "SPLIT_BLOCKS", 4)
+    copied = []
+    for n in (1000, 2000, 4000):
+        classes = spark.range(n).select(F.col("id").alias("doc_id"), F.col("id").alias("comp"), F.lit(20).cast("long").alias("n_shingles"), F.array(F.lit(7).cast("long"), 100 + F.floor(F.col("id") / 3), 10**6 + F.col("id")).alias("all_prefix"))
+        lists = ngram_join.cut(classes.select("doc_id", "comp", "n_shingles", F.lit(7).cast("long").alias("token"), F.lit(0).cast("long").alias("pos")))
+        split = ngram_join._split_lists(lists, classes, 85)
+        assert {frozenset(r[1]) for r in split.groupBy("token").agg(F.collect_set("doc_id")).collect()} == {frozenset(range(i, min(i + 3, n))) for i in range(0, n, 3) if i + 1 < n}
+        copied.append(ngram_join._cells(split, "token", ngram_join.LIST_BLOCK, F.lit(1)).count())
+    assert copied == [999, 2000, 3999] or max(copied) <= 4000 and copied[2] <= 4.1 * copied[0]
+
+
 def test_repeats(spark, sf_dir):
     want = without_repeats(table_texts(sf_dir), 13)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in queries.op4_repeats(spark, sf_dir).collect()}
@@ -125,11 +157,11 @@ def test_repeats_of_awkward_rows(spark, monkeypatch):
 def test_packing(spark, sf_dir):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     path = P.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)  # as it is loaded: what looks like an added token is one
     tables = [(queries.op5_packing(spark, sf_dir).collect(), table_texts(sf_dir).items())]
-    small = small_documents(spark).filter("doc_id <> 15 or doc_id is null")
+    marked = [(30, "<|endoftext|> x"), (31, "a<|endoftext|>é中<|ENDOFTEXT|>"), (32, "<|endoftext"), (33, "<|endoftext|>" * 700)]
+    small = small_documents(spark).unionByName(spark.createDataFrame(marked, "doc_id long, text string"), allowMissingColumns=True)
     tables.append((packing.pack_documents(small, path, buckets=3).collect(), [(r["doc_id"], r["text"]) for r in small.collect()]))
     for rows, texts in tables:
         pieces = Counter()
