@@ -73,6 +73,30 @@ def fitted(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:
     return rows.groupBy(group).agg(F.count("*").alias("n"), fixed(F.regr_slope(y, x)).alias("slope"), fixed(F.regr_intercept(y, x)).alias("intercept"))
 
 
+def filled_columns(hits: DataFrame, group: str, n_columns: int, least: int, pitch: tuple[float, float]) -> DataFrame:
+    """group, status, place, centre, source: the centres of a group's columns, places 0 to n_columns - 1. hits: group, place, value; a place may be hit often, and its median counts.
+
+    Places that were not hit get the value of the least-squares line through the medians, source INTERPOLATED. A group with fewer than `least` places measured, medians or centres that do not rise, or a slope outside
+    the pitch has a status that says so, and no centres. Medians are one aggregate and the line another; a group's places are held as one short array.
+    """
+    medians = hits.filter(F.col("place").between(0, n_columns - 1) & F.col("value").isNotNull()).groupBy(group, "place").agg(F.percentile("value", F.lit(0.5)).alias("m"))
+    told = medians.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("place", "m"))).alias("known"), F.regr_slope("m", "place").alias("slope"), F.regr_intercept("m", "place").alias("base"))
+    rises = lambda values: ~F.exists(F.sequence(F.lit(1), F.size(values) - 1), lambda i: F.get(values, i - 1) >= F.get(values, i))
+    measured = lambda k: F.get(F.filter("known", lambda x: x["place"] == k), F.lit(0))["m"]
+    centres = F.array(*(F.coalesce(measured(k), F.col("base") + F.col("slope") * k) for k in range(n_columns)))
+    few = F.size("known") < least
+    status = (
+        F.when(few, "COLUMN_DETECTION_FAILED")
+        .when(~rises(F.transform("known", lambda x: x["m"])), "COLUMN_ORDER_VIOLATION")
+        .when(~F.coalesce(F.col("slope").between(*pitch), F.lit(False)), "COLUMN_PITCH_IMPLAUSIBLE")
+        .when(~rises(centres), "COLUMN_ORDER_VIOLATION")
+        .otherwise("COLUMNS_FROM_LABELS")
+    )
+    rows = told.select(group, status.alias("status"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n_columns - 1)), lambda k: F.struct(F.get(centres, k).alias("centre"), F.exists("known", lambda x: x["place"] == k).alias("hit")))).alias("place", "c"))
+    good = F.col("status") == "COLUMNS_FROM_LABELS"
+    return rows.select(group, "status", "place", F.when(good, fixed(F.col("c.centre"))).alias("centre"), F.when(good, F.when(F.col("c.hit"), "OCR_LABEL").otherwise("INTERPOLATED")).alias("source"))
+
+
 def box_drift(boxes: DataFrame, role: str, small: float = 0.03, large: float = 0.05) -> DataFrame:
     """How far a role's box moves between samples, and a class by it."""
     told = boxes.groupBy(role).agg(F.count("*").alias("n"), *(F.min(c).alias(f"min_{c}") for c in ("x", "y")), *(F.max(c).alias(f"max_{c}") for c in ("x", "y")))

@@ -77,46 +77,56 @@ def stitched_documents(pages: DataFrame) -> DataFrame:
 
 def voting_runs(pages: DataFrame) -> DataFrame:
     """pages with cluster_id, cluster_size and split_reason: runs of consecutive eligible scans of one type, none of whose keys contradicts any page of
-    its run. Near-equal shipments are not transitive, so an upload is folded in scan order; it is a bounded unit, one person's scan."""
-    row = F.struct("scan_index", "doc_type", F.coalesce(F.col("action"), F.lit("")).alias("action"), *(F.col(k).alias(k) for k in EXACT_FIELDS), repaired_id(F.col("shipment_id")).alias("shipment_id"))
-    rows = pages.groupBy("upload_group_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-
-    def eligible(r: Column) -> Column:
-        return r["doc_type"].isNotNull() & (r["doc_type"] != "UNKNOWN") & (r["action"] != "YEU_CAU_CHUP_LAI")
-
-    def conflict(m: Column, r: Column) -> Column:
-        out = F.when(m["shipment_id"].isNotNull() & r["shipment_id"].isNotNull() & ~near_equal(m["shipment_id"], r["shipment_id"]), "shipment_id")
-        for k in reversed(EXACT_FIELDS):
-            out = F.when(m[k].isNotNull() & r[k].isNotNull() & (F.trim(m[k]) != F.trim(r[k])), k).otherwise(out)
-        return out
+    its run.
+
+    What a page tells beside the one before it (eligibility, type, gap) cuts an upload into stretches by windows, which spill; only within a stretch are keys folded in scan order, as near-equal shipments are not
+    transitive. The fold holds a run's first value of each exact key and its distinct shipments, each with the place of its first page, not its pages.
+    """
+    keys = [*(F.col(k).alias(k) for k in EXACT_FIELDS), repaired_id(F.col("shipment_id")).alias("shipment_id")]
+    rows = pages.select("upload_group_id", "scan_index", "doc_type", F.coalesce("action", F.lit("")).alias("action"), *keys)
+    order = ["scan_index", "doc_type", "action", *EXACT_FIELDS, "shipment_id"]
+    along = W.partitionBy("upload_group_id").orderBy(*order)
+    eligible = F.col("doc_type").isNotNull() & (F.col("doc_type") != "UNKNOWN") & (F.col("action") != "YEU_CAU_CHUP_LAI")
+    rows = rows.withColumn("ok", F.coalesce(eligible, F.lit(False)))
+    before = lambda c: F.lag(c).over(along)
+    broken = (
+        F.when(before("scan_index").isNull(), "START")
+        .when(~F.col("ok") | ~before("ok"), "NOT_ELIGIBLE")
+        .when(F.col("doc_type") != before("doc_type"), "DOC_TYPE_CHANGE")
+        .when(F.col("scan_index") != before("scan_index") + 1, "SCAN_INDEX_GAP")
+    )
+    rows = rows.withColumn("broken", broken)
+    rows = rows.withColumn("stretch", F.count("broken").over(along.rowsBetween(W.unboundedPreceding, 0)))
+    row = F.struct(*order, "broken")
+    stretches = rows.groupBy("upload_group_id", "stretch").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    first_of = "struct<value:string,place:int>"
 
     def step(state: Column, r: Column) -> Column:
-        members = state["members"]
-        last = F.element_at(members, -1)
-        clash = F.get(F.filter(F.transform(members, lambda m: conflict(m, r)), lambda x: x.isNotNull()), F.lit(0))
-        reason = (
-            F.when(F.size(members) == 0, "START")
-            .when(~eligible(r) | ~eligible(last), "NOT_ELIGIBLE")
-            .when(r["doc_type"] != last["doc_type"], "DOC_TYPE_CHANGE")
-            .when(r["scan_index"] != last["scan_index"] + 1, "SCAN_INDEX_GAP")
-            .when(clash.isNotNull(), F.concat(F.lit("KEY_FIELD_CONFLICT("), clash, F.lit(")")))
-            .otherwise("JOINED")
-        )
+        clashes = [F.when(state[k]["value"].isNotNull() & r[k].isNotNull() & (F.trim(state[k]["value"]) != F.trim(r[k])), F.struct(state[k]["place"].alias("place"), F.lit(i).alias("ord"), F.lit(k).alias("name"))) for i, k in enumerate(EXACT_FIELDS)]
+        apart = F.filter(state["ships"], lambda m: r["shipment_id"].isNotNull() & ~near_equal(m["value"], r["shipment_id"]))
+        clashes.append(F.when(F.size(apart) > 0, F.struct(F.get(apart, F.lit(0))["place"].alias("place"), F.lit(len(EXACT_FIELDS)).alias("ord"), F.lit("shipment_id").alias("name"))))
+        clash = F.array_min(F.array_compact(F.array(*clashes)))["name"]
+        reason = F.coalesce(r["broken"], F.when(clash.isNotNull(), F.concat(F.lit("KEY_FIELD_CONFLICT("), clash, F.lit(")"))), F.lit("JOINED"))
         joined = reason == "JOINED"
-        number = state["number"] + F.when(joined, 0).otherwise(1)
+        place = F.when(joined, state["size"]).otherwise(0)
+        mine = lambda k: F.when(r[k].isNotNull(), F.struct(r[k].alias("value"), place.alias("place")))
+        known = F.exists(state["ships"], lambda m: m["value"] == r["shipment_id"])
+        ship = F.when(r["shipment_id"].isNotNull() & ~(joined & F.coalesce(known, F.lit(False))), F.array(F.struct(r["shipment_id"].alias("value"), place.alias("place")))).otherwise(F.array().cast(f"array<{first_of}>"))
         return F.struct(
-            number.alias("number"),
-            F.when(joined, F.concat(members, F.array(r))).otherwise(F.array(r)).alias("members"),
-            F.concat(state["out"], F.array(F.struct(r["scan_index"].alias("scan_index"), number.alias("number"), reason.alias("split_reason")))).alias("out"),
+            (place + 1).alias("size"),
+            *(F.when(joined, F.coalesce(state[k], mine(k))).otherwise(mine(k)).alias(k) for k in EXACT_FIELDS),
+            F.concat(F.when(joined, state["ships"]).otherwise(F.array().cast(f"array<{first_of}>")), ship).alias("ships"),
+            F.concat(state["out"], F.array(F.struct(r["scan_index"].alias("scan_index"), reason.alias("split_reason")))).alias("out"),
         )
 
-    kind = rows.schema["rows"].dataType.simpleString()
     index = dict(pages.dtypes)["scan_index"]
-    start = F.struct(F.lit(-1).alias("number"), F.array().cast(kind).alias("members"), F.array().cast(f"array<struct<scan_index:{index},number:int,split_reason:string>>").alias("out"))
-    told = rows.select("upload_group_id", F.explode(F.aggregate("rows", start, step)["out"]).alias("o")).select("upload_group_id", "o.*")
-    told = told.select("upload_group_id", "scan_index", F.concat_ws("#", "upload_group_id", F.col("number").cast("string")).alias("cluster_id"), "split_reason")
-    told = told.withColumn("cluster_size", F.count("*").over(W.partitionBy("cluster_id")))
-    return pages.join(told, ["upload_group_id", "scan_index"])
+    start = F.struct(F.lit(0).alias("size"), *(F.lit(None).cast(first_of).alias(k) for k in EXACT_FIELDS), F.array().cast(f"array<{first_of}>").alias("ships"), F.array().cast(f"array<struct<scan_index:{index},split_reason:string>>").alias("out"))
+    told = stretches.select("upload_group_id", F.posexplode(F.aggregate("rows", start, step)["out"]).alias("at", "o"), "stretch").select("upload_group_id", "stretch", "at", "o.*")
+    upto = W.partitionBy("upload_group_id").orderBy("stretch", "at").rowsBetween(W.unboundedPreceding, 0)
+    number = F.count(F.when(F.col("split_reason") != "JOINED", 1)).over(upto) - 1
+    told = told.select("upload_group_id", "scan_index", F.concat_ws("#", "upload_group_id", number.cast("string")).alias("cluster_id"), "split_reason")
+    size = told.groupBy("cluster_id").agg(F.count("*").alias("cluster_size"))
+    return pages.join(told.join(size, "cluster_id"), ["upload_group_id", "scan_index"])
 
 
 def _winner(rows: DataFrame, field: str, value: Column, by_length: bool = False) -> DataFrame:

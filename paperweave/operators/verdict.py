@@ -137,14 +137,17 @@ def effective_targets(targets: DataFrame, latest: DataFrame, *keys: str) -> Data
     detected = F.when(d == "SIGNED", True).when(d == "NOT_SIGNED", False).otherwise(F.col("detected"))
     review = F.when(d == "UNCLEAR", True).when(d.isNotNull(), False).otherwise(F.col("review_required"))
     rows = rows.withColumn("human_decision", d)
-    rows = rows.withColumn("machine_detected", F.col("detected")).withColumn("detected", detected).withColumn("review_required", review)
+    rows = rows.withColumn("machine_detected", F.col("detected")).withColumn("machine_review", F.col("review_required")).withColumn("detected", detected).withColumn("review_required", review)
     state = F.when(F.col("review_required"), None).otherwise(F.coalesce("detected", F.lit(False)))
     return rows.withColumn("effective_detected", state).drop("review_role", "decision")
 
 
 def overridden(effective: DataFrame, key: str) -> DataFrame:
-    """How many reviews were applied, and how many changed what the machine had found."""
-    return effective.groupBy(key).agg(F.count_if(F.col("human_decision").isNotNull()).alias("n_applied"), F.count_if(F.col("human_decision").isNotNull() & ~F.col("machine_detected").eqNullSafe(F.col("effective_detected"))).alias("n_overridden"))
+    """How many reviews were applied, and how many changed what the machine had found or whether it asked for a review; null counts as no."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    applied = F.col("human_decision").isNotNull()
+    changed = (yes("machine_detected") != yes("detected")) | (yes("machine_review") != yes("review_required"))
+    return effective.groupBy(key).agg(F.count_if(applied).alias("n_applied"), F.count_if(applied & changed).alias("n_overridden"))
 
 
 def attempts_in_window(attempts: DataFrame, account: str, window_minutes: int, lock_minutes: int, max_fails: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperweave.functions.text import first_where
+from paperweave.operators.containment import containing
 
 
 def visible_to(rows: DataFrame, user: Column, owner: str = "owner", admin: Column | None = None) -> DataFrame:
@@ -72,9 +73,9 @@ def strict_flag(value: Column) -> Column:
 
 
 def isolated_pairs(missed: DataFrame) -> DataFrame:
-    """Missed pairs counted by the isolated document that they hang on, most first, then by its key."""
+    """Missed pairs counted by the isolated document that they hang on, most first, then by its key; places come from ranges of the order."""
     n = missed.groupBy("file_name", "doc_type", "reason").agg(F.count("*").alias("n"))
-    return n.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "file_name", "doc_type", "reason")))
+    return in_order(n.withColumn("down", -F.col("n")), "down", "file_name", "doc_type", "reason").drop("down")
 
 
 def phrases(words: DataFrame, line: list[str], gap: float) -> DataFrame:
@@ -88,12 +89,18 @@ def phrases(words: DataFrame, line: list[str], gap: float) -> DataFrame:
 
 def rule_accuracy(rules: DataFrame, evidence: DataFrame) -> DataFrame:
     """Rules of a truth table with the status of the first evidence that fits, NOT_FOUND counted as wrong. rules: rule_id, field, key, source_type, target_type, expected.
-    evidence: position, field, key, source_type, target_type, status; keys meet by equality."""
-    e = evidence.select("position", "field", "key", "status", F.col("source_type").alias("s"), F.col("target_type").alias("t"))
+    evidence: position, field, status, source_type, target_type, values (strings; a rule's key must be contained in one of them, an empty key is in all).
+
+    Evidence is reduced to the first of each value and pair of types before anything meets; keys meet values by their rarest n-gram. Types that either side does not name fit."""
+    kinds = [F.col("source_type").alias("s"), F.col("target_type").alias("t")]
+    first = F.min(F.struct("position", "status")).alias("first")
+    cells = evidence.select("field", *kinds, "position", "status", F.explode(F.array_distinct("values")).alias("value")).filter("value is not null").groupBy("field", "value", "s", "t").agg(first)
+    held = containing(cells, rules.select("field", "key"), "field").groupBy("field", "key", "s", "t").agg(F.min("first").alias("first"))
+    whole = evidence.select("field", *kinds, "position", "status").groupBy("field", "s", "t").agg(first).select("field", F.lit("").alias("key"), "s", "t", "first")
     fits = lambda wanted, a, b: F.col(wanted).isNull() | F.col(a).isNull() | (F.col(a) == F.col(wanted)) | F.coalesce(F.col(b) == F.col(wanted), F.lit(False))
-    hits = rules.join(e, ["field", "key"]).filter(fits("target_type", "t", "s") & fits("source_type", "s", "t"))
-    first = hits.groupBy("rule_id").agg(F.min_by("status", "position").alias("actual"))
-    rows = rules.join(first, "rule_id", "left").withColumn("actual", F.coalesce("actual", F.lit("NOT_FOUND")))
+    hits = rules.join(held.unionByName(whole), ["field", "key"]).filter(fits("target_type", "t", "s") & fits("source_type", "s", "t"))
+    told = hits.groupBy("rule_id").agg(F.min("first")["status"].alias("actual"))
+    rows = rules.join(told, "rule_id", "left").withColumn("actual", F.coalesce("actual", F.lit("NOT_FOUND")))
     return rows.withColumn("correct", F.col("actual") == F.col("expected"))
 
 

@@ -106,7 +106,7 @@ def template_dossiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'any_stamp' WHEN 1 THEN 'red_stamp' ELSE 'blue' END AS colour, CASE p_partkey % 5 WHEN 0 THEN 'SUPERMARKET_SQUARE' WHEN 1 THEN 'ODD' WHEN 2 THEN '' END AS explicit, CASE p_partkey % 3 WHEN 0 THEN 'Mộc ĐỎ công ty' WHEN 1 THEN 'Bộ phận Tiếp nhận' ELSE 'role' END AS role FROM part)
 SELECT p_partkey, CASE WHEN coalesce(explicit, '') <> '' THEN CASE WHEN explicit = 'SUPERMARKET_SQUARE' THEN explicit END WHEN colour = 'any_stamp' THEN 'SUPERMARKET_SQUARE' WHEN colour = 'red_stamp' THEN 'COMPANY_ROUND_RED' END AS stamp,
-  CASE WHEN coalesce(explicit, '') <> '' THEN CASE WHEN explicit = 'SUPERMARKET_SQUARE' THEN explicit END WHEN colour = 'any_stamp' OR contains(lower(role), 'tiếp nhận') THEN 'SUPERMARKET_SQUARE' WHEN colour = 'red_stamp' OR contains(lower(role), 'mộc đỏ') THEN 'COMPANY_ROUND_RED' END AS stamp_by_role FROM p""")
+  CASE WHEN explicit IS NOT NULL THEN explicit WHEN colour = 'any_stamp' OR contains(lower(role), 'tiếp nhận') THEN 'SUPERMARKET_SQUARE' WHEN colour = 'red_stamp' OR contains(lower(role), 'mộc đỏ') THEN 'COMPANY_ROUND_RED' END AS stamp_by_role FROM p""")
 def stamp_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     colour = F.when(k % 4 == 0, "any_stamp").when(k % 4 == 1, "red_stamp").otherwise("blue")
@@ -156,8 +156,8 @@ r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, scan, found, [CASE
   CASE WHEN found AND (angle_min < 60 OR angle_max > 120) THEN 'ANGLE' END, CASE WHEN found AND ink_outside > 2 THEN 'INK_OUTSIDE' END, CASE WHEN found AND agreement < 0.6 THEN 'AGREEMENT' END] AS rejects,
   [CASE WHEN precropped THEN 'PRECROPPED' END, CASE WHEN NOT precropped AND n_cut = 0 AND n_near > 0 THEN 'SIDE_NEAR' END, CASE WHEN found AND n_touching = 1 AND area <= 0.9 THEN 'CORNER_NEAR' END, CASE WHEN found AND margin < 3 THEN 'MARGIN' END, CASE WHEN found AND area >= 0.1 AND area < 0.2 THEN 'AREA' END,
   CASE WHEN found AND NOT aspect BETWEEN 1.1 AND 1.7 THEN 'ASPECT' END, CASE WHEN found AND ink_outside > 0.5 AND ink_outside <= 2 THEN 'INK_OUTSIDE' END, CASE WHEN found AND agreement >= 0.6 AND agreement < 0.8 THEN 'AGREEMENT' END, CASE WHEN found AND mask_fit < 0.85 THEN 'MASK_FIT' END, CASE WHEN found AND side_skew > 0.35 THEN 'SIDE_SKEW' END] AS warns FROM m),
-g AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN scan THEN [] ELSE list_filter(rejects, lambda x: x IS NOT NULL) END AS rejects, CASE WHEN scan THEN CASE WHEN found THEN [] ELSE ['NO_OUTLINE'] END ELSE list_filter(warns, lambda x: x IS NOT NULL) END AS warns FROM r)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, array_to_string(rejects, ',') AS rejects, array_to_string(warns, ',') AS warns, CASE WHEN len(rejects) > 0 THEN 'CHUP_LAI' WHEN len(warns) > 0 THEN 'CANH_BAO' ELSE 'DAT' END AS status FROM g""")
+g AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, scan, CASE WHEN scan THEN [] ELSE list_filter(rejects, lambda x: x IS NOT NULL) END AS rejects, CASE WHEN scan THEN CASE WHEN found THEN [] ELSE ['NO_OUTLINE'] END ELSE list_filter(warns, lambda x: x IS NOT NULL) END AS warns FROM r)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, array_to_string(rejects, ',') AS rejects, array_to_string(warns, ',') AS warns, CASE WHEN len(rejects) > 0 THEN 'CHUP_LAI' WHEN len(warns) > 0 AND NOT scan THEN 'CANH_BAO' ELSE 'DAT' END AS status FROM g""")
 def corner_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     gate = policy.corner_gate({k: F.expr(v) for k, v in _MEASURES.items()}, F.col("l_returnflag") == "A", LIMITS)
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", gate.alias("g"))
@@ -200,10 +200,10 @@ def target_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(*_KEYS, state.alias("state"))
 
 
-@query("""WITH e AS (SELECT l_partkey % 900 AS file, arg_max(l_orderkey, l_orderkey * 10 + l_linenumber) AS b FROM lineitem GROUP BY 1) SELECT o_orderkey, coalesce('B' || b, 'BATCH_ISOLATED') AS batch_id FROM orders LEFT JOIN e ON file = o_orderkey % 1800""")
+@query("""WITH e AS (SELECT l_partkey AS file, arg_max(l_orderkey, l_orderkey * 10 + l_linenumber) AS b FROM lineitem GROUP BY 1) SELECT o_orderkey, coalesce('B' || b, 'BATCH_ISOLATED') AS batch_id FROM orders LEFT JOIN e ON file = o_orderkey""")
 def page_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 900).alias("file_name"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"), F.concat(F.lit("B"), "l_orderkey").alias("batch_id"))
-    pages = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 1800).alias("file_name"))
+    entries = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("file_name"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"), F.concat(F.lit("B"), "l_orderkey").alias("batch_id"))
+    pages = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("file_name"))
     return views.with_batch(pages, entries).select("o_orderkey", "batch_id")
 
 
@@ -253,9 +253,10 @@ def guarded_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("c_mktsegment").agg(F.count_if(views.strict_flag(setting)).alias("n_true"), F.count_if(usable).alias("n_admins"), F.count("*").alias("n"))
 
 
-@query("SELECT l_suppkey % 40 AS file_name, l_returnflag AS doc_type, l_linestatus AS reason, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, l_suppkey % 40, l_returnflag, l_linestatus) AS INT) AS place FROM lineitem GROUP BY 1, 2, 3")
+@query("SELECT l_partkey AS file_name, l_returnflag AS doc_type, l_linestatus AS reason, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, l_partkey, l_returnflag, l_linestatus) AS place FROM lineitem GROUP BY 1, 2, 3")
 def isolated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.isolated_pairs(table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 40).alias("file_name"), F.col("l_returnflag").alias("doc_type"), F.col("l_linestatus").alias("reason")))
+    missed = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("file_name"), F.col("l_returnflag").alias("doc_type"), F.col("l_linestatus").alias("reason"))
+    return views.isolated_pairs(missed).withColumn("place", F.col("place").cast("long"))
 
 
 @query("""WITH w AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 97 * 10.0 AS x0, l_partkey % 97 * 10.0 + l_quantity AS x1, 5.0 + l_suppkey % 4 AS height FROM lineitem), e AS (SELECT l_orderkey, median(height) AS em FROM w GROUP BY 1),
@@ -268,18 +269,21 @@ def line_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.phrases(words, ["l_orderkey"], 1.5).groupBy("l_orderkey", "phrase").agg(F.count("*").alias("n_words"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
 
 
-@query("""WITH r AS (SELECT o_orderkey AS rule_id, CAST(o_orderkey AS VARCHAR) AS key, CASE o_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'R' END AS st, CASE WHEN o_custkey % 4 = 0 THEN 'N' END AS tt, CASE WHEN o_custkey % 2 = 0 THEN 'F' ELSE 'O' END AS expected FROM orders),
-e AS (SELECT CAST(l_orderkey AS VARCHAR) AS key, l_returnflag AS s, CASE WHEN l_linenumber % 2 = 0 THEN 'N' ELSE 'A' END AS t, l_linestatus AS status, l_partkey * 1000000 + l_suppkey * 10 + l_linenumber AS position FROM lineitem),
-f AS (SELECT rule_id, arg_min(status, position) AS actual FROM r JOIN e USING (key) WHERE (tt IS NULL OR t = tt OR s = tt) AND (st IS NULL OR s = st OR t = st) GROUP BY 1)
-SELECT rule_id, coalesce(actual, 'NOT_FOUND') AS actual, coalesce(actual, 'NOT_FOUND') = expected AS correct FROM r LEFT JOIN f USING (rule_id)""")
+#: A rule's key is a part of an order's number; an evidence names orders, parts and suppliers within longer values.
+_RULES = """SELECT o_orderkey AS rule_id, CASE WHEN o_orderkey % 50 = 0 THEN '' WHEN o_orderkey % 7 = 0 THEN concat('-', o_custkey % 1000, '-') WHEN o_orderkey % 7 = 1 THEN CAST(o_orderkey % 10 AS {string}) WHEN o_orderkey % 7 = 2 THEN concat('z', o_orderkey) ELSE CAST(o_orderkey AS {string}) END AS key,
+  CASE WHEN o_orderkey % 50 = 0 THEN 'invoice_no' ELSE 'po_no' END AS field, CASE o_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'R' END AS source_type, CASE WHEN o_custkey % 4 = 0 THEN 'N' END AS target_type, CASE WHEN o_custkey % 2 = 0 THEN 'F' ELSE 'O' END AS expected FROM {orders}"""
+_RULED = """SELECT CASE WHEN l_linenumber % 5 = 0 THEN 'invoice_no' ELSE 'po_no' END AS field, CASE WHEN l_linenumber % 6 > 0 THEN l_returnflag END AS source_type, CASE WHEN l_linenumber % 2 = 0 THEN 'N' ELSE 'A' END AS target_type, l_linestatus AS status, l_orderkey * 1000000 + l_suppkey * 10 + l_linenumber AS position,
+  concat('PO', l_orderkey) AS v1, CASE WHEN l_linenumber % 4 > 0 THEN concat('x-', l_partkey, '-y') END AS v2, concat('d', l_orderkey, '_', l_linenumber) AS v3, concat('e', l_suppkey) AS v4 FROM {lineitem}"""
+
+
+@query(f"""WITH r AS ({_RULES.format(string='VARCHAR', orders='orders')}), e AS ({_RULED.format(lineitem='lineitem')}), v AS (SELECT field, source_type AS s, target_type AS t, x, min({{'p': position, 's': status}}) AS f FROM (SELECT *, unnest([v1, v2, v3, v4]) AS x FROM e) WHERE x IS NOT NULL GROUP BY 1, 2, 3, 4),
+n AS (SELECT DISTINCT field, length(key) AS n FROM r), u AS (SELECT v.field, s, t, f, substr(x, i, n) AS key FROM (SELECT v.*, n, unnest(range(1, length(x) - n + 2)) AS i FROM v JOIN n USING (field) WHERE n BETWEEN 1 AND length(x)) v),
+k AS (SELECT field, key, s, t, min(f) AS f FROM u GROUP BY 1, 2, 3, 4 UNION ALL SELECT field, '', s, t, min(f) FROM v GROUP BY 1, 3, 4),
+h AS (SELECT rule_id, min(f) AS f FROM r JOIN k USING (field, key) WHERE (target_type IS NULL OR t IS NULL OR t = target_type OR coalesce(s = target_type, false)) AND (source_type IS NULL OR s IS NULL OR s = source_type OR coalesce(t = source_type, false)) GROUP BY 1)
+SELECT rule_id, coalesce(h.f.s, 'NOT_FOUND') AS actual, coalesce(h.f.s, 'NOT_FOUND') = expected AS correct FROM r LEFT JOIN h USING (rule_id)""")
 def rule_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("o_custkey")
-    rules = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("rule_id"), F.lit("po_no").alias("field"), F.col("o_orderkey").cast("string").alias("key"), F.when(c % 3 == 0, "A").when(c % 3 == 1, "R").alias("source_type"), F.when(c % 4 == 0, "N").alias("target_type"), F.when(c % 2 == 0, "F").otherwise("O").alias("expected")
-    )
-    evidence = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("position"), F.lit("po_no").alias("field"), F.col("l_orderkey").cast("string").alias("key"), F.col("l_returnflag").alias("source_type"), F.when(F.col("l_linenumber") % 2 == 0, "N").otherwise("A").alias("target_type"), F.col("l_linestatus").alias("status")
-    )
+    rules = spark.sql(_RULES.format(string="STRING", orders="{orders}"), orders=table(spark, sf_dir, "orders"))
+    evidence = spark.sql(_RULED.format(lineitem="{lineitem}"), lineitem=table(spark, sf_dir, "lineitem")).withColumn("values", F.array("v1", "v2", "v3", "v4"))
     return views.rule_accuracy(rules, evidence).select("rule_id", "actual", "correct")
 
 

@@ -232,6 +232,19 @@ def column_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.fitted(table(spark, sf_dir, "customer").withColumn("g", F.col("c_nationkey")), "g", "c_custkey", "c_acctbal")
 
 
+_HITS = "SELECT l_orderkey AS page, l_linenumber % 6 AS place, (l_linenumber % 6) * (CASE WHEN l_orderkey % 11 = 0 THEN 0.3 WHEN l_orderkey % 13 = 0 THEN -0.2 ELSE 0.15 END) + l_discount / 9.7 + l_tax / 21.3 AS value FROM {lineitem}"
+
+
+@query(f"""WITH h AS ({_HITS.format(lineitem='lineitem')}), m AS (SELECT page, place, quantile_cont(value, 0.5) AS m FROM h WHERE place < 5 GROUP BY 1, 2), g AS (SELECT page, count(*) AS n, regr_slope(m, place) AS b, regr_intercept(m, place) AS a FROM m GROUP BY 1),
+r AS (SELECT page, bool_and(up) AS up FROM (SELECT page, coalesce(m > lag(m) OVER (PARTITION BY page ORDER BY place), true) AS up FROM m) GROUP BY 1),
+c AS (SELECT g.page, i AS place, n, b, up, coalesce(m.m, a + b * i) AS centre, m.m IS NOT NULL AS hit FROM g JOIN r USING (page), (SELECT unnest(range(0, 5)) AS i) LEFT JOIN m ON m.page = g.page AND m.place = i),
+w AS (SELECT page, bool_and(up) AS rising FROM (SELECT page, coalesce(centre > lag(centre) OVER (PARTITION BY page ORDER BY place), true) AS up FROM c) GROUP BY 1),
+s AS (SELECT c.*, CASE WHEN n < 3 THEN 'COLUMN_DETECTION_FAILED' WHEN NOT up THEN 'COLUMN_ORDER_VIOLATION' WHEN NOT coalesce(b BETWEEN 0.1 AND 0.25, false) THEN 'COLUMN_PITCH_IMPLAUSIBLE' WHEN NOT rising THEN 'COLUMN_ORDER_VIOLATION' ELSE 'COLUMNS_FROM_LABELS' END AS status FROM c JOIN w USING (page))
+SELECT page, status, CAST(place AS INT) AS place, CASE WHEN status = 'COLUMNS_FROM_LABELS' THEN floor(centre * 10000 + 0.5) / 10000 END AS centre, CASE WHEN status = 'COLUMNS_FROM_LABELS' THEN CASE WHEN hit THEN 'OCR_LABEL' ELSE 'INTERPOLATED' END END AS source FROM s""")
+def filled_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure.filled_columns(spark.sql(_HITS, lineitem=table(spark, sf_dir, "lineitem")), "page", 5, 3, (0.10, 0.25))
+
+
 @query("""WITH e AS (SELECT user_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS sec FROM events WHERE event_type = 'error'), n AS (SELECT *, CASE WHEN sec - lag(sec) OVER (PARTITION BY user_id ORDER BY sec) > 200000 THEN 1 ELSE 0 END AS new FROM e),
 c AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY sec ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster FROM n) SELECT user_id, cluster, count(*) AS n, floor(quantile_cont(sec, 0.5) * 10000 + 0.5) / 10000 AS median FROM c GROUP BY 1, 2""")
 def gap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,8 +89,8 @@ told AS (SELECT s.dossier_id, count(*) AS n_required, count(*) FILTER (detected)
 SELECT dossier_id, n_pages, n_blocks, policy_channel, n_required, n_found, CASE WHEN abstains THEN 'CHUA_CHUAN_HOA_VUNG_KY' WHEN n_blocks = 0 THEN 'KHONG_TIM_THAY_KHOI_KY' WHEN n_unmeasured > 0 THEN 'CHUA_CHUAN_HOA_VUNG_KY' {_ladder.format("CHUA_CHUAN_HOA_VUNG_KY", "CAN_KIEM_TRA_TAY", "DAT_CHUAN_GOC", "DAT_CHUAN_PHOTO", "CHUA_KY_DONG_DAU", "THIEU_MOT_SO_CHU_KY")} AS doc_status FROM shape JOIN told USING (dossier_id)"""
 
 
-@query(f"WITH {_dossiers}")
-def dossier_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dossier_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """members, pages, targets and required roles of dossiers of several pages."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     k = F.col("o_orderkey")
     lost = customer.filter("c_custkey % 50 = 0").select(F.col("c_custkey").alias("dossier_id"), (-F.col("c_custkey")).alias("page_id"))
@@ -100,7 +100,12 @@ def dossier_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = orders.join(customer, F.col("c_custkey") == F.col("o_custkey")).select(k.alias("page_id"), channel.alias("channel"), zone.alias("zone_status"), (F.col("o_orderstatus") != "F").alias("is_color"))
     targets = view(spark, sf_dir, TARGETS).withColumn("placed", F.expr("doc_id % 4 = 0 and doc_id % 97 > 0")).withColumnRenamed("doc_id", "page_id")
     roles = spark.createDataFrame([(c, r) for c, rs in ROLES.items() for r in rs], "channel string, role string")
-    return verdict.dossier_verdict(members, pages, targets, roles)
+    return members, pages, targets, roles
+
+
+@query(f"WITH {_dossiers}")
+def dossier_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdict.dossier_verdict(*dossier_inputs(spark, sf_dir))
 
 
 _reviews = """rv AS (SELECT event_id // 3 AS doc_id, concat('role', event_id % 2 + 1) AS role_key, event_id AS review_id, ts AS created_at, CASE WHEN event_id % 17 = 0 THEN 'other' ELSE concat('role', event_id % 2 + 1) END AS role, CASE event_type WHEN 'click' THEN 'SIGNED' WHEN 'view' THEN 'NOT_SIGNED' ELSE 'UNCLEAR' END AS decision FROM events WHERE event_type IN ('click', 'view', 'purchase')),
@@ -135,7 +140,7 @@ def effective_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _effective_rows(spark, sf_dir).select("doc_id", "role_key", "human_decision", "effective_detected")
 
 
-@query(f"""WITH {_effective}, d AS (SELECT DISTINCT doc_id, doc_id % 2 = 0 AS is_color FROM eff), {_second('eff')}, n AS (SELECT doc_id, count(*) FILTER (d IS NOT NULL) AS n_applied, count(*) FILTER (d IS NOT NULL AND machine IS DISTINCT FROM CASE WHEN NOT review_required THEN detected END) AS n_overridden FROM eff GROUP BY 1)
+@query(f"""WITH {_effective}, d AS (SELECT DISTINCT doc_id, doc_id % 2 = 0 AS is_color FROM eff), {_second('eff')}, n AS (SELECT doc_id, count(*) FILTER (d IS NOT NULL) AS n_applied, count(*) FILTER (d IS NOT NULL AND (machine <> detected OR rev0 <> review_required)) AS n_overridden FROM eff GROUP BY 1)
 SELECT doc_id, doc_status, action, n_applied, n_overridden FROM v JOIN n USING (doc_id)""")
 def effective_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _effective_rows(spark, sf_dir)
