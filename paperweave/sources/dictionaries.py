@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperweave.sources.lineage import written
+
 CORRUPT = "_corrupt"
 #: The rule lists of a dictionary and what names their entries.
 RULE_LISTS = {"doc_rules": "doc_type", "system_rules": "system", "internal_subtype_markers": "subtype"}
@@ -24,7 +26,7 @@ def read_lenient(spark: SparkSession, path: str | None, schema: T.StructType) ->
         return empty, spark.createDataFrame([(path, "FILE_NOT_FOUND")], warnings)
     own = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     rows = spark.read.schema(own).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", True).json(path)
-    kept = rows.select(*schema.fieldNames(), F.input_file_name().alias("path__"), CORRUPT)
+    kept = written(rows.select(*schema.fieldNames(), F.input_file_name().alias("path__"), CORRUPT))  # Spark reads the column of corrupt records only beside others
     bad = kept.filter(F.col(CORRUPT).isNotNull()).select(F.col("path__").alias("path"), F.lit("MALFORMED_RECORD").alias("reason"))
     return kept.filter(F.col(CORRUPT).isNull()).select(*schema.fieldNames()), bad
 
