@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -102,6 +104,24 @@ def window_ratios(phrases: list[str], texts: list[str]) -> list[float]:
     return out
 
 
+def may_resemble(phrase: str, text: Column, least: float) -> Column:
+    """Can window_ratio() of the phrase and the text reach `least` (0 to 100)? In SQL functions alone, never wrong in saying no.
+
+    A window that does needs at most d = (1 - least / 100) * 2 * length insertions and deletions. Of d + 1 pieces of the phrase each of those touches one at most, so one piece is in the text as it is. A text shorter
+    than the phrase may have lost pieces, and is let through."""
+    m = len(phrase)
+    d = min(m - 1, int((1 - least / 100) * 2 * m + 1e-9))
+    cuts = [m * i // (d + 1) for i in range(d + 2)]
+    pieces = sorted({phrase[a:b] for a, b in zip(cuts, cuts[1:], strict=False)})
+    return (F.length(text) < m) | reduce(Column.__or__, (F.contains(text, F.lit(p)) for p in pieces))
+
+
+def bounded_ratio(phrase: str, text: Column, least: float, but: Column | None = None) -> Column:
+    """partial_ratio() where it may reach `least`, else 0: other texts, and those where `but` holds, go to Python as empty ones."""
+    asked = may_resemble(phrase, text, least)
+    return partial_ratio(F.lit(phrase), F.when(asked & ~but if but is not None else asked, text).otherwise(F.lit("")))
+
+
 @F.arrow_udf(DoubleType())
 def partial_ratio(phrase: pa.Array, text: pa.Array) -> pa.Array:
     return pa.array(window_ratios([x or "" for x in phrase.to_pylist()], [x or "" for x in text.to_pylist()]), pa.float64())

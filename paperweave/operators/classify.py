@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperweave.functions.fuzzy import partial_ratio
+from paperweave.functions.fuzzy import bounded_ratio
 from paperweave.functions.text import blank_to_null
 
 Rules = list[tuple[str, list[str]]]
@@ -32,7 +32,7 @@ def candidates(text: Column, rules: Rules, fuzzy: bool = False, threshold: float
             exact = F.contains(text, F.lit(phrase))
             score = F.when(exact, F.lit(1 + min(len(phrase) / 100, 0.1)))
             if fuzzy and len(phrase) >= 8 and not any(x in phrase for x in never_fuzzy):
-                near = partial_ratio(F.lit(phrase), text) / 100
+                near = bounded_ratio(phrase, text, 100 * threshold, exact) / 100
                 score = score.when(near >= threshold, near)
             found.append(F.when(score.isNotNull(), F.struct(score.alias("raw"), F.lit(-j).alias("o"), F.lit(phrase).alias("phrase"), exact.alias("exact"))))
         best = F.array_max(F.array_compact(F.array(*found)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperweave.functions.fuzzy import partial_ratio
+from paperweave.functions.fuzzy import bounded_ratio
 from paperweave.functions.text import contains_any, first_where, repaired_id
 from paperweave.operators.classify import Rules, candidates
 
@@ -222,7 +222,7 @@ def sub_type(text: Column, rules: list[tuple[str, float, list[str]]], default: s
     top = F.substring(text, F.lit(1), F.greatest(F.lit(400), F.floor(F.length(text) * head).cast("int")))
 
     def match(phrase: str, where: Column) -> Column:
-        near = F.floor(partial_ratio(F.lit(phrase), where)).cast("int") if fuzzy else F.lit(0)
+        near = F.floor(bounded_ratio(phrase, where, least, F.contains(where, F.lit(phrase)))).cast("int") if fuzzy else F.lit(0)
         return F.when(F.contains(where, F.lit(phrase)), 100).otherwise(near)
 
     found = []
@@ -248,7 +248,7 @@ def typed_name(line: Column, labels: list[str], least_words: int = 2, least_lett
     plain = plain_upper(F.trim(line), stroke=True)
     label = contains_any(plain, *labels)
     if fuzzy:
-        label = label | (F.greatest(*(partial_ratio(F.lit(x), plain) for x in labels), F.lit(0.0)) >= near)
+        label = label | (F.greatest(*(bounded_ratio(x, plain, near, label) for x in labels), F.lit(0.0)) >= near)
     words = F.filter(F.split(F.trim(line), "[^A-Za-zÀ-ỹ]+"), lambda w: F.length(w) >= 2)
     enough = (F.size(words) >= least_words) & (F.length(F.array_join(words, "")) >= least_letters)
     return F.when((plain != "") & ~label & ~F.trim(line).rlike("\\d") & enough, F.array_join(words, " "))

@@ -297,3 +297,30 @@ def test_decisions_with_misread_phrases(spark):
 def test_shipments_are_repaired_by_a_table(spark):
     row = spark.range(1).select(tx.repaired_id(F.lit("L555"), {"1555": "1655"}).alias("a"), tx.repaired_id(F.lit("77"), {"1555": "1655"}).alias("b")).first()
     assert tuple(row) == ("1655", "77")
+
+
+def test_the_bound_before_fuzzy_scores_is_never_wrong(spark):
+    from paperweave.functions.fuzzy import bounded_ratio, may_resemble
+
+    draw = random.Random(17)
+    phrase = "PHIEU GIAO HANG KHO"
+
+    def noisy():
+        out = []
+        for c in phrase:
+            x = draw.random()
+            out += [] if x < rate / 2 else [c, draw.choice("ABC ")] if x < rate else [c]
+        return "".join(out)
+
+    texts = []
+    for i in range(400):
+        rate = (i % 8) / 16
+        texts.append("".join(draw.choices("ABCDEFGH IKPU", k=draw.randint(0, 60))) + noisy() * (i % 3 > 0) + "".join(draw.choices("AEGHIK ", k=draw.randint(0, 60))))
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for least in (60.0, 78.0, 90.0, 100.0):
+        rows = frame.select("t", may_resemble(phrase, F.col("t"), least).alias("may"), bounded_ratio(phrase, F.col("t"), least).alias("r")).collect()
+        for r in rows:
+            true = window_ratio(phrase, r["t"])
+            assert (r["r"] >= least) == (true >= least) and (r["may"] or true < least)
+            assert r["r"] == (true if r["may"] else 0.0)
+    assert sum(r["may"] for r in rows) < 200  # at 100 only the phrase itself is let through
