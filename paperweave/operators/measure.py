@@ -36,6 +36,11 @@ def worst_status(pages: DataFrame, batch: str) -> DataFrame:
     return told.select(batch, "n_pages", "n_retake", "n_warn", F.when(F.col("r") == 2, "CHUP_LAI").when(F.col("r") == 1, "CANH_BAO").otherwise("DAT").alias("batch_status"))
 
 
+def retake_pages(pages: DataFrame, batch: str, page: str) -> DataFrame:
+    """The pages that a batch must take again, a row each with its place in the batch's list."""
+    return pages.filter("status = 'CHUP_LAI'").select(batch, page, F.row_number().over(W.partitionBy(batch).orderBy(page)).alias("place"))
+
+
 def confidence_gate(doc_type: Column, doc_score: Column, margin: Column, system_score: Column) -> tuple[Column, Column]:
     """Overall confidence, of the document's score and the system's (0.8 if common), and the status it allows."""
     overall = fixed(0.7 * doc_score + 0.3 * F.coalesce(system_score, F.lit(0.8)), 2)

@@ -98,6 +98,20 @@ def expanded_box(x0: Column, y0: Column, x1: Column, y1: Column, margin: float)
     return [F.greatest(F.lit(0.0), x0 - margin), F.greatest(F.lit(0.0), y0 - margin), F.least(F.lit(1.0), x1 + margin), F.least(F.lit(1.0), y1 + margin)]
 
 
+#: The bands of a page in which a box may lie, down and across, and the least side in pixels.
+SAFE_Y, SAFE_X, LEAST_SIDE = (0.02, 0.97), (0.08, 0.96), 8
+
+
+def safe_box(y0: Column, x0: Column, y1: Column, x1: Column, margin: float, width: int, height: int) -> Column:
+    """[y0, x0, y1, x1] in whole pixels of a box widened by a share of its own sides and kept within the safe bands; null if a side is left too short. Fractions are cut off."""
+    dy, dx = (y1 - y0) * margin, (x1 - x0) * margin
+    low = lambda c, band, size: F.greatest(F.lit(0), (F.greatest(F.lit(band), c) * size).cast("int"))
+    high = lambda c, band, size: (F.least(F.lit(band), c) * size).cast("int")
+    a, b = low(y0 - dy, SAFE_Y[0], height), low(x0 - dx, SAFE_X[0], width)
+    c, d = high(y1 + dy, SAFE_Y[1], height), high(x1 + dx, SAFE_X[1], width)
+    return F.when((c - a >= LEAST_SIDE) & (d - b >= LEAST_SIDE), F.array(a, b, c, d))
+
+
 # What is read for a digit, and the digit; digits that are read for a letter, and the letter.
 READ_AS_DIGIT = ("IL|!()OSBZG?DJAT", "1111110582622347")
 READ_AS_LETTER = ("01582", "OISBZ")
@@ -121,6 +135,23 @@ def invoice_symbol(text: Column, template: str = SYMBOL) -> Column:
     return F.get(F.filter(found, lambda x: x["symbol"].rlike(template)), F.lit(0))
 
 
+def symbol_facts(symbol: Column, told: Column, by_first: dict[str, str]) -> Column:
+    """struct(symbol, implied, has_code, year, from_till, contradiction) of a well-formed invoice symbol: the sub-type that its first character stands for, and what its others say; contradiction tells if the print says another
+    sub-type. It is evidence against a reading, never a reading of its own. A null symbol has no facts."""
+    at = lambda i: F.substring(symbol, i, 1)
+    implied = F.element_at(F.create_map(*(F.lit(x) for pair in by_first.items() for x in pair)), at(1))
+    clash = F.when(implied != told, F.concat(told, F.lit(" <> "), implied, F.lit(" ("), symbol, F.lit(")")))
+    return F.struct(symbol.alias("symbol"), implied.alias("implied"), (at(2) == "C").alias("has_code"), F.concat(F.lit("20"), F.substring(symbol, 3, 2)).alias("year"), (at(5) == "M").alias("from_till"), clash.alias("contradiction"))
+
+
+def converted(text: Column, phrases: list[str], least: float = 90.0) -> Column:
+    """The first phrase that says a print was converted from an electronic document, exact or nearly so; null if none does."""
+    from paperweave.functions.fuzzy import bounded_ratio
+
+    plain = tx.marker(text)
+    return F.coalesce(*(F.when(F.contains(plain, F.lit(p)) | (bounded_ratio(p, plain, least, F.contains(plain, F.lit(p))) >= least), F.lit(p)) for p in phrases))
+
+
 def variant(text: Column, markers: dict[str, str]) -> tuple[Column, Column]:
     """The variant whose marker is in the text if just one is, else why not."""
     hits = F.array_compact(F.array(*(F.when(F.contains(text, F.lit(m)), k) for k, m in markers.items())))

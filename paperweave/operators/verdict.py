@@ -122,6 +122,19 @@ def shared_pages(members: DataFrame) -> DataFrame:
     return members.groupBy("page_id").agg(F.count_distinct("dossier_id").alias("n_dossiers")).filter("n_dossiers > 1")
 
 
+def orphan_pages(members: DataFrame, pages: DataFrame) -> DataFrame:
+    """Pages that no dossier claims."""
+    return pages.join(members.select("page_id"), "page_id", "left_anti")
+
+
+def role_evidence(members: DataFrame, targets: DataFrame) -> DataFrame:
+    """What the pages of a dossier say of each role: required, detected and review_required if one page says so, and the pages that detected and that measured it, in order. Lists are as long as a dossier has pages with the role."""
+    rows = members.join(targets, "page_id")
+    told = [F.bool_or(c).alias(c) for c in ("required", "detected", "review_required")]
+    pages = [F.array_sort(F.collect_set(F.when(F.col("detected"), F.col("page_id")))).alias("pages_detected"), F.array_sort(F.collect_set("page_id")).alias("pages_measured")]
+    return rows.groupBy("dossier_id", "role").agg(*told, *pages)
+
+
 def latest_reviews(reviews: DataFrame, *keys: str) -> DataFrame:
     """The newest review of each target, ties to the greater review_id; combined before the shuffle, unlike a row number."""
     rest = [c for c in reviews.columns if c not in keys]

@@ -67,6 +67,28 @@ def may_rerun(groups: DataFrame, jobs: DataFrame) -> DataFrame:
     return groups.filter(F.col("status").isin("DONE", "FAILED")).join(jobs.filter(F.col("status").isin("QUEUED", "RUNNING")).select("group_id"), "group_id", "left_anti")
 
 
+def page_summaries(pages: DataFrame, machine: DataFrame, after: DataFrame, labels: dict[str, tuple[str, str]], supported: list[str]) -> DataFrame:
+    """Pages as a list shows them: page_id, group_id, doc_type, the machine's status, the one after review with its action, label and tone, and whether it was reviewed, is supported and is a status that no label is known for. Pages that were not
+    judged have no status. machine: page_id, doc_status; after: page_id, doc_status, action, n_applied; labels: status -> label, tone."""
+    def shown(status: Column, i: int, other: Column) -> Column:
+        return F.when(status.isNotNull(), F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, told in labels.items() for x in (k, told[i]))), status), other))
+
+    rows = pages.join(machine.select("page_id", "doc_status"), "page_id", "left")
+    rows = rows.join(after.select("page_id", F.col("doc_status").alias("effective_status"), F.col("action").alias("effective_action"), "n_applied"), "page_id", "left")
+    status, own = F.col("effective_status"), F.col("doc_status")
+    unknown = lambda c: F.concat(c, F.lit(" · needs review"))
+    return rows.select(
+        *pages.columns, "doc_status", "effective_status", "effective_action", (F.coalesce("n_applied", F.lit(0)) > 0).alias("reviewed"), F.coalesce(F.col("doc_type").isin(supported), F.lit(False)).alias("supported"),
+        shown(status, 0, unknown(status)).alias("status_label"), F.coalesce(shown(status, 1, F.lit("neutral")), F.lit("neutral")).alias("status_tone"), shown(own, 0, unknown(own)).alias("machine_label"),
+        (status.isNotNull() & ~F.coalesce(status.isin(list(labels)), F.lit(False))).alias("status_unknown"),
+    )
+
+
+def stage_timings(runs: DataFrame, slow: float) -> DataFrame:
+    """stage, n_runs, seconds, n_slow and n_unmeasured of runs (stage, seconds)."""
+    return runs.groupBy("stage").agg(F.count("*").alias("n_runs"), F.sum("seconds").alias("seconds"), F.count_if(F.col("seconds") > slow).alias("n_slow"), F.count_if(F.col("seconds").isNull()).alias("n_unmeasured"))
+
+
 def strict_flag(value: Column) -> Column:
     """A setting kept as JSON: true only if it is the boolean true."""
     return F.coalesce(F.trim(value) == "true", F.lit(False))

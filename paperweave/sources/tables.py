@@ -85,15 +85,62 @@ def stored_name(index: Column, sha256: Column, extension: Column) -> Column:
     return F.format_string("%03d_%s.%s", index, F.substring(sha256, 1, 8), extension)
 
 
-def complete_record(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """df with exactly the fields of a contract, missing ones null and listed in skipped_steps."""
+def complete_record(df: DataFrame, schema: T.StructType, rejects: str | None = None) -> DataFrame:
+    """df with exactly the fields of a contract, missing ones null and listed in skipped_steps; with a column of rejects also skipped_reason, which tells where steps were left out what stopped them."""
     missing = [f.name for f in schema.fields if f.name not in df.columns]
     fields = [F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
-    return df.select(*(c.alias(f.name) for c, f in zip(fields, schema.fields, strict=True)), F.array(*map(F.lit, missing)).cast("array<string>").alias("skipped_steps"))
-
-
-def clean_json_number(c: Column) -> Column:
-    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
+    steps = F.array(*map(F.lit, missing)).cast("array<string>")
+    reason = [F.when(F.size(steps) > 0, F.concat(F.lit("stopped before these steps: "), F.array_join(F.coalesce(rejects, F.array().cast("array<string>")), " | "))).alias("skipped_reason")] if rejects else []
+    return df.select(*(c.alias(f.name) for c, f in zip(fields, schema.fields, strict=True)), steps.alias("skipped_steps"), *reason)
+
+
+def cleaned(df: DataFrame) -> DataFrame:
+    """df as JSON can hold it: numbers that are none are null and NULs are gone from texts, at any depth of structs, arrays and maps."""
+
+    def clean(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
+        if isinstance(kind, T.StringType):
+            return F.translate(c, "\u0000", "")
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: clean(x, kind.elementType))
+        if isinstance(kind, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*(clean(c[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+        if isinstance(kind, T.MapType):
+            return F.transform_values(F.transform_keys(c, lambda k, _: clean(k, kind.keyType)), lambda _, x: clean(x, kind.valueType))
+        return c
+
+    return df.select(*(clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields))
+
+
+def batch_key(path: Column, mode: str = "folder", single: str = "BATCH") -> Column:
+    """The batch of a file: its folder, what its name says before two underscores (the whole name without its ending if it has none), or one for all."""
+    if mode == "single":
+        return F.lit(single)
+    if mode == "folder":
+        return F.element_at(F.split(path, "/"), -2)
+    if mode != "prefix":
+        raise ValueError("folder, prefix or single")
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), "\\.[^.]*$", "")
+    return F.split_part(stem, F.lit("__"), F.lit(1))
+
+
+def run_summary(batches: DataFrame) -> DataFrame:
+    """metric, value of a run over batches (n_pages, batch_status): how many there are, and how many of each status."""
+    one = batches.agg(F.coalesce(F.sum("n_pages"), F.lit(0)).alias("n_pages"), F.count("*").alias("n_batches"), F.count_if(F.col("batch_status") == "CHUP_LAI").alias("batches_to_retake"))
+    told = one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in one.columns))).alias("x")).select("x.*")
+    return told.unionByName(batches.groupBy(F.concat(F.lit("batches:"), "batch_status").alias("metric")).agg(F.count("*").alias("value")))
+
+
+def write_run(pages: DataFrame, folder: str, batch: str, page: str) -> None:
+    """A run's output below one folder: pages as JSON lines by batch, a manifest line for each page by batch, and the summary. No batch is held in one row."""
+    from paperweave.operators.measure import worst_status
+
+    write_records(cleaned(pages), f"{folder}/pages", batch)
+    status = worst_status(pages, batch)
+    lines = pages.join(status.select(batch, "batch_status"), batch).select(batch, page, "status", "batch_status")
+    write_records(lines, f"{folder}/manifests", batch)
+    run_summary(status).coalesce(1).write.mode("overwrite").json(f"{folder}/summary")
 
 
 def manifest(batches: DataFrame, batch_id: str, *fields: str) -> DataFrame:

@@ -190,3 +190,48 @@ def test_tables_are_refused_without_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="shared|share"):
         lineage.shared_folder(Elsewhere)
+
+
+def test_records_are_cleaned_completed_and_written(spark, tmp_path):
+    from paperweave.sources import tables
+
+    nan, inf = float("nan"), float("inf")
+    rows = spark.createDataFrame([("B1", "p1", "CHUP_LAI", nan, {"a\u0000": [1.0, inf]}, ("x\u0000y", nan)), ("B1", "p2", "DAT", 1.5, None, None), ("B2", "p3", "CANH_BAO", -inf, {}, ("z", 2.0))], "batch string, page string, status string, n double, m map<string, array<double>>, s struct<t: string, d: double>")
+    clean = {r["page"]: r for r in tables.cleaned(rows).collect()}
+    assert clean["p1"]["n"] is None and clean["p1"]["m"] == {"a": [1.0, None]} and tuple(clean["p1"]["s"]) == ("xy", None)
+    assert clean["p2"]["n"] == 1.5 and clean["p2"]["s"] is None and clean["p3"]["n"] is None
+    tables.write_run(rows, str(tmp_path / "run"), "batch", "page")
+    assert spark.read.json(str(tmp_path / "run/pages")).count() == 3 and sorted(os.listdir(tmp_path / "run/pages"))[-2:] == ["batch=B1", "batch=B2"]
+    assert {(r["page"], r["batch_status"]) for r in spark.read.json(str(tmp_path / "run/manifests")).collect()} == {("p1", "CHUP_LAI"), ("p2", "CHUP_LAI"), ("p3", "CANH_BAO")}
+    assert {r["metric"]: r["value"] for r in spark.read.json(str(tmp_path / "run/summary")).collect()} == {"n_pages": 3, "n_batches": 2, "batches_to_retake": 1, "batches:CHUP_LAI": 1, "batches:CANH_BAO": 1}
+    one = tables.complete_record(spark.createDataFrame([("f", ["SIDE_CUT", "AREA"])], "file_name string, rejects array<string>"), tables.PAGE_RECORD, "rejects").first()
+    assert one["skipped_reason"].endswith("SIDE_CUT | AREA") and "doc_type" in one["skipped_steps"]
+
+
+def test_benchmark_is_saved(spark, tmp_path):
+    from paperweave.operators import benchmark
+
+    pages = spark.createDataFrame([("a", 0, "PO", "HEADER", "COMMON", "PASS", None, None, "P1", None, None), ("b", 1, "PO", None, "INTERNAL_X", "PASS", None, None, None, None, None), ("c", 0, "BB_NO_HANG", "HEADER", "COMMON", "PASS", None, "I", None, None, None)], "file_name string, scan_index int, doc_type string, page_role string, system string, action string, shipment_id string, invoice_no string, po_no string, transfer_order_no string, pxk_no string")
+    uploads = spark.createDataFrame([("a", "u"), ("b", "u")], "file_name string, upload_group_id string")
+    truth = spark.createDataFrame([("a", "PO", "HEADER", "COMMON", None, None, "P1 ", None, None), ("c", "BB_TRA_HANG", None, None, None, "I", None, None, None), ("zz", "PO", None, None, None, None, None, None, None), ("b", "PO", None, "INTERNAL_Y", None, None, "P1", None, None)], "file_name string, doc_type string, page_role string, system string, shipment_id string, invoice_no string, po_no string, transfer_order_no string, pxk_no string")
+    result = benchmark.run(pages, uploads, truth)
+    told = {r["metric"]: r["value"] for r in result.report.collect()}
+    assert told["total_documents"] == 3 and told["doc_type_accuracy_strict"] == 0.6667 and told["doc_type_accuracy_lenient"] == 1.0
+    assert told["system_accuracy"] == 0.6667 and told["system_accuracy_family"] == 1.0 and told["pages_changed_by_voting"] == 1 and told["po_no:exact_match"] == 2
+    assert told["pages_without_group"] == 1 and told["multi_page_clusters"] == 1 and told["split:JOINED"] == 1
+    benchmark.save(result, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out/results")).count() == 3 and spark.read.option("header", True).csv(str(tmp_path / "out/evaluation")).count() == 3
+    assert spark.read.json(str(tmp_path / "out/report")).count() == len(told)
+
+
+def test_converted_prints_and_batch_keys(spark):
+    from paperweave.operators import records
+    from paperweave.sources import tables
+
+    rows = spark.createDataFrame([("Hóa đơn chuyển đổi từ hóa đơn điện tử",), ("HOA DON CHUYEN D0I TU HOA DON DIEN TU",), ("plain",), (None,)], "t string")
+    told = [r[0] for r in rows.select(records.converted(F.col("t"), ["CHUYEN DOI TU HOA DON DIEN TU"])).collect()]
+    assert told == ["CHUYEN DOI TU HOA DON DIEN TU"] * 2 + [None, None]
+    paths = spark.createDataFrame([("/x/y/a__b__c.png",), ("/x/y/a.b.png",)], "p string")
+    assert [tuple(r) for r in paths.select(tables.batch_key(F.col("p")), tables.batch_key(F.col("p"), "prefix"), tables.batch_key(F.col("p"), "single")).collect()] == [("y", "a", "BATCH"), ("y", "a.b", "BATCH")]
+    with pytest.raises(ValueError, match="folder"):
+        tables.batch_key(F.col("p"), "other")
