@@ -145,7 +145,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
 
     ids_sha256 is of the decimal ids joined by commas; decoded_sha256 is of the bytes that the ids decode to. The file of ranks is
     read on each worker. Rows are independent: no shuffle. A null text is an empty one, with no tokens;
-    an empty table gives no rows; null doc_ids stay.
+    an empty table gives no rows; null doc_ids stay; repeated rows are encoded one by one and alike; a very long text is encoded whole, match by match of the pattern, and its ids are held once as text and once as a list.
     """
 
     def make(batch) -> dict[str, object]:

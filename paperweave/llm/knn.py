@@ -74,7 +74,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of vectors (vec_id, embedding; other columns are ignored) with the highest product for each row that is_query picks.
 
     Components become floor(256 * x). A row's own vec_id is never among its results; ties go to the smaller vec_id. Vectors that are null
-    or hold null or non-finite components, and rows with a null vec_id, take no part; shorter vectors count as padded with zeros. Rows that repeat a vec_id are
+    or hold null or non-finite components, and rows with a null vec_id, take no part; shorter vectors, and so empty ones, count as padded with zeros. Rows that repeat a vec_id are
     all candidates, and as queries share one ranking. A query without candidates and an empty table give no rows.
     """
     spark = vectors.sparkSession

@@ -169,7 +169,8 @@ def store_media(docs: DataFrame, keep_media: bool = True) -> DataFrame:
     media_sha256, feature and, if asked for, media (binary).
 
     Rows are independent: no shuffle, and a task holds one batch of at most 64 texts. A null text is an empty one, whose payload is one frame of
-    spaces; equal texts give equal values; an empty table gives no rows; null doc_ids stay.
+    spaces; equal texts, and so repeated rows, give equal values; an empty table gives no rows; null doc_ids stay. A very long text is stored whole: its payload, packets, pages, stream and what is read back are held at once, some six
+    times its bytes, before the next text is looked at.
     """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return map_rows(
