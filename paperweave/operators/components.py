@@ -32,9 +32,22 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def components_by_key(rows: DataFrame, node: str, *keys: str) -> DataFrame:
-    """node, root of rows that share a value of any of the key columns. A key's nodes are linked to the least of them, not to each other; rows without
-    a partner are their own root."""
-    shared = rows.select(node, F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in keys))).alias("key")).filter("key.value is not null")
-    hub = shared.groupBy("key").agg(F.min(node).alias("hub"))
-    found = connected(shared.join(hub, "key").select(F.col(node).alias("a"), F.col("hub").alias("b")))
-    return rows.select(node).distinct().join(found.withColumnRenamed("node", node), node, "left").select(node, F.coalesce("root", node).alias("root"))
+    """node, root of rows that share a value of any of the key columns; rows without a partner are their own root.
+
+    Not the rows but their keys are the graph: a row joins its first key to its others, and rows that hold the same keys are one edge. A component's root is its least node, from an aggregate by component, so that a key of very many
+    rows is one vertex and no list. Rows of one node count together."""
+    held = F.array_compact(F.array(*(F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{i}\u0001"), F.col(k).cast("string"))) for i, k in enumerate(keys))))
+    rows = rows.select(node, held.alias("held"))
+    first = F.get("held", F.lit(0))
+    edges = rows.filter(F.size("held") > 1).select(first.alias("a"), F.explode(F.slice("held", 2, len(keys))).alias("b"))
+    # a node that stands on several rows joins their keys as well
+    twice = rows.filter(F.size("held") > 0).groupBy(node).agg(F.min(first).alias("a"), F.max(first).alias("b")).filter("a <> b")
+    if not twice.isEmpty():
+        least = rows.filter(F.size("held") > 0).groupBy(node).agg(F.min(first).alias("a"))
+        edges = edges.unionByName(rows.filter(F.size("held") > 0).select(node, first.alias("b")).join(least, node).select("a", "b"))
+    found = connected(edges).select(F.col("node").alias("key"), F.col("root").alias("part"))
+    placed = rows.select(node, first.alias("key")).join(found, "key", "left").select(node, F.coalesce("part", "key").alias("part"))
+    placed = placed.filter("part is not null").groupBy(node).agg(F.min("part").alias("part"))
+    roots = placed.groupBy("part").agg(F.min(node).alias("root"))
+    told = placed.join(roots, "part").select(node, "root")
+    return rows.select(node).distinct().join(told, node, "left").select(node, F.coalesce("root", node).alias("root"))

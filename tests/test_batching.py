@@ -178,3 +178,29 @@ def test_evidence_of_a_hot_batch_is_not_paired(spark):
 def test_the_audit_is_one_written_table(spark, sf_dir):
     plan = batch_queries.audited_batches(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") < 20 and "NestedLoop" not in plan
+
+
+def test_components_of_rows_by_their_keys(spark):
+    from paperweave.operators.components import components_by_key
+
+    draw = random.Random(3)
+    for n in (12, 60):
+        rows = [(draw.randrange(n), draw.choice([None, *(f"p{i}" for i in range(n // 2))]), draw.choice([None, *(f"p{i}" for i in range(n // 2))]), draw.choice([None, "x", "y"]) if draw.random() < 0.05 else None) for _ in range(n)]
+        parent = {r[0]: r[0] for r in rows}
+
+        def find(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        holders = defaultdict(list)
+        for r in rows:
+            for k, v in enumerate(r[1:]):
+                if v is not None:
+                    holders[k, v].append(r[0])
+        for same in holders.values():
+            for other in same:
+                a, b = sorted((find(same[0]), find(other)))
+                parent[b] = a
+        got = {r["node"]: r["root"] for r in components_by_key(spark.createDataFrame(rows, "node long, a string, b string, c string"), "node", "a", "b", "c").collect()}
+        assert got == {i: find(i) for i in parent}
