@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperweave.functions.text import near_equal, repaired_id
+from paperweave.sources.lineage import written
 from paperweave.sources.tables import KEY_FIELDS
 
 EXACT_FIELDS = ("po_no", "invoice_no", "transfer_order_no", "pxk_no")
@@ -124,7 +125,7 @@ def voting_runs(pages: DataFrame) -> DataFrame:
     told = stretches.select("upload_group_id", F.posexplode(F.aggregate("rows", start, step)["out"]).alias("at", "o"), "stretch").select("upload_group_id", "stretch", "at", "o.*")
     upto = W.partitionBy("upload_group_id").orderBy("stretch", "at").rowsBetween(W.unboundedPreceding, 0)
     number = F.count(F.when(F.col("split_reason") != "JOINED", 1)).over(upto) - 1
-    told = told.select("upload_group_id", "scan_index", F.concat_ws("#", "upload_group_id", number.cast("string")).alias("cluster_id"), "split_reason")
+    told = written(told.select("upload_group_id", "scan_index", F.concat_ws("#", "upload_group_id", number.cast("string")).alias("cluster_id"), "split_reason"))  # folded once, though votes read it for each field
     size = told.groupBy("cluster_id").agg(F.count("*").alias("cluster_size"))
     return pages.join(told.join(size, "cluster_id"), ["upload_group_id", "scan_index"])
 

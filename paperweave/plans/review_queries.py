@@ -82,7 +82,7 @@ _after = v._dossiers.replace("FROM t)", "FROM tr)", 1)
 
 
 @query(f"""WITH {v._effective}, tr AS (SELECT doc_id, role, required, detected, review_required, CAST(NULL AS VARCHAR) AS modality, CAST(NULL AS VARCHAR) AS status FROM eff),
-a AS (WITH {v._dossiers}), z AS (WITH {_after}), hit AS (SELECT DISTINCT o_custkey AS dossier_id FROM eff JOIN orders ON o_orderkey = doc_id WHERE d IS NOT NULL)
+a AS (WITH {v._dossiers}), z AS (WITH {_after}), held AS (SELECT o_custkey AS dossier_id, o_orderkey AS page_id FROM orders UNION ALL SELECT c_custkey, -c_custkey FROM customer WHERE c_custkey % 50 = 0), hit AS (SELECT DISTINCT dossier_id FROM eff JOIN held ON page_id = doc_id WHERE d IS NOT NULL)
 SELECT a.* EXCLUDE (n_found, doc_status), CASE WHEN h.dossier_id IS NULL THEN a.n_found ELSE z.n_found END AS n_found, CASE WHEN h.dossier_id IS NULL THEN a.doc_status ELSE z.doc_status END AS doc_status, CASE WHEN h.dossier_id IS NULL THEN 'MACHINE' ELSE 'AFTER_REVIEW' END AS source
 FROM a JOIN z USING (dossier_id) LEFT JOIN hit h USING (dossier_id)""")
 def reviewed_dossiers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,9 +74,14 @@ def phrase_rules(rules: DataFrame, name: str) -> dict[str, list[str]]:
 
 
 def phrase_hits(texts: DataFrame, rules: DataFrame, text: Column, *keys: str) -> DataFrame:
-    """keys, list, id and keyword of every keyword of a dictionary table that a text contains, upper-case; for dictionaries too long to be literals. Keywords meet texts by their rarest n-gram."""
+    """keys, list, id and keyword of every keyword of a dictionary table that a text contains, upper-case. Up to MOST_RULES keywords are literals, looked for in one pass of each text; more meet texts by their rarest n-gram."""
     from paperweave.operators.containment import containing
 
     words = rules.select("list", "id", F.explode("keywords").alias("keyword")).filter("keyword is not null").withColumn("key", F.upper("keyword"))
-    held = containing(texts.select(*keys, F.upper(text).alias("value")), words.select("key"))
-    return held.select(*keys, "key").join(words, "key").select(*keys, "list", "id", "keyword")
+    known = [r[0] for r in words.filter("key <> ''").select("key").distinct().limit(MOST_RULES + 1).collect()]
+    rows = texts.select(*keys, F.upper(text).alias("value"))
+    if len(known) > MOST_RULES:
+        held = containing(rows, words.select("key")).select(*keys, "key")
+    else:
+        held = rows.select(*keys, F.explode(F.filter(F.lit(sorted(known)).cast("array<string>"), lambda k: F.contains("value", k))).alias("key"))
+    return held.join(words, "key").select(*keys, "list", "id", "keyword")
