@@ -44,14 +44,18 @@ def collected(stream: DataFrame, folder: str, mode: str = "complete") -> DataFra
     return written(rows.drop("batch"))
 
 
-def stateful_lockout(attempts: DataFrame, account: str, window_seconds: int, lock_seconds: int, max_fails: int) -> DataFrame:
+def stateful_lockout(attempts: DataFrame, account: str, window_seconds: int, lock_seconds: int, max_fails: int, late: str = "30 days") -> DataFrame:
     """attempts (account, event_id, ts, kind) as a stream: for each, the fails in the window up to it since the last success or reset, and until when the
     account is locked. An account's state is the times of those fails and of its last success or reset; it forgets what has left the window. Attempts of an account are taken in the order of
-    their times within a micro-batch; one that comes in a later batch with an earlier time counts from there on."""
+    their times within a micro-batch; one that comes in a later batch with an earlier time counts from there on, unless it is later than `late` allows. The state of an account goes once the watermark has left its last window and lock
+    behind, so that state follows the accounts that are active and not all there ever were."""
 
     def step(key, frames, state):
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         fails, reset = (list(state.get[0]), state.get[1]) if state.exists else ([], -1)
         rows = pd.concat(frames).sort_values(["sec", "event_id"])
         out = []
@@ -66,8 +70,10 @@ def stateful_lockout(attempts: DataFrame, account: str, window_seconds: int, loc
             until = max(recent) + lock_seconds if len(recent) >= max_fails else None
             out += [(key[0], int(i), len(recent), until) for i in group["event_id"]]
         state.update((fails, reset))
+        state.setTimeoutTimestamp(1000 * (int(rows["sec"].max()) + window_seconds + lock_seconds + 1))
         yield pd.DataFrame(out, columns=[account, "event_id", "n_fails", "locked_until_sec"]).astype({"locked_until_sec": "Int64"})
 
     kind = dict(attempts.dtypes)[account]
-    rows = attempts.select(account, F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").cast("long").alias("sec"), "kind")
-    return rows.groupBy(account).applyInPandasWithState(step, f"{account} {kind}, event_id long, n_fails long, locked_until_sec long", "fails array<long>, reset long", "append", "NoTimeout")
+    at = F.col("ts").cast("timestamp")
+    rows = attempts.select(account, F.col("event_id").cast("long").alias("event_id"), at.alias("at"), at.cast("long").alias("sec"), "kind").withWatermark("at", late)
+    return rows.groupBy(account).applyInPandasWithState(step, f"{account} {kind}, event_id long, n_fails long, locked_until_sec long", "fails array<long>, reset long", "append", "EventTimeTimeout")

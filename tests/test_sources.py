@@ -235,3 +235,22 @@ def test_converted_prints_and_batch_keys(spark):
     assert [tuple(r) for r in paths.select(tables.batch_key(F.col("p")), tables.batch_key(F.col("p"), "prefix"), tables.batch_key(F.col("p"), "single")).collect()] == [("y", "a", "BATCH"), ("y", "a.b", "BATCH")]
     with pytest.raises(ValueError, match="folder"):
         tables.batch_key(F.col("p"), "other")
+
+
+def test_state_of_idle_accounts_goes(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from paperweave.streaming.attempts import stateful_lockout
+
+    start, folder = datetime(2026, 1, 1), str(tmp_path / "events")
+    schema = "event_id long, user_id long, ts timestamp, kind string"
+    told, kept = [], []
+    for n, (day, users) in enumerate([(0, range(20)), (1, range(20)), (400, range(3)), (401, range(3))]):
+        spark.createDataFrame([(100 * n + u, u, start + timedelta(days=day), "FAIL") for u in users], schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = stateful_lockout(spark.readStream.schema(schema).parquet(folder), "user_id", 5 * 86400, 86400, 2, "2 days")
+        query = stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "progress")).foreachBatch(lambda batch, _: told.extend(batch.collect())).start()
+        query.awaitTermination()
+        kept.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert kept[1] == 20 and kept[-1] == 3
+    by_event = {r["event_id"]: (r["n_fails"], r["locked_until_sec"] is not None) for r in told}
+    assert len(by_event) == 46 and by_event[5] == (1, False) and by_event[105] == (2, True) and by_event[202] == (1, False) and by_event[302] == (2, True)
