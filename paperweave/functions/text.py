@@ -102,6 +102,12 @@ def truth_of(c: Column) -> Column:
     return F.when(v.isin("1", "true", "yes", "on"), True).when(v.isin("0", "false", "no", "off", ""), False)
 
 
+def truth_or_error(c: Column) -> Column:
+    """A form value as boolean; one outside the vocabulary is an error that names it. Null stays null."""
+    told = truth_of(c)
+    return F.when(c.isNotNull() & told.isNull(), F.raise_error(F.concat(F.lit("no boolean: "), c)).cast("boolean")).otherwise(told)
+
+
 def fenced_json(c: Column) -> Column:
     """From the first brace to the last, or null."""
     return F.nullif(F.regexp_extract(c, "(?s)\\{.*\\}", 0), F.lit(""))

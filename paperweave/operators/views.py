@@ -84,6 +84,12 @@ def page_summaries(pages: DataFrame, machine: DataFrame, after: DataFrame, label
     )
 
 
+def acts_with_users(reviews: DataFrame, audit: DataFrame, users: DataFrame, key: str) -> DataFrame:
+    """key, kind, by_whom: reviews of known users, and all audit rows, whose actor may be unknown or gone. reviews, audit: key, user_id; users: user_id, name."""
+    told = reviews.join(users, "user_id").select(key, F.lit("REVIEW").alias("kind"), F.col("name").alias("by_whom"))
+    return told.unionByName(audit.join(users, "user_id", "left").select(key, F.lit("AUDIT").alias("kind"), F.col("name").alias("by_whom")))
+
+
 def stage_timings(runs: DataFrame, slow: float) -> DataFrame:
     """stage, n_runs, seconds, n_slow and n_unmeasured of runs (stage, seconds)."""
     return runs.groupBy("stage").agg(F.count("*").alias("n_runs"), F.sum("seconds").alias("seconds"), F.count_if(F.col("seconds") > slow).alias("n_slow"), F.count_if(F.col("seconds").isNull()).alias("n_unmeasured"))

@@ -157,3 +157,25 @@ def page_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.stage_timings(table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("seconds")), slow=90.0)
     return rows.withColumn("seconds", F.floor(F.col("seconds") * 100 + 0.5) / 100)
+
+
+_files = """SELECT l_orderkey AS upload_group_id, CASE WHEN l_partkey % 40 = 0 THEN -1 WHEN l_partkey % 41 = 0 THEN NULL ELSE l_linenumber END AS scan_index, CAST(l_quantity * 1000 AS BIGINT) AS length, CASE WHEN l_suppkey % 17 > 0 THEN 'PNG' END AS format FROM {lineitem}"""
+
+
+@query(f"""WITH f AS ({_files.format(lineitem='lineitem')}), g AS (SELECT upload_group_id, [CASE WHEN count(*) > 6 THEN 'TOO_MANY_FILES' END, CASE WHEN max(length) > 48000 THEN 'FILE_TOO_LARGE' END, CASE WHEN bool_or(format IS NULL) THEN 'NOT_AN_IMAGE' END,
+  CASE WHEN count(DISTINCT scan_index) < count(*) THEN 'DUPLICATE_SCAN_INDEX' END, CASE WHEN bool_or(scan_index IS NULL OR scan_index < 0) THEN 'BAD_SCAN_INDEX' END] AS r FROM f GROUP BY 1)
+SELECT upload_group_id, array_to_string(list_filter(r, lambda x: x IS NOT NULL), ',') AS reasons FROM g WHERE len(list_filter(r, lambda x: x IS NOT NULL)) > 0""")
+def rejected_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = spark.sql(_files, lineitem=table(spark, sf_dir, "lineitem"))
+    return tables.upload_rejects(files, 6, 48000).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("""WITH r AS (SELECT event_id, user_id, event_type, CASE WHEN event_type = 'error' THEN NULL ELSE user_id END AS actor FROM events), u AS (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 4 > 0)
+SELECT event_id, 'REVIEW' AS kind, c_name AS by_whom FROM r JOIN u ON c_custkey = user_id WHERE event_type IN ('click', 'view') UNION ALL SELECT event_id, 'AUDIT', c_name FROM r LEFT JOIN u ON c_custkey = actor WHERE event_type NOT IN ('click', 'view')""")
+def acts_with_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews with their reviewers, and audit rows with whoever acted, if that is known."""
+    users = table(spark, sf_dir, "customer").filter("c_custkey % 4 > 0").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
+    events = table(spark, sf_dir, "events")
+    reviews = events.filter("event_type in ('click', 'view')").select("event_id", "user_id")
+    audit = events.filter("event_type not in ('click', 'view')").select("event_id", F.when(F.col("event_type") != "error", F.col("user_id")).alias("user_id"))
+    return views.acts_with_users(reviews, audit, users, "event_id")

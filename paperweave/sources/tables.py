@@ -154,10 +154,10 @@ def write_records(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").partitionBy(*by).json(path)
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """CSV with a header; arrays become text joined by semicolons."""
+def write_table(df: DataFrame, path: str, mark: bool = False) -> None:
+    """CSV with a header; arrays become text joined by semicolons. With a mark every file begins with the byte order mark that spreadsheets look for: it stands before the first name of the header."""
     flat = [F.array_join(n, ";").alias(n) if t.startswith("array<") else F.col(n) for n, t in df.dtypes]
-    df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*flat).toDF(*[("\ufeff" if mark and i == 0 else "") + n for i, n in enumerate(df.columns)]).write.mode("overwrite").option("header", True).csv(path)
 
 
 def persisted(results: DataFrame, pages: DataFrame, key: str, widths: dict[str, int]) -> tuple[DataFrame, DataFrame]:

@@ -254,3 +254,23 @@ def test_state_of_idle_accounts_goes(spark, tmp_path):
     assert kept[1] == 20 and kept[-1] == 3
     by_event = {r["event_id"]: (r["n_fails"], r["locked_until_sec"] is not None) for r in told}
     assert len(by_event) == 46 and by_event[5] == (1, False) and by_event[105] == (2, True) and by_event[202] == (1, False) and by_event[302] == (2, True)
+
+
+def test_tables_with_a_byte_order_mark(spark, tmp_path):
+    import glob
+
+    from paperweave.sources import tables
+
+    tables.write_table(spark.createDataFrame([("é", ["a", "b"])], "name string, list array<string>").coalesce(1), str(tmp_path / "t"), mark=True)
+    (part,) = glob.glob(str(tmp_path / "t/*.csv"))
+    with open(part, "rb") as f:
+        assert f.read() == "﻿name,list\né,a;b\n".encode()
+
+
+def test_form_values_outside_the_vocabulary_are_errors(spark):
+    from paperweave.functions.text import truth_or_error
+
+    rows = spark.createDataFrame([(" Yes",), ("off",), ("",), (None,)], "v string")
+    assert [r[0] for r in rows.select(truth_or_error(F.col("v"))).collect()] == [True, False, False, None]
+    with pytest.raises(Exception, match="no boolean: maybe"):
+        spark.createDataFrame([("maybe",)], "v string").select(truth_or_error(F.col("v"))).collect()
