@@ -324,3 +324,16 @@ def test_the_bound_before_fuzzy_scores_is_never_wrong(spark):
             assert (r["r"] >= least) == (true >= least) and (r["may"] or true < least)
             assert r["r"] == (true if r["may"] else 0.0)
     assert sum(r["may"] for r in rows) < 200  # at 100 only the phrase itself is let through
+
+
+def test_long_runs_and_rare_characters_are_normalised(spark):
+    texts = ["a" + "中, " * 30000 + "b", "straße ﬁn ŉ \U0001f600\U0001f600x", "ıſ áĐđ", " " * 777 + "x" + " " * 95 + "y"]
+    got = [r["n"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(tx.normalized(F.col("t")).alias("n")).collect()]
+    assert got == ["A B", "STRASSE FIN N X", "IS ADD", "X Y"]
+
+
+def test_phrases_mentioned_stand_for_the_text(spark):
+    phrases = ["NO HANG", "KHACH HANG", "HANG", "PO", "BIEN BAN NO", "DOI, TRA"]
+    texts = ["KHACH HANG PO", "BIEN BAN", "XNO HANGX", "", "DOI, TRA BIEN BAN NO"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.mentioned(F.col("t"), phrases).alias("m")).collect()
+    assert all((p in r["m"]) == (p in r["t"]) for r in rows for p in phrases) and rows[1]["m"] == ""
