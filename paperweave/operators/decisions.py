@@ -6,11 +6,13 @@ parameters; phrases that belong to a rule itself stand beside it as fixed values
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperweave.functions.fuzzy import bounded_ratio
-from paperweave.functions.text import contains_any, first_where, repaired_id
+from paperweave.functions.text import bound, contains_any, first_where, mentioned, repaired_id
 from paperweave.operators.classify import Rules, candidates
 
 # The phrases of the ordered rules.
@@ -33,11 +35,15 @@ GOODS = ("KEM",)
 
 
 def decided(df: DataFrame, text: str, rules: Rules, systems: Rules, sides: Rules, fuzzy: bool = True) -> DataFrame:
-    """df with kind (document_type()) and channel (channel()) of its normalised text. Candidates are columns first, so that a fuzzy score is computed once."""
-    t = F.col(text)
-    rows = df.withColumn("phrases__", phrases_of(t, rules, fuzzy)).withColumn("systems__", systems_of(t, systems, fuzzy))
-    rows = rows.withColumn("kind", document_type(t, F.col("phrases__")))
-    return rows.withColumn("channel", channel(t, F.col("kind.doc_type"), F.col("systems__"), sides)).drop("phrases__", "systems__")
+    """df with kind (document_type()) and channel (channel()) of its normalised text. Candidates are columns first, so that a fuzzy score is computed once; the phrases of all rules are looked for once in each text."""
+    t, m = F.col(text), F.col("mentioned__")
+    exact = lambda rs: [p for _, ps in rs for p in ps]
+    rows = df.withColumn("mentioned__", mentioned(t, [*RULE_PHRASES, *GOODS, "GTGT", *exact(rules), *exact(systems), *exact(sides)]))
+    if not fuzzy:
+        rows = rows.withColumn("clean__", F.when(_may_enclose(m), mentioned(F.regexp_replace(t, INVOICE_ENCLOSED, ""), exact(rules))).otherwise(m))
+    rows = rows.withColumn("phrases__", phrases_of(t, rules) if fuzzy else candidates(F.col("clean__"), rules)).withColumn("systems__", systems_of(t if fuzzy else m, systems, fuzzy))
+    rows = rows.withColumn("kind", document_type(t, F.col("phrases__"), found_in=m))
+    return rows.withColumn("channel", channel(t, F.col("kind.doc_type"), F.col("systems__"), sides, found_in=m)).drop("mentioned__", "clean__", "phrases__", "systems__")
 
 
 def is_continuation(t: Column, goods: tuple[str, ...] = GOODS) -> Column:
@@ -51,8 +57,16 @@ def is_continuation(t: Column, goods: tuple[str, ...] = GOODS) -> Column:
     )
 
 
-def _fallbacks(t: Column, brands: tuple[str, ...]) -> list[tuple[Column, Column]]:
-    has = lambda *p: contains_any(t, *p)
+#: All phrases that document_type() and channel() look for beside their dictionaries.
+RULE_PHRASES = (
+    *DISPATCH_SLIP, *ORDER_TITLES, *OWED_GOODS, *BUSINESS_BUYER, "AEON", "TRANG 2", "MA VACH", "BARCODE", "DON GIA", "LAYOUT", "STT", "PO", "MA SAN PHAM", "MA SP", "HOA DON GIA TRI GIA TANG",
+    "DUNG XE", "XE DANG CHAY", "DATALOGGER", "PALLET", "SO KG", "SO KHOI", "TRUONG BP KHO", "PHIEU GIAO HANG", "PGH", "PHIEU GIAO NHAN", "BIEN NHAN HANG", "GOLD COAST", "LENH DIEU XE", "LENH DIEU DONG XE",
+    "DIEU DONG XE", "XE LANH", "GS25", "DOI TRA", "DOI, TRA", "NO HANG", "BIEN BAN NO", "TRUONG HOP NO",
+)
+
+
+def _fallbacks(t: Column, brands: tuple[str, ...], found_in: Column) -> list[tuple[Column, Column]]:
+    has = lambda *p: contains_any(found_in, *p)
     return [
         (t.rlike("-\\d{1,2}\\.\\d") | has("DUNG XE", "XE DANG CHAY", "DATALOGGER"), _kind("BIEU_DO_NHIET_DO", 0.9, 0.3, "GPS/Datalogger log")),
         ((has("PALLET") & has("SO KG")) | has("SO KHOI", "TRUONG BP KHO"), _kind("LOADING_PLAN", 0.85, 0.25, "Loading plan totals")),
@@ -67,30 +81,44 @@ def _fallbacks(t: Column, brands: tuple[str, ...]) -> list[tuple[Column, Column]
 
 def phrases_of(text: Column, rules: Rules, fuzzy: bool = True) -> Column:
     """The dictionary's candidates for document_type(), in the text without mentions of enclosed invoices."""
-    return candidates(F.regexp_replace(text, INVOICE_ENCLOSED, ""), rules, fuzzy)
+    return candidates(without_enclosed(text), rules, fuzzy)
+
+
+def without_enclosed(text: Column) -> Column:
+    """A normalised text without mentions of enclosed invoices."""
+    return F.when(_may_enclose(text), F.regexp_replace(text, INVOICE_ENCLOSED, "")).otherwise(text)
 
 
-def document_type(text: Column, found: Column, goods: tuple[str, ...] = GOODS, brands: tuple[str, ...] = ()) -> Column:
+def _may_enclose(text: Column) -> Column:
+    return F.contains(text, F.lit("GTGT")) & F.contains(text, F.lit("KEM"))
+
+
+def document_type(text: Column, found: Column, goods: tuple[str, ...] = GOODS, brands: tuple[str, ...] = (), found_in: Column | None = None) -> Column:
     """struct(doc_type, score, margin, phrase) of a normalised text: the protected type, continued tables, owed goods, the best of the dictionary's
-    candidates (phrases_of(), as a column of their own), then the fallbacks; else UNKNOWN. goods mark a continued table, brands the last fallback."""
+    candidates (phrases_of(), as a column of their own), then the fallbacks; else UNKNOWN. goods mark a continued table, brands the last fallback. found_in: mentioned() of RULE_PHRASES, goods and brands, if it is there."""
+    plain = text if found_in is None else found_in
     top = F.get(found, F.lit(0))
     rivals = F.filter(F.slice(found, F.lit(2), F.greatest(F.size(found), F.lit(1))), lambda c: ~F.contains(top["phrase"], c["phrase"]) & ~(top["exact"] & ~c["exact"]))
     margin = F.round(top["score"] - F.coalesce(F.get(rivals, F.lit(0))["score"], F.lit(0.0)), 2)
     return first_where(
         [
-            (contains_any(text, *DISPATCH_SLIP), _kind("PXKKVCNB", 1.0, 0.4, "PHIEU XUAT KHO KIEM VAN CHUYEN NOI BO")),
-            (is_continuation(text, goods), _kind("TABLE_CONTINUATION", 0.9, 0.4, "Bang hang hoa (Trang tiep)")),
-            (contains_any(text, *OWED_GOODS), _kind("BB_NO_HANG", 1.0, 0.4, "BIEN BAN NO HANG")),
+            (contains_any(plain, *DISPATCH_SLIP), _kind("PXKKVCNB", 1.0, 0.4, "PHIEU XUAT KHO KIEM VAN CHUYEN NOI BO")),
+            (is_continuation(plain, goods), _kind("TABLE_CONTINUATION", 0.9, 0.4, "Bang hang hoa (Trang tiep)")),
+            (contains_any(plain, *OWED_GOODS), _kind("BB_NO_HANG", 1.0, 0.4, "BIEN BAN NO HANG")),
             (F.size(found) > 0, _kind(top["type"], top["score"], margin, top["phrase"])),
-            *_fallbacks(text, brands),
+            *_fallbacks(text, brands, plain),
         ],
         _kind("UNKNOWN", 0.0, 0.0, ""),
     )
 
 
-def transfer_side(text: Column, sides: Rules) -> Column:
+def _word(text: Column, word: str, found_in: Column) -> Column:
+    return F.contains(found_in, F.lit(word)) & text.rlike(f"\\b{_quoted(word)}\\b")
+
+
+def transfer_side(text: Column, sides: Rules, found_in: Column | None = None) -> Column:
     """struct(system, marker): the side of a transfer whose markers, as whole words, are there while the other's are not; else the parent, unguessed."""
-    first = [F.coalesce(*(F.when(text.rlike(f"\\b{_quoted(m)}\\b"), m) for m in markers)) for _, markers in sides]
+    first = [F.coalesce(*(F.when(_word(text, m, text if found_in is None else found_in), m) for m in markers)) for _, markers in sides]
     hits = F.array_compact(F.array(*(F.when(m.isNotNull(), F.struct(F.lit(name).alias("system"), m.alias("marker"))) for (name, _), m in zip(sides, first, strict=True))))
     return F.when(F.size(hits) == 1, F.get(hits, F.lit(0))).otherwise(F.struct(F.lit("INTERNAL_TRANSFER").alias("system"), F.lit("").alias("marker")))
 
@@ -104,9 +132,10 @@ def systems_of(text: Column, rules: Rules, fuzzy: bool = True) -> Column:
     return candidates(text, rules, fuzzy, 0.9, ("VIET NAM", "VIETNAM"))
 
 
-def channel(text: Column, doc_type: Column, found: Column, sides: Rules, whole_word: tuple[str, str] = ("AEON", "MT_AEON")) -> Column:
-    """struct(system, score, phrase): form defaults, transfers and recalls by type, one chain by whole word only, the dictionary, then a business buyer on an invoice; else COMMON."""
-    side = transfer_side(text, sides)
+def channel(text: Column, doc_type: Column, found: Column, sides: Rules, whole_word: tuple[str, str] = ("AEON", "MT_AEON"), found_in: Column | None = None) -> Column:
+    """struct(system, score, phrase): form defaults, transfers and recalls by type, one chain by whole word only, the dictionary, then a business buyer on an invoice; else COMMON. found_in: mentioned() of all their phrases, if it is there."""
+    plain = text if found_in is None else found_in
+    side = transfer_side(text, sides, found_in)
     top = F.get(found, F.lit(0))
 
     def told(system: str | Column, score: float | Column, phrase: str | Column) -> Column:
@@ -120,10 +149,10 @@ def channel(text: Column, doc_type: Column, found: Column, sides: Rules, whole_w
             (doc_type.isin(*COMMON_FORMS), told("COMMON", 1.0, F.concat(F.lit("FORM_DEFAULT_"), doc_type))),
             (doc_type == "PHIEU_XUAT_HANG", told(side["system"], 1.0, F.concat(F.lit("SOP_PHIEU_XUAT_HANG"), sub))),
             (doc_type == "BB_THU_HOI", told("GT", 1.0, "SOP_THU_HOI_TU_NPP")),
-            (text.rlike(f"\\b{_quoted(whole_word[0])}\\b"), told(whole_word[1], 1.0, whole_word[0])),
+            (_word(text, whole_word[0], plain), told(whole_word[1], 1.0, whole_word[0])),
             ((F.size(found) > 0) & refined, told(side["system"], top["score"], F.concat(top["phrase"], sub))),
             (F.size(found) > 0, told(top["type"], top["score"], top["phrase"])),
-            ((doc_type == "HOA_DON") & contains_any(text, *BUSINESS_BUYER), told("GT", 0.85, "HOA_DON_DOANH_NGHIEP_GT")),
+            ((doc_type == "HOA_DON") & contains_any(plain, *BUSINESS_BUYER), told("GT", 0.85, "HOA_DON_DOANH_NGHIEP_GT")),
         ],
         told("COMMON", 0.8, ""),
     )
@@ -153,8 +182,24 @@ ORDER = (
 )
 
 
+#: Of a pattern: strings of which every match holds one, so that texts without any are not searched by it.
+NEEDED = {
+    SHIPMENT[0]: ("SHIPM", "STIPM", "SMPM", "SHP", "CHUYEN"),
+    SHIPMENT[1]: ("DIEU",),
+    INVOICE[0]: ("HOA", "HD"),
+    INVOICE[1]: ("HIEU", "MAU"),
+    INVOICE[2]: ("00",),
+    RELEASE_SLIP: ("00",),
+    SHIPMENT_ON_PLAN: ("12", "13"),
+    **{p: ("DIEU",) for p in TRANSFER_ORDER},
+    **dict(zip(ORDER, [("P-",), ("PO",), None, None, ("417",), ("450",), ("WE", "WH"), ("1002",), ("PO", "DAT", "ORDER"), ("ORDER", "ORD")], strict=True)),
+}
+
+
 def _group(text: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    got = F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    needed = NEEDED.get(pattern)
+    return F.when(contains_any(text, *needed), got) if needed else got
 
 
 def key_fields(text: Column, doc_type: Column, known: dict[str, str] | None = None) -> Column:
@@ -163,8 +208,7 @@ def key_fields(text: Column, doc_type: Column, known: dict[str, str] | None = No
     transfer = F.coalesce(*(_group(text, p) for p in TRANSFER_ORDER))
 
     def shipment(p: str) -> Column:
-        got = repaired_id(_group(text, p), known)
-        return F.when(got.rlike("^[0-9]{5,}$"), got)
+        return bound(repaired_id(_group(text, p), known), lambda got: F.when(got.rlike("^[0-9]{5,}$"), got))
 
     context = [
         F.when(doc_type == "PXKKVCNB", transfer),
@@ -174,7 +218,9 @@ def key_fields(text: Column, doc_type: Column, known: dict[str, str] | None = No
     ship = F.when(doc_type.isNull() | doc_type.isin("HOA_DON", "LOADING_PLAN", "PXKKVCNB", "LENH_DIEU_XE"), F.coalesce(*map(shipment, SHIPMENT), *context))
 
     def number(p: str) -> Column:
-        got = _group(text, p)
+        return bound(_group(text, p), padded_number)
+
+    def padded_number(got: Column) -> Column:
         got = F.when(got.rlike("^00[0-9]+S$"), F.regexp_replace(got, "S$", "5")).otherwise(got)
         padded = F.when(got.rlike("^0[0-9]{4,6}$"), F.lpad(got, 8, "0")).otherwise(got)
         return F.when(got.rlike("^[0-9]+$") & ~got.rlike("^(19|20)[0-9]{2}") & (F.length(padded) == 8), padded)
@@ -183,7 +229,9 @@ def key_fields(text: Column, doc_type: Column, known: dict[str, str] | None = No
     slip = F.when(doc_type == "PXKKVCNB", invoice).when(doc_type == "PHIEU_XUAT_HANG", F.coalesce(_group(text, RELEASE_SLIP), invoice))
 
     def order(p: str) -> Column:
-        got = _group(text, p)
+        return bound(_group(text, p), order_number)
+
+    def order_number(got: Column) -> Column:
         got = F.when(got.rlike("^[0-9]{3}P[0-9]{6,8}$"), F.concat(F.lit("O"), got)).otherwise(got)
         return F.when(got.rlike("[0-9]") & ~got.rlike("[ILHF]{3,}") & ~got.startswith("893") & (F.length(got) >= 4), got)
 
@@ -219,20 +267,38 @@ def needs_second_scan(doc_type: Column, fields: Column, system: Column) -> Colum
 def sub_type(text: Column, rules: list[tuple[str, float, list[str]]], default: str, least: int = 90, head: float = 0.35, fuzzy: bool = True) -> Column:
     """struct(subtype, confidence, phrase, match, in_head) of a marker text. rules: (sub-type, points, phrases). Of each rule the first phrase that
     matches counts, with six points more in the head of the text and little more than half of them outside; the first of the best rules wins."""
-    top = F.substring(text, F.lit(1), F.greatest(F.lit(400), F.floor(F.length(text) * head).cast("int")))
+    head_of = lambda t: F.substring(t, F.lit(1), F.greatest(F.lit(400), F.floor(F.length(t) * head).cast("int")))
+    return _once(fuzzy)(text, lambda t: _once(fuzzy)(head_of(t), lambda top: _sub_type(t, top, rules, default, least, fuzzy)))
+
+
+def _once(fuzzy: bool) -> Callable[[Column, Callable[[Column], Column]], Column]:
+    """bound(), but for fuzzy scores, which a lambda cannot hold."""
+    return (lambda c, use: use(c)) if fuzzy else bound
 
+
+def _sub_type(text: Column, top: Column, rules: list[tuple[str, float, list[str]]], default: str, least: int, fuzzy: bool) -> Column:
     def match(phrase: str, where: Column) -> Column:
         near = F.floor(bounded_ratio(phrase, where, least, F.contains(where, F.lit(phrase)))).cast("int") if fuzzy else F.lit(0)
         return F.when(F.contains(where, F.lit(phrase)), 100).otherwise(near)
 
+    def scored(i: int, name: str, points: float) -> Callable[[Column], Column]:
+        def told(first: Column) -> Column:
+            score = F.when(first["in_head"], F.lit(float(points + 6))).otherwise(F.lit(points * 0.55))
+            return F.when(first.isNotNull(), F.struct(score.alias("score"), F.lit(-i).alias("ord"), F.lit(name).alias("subtype"), first["phrase"].alias("phrase"), first["match"].alias("match"), first["in_head"].alias("in_head")))
+
+        return told
+
     found = []
     for i, (name, points, phrases) in enumerate(rules):
-        first = F.coalesce(*(F.when(match(p, text) >= least, F.struct(F.lit(p).alias("phrase"), match(p, text).alias("match"), (match(p, top) >= least).alias("in_head"))) for p in phrases))
-        score = F.when(first["in_head"], F.lit(float(points + 6))).otherwise(F.lit(points * 0.55))
-        found.append(F.when(first.isNotNull(), F.struct(score.alias("score"), F.lit(-i).alias("ord"), F.lit(name).alias("subtype"), first["phrase"].alias("phrase"), first["match"].alias("match"), first["in_head"].alias("in_head"))))
-    best = F.array_max(F.array_compact(F.array(*found)))
-    sure = F.round(F.least(F.when(best["in_head"], 1.0).otherwise(0.6), best["score"] / 106.0), 3)
-    return F.struct(F.coalesce(best["subtype"], F.lit(default)).alias("subtype"), F.when(best.isNotNull(), sure).otherwise(0.0).alias("confidence"), best["phrase"].alias("phrase"), best["match"].alias("match"), F.coalesce(best["in_head"], F.lit(False)).alias("in_head"))
+        hit = lambda p: lambda m: F.when(m >= least, F.struct(F.lit(p).alias("phrase"), m.alias("match"), (match(p, top) >= least).alias("in_head")))
+        first = F.coalesce(*(_once(fuzzy)(match(p, text), hit(p)) for p in phrases))
+        found.append(_once(fuzzy)(first, scored(i, name, points)))
+
+    def told(best: Column) -> Column:
+        sure = F.round(F.least(F.when(best["in_head"], 1.0).otherwise(0.6), best["score"] / 106.0), 3)
+        return F.struct(F.coalesce(best["subtype"], F.lit(default)).alias("subtype"), F.when(best.isNotNull(), sure).otherwise(0.0).alias("confidence"), best["phrase"].alias("phrase"), best["match"].alias("match"), F.coalesce(best["in_head"], F.lit(False)).alias("in_head"))
+
+    return _once(fuzzy)(F.array_max(F.array_compact(F.array(*found))), told)
 
 
 def contradicts(subtype: Column, symbol: Column, by_first: dict[str, str]) -> Column:
