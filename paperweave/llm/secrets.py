@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperweave.llm.arrow import map_rows, pieces, strings_of
+from paperweave.llm.scratch import cut, drop
 
-#: Labelled strings of each random alphabet, and labelled identifiers; words of the corpus that identifiers are made of, at most.
+#: Labelled strings of each random alphabet, and labelled identifiers; the vocabulary that identifiers are made of: so many words, those that most of all texts have.
 RANDOM_STRINGS, IDENTIFIERS, CORPUS_WORDS = 1500, 12_000, 4000
-#: Characters of a sampled text that words for identifiers are taken from; the models of prose count whole texts.
-WORDS_FROM = 4000
+#: Different words that a task holds before it hands them on.
+WORDS_AT_ONCE = 100_000
 SHORTEST, LONGEST = 8, 44
 #: The threshold passes at most this share of held-out ordinary tokens, and is no less than the log odds against a token being a secret.
 PASSED, LEAST_ODDS = 0.0005, 9.2
@@ -36,6 +37,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
+_WORD = re.compile("[A-Za-z]+")
 _CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = {c: i for i, c in enumerate(_CHARS)}
 _OTHER = len(_CHARS)
@@ -213,32 +215,37 @@ def _logs(counts: Counter, order: int, unseen: float = 0.5) -> np.ndarray:
 
 
 def train(docs: DataFrame) -> Models:
-    """The models and their threshold. Tasks count the characters of all documents' tokens outside base spans; at most 69^3 sums come to the driver, and WORDS_FROM characters of CORPUS_WORDS / 20 texts."""
+    """The models and their threshold. Tasks count the characters of all documents' tokens outside base spans, and the texts that each word is in; at most 69^3 sums and the CORPUS_WORDS words that most texts have come to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_SIDE**3 + 1, np.int64)
+        total = np.zeros(_SIDE**3, np.int64)
+        words: Counter = Counter()
         for batch in pieces(batches, 256):
-            total[-1] += batch.num_rows
             for some in _blocks([_bare(t) for t in strings_of(batch)]):
-                total[:-1] += np.bincount(_tokens(b"\n" + b"\n".join(t.encode("ascii", "replace") for t in some) + b"\n")[3], minlength=_SIDE**3)
+                total += np.bincount(_tokens(b"\n" + b"\n".join(t.encode("ascii", "replace") for t in some) + b"\n")[3], minlength=_SIDE**3)
+                for text in some:
+                    words.update(set(_WORD.findall(text)))
+            if len(words) > WORDS_AT_ONCE:
+                yield counted_words(words)
+                words.clear()
         found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], ["place", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.nulls(len(found), pa.string()), pa.array(total[found], pa.int64())], ["place", "word", "n"])
+        yield counted_words(words)
 
-    counted = dict(map(tuple, docs.select("text").mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n")).collect()))
-    rows = counted.pop(_SIDE**3, 0)
-    # words for identifiers come from the texts with the least hashes: about ten times as many as wanted are under a bound, equal texts are one, so little is sorted and less is sent
-    wanted = CORPUS_WORDS // 20
-    bound = min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * min(1.0, 10 * wanted / max(rows, 1))))
-    few = docs.filter("text is not null").select(F.xxhash64("text").alias("h"), F.substring("text", 1, WORDS_FROM).alias("text")).filter(F.col("h") <= bound)
-    sampled = few.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(wanted)
-    words = sorted({w for r in sampled.collect() for w in re.findall("[A-Za-z]+", r["text"])})
-    return models(Counter(counted), words)
+    def counted_words(words: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int32()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["place", "word", "n"])
+
+    counted = cut(docs.select("text").mapInArrow(count, "place int, word string, n long").groupBy("place", "word").agg(F.sum("n").alias("n")))
+    prose = Counter(dict(map(tuple, counted.filter("place is not null").select("place", "n").collect())))
+    words = sorted(r["word"] for r in counted.filter("word is not null").orderBy(F.desc("n"), "word").limit(CORPUS_WORDS).collect())
+    drop(counted)
+    return models(prose, words)
 
 
 def models(prose: Counter, words: list[str]) -> Models:
     """Words of the corpus are dealt to training and fitting; the threshold is the ratio that PASSED of the held-out ordinary tokens exceed."""
     draw = random.Random(3)
-    words = draw.sample(words, min(len(words), CORPUS_WORDS))
+    words = draw.sample(words, len(words))
     half = len(words) // 2
     table = np.stack([*(_logs(_counted(random_sample(a)), 1) for a in _ALPHABETS), _logs(prose, 2), _logs(_counted(identifier_sample(words[:half])), 2), _logs(_counted(unknown_words()), 1, 0.01)], axis=1)
     unfitted = Models(table, len(_ALPHABETS), 0.0)

@@ -193,6 +193,15 @@ def test_ordinary_tokens_of_all_documents_are_counted(spark, monkeypatch):
     assert told[0][0] == want and "abcd" in told[0][1]
 
 
+def test_words_come_from_whole_texts_of_all_documents(spark, monkeypatch):
+    rows = [(i, f"common{'x' * (i % 5)} " * 3 + "filler " * 700 + ("late " if i % 2 else "")) for i in range(900)] + [(1000, "once"), (1001, None)]
+    told = []
+    monkeypatch.setattr(secrets, "CORPUS_WORDS", 7)
+    monkeypatch.setattr(secrets, "models", lambda prose, words: told.append(words))
+    secrets.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert told[0] == ["common", "commonx", "commonxx", "commonxxx", "commonxxxx", "filler", "late"]
+
+
 def test_urls(spark):
     rules = [*queries.RULES, ("block", "a.b.example.com", "/x"), ("allow", "example.org", "/")]
     urls = [None, "", "no scheme", "http://net/es/x", "HTTP://WWW.Example.COM/en/?q", "http://example.com/en", "https://notexample.com/en/", "http://foo.com", "http://foo.com/", "http://a.b.example.com/xyz", "x://y://net/fr/", "http://.net/es/", "http://u@net:80/es/", "http://q.net/fr/a#b", "http://net/es/x"]
