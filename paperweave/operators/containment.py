@@ -1,11 +1,15 @@
-"""Which values contain which keys, without a cross join: an index of the values' n-grams asked by each key's rarest one."""
+"""Which values contain which keys, without a cross join: an index of the values' n-grams asked by each key's rarest one; or, where only the least of the holders matters, by parts of the keys' lengths."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperweave.sources.lineage import dropped, written
+
 GRAM = 3
+#: Values are cut where they have a character that no key has, if keys have at most so many different ones.
+MOST_CHARACTERS = 2000
 
 
 def grams(text: Column, n: int) -> Column:
@@ -36,3 +40,41 @@ def containing(values: DataFrame, keys: DataFrame, *by: str) -> DataFrame:
 def _of_size(text: Column, size: Column) -> Column:
     last = F.length(text) - size + 1
     return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, size)))
+
+
+def parts(text: Column, n: Column | int) -> Column:
+    """All runs of n characters of a text that is no shorter, in order."""
+    size = n if isinstance(n, Column) else F.lit(n)
+    return F.when(F.length(text) == size, F.array(text)).otherwise(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size)))
+
+
+def least_of_holders(rows: DataFrame, keys: DataFrame, measures: dict[str, Column], *by: str) -> list[DataFrame]:
+    """Tables of by, key and the least of each measure over the rows of equal `by` that hold the key in one of their values; a key is in one table at most. rows: by, values (strings) and what measures need; keys: key, by. Strings
+    that are no key may be there too. Empty keys are left out. The tables are written(); drop them once they are used.
+
+    No pair of a row and a key is made. A value is cut to parts as long as the longest keys, equal parts become one row, and these are cut to the next shorter length, and so on: a part that holds a key of n characters has it
+    in one of its own parts of any length from n on, so nothing is lost, and a length has no more rows than there are different strings of it."""
+    keys = keys.filter("key <> ''")
+    sizes = sorted(r[0] for r in keys.select(F.length("key")).distinct().collect())
+    if not sizes:
+        return []
+    letters = sorted(r[0] for r in keys.select(F.explode(grams(F.col("key"), 1))).distinct().limit(MOST_CHARACTERS + 1).collect())
+    runs = F.array_compact("values")
+    if len(letters) <= MOST_CHARACTERS:
+        gap = next(c for c in map(chr, range(10, 60000)) if c not in letters and c not in ".$|()[{^?*+\\")
+        others = "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in letters) + "]+"
+        runs = F.split(F.regexp_replace(F.concat_ws(gap, "values"), others, gap), gap)
+    size = lambda r: F.array_max(F.filter(F.lit(sizes), lambda n: n <= F.length(r)))
+    cut = F.array_distinct(F.flatten(F.transform(F.filter(F.array_distinct(runs), lambda r: F.length(r) >= sizes[0]), lambda r: parts(r, size(r)))))
+    least = [F.min(m).alias(name) for name, m in measures.items()]
+    again = [F.min(name).alias(name) for name in measures]
+    first = written(rows.select("*", F.explode(cut).alias("key")).groupBy(*by, "key").agg(*least))
+    out: list[DataFrame] = []
+    for n in reversed(sizes):
+        here = first.filter(F.length("key") == n)
+        if out:
+            shorter = out[-1].select(*by, *measures, F.explode(F.array_distinct(parts(F.col("key"), n))).alias("key"))
+            here = here.unionByName(shorter).groupBy(*by, "key").agg(*again)
+        out.append(written(here))
+    dropped(first)
+    return out

@@ -7,7 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperweave.functions.text import first_where
-from paperweave.operators.containment import containing
+from paperweave.operators.containment import least_of_holders
+from paperweave.sources.lineage import dropped, written
+
+#: Kinds of evidence that a table has columns for at a time.
+KINDS = 32
 
 
 def visible_to(rows: DataFrame, user: Column, owner: str = "owner", admin: Column | None = None) -> DataFrame:
@@ -117,21 +121,39 @@ def phrases(words: DataFrame, line: list[str], gap: float) -> DataFrame:
 
 def rule_accuracy(rules: DataFrame, evidence: DataFrame) -> DataFrame:
     """Rules of a truth table with the status of the first evidence that fits, NOT_FOUND counted as wrong. rules: rule_id, field, key, source_type, target_type, expected.
-    evidence: position, field, status, source_type, target_type, values (strings; a rule's key must be contained in one of them, an empty key is in all).
-
-    Evidence is reduced to the first of each value and pair of types before anything meets; keys meet values by their rarest n-gram. Types that either side does not name fit."""
-    kinds = [F.col("source_type").alias("s"), F.col("target_type").alias("t")]
-    first = F.min(F.struct("position", "status")).alias("first")
-    cells = evidence.select("field", *kinds, "position", "status", F.explode(F.array_distinct("values")).alias("value")).filter("value is not null").groupBy("field", "value", "s", "t").agg(first)
-    held = containing(cells, rules.select("field", "key"), "field").groupBy("field", "key", "s", "t").agg(F.min("first").alias("first"))
-    whole = evidence.select("field", *kinds, "position", "status").groupBy("field", "s", "t").agg(first).select("field", F.lit("").alias("key"), "s", "t", "first")
-    fits = lambda wanted, a, b: F.col(wanted).isNull() | F.col(a).isNull() | (F.col(a) == F.col(wanted)) | F.coalesce(F.col(b) == F.col(wanted), F.lit(False))
-    hits = rules.join(held.unionByName(whole), ["field", "key"]).filter(fits("target_type", "t", "s") & fits("source_type", "s", "t"))
-    told = hits.groupBy("rule_id").agg(F.min("first")["status"].alias("actual"))
-    rows = rules.join(told, "rule_id", "left").withColumn("actual", F.coalesce("actual", F.lit("NOT_FOUND")))
+    evidence: position, field, status, source_type, target_type, values (strings; a rule's key must be contained in one of them, an empty key is in all). Evidence without a position comes last; rules that share a rule_id share the first evidence of any.
+
+    Types that either side does not name fit. Of each kind (types and status, few) a key needs its least position only, KINDS kinds at a time; a rule then chooses among the kinds."""
+    kinds = sorted((tuple(r) for r in evidence.select("source_type", "target_type", "status", F.col("position").isNull()).distinct().collect()), key=repr)
+    place, found, tables = evidence.schema["position"].dataType, rules.withColumn("first__", F.lit(None)), []
+    fields = [r[0] for r in rules.filter("key <> ''").select("field").distinct().limit(KINDS + 1).collect()]
+    for at in range(0, len(kinds), KINDS):
+        some = dict(enumerate(kinds[at : at + KINDS]))
+        kind = F.coalesce(*(F.when(F.col("source_type").eqNullSafe(F.lit(s)) & F.col("target_type").eqNullSafe(F.lit(t)) & F.col("status").eqNullSafe(F.lit(v)) & (F.col("position").isNull() == F.lit(late)), i) for i, (s, t, v, late) in some.items()))
+        told = evidence.select("field", "values", "position", kind.alias("kind__")).filter("kind__ is not null")
+        measures = {f"least__{i}": F.when(F.col("kind__") == i, F.lit(True) if late else F.col("position")) for i, (_, _, _, late) in some.items()}
+        whole = told.groupBy("field").agg(F.lit("").alias("key"), *(F.min(m).alias(name) for name, m in measures.items()))
+        held = least_of_holders(told.filter(F.col("field").isin(fields)) if len(fields) <= KINDS else told, rules, measures, "field")
+        tables += held
+        for frame in held:
+            whole = whole.unionByName(frame)
+        choices = [F.when(F.col(f"least__{i}").isNotNull() & _fit("target_type", t, s) & _fit("source_type", s, t), F.struct(F.lit(late).alias("late"), (F.lit(None).cast(place) if late else F.col(f"least__{i}")).alias("position"), F.lit(v is None).alias("none"), F.lit(v).cast("string").alias("status"))) for i, (s, t, v, late) in some.items()]
+        least = F.array_min(F.array(*choices, *([F.col("first__")] if at else [])))
+        found = found.join(whole, ["field", "key"], "left").select(*(F.col(c) for c in rules.columns), least.alias("first__"))
+    if not kinds:
+        return rules.withColumn("actual", F.lit("NOT_FOUND")).withColumn("correct", F.col("actual") == F.col("expected"))
+    found = written(found)
+    dropped(*tables)
+    actual = F.when(F.col("rule_id").isNotNull(), F.min("first__").over(W.partitionBy("rule_id"))["status"])
+    rows = found.select(*rules.columns, F.coalesce(actual, F.lit("NOT_FOUND")).alias("actual"))
     return rows.withColumn("correct", F.col("actual") == F.col("expected"))
 
 
+def _fit(wanted: str, own: str | None, other: str | None) -> Column:
+    """Whether a rule's type fits evidence of these types."""
+    return F.lit(True) if own is None else F.col(wanted).isNull() | F.coalesce(F.col(wanted).isin([x for x in (own, other) if x is not None]), F.lit(False))
+
+
 def job_state(jobs: DataFrame) -> DataFrame:
     """The newest job of each group as the status page shows it; ties go to the greater id. jobs: group_id, job_id, status, stage, stage_done, stage_total, percent, message, created_at."""
     shown = F.struct("job_id", "status", "stage", "stage_done", "stage_total", "percent", "message", "created_at")
@@ -142,8 +164,6 @@ def in_order(rows: DataFrame, *order: str) -> DataFrame:
     """rows with their place in a total order, from range-partitioned counts: no task sees more than its range.
 
     The place of a row is its place in its range and the rows of the ranges before; ranges are written, so both reads see the same rows."""
-    from paperweave.sources.lineage import written
-
     ranged = written(rows.repartitionByRange(*order).withColumn("range__", F.spark_partition_id()))
     counts = ranged.groupBy("range__").agg(F.count("*").alias("n"))
     upto = W.orderBy("range__").rowsBetween(W.unboundedPreceding, -1)

@@ -130,6 +130,31 @@ def test_rules_are_met_by_the_first_evidence_that_holds_the_key(spark):
     assert told == {1: ("NO", False), 2: ("OK", True), 3: ("NO", True), 4: ("NOT_FOUND", False), 5: ("NO", True), 6: ("NOT_FOUND", False), 7: ("OK", True)}
 
 
+def test_the_least_holder_of_a_key_without_pairs(spark):
+    draw = random.Random(5)
+    word = lambda n: "".join(draw.choices("0123", k=n))
+    rows = [(draw.choice("xy"), i, [f"PO{word(draw.randint(0, 9))}", None, f"d{word(4)}_{word(1)}"], draw.randint(0, 2)) for i in range(300)]
+    keys = sorted({(g, word(draw.choice([0, 1, 3, 4, 7]))) for g in "xyz" for _ in range(60)} | {("x", "z1"), ("y", "-")})
+    tables = containment.least_of_holders(spark.createDataFrame(rows, "g string, n int, values array<string>, kind int"), spark.createDataFrame(keys + keys[:9], "g string, key string"), {f"k{i}": F.when(F.col("kind") == i, F.col("n")) for i in range(3)}, "g")
+    told = [r for t in tables for r in t.collect()]
+    got = {(r["g"], r["key"]): (r["k0"], r["k1"], r["k2"]) for r in told if (r["g"], r["key"]) in keys}
+    want = {(g, k): tuple(min((n for h, n, vs, kind in rows if h == g and kind == i and any(k in v for v in vs if v)), default=None) for i in range(3)) for g, k in keys if k}
+    assert got == {k: v for k, v in want.items() if any(x is not None for x in v)}
+    parts = {(g, v[i : i + n]) for g, _, vs, _ in rows for v in vs if v for n in (1, 2, 3, 4, 7) for i in range(len(v) - n + 1)}
+    assert len(told) == len({(r["g"], r["key"]) for r in told}) <= len(parts)
+    assert containment.least_of_holders(spark.createDataFrame(rows, "g string, n int, values array<string>, kind int"), spark.createDataFrame([("x", "")], "g string, key string"), {"k": F.col("n")}, "g") == []
+
+
+def test_evidence_without_a_position_comes_last_and_rules_of_one_id_share_the_first(spark):
+    rules = [(1, "po", "12", None, None, "OK"), (1, "po", "55", None, None, "OK"), (2, "po", "77", None, None, "NO"), (None, "po", "12", None, None, "OK"), (3, None, "12", None, None, "OK"), (4, "po", None, None, None, "OK")]
+    evidence = [(None, "po", "NO", None, None, ["a12", "77"]), (9, "po", "NO", None, None, ["12"]), (4, "po", "OK", None, None, ["0550"]), (4, "po", "NO", None, None, ["5"])]
+    rules, evidence = spark.createDataFrame(rules, "rule_id long, field string, key string, source_type string, target_type string, expected string"), spark.createDataFrame(evidence, "position long, field string, status string, source_type string, target_type string, values array<string>")
+    told = sorted(((r["rule_id"] or 0, r["key"] or "", r["actual"]) for r in views.rule_accuracy(rules, evidence).collect()))
+    assert told == [(0, "12", "NOT_FOUND"), (1, "12", "OK"), (1, "55", "OK"), (2, "77", "NO"), (3, "12", "NOT_FOUND"), (4, "", "NOT_FOUND")]
+    late = views.rule_accuracy(rules.filter("key = '12' and rule_id = 1"), evidence).collect()
+    assert [r["actual"] for r in late] == ["NO"]
+
+
 @pytest.mark.parametrize(("scan", "found", "status", "warns"), [(True, False, "DAT", ["NO_OUTLINE"]), (True, True, "DAT", []), (False, False, "CHUP_LAI", [])])
 def test_a_scan_is_accepted_without_an_outline(spark, scan, found, status, warns):
     limits = {k: 0.5 for k in ("area_most", "area_reject", "area_warn", "margin_reject", "margin_warn", "angle_min", "angle_max", "aspect_low", "aspect_high", "ink_reject", "ink_warn", "agreement_reject", "agreement_warn")}
