@@ -133,17 +133,26 @@ def _leaves(docs: DataFrame, words: int, plan: PrefixPlan, buckets: int) -> Data
         size = 0
 
         def send() -> pa.RecordBatch:
-            h, d, g = np.concatenate(names), np.concatenate(owners), np.concatenate(groups)
+            # what was gathered is let go as it is ordered: an executor's tasks hold this many times over
+            h = np.concatenate(names)
+            names.clear()
             order = np.argsort(h)
-            h, d, g = h[order], d[order], g[order]
+            h = h[order]
+            d = np.concatenate(owners)[order]
+            owners.clear()
+            g = np.concatenate(groups)[order]
+            groups.clear()
+            del order
             first = np.concatenate([[True], h[1:] != h[:-1]])
-            least = np.repeat(np.minimum.reduceat(d, np.flatnonzero(first)), np.diff(np.concatenate([np.flatnonzero(first), [len(h)]])))
-            late = d > least
-            lead = ~late & np.concatenate([[True], (h[1:] != h[:-1]) | late[:-1]])
+            begins = np.flatnonzero(first)
+            late = d > np.repeat(np.minimum.reduceat(d, begins), np.diff(np.concatenate([begins, [len(h)]])))
+            del begins
             # of several leaves of the least document any one will do
-            g = np.where(late, -1 - _bucket(d, buckets), g)
-            keep = late | lead
-            h, d, g = h[keep], d[keep], g[keep]
+            keep = np.flatnonzero(late | first | np.concatenate([[True], late[:-1]]))
+            del first
+            h, d, g, late = h[keep], d[keep], g[keep], late[keep]
+            del keep
+            g[late] = -1 - _bucket(d[late], buckets)
             # a document's leaves of one group are neighbours, so its id is sent once for all of them
             order = np.lexsort((d, g))
             h, d, g = h[order], d[order], g[order]

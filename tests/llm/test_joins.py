@@ -389,3 +389,34 @@ def test_held_out_quality_of_toxicity(spark, sf_dir):
     assert len(up) > 50 and len(down) > 500
     assert sum((a > b) + (a == b) / 2 for a in up for b in down) >= 0.9 * len(up) * len(down)
     assert sum(s >= 0.5 for s in up) >= 0.6 * len(up) and sum(s >= 0.5 for s in down) <= 0.03 * len(down)
+
+
+def test_gathered_leaves_are_let_go_while_they_are_ordered():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from paperweave.llm import repeats
+
+    class Held:
+        def filter(self, _):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    n = 1 << 20
+    texts = [" ".join(map(str, range(i, i + 1000))) for i in range(0, n, 1000)]
+    run = repeats._leaves(Held(), 13, _dealt(repeats.PrefixPlan(), np), 7)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    rows = sum(len(c) for out in run(iter([batch])) for c in out.column("counts").to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows and peak < 90 * n, peak
+
+
+def _dealt(plan, np):
+    plan.deal(np.ones(len(plan.bits), np.int64), 4096)
+    return plan
