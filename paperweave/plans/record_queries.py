@@ -216,12 +216,9 @@ def most_frequent_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH s AS (SELECT s_suppkey AS cell, s_nationkey, (s_suppkey % 10) / 10.0 AS x0, (s_suppkey % 10) / 10.0 + 0.1 AS x1 FROM supplier) SELECT c_custkey, cell FROM customer JOIN s ON c_nationkey = s_nationkey WHERE (c_custkey % 100) / 100.0 >= x0 AND (c_custkey % 100) / 100.0 < x1")
 def boxes_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from paperweave.operators.measure import in_box
+    from paperweave.operators.measure import points_in_cells
 
     k = (F.col("s_suppkey") % 10) / 10.0
     cells = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cell"), F.col("s_nationkey").alias("c_nationkey"), k.alias("x0"), (k + 0.1).alias("x1"))
-    # a cell stands in the tenths of the page that it touches, a point in its own, so only neighbours meet
-    cells = cells.withColumn("tenth", F.explode(F.sequence(F.floor(F.col("x0") * 10), F.floor(F.col("x1") * 10))))
-    rows = table(spark, sf_dir, "customer").withColumn("tenth", F.floor((F.col("c_custkey") % 100) / 10.0)).join(cells, ["c_nationkey", "tenth"])
-    inside = in_box((F.col("c_custkey") % 100) / 100.0, F.lit(0.5), (F.col("x0"), F.lit(0.0), F.col("x1"), F.lit(1.0)))
-    return rows.filter(inside).select("c_custkey", "cell")
+    points = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", ((F.col("c_custkey") % 100) / 100.0).alias("x"))
+    return points_in_cells(points, cells, "c_nationkey").select("c_custkey", "cell")

@@ -155,6 +155,20 @@ def test_evidence_without_a_position_comes_last_and_rules_of_one_id_share_the_fi
     assert [r["actual"] for r in late] == ["NO"]
 
 
+def test_points_of_a_crowded_place_are_dealt_to_many_tasks(spark, monkeypatch):
+    draw = random.Random(8)
+    points = [(i, draw.choice("ab") if i < 90 else "a", draw.choice([0.0, 0.1, 0.35, 0.3, 0.99, None])) for i in range(400)]
+    cells = [(i, draw.choice("abc"), x := draw.choice([0.0, 0.1, 0.3, 0.9]), x + draw.choice([0.1, 0.25])) for i in range(60)]
+    a, b = spark.createDataFrame(points, "p long, page string, x double"), spark.createDataFrame(cells, "cell long, page string, x0 double, x1 double")
+    want = sorted((p, c) for p, g, x in points for c, h, x0, x1 in cells if g == h and x is not None and x0 <= x < x1)
+    for limit in (4_000_000, 300):
+        monkeypatch.setattr(measure, "PAIRS_OF_A_TASK", limit)
+        got = measure.points_in_cells(a, b, "page").select("p", "cell", F.spark_partition_id().alias("task")).collect()
+        assert sorted((r["p"], r["cell"]) for r in got) == want
+    tasks = Counter(r["task"] for r in got)
+    assert len(tasks) > 8 and max(tasks.values()) < len(want) / 3
+
+
 @pytest.mark.parametrize(("scan", "found", "status", "warns"), [(True, False, "DAT", ["NO_OUTLINE"]), (True, True, "DAT", []), (False, False, "CHUP_LAI", [])])
 def test_a_scan_is_accepted_without_an_outline(spark, scan, found, status, warns):
     limits = {k: 0.5 for k in ("area_most", "area_reject", "area_warn", "margin_reject", "margin_warn", "angle_min", "angle_max", "aspect_low", "aspect_high", "ink_reject", "ink_warn", "agreement_reject", "agreement_warn")}
