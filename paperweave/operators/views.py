@@ -112,11 +112,10 @@ def isolated_pairs(missed: DataFrame) -> DataFrame:
 
 def phrases(words: DataFrame, line: list[str], gap: float) -> DataFrame:
     """Words of text lines (x0, x1, height) grouped into phrases: a new one begins where the gap to all before is over `gap` median heights."""
-    em = words.groupBy(*line).agg(F.percentile("height", F.lit(0.5)).alias("em"))
     w = W.partitionBy(*line).orderBy("x0", "x1")
-    before = F.max("x1").over(w.rowsBetween(W.unboundedPreceding, -1))
-    rows = words.join(em, line).withColumn("new", F.coalesce(F.col("x0") - before > gap * F.col("em"), F.lit(True)).cast("int"))
-    return rows.withColumn("phrase", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("em", "new")
+    rows = words.filter(" and ".join(f"`{c}` is not null" for c in line)).withColumn("before", F.max("x1").over(w.rowsBetween(W.unboundedPreceding, -1))).withColumn("em", F.percentile("height", F.lit(0.5)).over(W.partitionBy(*line)))
+    rows = rows.withColumn("new", F.coalesce(F.col("x0") - F.col("before") > gap * F.col("em"), F.lit(True)).cast("int"))
+    return rows.withColumn("phrase", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("em", "before", "new")
 
 
 def rule_accuracy(rules: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -198,6 +198,14 @@ def test_columns_are_filled_after_one_exchange(spark):
     assert plan.count("Exchange ") == 1 and "ObjectHashAggregate" not in plan and "lambda" not in plan
 
 
+def test_phrases_of_lines_need_one_exchange(spark):
+    words = spark.createDataFrame([("a", 0.0, 1.0, 2.0), ("a", 2.0, 3.0, 2.0), ("a", 9.0, 9.5, 4.0), (None, 0.0, 1.0, 2.0)], "line string, x0 double, x1 double, height double")
+    rows = views.phrases(words, ["line"], 1.5)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+    assert sorted((r["x0"], r["phrase"]) for r in rows.collect()) == [(0.0, 1), (2.0, 1), (9.0, 2)]
+
+
 PAGE = "upload_group_id string, scan_index int, doc_type string, page_role string, system string, action string, shipment_id string, invoice_no string, po_no string, transfer_order_no string, pxk_no string"
 
 
