@@ -11,6 +11,7 @@ windows of one long repeat add up to the maximal repeat.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ GROUP_LEAST = 20_000
 MOST_GROUPS = 1 << 20
 #: Bytes of text whose leaves a task gathers before it sends them on.
 GATHER_BYTES = 8 * BLOCK_BYTES
+#: Leaves, about, of one Arrow batch of them.
+SENT_LEAVES = 1 << 17
 TEXT_BUCKET_BYTES = 8 << 20
 
 
@@ -130,15 +133,19 @@ def _leaves(docs: DataFrame, words: int, plan: PrefixPlan, buckets: int) -> Data
         names: list[np.ndarray] = []
         owners: list[np.ndarray] = []
         groups: list[np.ndarray] = []
-        size = 0
+        held: list[np.ndarray] = []
+        size = rows = 0
 
-        def send() -> pa.RecordBatch:
+        def send() -> Iterator[pa.RecordBatch]:
             # what was gathered is let go as it is ordered: an executor's tasks hold this many times over
             h = np.concatenate(names)
             names.clear()
             order = np.argsort(h)
             h = h[order]
-            d = np.concatenate(owners)[order]
+            # documents are told by the places of their ids in order, which compare like the ids
+            known, place = np.unique(np.concatenate(held), return_inverse=True)
+            held.clear()
+            d = place.astype(np.int32)[np.concatenate(owners)[order]]
             owners.clear()
             g = np.concatenate(groups)[order]
             groups.clear()
@@ -152,39 +159,52 @@ def _leaves(docs: DataFrame, words: int, plan: PrefixPlan, buckets: int) -> Data
             del first
             h, d, g, late = h[keep], d[keep], g[keep], late[keep]
             del keep
-            g[late] = -1 - _bucket(d[late], buckets)
+            g[late] = (-1 - _bucket(known, buckets)).astype(np.int32)[d[late]]
+            del late
             # a document's leaves of one group are neighbours, so its id is sent once for all of them
-            order = np.lexsort((d, g))
-            h, d, g = h[order], d[order], g[order]
-            runs = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])]))
-            counts = np.diff(np.concatenate([runs, [len(d)]])).astype(np.uint32)
-            edges = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
-            at = np.searchsorted(runs, edges)
-            spans = range(len(edges) - 1)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(g[edges[:-1]]),
-                    pa.array([d[runs[at[i] : at[i + 1]]].tobytes() for i in spans], pa.binary()),
-                    pa.array([counts[at[i] : at[i + 1]].tobytes() for i in spans], pa.binary()),
-                    pa.array([h[edges[i] : edges[i + 1]].tobytes() for i in spans], pa.binary()),
-                ],
-                ["grp", "doc_ids", "counts", "hashes"],
-            )
+            both = (g.astype(np.int64) << 32) | d
+            del g, d
+            order = np.argsort(both)
+            h, both = h[order], both[order]
+            del order
+            runs = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+            counts = np.diff(np.concatenate([runs, [len(h)]])).astype(np.uint32)
+            g, d = both[runs] >> 32, known[both[runs] & 0xFFFFFFFF]
+            del both
+            runs = np.concatenate([runs, [len(h)]])
+            at = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
+            # some groups at a time, so that neither side holds all that was gathered once more
+            cuts = np.searchsorted(runs[at], np.arange(SENT_LEAVES, len(h), SENT_LEAVES))
+            for lo, hi in itertools.pairwise(np.unique(np.concatenate([[0], cuts, [len(at) - 1]])).tolist()):
+                spans = list(itertools.pairwise(at[lo : hi + 1].tolist()))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(g[at[lo:hi]]),
+                        pa.array([d[i:j].tobytes() for i, j in spans], pa.binary()),
+                        pa.array([counts[i:j].tobytes() for i, j in spans], pa.binary()),
+                        pa.array([h[runs[i] : runs[j]].tobytes() for i, j in spans], pa.binary()),
+                    ],
+                    ["grp", "doc_ids", "counts", "hashes"],
+                )
 
         for batch in pieces(batches):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            held.append(ids)
             for start, texts in blocks(texts_of(batch)):
                 hashes, _, at, text = _windows(texts, words)
                 size += sum(map(len, texts))
                 if len(at):
                     names.append(grams(hashes, words)[at])
-                    owners.append(ids[start : start + len(texts)].astype(np.int64)[text])
-                    groups.append(plan.group[plan.find(hashes, at)])
+                    owners.append((rows + start + text).astype(np.int32))
+                    groups.append(plan.group[plan.find(hashes, at)].astype(np.int32))
+                del hashes, at, text
                 if size >= GATHER_BYTES and names:
-                    yield send()
-                    names, owners, groups, size = [], [], [], 0
+                    yield from send()
+                    held.append(ids)
+                    size = rows = 0
+            rows += len(ids)
         if names:
-            yield send()
+            yield from send()
 
     return docs.filter("doc_id is not null").mapInArrow(run, "grp long, doc_ids binary, counts binary, hashes binary")
 
@@ -201,10 +221,13 @@ def _late(leaves: DataFrame, buckets: int) -> DataFrame:
         d = np.repeat(_joined(table["doc_ids"], np.int64), _joined(table["counts"], np.uint32))
         if table["grp"][0].as_py() >= 0:
             order = np.argsort(h)
-            h, d = h[order], d[order]
+            h = h[order]
+            d = d[order]
+            del order
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             late = d > np.repeat(np.minimum.reduceat(d, first), np.diff(np.concatenate([first, [len(h)]])))
             h, d = h[late], d[late]
+            del first, late
         # one row for each bucket of documents, in which an id is told once for all its windows
         bucket = _bucket(d, buckets)
         order = np.lexsort((d, bucket))

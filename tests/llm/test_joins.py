@@ -420,3 +420,67 @@ def test_gathered_leaves_are_let_go_while_they_are_ordered():
 def _dealt(plan, np):
     plan.deal(np.ones(len(plan.bits), np.int64), 4096)
     return plan
+
+
+def test_gathered_leaves_are_narrow_and_sent_in_parts(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from paperweave.llm import repeats
+
+    class Held:
+        def filter(self, _):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    n = 1 << 20
+    texts = [" ".join(map(str, range(i, i + 1000))) for i in range(0, n, 1000)]
+    run = repeats._leaves(Held(), 13, _dealt(repeats.PrefixPlan(), np), 7)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    list(run(iter([batch.slice(0, 2)])))  # tables of powers are made once
+    tracemalloc.start()
+    most = max(out.nbytes for out in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4 * n and peak < 60 * n, (most, peak)
+
+
+def test_leaves_do_not_depend_on_where_a_task_cuts_what_it_gathers(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from paperweave.llm import repeats
+
+    class Held:
+        def filter(self, _):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    texts = [" ".join(str((i * 7 + j) % 50) for j in range(30)) for i in range(40)]
+    ids = [(i * 17) % 40 - 20 for i in range(40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[i : i + 11]), pa.array(texts[i : i + 11])], ["doc_id", "text"]) for i in range(0, 40, 11)]
+
+    def told(sent):
+        out = []
+        for b in run(iter(batches)):
+            assert sent >= 1 << 17 or b.num_rows
+            for d, c, h in zip(*(b.column(x).to_pylist() for x in ("doc_ids", "counts", "hashes")), strict=True):
+                out += zip(np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.uint32)).tolist(), np.frombuffer(h, np.uint64).tolist())
+        return set(out)
+
+    run = repeats._leaves(Held(), 13, _dealt(repeats.PrefixPlan(), np), 7)
+    whole = told(1 << 17)
+    monkeypatch.setattr(repeats, "SENT_LEAVES", 5)
+    assert told(5) == whole
+    # cut within batches, every leaf of a document is still told under its own id
+    monkeypatch.setattr(repeats, "GATHER_BYTES", 1)
+    monkeypatch.setattr(repeats, "blocks", lambda some: ((i, some[i : i + 2]) for i in range(0, len(some), 2)))
+    every = told(5)
+    plain = {(i, h) for i, t in zip(ids, texts, strict=True) for h in repeats.grams(repeats.word_table([t.encode()])[0], 13).tolist()}
+    assert whole <= every == plain or whole <= every <= plain
