@@ -8,10 +8,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paperweave.operators.batching import References, assignments
-from paperweave.operators.components import components_by_key
+from paperweave.operators.components import with_parts
 from paperweave.operators.identity import batch_heads
 from paperweave.sources.lineage import written
 
@@ -121,13 +122,19 @@ def match_status(documents: DataFrame) -> DataFrame:
     return rows.select("dossier_id", "n_docs", "n_evidence", status.alias("match_status"))
 
 
+def _inside_batch() -> list[Column]:
+    """Order keys under their batch: those of different batches never meet."""
+    return [F.when(F.col(k).isNotNull(), F.concat_ws("\u0001", "batch_id", k)) for k in ORDER_KEYS]
+
+
 def order_dossiers(documents: DataFrame) -> DataFrame:
     """Documents of one batch that share an order key, directly or through others, as one dossier: its name from the least key of each kind, and the
     keys of which it holds several."""
-    inside = documents.select("batch_id", "doc_id", *(F.when(F.col(k).isNotNull(), F.concat_ws("\u0001", "batch_id", k)).alias(k) for k in ORDER_KEYS))
-    root = components_by_key(inside, "doc_id", *ORDER_KEYS)
+    rows = with_parts(written(documents.select("batch_id", "doc_id", *ORDER_KEYS)), "doc_id", *_inside_batch()).filter("doc_id is not null")
     values = [F.array_sort(F.collect_set(k)).alias(k) for k in ORDER_KEYS]
-    rows = documents.join(root, "doc_id").groupBy("batch_id", "root").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), *values)
+    # one exchange serves both: documents of a part are dealt by it, not combined before, as their sets are no smaller
+    rows = rows.repartition("part").groupBy("batch_id", "part").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), *values)
+    rows = rows.withColumn("root", F.min("first_doc").over(W.partitionBy("part")))
     named = [F.when(F.size(k) > 0, F.concat(F.lit(p), F.get(k, F.lit(0)))) for k, p in zip(ORDER_KEYS, ("PO_", "INV_", "PXK_"), strict=True)]
     name = F.coalesce(F.nullif(F.concat_ws("_", *named), F.lit("")), F.concat(F.lit("DOC_"), "first_doc"))
     ambiguous = F.concat_ws(";", *(F.when(F.size(k) > 1, F.concat(F.lit(f"{k}="), F.array_join(k, ","))) for k in ORDER_KEYS))
@@ -167,9 +174,9 @@ def audited(documents: DataFrame, references: References, guidelines: DataFrame)
     """The whole audit: documents are assigned, a batch is what its members tell, its documents fall into order dossiers, dossiers are reconciled against the batch, and guidelines of its order code are checked.
     documents: as in batching, with page_count. What more than one step reads is written once; no batch or dossier is held in one row."""
     placed = written(assignments(documents, references))
-    rows = documents.join(placed, "doc_id")
-    inside = rows.select("doc_id", *(F.when(F.col(k).isNotNull(), F.concat_ws("\u0001", "batch_id", k)).alias(k) for k in ORDER_KEYS))
-    rows = written(rows.join(components_by_key(inside, "doc_id", *ORDER_KEYS).withColumnRenamed("root", "dossier_id"), "doc_id"))
+    rows = written(documents.join(placed, "doc_id"))
+    rows = with_parts(rows, "doc_id", *_inside_batch())
+    rows = written(rows.join(rows.groupBy("part").agg(F.min("doc_id").alias("dossier_id")), "part").drop("part"))
     heads = written(batch_heads(rows))
     status = match_status(rows).join(rows.select("dossier_id", "batch_id").distinct(), "dossier_id")
     dossiers = status.groupBy("batch_id").agg(

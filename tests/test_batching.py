@@ -204,3 +204,42 @@ def test_components_of_rows_by_their_keys(spark):
                 parent[b] = a
         got = {r["node"]: r["root"] for r in components_by_key(spark.createDataFrame(rows, "node long, a string, b string, c string"), "node", "a", "b", "c").collect()}
         assert got == {i: find(i) for i in parent}
+
+
+def test_parts_of_rows_by_contraction(spark, monkeypatch):
+    import random
+
+    from paperweave.operators import components
+
+    made = []
+    monkeypatch.setattr(components, "written", lambda df, own=components.written: made.append(own(df)) or made[-1])
+    rng = random.Random(5)
+    rows = [(i, f"x{i:04}", f"x{i + 1:04}") for i in range(300)] + [(1000 + i, None, None) for i in range(3)]
+    rows += [(2000 + rng.randrange(40), rng.choice([None, f"y{rng.randrange(30)}"]), rng.choice([None, f"y{rng.randrange(30)}"])) for _ in range(60)] + [(None, "x0001", None)]
+    up = list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    held = {}
+    for i, (n, a, b) in enumerate(rows):
+        for told in [("n", n)] * (n is not None) + [(0, a)] * (a is not None) + [(1, b)] * (b is not None):
+            up[top(i)] = top(held.setdefault(told, i))
+    # the columns' keys are of different kinds, so the long chain is joined by rows that hold one key as both
+    frame = spark.createDataFrame([(i, *r, "own") for i, r in enumerate(rows)], "i int, node long, a string, b string, held string")
+    told = components.with_parts(frame, "node", "a", "b").collect()
+    got = {r["i"]: r for r in told}
+    assert len(told) == len(got) == len(rows) and all(r["held"] == "own" for r in got.values())
+    assert (got[len(rows) - 1]["part"]) is None
+    parts = {}
+    for i, r in enumerate(rows[:-1]):
+        parts.setdefault(got[i]["part"], set()).add(top(i))
+    assert all(len(p) == 1 for p in parts.values()) and len(parts) == len({top(i) for i in range(len(rows) - 1)})
+    # a chain of names in order takes a few rounds, each of two tables
+    made.clear()
+    chain = spark.createDataFrame([(f"k{i + 1:04}", f"k{i:04}") for i in range(600)], "a string, b string")
+    found = components._contracted(chain)
+    assert found.select("part").distinct().count() == 1 and found.count() == found.select("node").distinct().count() >= 600
+    assert len(made) < 45, len(made)
