@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from paperweave.functions.text import first_where
 from paperweave.operators.containment import least_of_holders
-from paperweave.sources.lineage import dropped, written
+from paperweave.sources.lineage import dropped, spread, written
 
 #: Kinds of evidence that a table has columns for at a time.
 KINDS = 32
@@ -60,8 +60,9 @@ def with_uploads(results: DataFrame, uploads: DataFrame) -> tuple[DataFrame, Dat
 
 def review_history(reviews: DataFrame, targets: DataFrame) -> DataFrame:
     """Each page's reviews newest first, of one time by target, and whether the machine has since changed its mind or lost the target. reviews: page_id, review_id,
-    target_index, created_at, machine_detected; targets: page_id, target_index, detected."""
-    rows = reviews.join(targets, ["page_id", "target_index"], "left")
+    target_index, created_at, machine_detected; targets: page_id, target_index, detected. Both sides are dealt by page, which serves the join and the order alike, to tasks whose rows do not grow with the table."""
+    n = reviews.count()
+    rows = spread(reviews, n, "page_id").join(spread(targets, n, "page_id"), ["page_id", "target_index"], "left")
     place = F.row_number().over(W.partitionBy("page_id").orderBy(F.desc("created_at"), "target_index", "review_id"))
     return rows.withColumn("place", place).withColumn("stale", ~F.coalesce(F.col("detected") == F.col("machine_detected"), F.lit(False)))
 

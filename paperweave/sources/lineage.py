@@ -26,6 +26,16 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows of a task, about, where rows in order or in a table are held by it: what it holds does not grow with the input.
+TASK_ROWS = 500_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as hold about TASK_ROWS of `rows` rows each, a number that adaptive execution does not merge again; as it is if there are no more than cores."""
+    tasks = -(-rows // TASK_ROWS)
+    return df.repartition(tasks, *keys) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def dropped(*frames: DataFrame) -> None:
     """Deletes tables made by written(), once all that was made of them is itself written."""
     for frame in frames:

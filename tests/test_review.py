@@ -247,3 +247,19 @@ def test_a_long_upload_is_folded_in_linear_time(spark):
     pages = spark.range(n).select(F.lit("u").alias("upload_group_id"), F.col("id").cast("int").alias("scan_index"), F.lit("PO").alias("doc_type"), F.lit("PASS").alias("action"), F.lit("P1").alias("po_no"), *(F.lit(None).cast("string").alias(c) for c in ("page_role", "system", "invoice_no", "transfer_order_no", "pxk_no")), F.lit("123456").alias("shipment_id"))
     runs = stitching.voting_runs(pages)
     assert runs.agg(F.max("cluster_size")).first()[0] == n
+
+
+def test_tasks_of_review_histories_follow_the_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from paperweave.operators import views
+    from paperweave.sources import lineage
+
+    rows = spark.range(600).select((F.col("id") % 50).alias("page_id"), F.col("id").alias("review_id"), (F.col("id") % 3).alias("target_index"), (F.col("id") % 7).alias("created_at"), (F.col("id") % 2 == 0).alias("machine_detected"))
+    targets = spark.range(50).select(F.col("id").alias("page_id"), (F.col("id") % 3).alias("target_index"), F.lit(True).alias("detected"))
+    told = views.review_history(rows, targets)
+    plain = sorted(map(tuple, told.collect()))
+    monkeypatch.setattr(lineage, "TASK_ROWS", 20)
+    many = views.review_history(rows, targets)
+    assert sorted(map(tuple, many.collect())) == plain
+    assert many.rdd.getNumPartitions() == 30 and many.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 200
