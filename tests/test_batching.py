@@ -243,3 +243,9 @@ def test_parts_of_rows_by_contraction(spark, monkeypatch):
     found = components._contracted(chain)
     assert found.select("part").distinct().count() == 1 and found.count() == found.select("node").distinct().count() >= 600
     assert len(made) < 45, len(made)
+
+
+def test_match_status_tells_papers_apart_once(spark, sf_dir):
+    from paperweave.plans import catalog
+
+    assert not [f for f in catalog.QUERIES["dossier_match_status"](spark, sf_dir).inputFiles() if "lineitem" in f]
