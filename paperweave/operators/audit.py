@@ -28,39 +28,45 @@ def compared(a: Column, b: Column, prefix: int | None = None) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), partial).when(a.isNotNull(), "MISSING_TARGET").when(b.isNotNull(), "MISSING_SOURCE").otherwise("NOT_APPLICABLE")
 
 
+#: Of each rule: the types that meet, the field of the evidence, the value of either side, the length of the beginning that makes a partial match, and whether the second side is the source.
+_RULES = [
+    ("PO", "HOA_DON", "po_no", "po_no", "po_no", 4, False),
+    ("PO", "PHIEU_GIAO_HANG", "po_no", "po_no", "po_no", 3, False),
+    ("HOA_DON", "LOADING_PLAN", "shipment_id", "shipment_id", "shipment_id", None, True),
+    ("PXKKVCNB", "LOADING_PLAN", "transfer_order_no", "transfer_order_no", "shipment_id", None, True),
+    ("HOA_DON", "HOA_DON", "invoice_no", "invoice_no", "invoice_no", None, False),
+    ("HOA_DON", "HOA_DON", "shipment_id", "shipment_id", "shipment_id", None, False),
+]
+
+
 def reconciliation(documents: DataFrame) -> DataFrame:
     """Evidence rows: orders against all invoices (4 characters make a partial match) and delivery notes (3) of the batch, invoices and
     transfer slips against its loading plans, and invoices of one dossier against each other. All pairs come from one join by batch and
-    rule, so that only types meet that a rule compares."""
-    columns = ["batch_id", "dossier_id", "doc_id", "doc_type", "po_no", "invoice_no", "shipment_id", "transfer_order_no"]
-    kinds = [("PO", "HOA_DON"), ("PO", "PHIEU_GIAO_HANG"), ("HOA_DON", "LOADING_PLAN"), ("PXKKVCNB", "LOADING_PLAN"), ("HOA_DON", "HOA_DON")]
+    rule (and dossier, where a rule stays inside it), to which a document sends, for each rule, the one value that is compared; without a value only where that is told."""
+    inside = F.col("kind") > 3
 
     def taking_part(side: int) -> DataFrame:
-        return documents.select(*columns, F.explode(F.array_compact(F.array(*(F.when(F.col("doc_type") == k[side], i) for i, k in enumerate(kinds))))).alias("kind"))
-
-    a, b = taking_part(0).alias("a"), taking_part(1).alias("b")
-
-    def evidence(kind: int, field: str, left: str, right: str, prefix: int | None = None, turned: bool = False) -> Column:
-        x, y = F.col(f"a.{left}"), F.col(f"b.{right}")
-        sides = [F.col("a.doc_id"), F.col("b.doc_id"), x, y]
-        if turned:
-            sides = [sides[1], sides[0], y, x]
-        named = [c.alias(n) for c, n in zip(sides, ("source_doc", "target_doc", "source_val", "target_val"), strict=True)]
-        status = compared(x, y, prefix)
-        return F.when((F.col("a.kind") == kind) & status.isNotNull(), F.struct(F.lit(field).alias("field"), *named, status.alias("status")))
-
-    rules = [
-        (0, "po_no", "po_no", "po_no", 4, False),
-        (1, "po_no", "po_no", "po_no", 3, False),
-        (2, "shipment_id", "shipment_id", "shipment_id", None, True),
-        (3, "transfer_order_no", "transfer_order_no", "shipment_id", None, True),
-        (4, "invoice_no", "invoice_no", "invoice_no", None, False),
-        (4, "shipment_id", "shipment_id", "shipment_id", None, False),
-    ]
-    twins = (F.col("a.dossier_id") == F.col("b.dossier_id")) & (F.col("a.doc_id") < F.col("b.doc_id"))
-    pairs = a.join(b, (F.col("a.batch_id") == F.col("b.batch_id")) & (F.col("a.kind") == F.col("b.kind"))).filter((F.col("a.kind") < 4) | twins)
-    found = F.array_compact(F.array(*(evidence(*r) for r in rules)))
-    return pairs.select(F.col("a.dossier_id").alias("dossier_id"), F.explode(found).alias("e")).select("dossier_id", "e.*")
+        # the rules of a type are a literal, so that no list is made for each document
+        kinds = F.lit(None).cast("array<int>")
+        for t in sorted({r[side] for r in _RULES}):
+            kinds = F.when(F.col("doc_type") == t, F.array(*(F.lit(i) for i, r in enumerate(_RULES) if r[side] == t))).otherwise(kinds)
+        rows = documents.withColumn("kind", F.explode(kinds))
+        value = F.lit(None).cast("string")
+        for i, r in enumerate(_RULES):
+            value = F.when(F.col("kind") == i, F.col(r[3 + side])).otherwise(value)
+        partial = F.col("kind").isin([i for i, r in enumerate(_RULES) if r[5]])
+        rows = rows.select("batch_id", "dossier_id", "doc_id", "kind", value.alias("value")).filter(partial | F.col("value").isNotNull())
+        return rows.withColumn("within", F.when(inside, F.col("dossier_id")).otherwise(""))
+
+    b = taking_part(1).select("batch_id", "kind", "within", F.col("doc_id").alias("b_doc"), F.col("value").alias("b_value"))
+    pairs = taking_part(0).join(b, ["batch_id", "kind", "within"]).filter(~inside | (F.col("doc_id") < F.col("b_doc")))
+    x, y = F.col("value"), F.col("b_value")
+    status, turned = compared(x, y), F.col("kind").isin([i for i, r in enumerate(_RULES) if r[6]])
+    for i, r in enumerate(_RULES):
+        if r[5]:
+            status = F.when(F.col("kind") == i, compared(x, y, r[5])).otherwise(status)
+    sides = [("source_doc", "b_doc", "doc_id"), ("target_doc", "doc_id", "b_doc"), ("source_val", "b_value", "value"), ("target_val", "value", "b_value")]
+    return pairs.select("dossier_id", F.get(F.lit([r[2] for r in _RULES]), F.col("kind")).alias("field"), *(F.when(turned, F.col(t)).otherwise(F.col(u)).alias(n) for n, t, u in sides), status.alias("status"))
 
 
 #: Of each rule but the last two: the type and field that a dossier gives, those of the batch it is held against, and the length of the beginning that makes a partial match.

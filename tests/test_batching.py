@@ -264,3 +264,12 @@ def test_rules_and_heads_do_not_deal_or_sort_documents(spark):
     rank = F.struct(F.lit(2).alias("level"), "position", F.col("position").alias("doc_id"))
     heads = batching._heads(batching._keyed(docs, "doc_id", "position", "system", "shipment_id").withColumn("rank", rank))
     assert "SortAggregate" not in heads._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_reconciliation_are_rows_at_once(spark, sf_dir):
+    from paperweave.plans import catalog
+
+    plan = catalog.QUERIES["reconcile_evidence"](spark, sf_dir)._jdf.queryExecution().optimizedPlan()
+    # only the sides are exploded, and twins meet inside their dossier
+    text = plan.toString()
+    assert text.count("Generate explode") == 2 and "within" in text[text.index("Join Inner") :].splitlines()[0]
