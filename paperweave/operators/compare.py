@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperweave.sources.lineage import written
+
 SIDES = ("old", "new", "truth")
 
 
@@ -41,16 +45,19 @@ def label_faults(labels: DataFrame, items: DataFrame, annotators: DataFrame, voc
 
     a, i = F.col("annotator"), F.col("item")
     bad = [F.when(F.col(f).isNull(), F.struct(F.lit(f).alias("field"), F.lit("FIELD_MISSING").alias("fault"))).when(~F.col(f).isin(sorted(v)), F.struct(F.lit(f).alias("field"), F.lit("FIELD_NOT_IN_VOCABULARY").alias("fault"))) for f, v in vocabulary.items()]
-    fields = labels.select("annotator", "item", F.explode(F.array_compact(F.array(*bad))).alias("b")).join(items.select("item"), "item", "left_semi")
-    # how often each annotator should have told each item, and how often it was told: one row each, from the sides' keys
-    told = labels.groupBy("annotator", "item").agg(F.count("*").alias("n"))
-    per = told.join(items.select("item").withColumn("known", F.lit(True)), "item", "left")
+    # most labels have no fault, and for them no list is made
+    any_bad = reduce(lambda x, y: x | y, (F.col(f).isNull() | ~F.col(f).isin(sorted(v)) for f, v in vocabulary.items()), F.lit(False))
+    fields = labels.filter(any_bad).select("annotator", "item", F.explode(F.array_compact(F.array(*bad))).alias("b")).join(items.select("item"), "item", "left_semi")
+    # a row for each item, written once: whether it is known, and who told it how often; all but the fields is read from there without dealing anything again
+    told = labels.select("annotator", "item").repartition("item").groupBy("item", "annotator").agg(F.count("*").alias("n")).groupBy("item").agg(F.collect_list(F.struct("annotator", "n")).alias("by"))
+    rows = written(told.join(items.select("item").distinct().withColumn("known", F.lit(True)), "item", "full"))
+    per = rows.select("item", "known", F.explode("by").alias("b")).select("item", "known", "b.*")
     complete = per.filter("known").groupBy("annotator").agg(F.count("*").alias("n_items"))
-    n_items = items.agg(F.count_distinct("item").alias("n")).scalar()
+    n_items = rows.agg(F.count_if(F.col("known") & F.col("item").isNotNull()).alias("n")).scalar()
     short = annotators.select("annotator").join(complete, "annotator", "left").filter(F.coalesce("n_items", F.lit(0)) < n_items).select("annotator")
-    wanted = items.select("item").distinct().join(told.join(short, "annotator", "left_semi").groupBy("item").agg(F.collect_set("annotator").alias("by")), "item", "left")
     names = short.agg(F.coalesce(F.collect_set("annotator"), F.array().cast("array<string>")).alias("x")).scalar()
-    missing = wanted.select("item", F.explode(F.array_except(names, F.coalesce("by", F.array().cast("array<string>")))).alias("annotator"))
+    by = F.coalesce(F.transform("by", lambda x: x["annotator"]), F.array().cast("array<string>"))
+    missing = rows.filter("known").select("item", F.explode(F.array_except(names, by)).alias("annotator"))
     few = annotators.agg(F.count_distinct("annotator").alias("n")).filter(F.col("n") < least)
     out = fields.select(F.col("b.fault").alias("fault"), a, i.cast("string").alias("item"), F.col("b.field").alias("field"))
     out = out.unionByName(fault("ITEM_UNKNOWN", per.filter("known is null"), a, i)).unionByName(fault("ITEM_REPEATED", per.filter("known and n > 1"), a, i))

@@ -263,3 +263,12 @@ def test_tasks_of_review_histories_follow_the_rows(spark, monkeypatch):
     many = views.review_history(rows, targets)
     assert sorted(map(tuple, many.collect())) == plain
     assert many.rdd.getNumPartitions() == 30 and many.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 200
+
+
+def test_label_faults_deal_labels_once(spark, sf_dir):
+    import re
+
+    from paperweave.plans import catalog
+
+    plan = catalog.QUERIES["label_faults"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[[^\]]*item", plan)
