@@ -4,10 +4,12 @@ import itertools
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from paperweave.operators import compare, containment, measure, policy, review, stitching, verdict, views
+from paperweave.plans import policy_queries
 
 TARGET = "page_id long, target string, role string, required boolean, detected boolean, review_required boolean"
 
@@ -177,6 +179,24 @@ def test_a_scan_is_accepted_without_an_outline(spark, scan, found, status, warns
     assert (gate["status"], gate["warns"]) == (status, warns)
 
 
+@pytest.mark.parametrize(("scan", "status", "warns"), [(None, "CANH_BAO", ["PRECROPPED"]), (False, "CANH_BAO", ["PRECROPPED"]), (True, "DAT", [])])
+def test_a_page_of_unknown_source_keeps_its_warnings(spark, scan, status, warns):
+    none = {m: F.lit(None).cast("double") for m in ("n_cut", "n_near", "area", "margin", "n_touching", "angle_min", "angle_max", "aspect", "ink_outside", "agreement", "mask_fit", "side_skew")}
+    gate = spark.range(1).select(policy.corner_gate({"found": F.lit(True), "precropped": F.lit(True), **none}, F.lit(scan).cast("boolean"), policy_queries.LIMITS).alias("g")).first()["g"]
+    assert (gate["status"], gate["warns"], gate["rejects"]) == (status, warns, [])
+
+
+def test_corner_gates_warn_of_lines_without_a_flag(spark, sf_dir, tmp_path):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("l_returnflag", F.expr("CASE WHEN l_orderkey % 2 = 0 THEN l_returnflag END"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    rows = [tuple(r) for r in policy_queries.corner_gates(spark, str(tmp_path)).collect()]
+    assert Counter(rows) == Counter(duck.sql(policy_queries.SQL["corner_gates"]).fetchall()) and len(rows) == lines.count()
+    told = Counter((warns != "", status) for order, *_, rejects, warns, status in rows if order % 2 == 1 and rejects == "")
+    assert set(told) <= {(True, "CANH_BAO"), (False, "DAT")} and told[True, "CANH_BAO"] > 0
+
+
 def test_explicit_stamp_classes(spark):
     rows = spark.createDataFrame([("ODD", "any_stamp"), ("", "any_stamp"), (None, "any_stamp"), ("COMPANY_ROUND_RED", None)], "explicit string, colour string")
     told = rows.select(policy.stamp_class(F.lit("r"), F.col("colour"), F.col("explicit")).alias("a"), policy.stamp_class(F.lit("r"), F.col("colour"), F.col("explicit"), by_role=True).alias("b")).collect()
